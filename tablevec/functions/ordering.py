@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_PART = 16
+SMALL_ROWS = 100_000
 
 
 def split_points(df: DataFrame, column: str, parts: int = 32) -> list:
@@ -49,33 +50,35 @@ def number_rows(
     order: list[str],
     position: str = "pos",
     sums: dict[str, str] | None = None,
+    totals: dict[str, str] | None = None,
     parts: int = 32,
     cuts: list | None = None,
 ) -> DataFrame:
-    """0-based position in each group by ``order``, and running sums before each row.
+    """0-based position in each group by ``order``, running sums before each row, group totals.
 
     The group is cut into value ranges of the first order column; ranges are numbered locally
     and shifted by the totals of the earlier ranges, so a group with a third of all rows is
     still ``parts`` separate pieces of work. ``order`` must be unique within a group.
-    ``sums`` maps a new column to the column whose running total (before the row) it holds.
+    ``sums`` maps a new column to the column whose running total (before the row) it holds;
+    ``totals`` maps a new column to the column summed over the group, or to ``*`` for its size.
     """
-    sums = sums or {}
+    sums, totals = sums or {}, totals or {}
     if cuts is None:
         cuts = split_points(df.select(*dict.fromkeys([*group, *order])), order[0], parts)
     tagged = df.withColumn("__b", range_bucket(order[0], cuts))
-    totals = tagged.groupBy(*group, "__b").agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.sum(src).alias("__t_" + new) for new, src in sums.items()],
-    )
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__b").rowsBetween(
-        Window.unboundedPreceding, -1
+    summed = sorted({*sums.values(), *totals.values()} - {"*"})
+    ranges = tagged.groupBy(*group, "__b").agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias("__t_" + c) for c in summed]
     )
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    earlier = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     # at most `parts` rows per group here
-    shifts = totals.select(
+    shifts = ranges.select(
         *group,
         "__b",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__s"),
-        *[F.coalesce(F.sum("__t_" + n).over(earlier), F.lit(0)).alias("__s_" + n) for n in sums],
+        *[F.coalesce(F.sum("__t_" + c).over(earlier), F.lit(0)).alias("__s_" + n) for n, c in sums.items()],
+        *[F.sum("__n" if c == "*" else "__t_" + c).over(whole).alias(n) for n, c in totals.items()],
     )
     piece = Window.partitionBy(*group, "__b").orderBy(*order)
     before = piece.rowsBetween(Window.unboundedPreceding, -1)
@@ -83,12 +86,13 @@ def number_rows(
         *df.columns,
         "__b",
         (F.row_number().over(piece) - 1).alias("__r"),
-        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias("__l_" + n) for n, s in sums.items()],
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("__l_" + n) for n, c in sums.items()],
     )
     return local.join(shifts, [*group, "__b"]).select(
         *df.columns,
         (F.col("__r") + F.col("__s")).cast("bigint").alias(position),
         *[(F.col("__l_" + n) + F.col("__s_" + n)).alias(n) for n in sums],
+        *totals,
     )
 
 
@@ -98,19 +102,28 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: st
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def hot_keys(df: DataFrame, on: list[str], share: int = 1000) -> DataFrame | None:
+    """Keys that hold more than 1/``share`` of the rows (so less than ``share`` of them), or None."""
+    total = df.count()
+    if total < SMALL_ROWS:
+        return None
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    rows = counts.where(F.col("__n") * share > total).select(*on).collect()
+    return df.sparkSession.createDataFrame(rows, counts.select(*on).schema) if rows else None
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
-    """Join a table with hot keys to a table with one row per key.
+    """Join a settled table that may have hot keys to a table with one row per key.
 
-    Keys that hold more than 1/``share`` of ``left`` number less than ``share``; for those
-    the right side has fewer than ``share`` rows and is broadcast, so hot rows are not
-    shuffled. All other keys go through a plain join.
+    The hot keys (less than ``share`` by count) and their right-hand rows are broadcast, so
+    hot rows are never shuffled; all other keys go through a plain join.
     """
-    total = left.agg(F.count(F.lit(1)).alias("n")).scalar()
-    heavy = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * share > total).select(*on)
-    hot_left = left.join(F.broadcast(heavy), on, "left_semi")
-    hot_right = right.join(F.broadcast(heavy), on, "left_semi")
-    cold_left = left.join(F.broadcast(heavy), on, "left_anti")
-    return hot_left.join(F.broadcast(hot_right), on, how).unionByName(cold_left.join(right, on, how))
+    hot = hot_keys(left, on, share)
+    if hot is None:
+        return left.join(right, on, how)
+    few = F.broadcast(hot)
+    hot_side = left.join(few, on, "left_semi").join(F.broadcast(right.join(few, on, "left_semi")), on, how)
+    return hot_side.unionByName(left.join(few, on, "left_anti").join(right, on, how))
 
 
 def percentiles(df: DataFrame, group: list[str], value: str, probs: list[float], parts: int = 32) -> DataFrame:
@@ -122,12 +135,7 @@ def percentiles(df: DataFrame, group: list[str], value: str, probs: list[float],
     rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
     cuts = split_points(rows.withColumn("__u", F.rand(7)), "__v", parts)
     counts = rows.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    ranked = number_rows(counts, group, ["__v"], "__pos", {"__before": "__c"}, parts, cuts)
-    size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__size"))
-    if group:
-        ranked = ranked.join(size, group)
-    else:
-        ranked = ranked.withColumn("__size", rows.agg(F.count(F.lit(1)).alias("n")).scalar())
+    ranked = number_rows(counts, group, ["__v"], "__pos", {"__before": "__c"}, {"__size": "__c"}, parts, cuts)
     end = F.col("__before") + F.col("__c")
 
     def holds(spot):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablevec.functions import ordering
+from tablevec.session import settle
 
 # Default pruning limits and degree cap.
 MAX_OCCURRENCES = 5000
@@ -18,25 +19,27 @@ def incidence(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("token", "relation", "row_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def token_stats(inc: DataFrame, prefix_compat: bool = False) -> DataFrame:
+def token_stats(tokens: DataFrame, prefix_compat: bool = False) -> DataFrame:
     """(token, num, tables): occurrences and distinct tables, counted per table first.
 
     ``prefix_compat`` takes the text before the first ``_`` as the table name.
     """
     table = F.substring_index("relation", "_", 1) if prefix_compat else F.col("relation")
-    per_table = inc.groupBy("token", table.alias("t")).agg(F.sum("n").alias("n"))
+    per_table = tokens.groupBy("token", table.alias("t")).agg(F.count(F.lit(1)).alias("n"))
     return per_table.groupBy("token").agg(F.sum("n").alias("num"), F.count(F.lit(1)).alias("tables"))
 
 
-def clean_tokens(
-    stats: DataFrame, max_num: int = MAX_OCCURRENCES, max_tables: int = MAX_TABLES
-) -> DataFrame:
-    """Tokens that link rows without linking everything."""
-    return stats.where((F.col("num") != 1) & (F.col("num") < max_num) & (F.col("tables") < max_tables))
+def links_well(max_num: int = MAX_OCCURRENCES, max_tables: int = MAX_TABLES) -> Column:
+    """True for token stats that link rows without linking everything."""
+    return (F.col("num") != 1) & (F.col("num") < max_num) & (F.col("tables") < max_tables)
+
+
+def clean_tokens(stats: DataFrame, max_num: int = MAX_OCCURRENCES, max_tables: int = MAX_TABLES) -> DataFrame:
+    return stats.where(links_well(max_num, max_tables))
 
 
 def weighted_edges(
-    inc: DataFrame,
+    tokens: DataFrame,
     max_num: int = MAX_OCCURRENCES,
     max_tables: int = MAX_TABLES,
     prefix_compat: bool = False,
@@ -44,24 +47,24 @@ def weighted_edges(
 ) -> DataFrame:
     """(token, relation, row_id, weight): distinct edges with weight 1/num between kept tokens and rows.
 
-    Tokens that are pruned and hold more than 1/``share`` of all occurrences number less than
-    ``share``: they are dropped by a broadcast before the join, so no hot token is shuffled.
+    Pruned tokens that hold more than 1/``share`` of all occurrences number less than ``share``:
+    a broadcast drops them before the join, so no hot token is shuffled. The join places rows
+    by token, and dropping repeats inside a row reuses that placement.
     """
-    stats = token_stats(inc, prefix_compat)
+    placed = settle(tokens.select("token", "relation", "row_id"))
+    stats = settle(token_stats(placed, prefix_compat))
     keep = clean_tokens(stats, max_num, max_tables).select("token", "num")
-    total = inc.agg(F.sum("n").alias("n")).scalar()
-    hot = (
-        stats.where(F.col("num") * share > total)
-        .where(~((F.col("num") != 1) & (F.col("num") < max_num) & (F.col("tables") < max_tables)))
-        .select("token")
-    )
-    rest = inc.join(F.broadcast(hot), "token", "left_anti")
-    return rest.join(keep, "token").select(
-        "token", "relation", "row_id", (F.lit(1.0) / F.col("num")).alias("weight")
+    total = stats.agg(F.sum("num").alias("n")).scalar()
+    hot = stats.where((F.col("num") * share > total) & ~links_well(max_num, max_tables)).select("token")
+    return (
+        placed.join(F.broadcast(hot), "token", "left_anti")
+        .join(keep, "token")
+        .dropDuplicates(["token", "relation", "row_id"])
+        .select("token", "relation", "row_id", (F.lit(1.0) / F.col("num")).alias("weight"))
     )
 
 
-def row_node(relation="relation", row_id="row_id"):
+def row_node(relation: str = "relation", row_id: str = "row_id") -> Column:
     return F.concat(F.col(relation), F.lit("_row:"), F.col(row_id))
 
 
@@ -72,8 +75,9 @@ def name_edges(edges: DataFrame) -> DataFrame:
 
 def token_dictionary(named: DataFrame) -> DataFrame:
     """(name, id): distinct end points of an edge list numbered in name order."""
-    names = named.select(F.col("x").alias("name")).unionAll(named.select(F.col("y").alias("name"))).distinct()
-    return ordering.number_rows(names, [], ["name"], "id")
+    names = named.select(F.explode(F.array("x", "y")).alias("name"))
+    cuts = ordering.split_points(names, "name")
+    return ordering.number_rows(names.distinct(), [], ["name"], "id", cuts=cuts)
 
 
 def encode_tokens(df: DataFrame, dictionary: DataFrame, column: str = "token") -> DataFrame:
@@ -94,11 +98,17 @@ def search_tokens(dictionary: DataFrame, part: str) -> DataFrame:
 
 
 def reindex_edges(named: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(src, dst, weight): names replaced by ids; hot names are joined without a shuffle."""
+    """(src, dst, weight) from a settled (x, y, weight): names replaced by ids, hot names without a shuffle."""
     dx = dictionary.select(F.col("name").alias("x"), F.col("id").alias("src"))
     dy = dictionary.select(F.col("name").alias("y"), F.col("id").alias("dst"))
     half = ordering.join_hot(named, dx, ["x"])
-    return ordering.join_hot(half, dy, ["y"]).select("src", "dst", "weight")
+    hot = ordering.hot_keys(named, ["y"])
+    if hot is None:
+        return half.join(dy, "y").select("src", "dst", "weight")
+    few = F.broadcast(hot)
+    hot_side = half.join(few, "y", "left_semi").join(F.broadcast(dy.join(few, "y", "left_semi")), "y")
+    cold = half.join(few, "y", "left_anti").join(dy, "y")
+    return hot_side.unionByName(cold).select("src", "dst", "weight")
 
 
 def to_undirected(edges: DataFrame) -> DataFrame:
@@ -121,10 +131,10 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
     The list of a hub may be any length, so neighbours stay in rows that join on (src, pos).
     """
-    numbered = ordering.number_rows(edges.select("src", "dst", "weight"), ["src"], ["dst"], "pos")
-    return ordering.join_hot(numbered, degrees(edges), ["src"]).select(
-        "src", "pos", "dst", "weight", "degree", (F.col("weight") / F.col("strength")).alias("prob")
+    numbered = ordering.number_rows(
+        edges.select("src", "dst", "weight"), ["src"], ["dst"], "pos", totals={"degree": "*", "strength": "weight"}
     )
+    return numbered.select("src", "pos", "dst", "weight", "degree", (F.col("weight") / F.col("strength")).alias("prob"))
 
 
 def cap_degree(edges: DataFrame, k: int = MAX_DEGREE) -> DataFrame:

@@ -13,6 +13,7 @@ from tablevec.functions.draws import draw
 from tablevec.operators.prep import kinds, quantize
 
 DEFAULT_STRATEGY = ("augment", "cell")
+ROW_ID = "__rid"
 
 
 def cell_value(df: DataFrame, column: str, policy: str) -> Column | None:
@@ -35,6 +36,8 @@ def row_cells(df: DataFrame, relation: str, row_id, strategies: dict | None = No
     rid = (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
     entries = []
     for pos, c in enumerate(df.columns):
+        if c == ROW_ID:
+            continue
         policy, grain = strategies.get(c, DEFAULT_STRATEGY)
         value = cell_value(df, c, policy)
         if value is None:
@@ -63,24 +66,90 @@ def cell_tokens(cells: DataFrame) -> DataFrame:
     return cells.select(*keep, F.posexplode(tokens).alias("tpos", "token")).where(F.col("token") != "")
 
 
+def _word_structs(column: str, pos: int) -> Column:
+    found = F.when(text.valid_cell(column), text.encode_cell(column, "token"))
+    return F.transform(
+        F.coalesce(found, F.array().cast("array<string>")),
+        lambda w, i: F.struct(
+            F.lit(column).alias("col"), F.lit(pos).alias("pos"), i.alias("tpos"), w.alias("token")
+        ),
+    )
+
+
+def row_tokens(df: DataFrame, relation: str, row_id, strategies: dict | None = None) -> DataFrame:
+    """(relation, row_id, col, pos, tpos, token) of one relation in a single projection.
+
+    The grain of a column is known when the plan is made, so whole-cell columns stay plain
+    compiled string expressions and only word-grain columns pay for array work.
+    """
+    strategies = strategies or {}
+    rid = (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
+    kind = kinds(df)
+    whole, split = [], []
+    for pos, c in enumerate(df.columns):
+        if c == ROW_ID:
+            continue
+        policy, grain = strategies.get(c, DEFAULT_STRATEGY)
+        value = cell_value(df, c, policy)
+        if value is None:
+            continue
+        is_text = isinstance(df.schema[c].dataType, T.StringType)
+        if grain == "token" and is_text:
+            split.append(_word_structs(c, pos))
+        else:
+            if is_text:
+                token = F.when(text.valid_cell(c), text.encode_cell(c, "cell")[0])
+            elif policy != "stringify" and kind[c] != "str":
+                # only the column name can need cleaning, and it is a constant
+                token = F.concat(text.encode_cell(F.lit(c + text.NUMBER_MARK), "cell")[0], F.lower(F.col(c).cast("string")))
+            else:
+                token = F.when(F.col(c).isNotNull(), text.encode_cell(F.col(c).cast("string"), "cell")[0])
+            whole.append(
+                F.struct(F.lit(c).alias("col"), F.lit(pos).alias("pos"), F.lit(0).alias("tpos"), token.alias("token"))
+            )
+    if not split:
+        items = F.array(*whole)
+    elif not whole:
+        items = F.flatten(F.array(*split))
+    else:
+        items = F.concat(F.array(*whole), *split)
+    return df.select(F.lit(relation).alias("relation"), rid.alias("row_id"), F.inline(items)).where(
+        F.col("token").isNotNull() & (F.col("token") != "")
+    )
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _keyed(df: DataFrame, row_id) -> DataFrame:
+    """The relation with its row id kept aside, so that binning a key column does not change ids."""
+    return df.withColumn(ROW_ID, (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string"))
+
+
 def repository_cells(tables: dict[str, DataFrame], row_ids: dict, strategies: dict | None = None) -> DataFrame:
-    """Cells of all relations, quantized where the strategies ask for it."""
+    """(relation, row_id, col, pos, value, grain) of all relations, quantized where asked."""
     strategies = strategies or {}
-    out = None
+    parts = []
     for name, df in tables.items():
         plan = strategies.get(name, {})
-        rid = row_ids[name]
-        keyed = df.withColumn("__rid", (rid if isinstance(rid, Column) else F.col(rid)).cast("string"))
-        binned = quantize(keyed, plan)
-        cells = row_cells(binned.select(*df.columns, "__rid"), name, F.col("__rid"), plan)
-        cells = cells.where(F.col("col") != "__rid")
-        out = cells if out is None else out.unionByName(cells)
-    return out
+        binned = quantize(_keyed(df, row_ids[name]), plan)
+        parts.append(row_cells(binned, name, ROW_ID, plan))
+    return _union(parts)
 
 
 def repository_tokens(tables: dict[str, DataFrame], row_ids: dict, strategies: dict | None = None) -> DataFrame:
-    """(relation, row_id, col, pos, tpos, token) for the whole repository."""
-    return cell_tokens(repository_cells(tables, row_ids, strategies))
+    """(relation, row_id, col, pos, tpos, token) of all relations, quantized where asked."""
+    strategies = strategies or {}
+    parts = []
+    for name, df in tables.items():
+        plan = strategies.get(name, {})
+        binned = quantize(_keyed(df, row_ids[name]), plan)
+        parts.append(row_tokens(binned, name, ROW_ID, plan))
+    return _union(parts)
 
 
 def row_documents(tokens: DataFrame) -> DataFrame:

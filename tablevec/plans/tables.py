@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablevec.session import spread
+
 DIMENSIONS = ("region", "nation", "supplier", "customer", "part")
 EVERYTHING = (*DIMENSIONS, "orders", "lineitem")
 
@@ -42,7 +44,7 @@ KEYS = {
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def repository(spark: SparkSession, sf_dir: str, names=DIMENSIONS) -> dict[str, DataFrame]:
