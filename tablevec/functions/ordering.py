@@ -31,17 +31,24 @@ def split_points(df: DataFrame, column: str, parts: int = 32) -> list:
     return sorted(picks)
 
 
-def range_bucket(value, cuts: list) -> Column:
-    """Number of ascending cut values <= ``value``, by halving: a few compiled comparisons."""
-    c = value if isinstance(value, Column) else F.col(value)
+def _literal(value) -> str:
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        raise TypeError(f"cut values are numbers or text, not {type(value).__name__}")
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else f"{value}L"
 
-    def halve(lo: int, hi: int) -> Column:
+
+def range_bucket(column: str, cuts: list) -> Column:
+    """Number of ascending cut values <= the column, by halving: a few compiled comparisons."""
+
+    def halve(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(c < F.lit(cuts[mid]), halve(lo, mid)).otherwise(halve(mid + 1, hi))
+        return f"CASE WHEN {column} < {_literal(cuts[mid])} THEN {halve(lo, mid)} ELSE {halve(mid + 1, hi)} END"
 
-    return halve(0, len(cuts))
+    return F.expr(halve(0, len(cuts)))
 
 
 def number_rows(

@@ -65,6 +65,25 @@ def strip(c) -> Column:
     return F.btrim(_c(c), F.lit(SPACE_CHARS))
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def valid_cell_expr(column: str) -> str:
+    """SQL text of ``valid_cell`` for a named text column."""
+    value = f"btrim(`{column}`, {_quoted(SPACE_CHARS)})"
+    return (
+        f"(`{column}` IS NOT NULL AND {value} <> '' AND `{column}` <> {_quoted(MISSING_MARK)} "
+        f"AND NOT rlike({value}, {_quoted(DATE_PREFIX)}))"
+    )
+
+
+def whole_cell_expr(value: str) -> str:
+    """SQL text of the whole-cell token of a SQL text expression."""
+    spaced = f"replace(replace(lower({value}), ',', ' '), '  ', ' ')"
+    return f"replace(btrim({spaced}, {_quoted(SPACE_CHARS)}), ' ', '_')"
+
+
 def valid_cell(c) -> Column:
     """True for a cell that carries text: not missing, not blank, not a d/d/d date."""
     value = strip(c)

@@ -51,8 +51,8 @@ def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(col, x): the non-null values of numeric columns, one row each."""
     kind = kinds(df)
     names = columns or [c for c in df.columns if kind[c] != "str"]
-    entries = [F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("x")) for c in names]
-    return df.select(F.inline(F.array(*entries))).where(F.col("x").isNotNull())
+    entries = [f"named_struct('col', '{c}', 'x', CAST(`{c}` AS DOUBLE))" for c in names]
+    return df.selectExpr(f"inline(array({', '.join(entries)}))").where("x IS NOT NULL")
 
 
 def word_count(c) -> Column:
@@ -189,7 +189,7 @@ def quantize(df: DataFrame, strategies: dict[str, tuple[str, str]], bins: int =
         edges |= {r.col: r.edges for r in offset_width_edges(long_values(df, wide), bins).collect()}
     return df.select(
         *[
-            F.when(F.col(c).isNotNull(), ordering.range_bucket(F.col(c).cast("double"), edges[c])).alias(c)
+            F.when(F.col(c).isNotNull(), ordering.range_bucket(f"CAST(`{c}` AS DOUBLE)", edges[c])).alias(c)
             if edges.get(c)
             else F.col(c)
             for c in df.columns

@@ -66,14 +66,8 @@ def cell_tokens(cells: DataFrame) -> DataFrame:
     return cells.select(*keep, F.posexplode(tokens).alias("tpos", "token")).where(F.col("token") != "")
 
 
-def _word_structs(column: str, pos: int) -> Column:
-    found = F.when(text.valid_cell(column), text.encode_cell(column, "token"))
-    return F.transform(
-        F.coalesce(found, F.array().cast("array<string>")),
-        lambda w, i: F.struct(
-            F.lit(column).alias("col"), F.lit(pos).alias("pos"), i.alias("tpos"), w.alias("token")
-        ),
-    )
+def _token_struct(col: str, pos: int, tpos: str, token: str) -> str:
+    return f"named_struct('col', '{col}', 'pos', {pos}, 'tpos', {tpos}, 'token', {token})"
 
 
 def row_tokens(df: DataFrame, relation: str, row_id, strategies: dict | None = None) -> DataFrame:
@@ -85,36 +79,34 @@ def row_tokens(df: DataFrame, relation: str, row_id, strategies: dict | None = N
     strategies = strategies or {}
     rid = (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
     kind = kinds(df)
+    types_ = dict(df.dtypes)
     whole, split = [], []
     for pos, c in enumerate(df.columns):
         if c == ROW_ID:
             continue
         policy, grain = strategies.get(c, DEFAULT_STRATEGY)
-        value = cell_value(df, c, policy)
-        if value is None:
-            continue
-        is_text = isinstance(df.schema[c].dataType, T.StringType)
-        if grain == "token" and is_text:
-            split.append(_word_structs(c, pos))
+        as_text = f"CAST(`{c}` AS STRING)"
+        if kind[c] != "str":
+            if policy == "skip":
+                continue
+            # the column name is a constant, so cleaning the joined text costs one lower()
+            token = as_text if policy == "stringify" else f"concat('{c}{text.NUMBER_MARK}', {as_text})"
+            whole.append(_token_struct(c, pos, "0", text.whole_cell_expr(token) if "," in c or " " in c else f"lower({token})"))
+        elif types_[c] != "string":
+            whole.append(_token_struct(c, pos, "0", text.whole_cell_expr(as_text)))
+        elif grain == "token":
+            found = text.encode_cell(F.when(F.expr(text.valid_cell_expr(c)), F.col(c)), "token")
+            split.append((c, pos, found))
         else:
-            if is_text:
-                token = F.when(text.valid_cell(c), text.encode_cell(c, "cell")[0])
-            elif policy != "stringify" and kind[c] != "str":
-                # only the column name can need cleaning, and it is a constant
-                token = F.concat(text.encode_cell(F.lit(c + text.NUMBER_MARK), "cell")[0], F.lower(F.col(c).cast("string")))
-            else:
-                token = F.when(F.col(c).isNotNull(), text.encode_cell(F.col(c).cast("string"), "cell")[0])
-            whole.append(
-                F.struct(F.lit(c).alias("col"), F.lit(pos).alias("pos"), F.lit(0).alias("tpos"), token.alias("token"))
-            )
-    if not split:
-        items = F.array(*whole)
-    elif not whole:
-        items = F.flatten(F.array(*split))
-    else:
-        items = F.concat(F.array(*whole), *split)
-    return df.select(F.lit(relation).alias("relation"), rid.alias("row_id"), F.inline(items)).where(
-        F.col("token").isNotNull() & (F.col("token") != "")
+            token = f"CASE WHEN {text.valid_cell_expr(c)} THEN {text.whole_cell_expr(f'`{c}`')} END"
+            whole.append(_token_struct(c, pos, "0", token))
+    # word lists get columns of their own, so the rest of the projection stays compiled
+    wide = df.select("*", *[F.coalesce(words, F.array().cast("array<string>")).alias(f"__w{pos}") for _, pos, words in split])
+    lists = [f"array({', '.join(whole)})"] if whole else []
+    lists += [f"transform(__w{pos}, (w, i) -> {_token_struct(c, pos, 'i', 'w')})" for c, pos, _ in split]
+    items = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
+    return wide.select(F.lit(relation).alias("relation"), rid.alias("row_id"), F.expr(f"inline({items})")).where(
+        "token IS NOT NULL AND token <> ''"
     )
 
 

@@ -42,9 +42,16 @@ KEYS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
 }
 
+_spread: dict[str, bool] = {}
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if path not in _spread:
+        # one look per table and process: does it come as fewer splits than there are cores?
+        _spread[path] = spread(df) is not df
+    return df.repartition(spark.sparkContext.defaultParallelism) if _spread[path] else df
 
 
 def repository(spark: SparkSession, sf_dir: str, names=DIMENSIONS) -> dict[str, DataFrame]:
