@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prep_queries", "text_queries", "graph_queries")
+MODULES = ("prep_queries", "text_queries", "graph_queries", "vector_queries", "compose_queries")
 
 
 def all_queries() -> dict:
