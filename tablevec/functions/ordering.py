@@ -119,18 +119,22 @@ def hot_keys(df: DataFrame, on: list[str], share: int = 1000) -> DataFrame | Non
     return df.sparkSession.createDataFrame(rows, counts.select(*on).schema) if rows else None
 
 
+def join_on_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``join_hot`` with the hot keys already looked up."""
+    if hot is None:
+        return left.join(right, on, how)
+    few = F.broadcast(hot)
+    hot_side = left.join(few, on, "left_semi").join(F.broadcast(right.join(few, on, "left_semi")), on, how)
+    return hot_side.unionByName(left.join(few, on, "left_anti").join(right, on, how))
+
+
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
     """Join a settled table that may have hot keys to a table with one row per key.
 
     The hot keys (less than ``share`` by count) and their right-hand rows are broadcast, so
     hot rows are never shuffled; all other keys go through a plain join.
     """
-    hot = hot_keys(left, on, share)
-    if hot is None:
-        return left.join(right, on, how)
-    few = F.broadcast(hot)
-    hot_side = left.join(few, on, "left_semi").join(F.broadcast(right.join(few, on, "left_semi")), on, how)
-    return hot_side.unionByName(left.join(few, on, "left_anti").join(right, on, how))
+    return join_on_hot(left, right, on, hot_keys(left, on, share), how)
 
 
 def percentiles(df: DataFrame, group: list[str], value: str, probs: list[float], parts: int = 32) -> DataFrame:

@@ -102,13 +102,7 @@ def reindex_edges(named: DataFrame, dictionary: DataFrame) -> DataFrame:
     dx = dictionary.select(F.col("name").alias("x"), F.col("id").alias("src"))
     dy = dictionary.select(F.col("name").alias("y"), F.col("id").alias("dst"))
     half = ordering.join_hot(named, dx, ["x"])
-    hot = ordering.hot_keys(named, ["y"])
-    if hot is None:
-        return half.join(dy, "y").select("src", "dst", "weight")
-    few = F.broadcast(hot)
-    hot_side = half.join(few, "y", "left_semi").join(F.broadcast(dy.join(few, "y", "left_semi")), "y")
-    cold = half.join(few, "y", "left_anti").join(dy, "y")
-    return hot_side.unionByName(cold).select("src", "dst", "weight")
+    return ordering.join_on_hot(half, dy, ["y"], ordering.hot_keys(named, ["y"])).select("src", "dst", "weight")
 
 
 def to_undirected(edges: DataFrame) -> DataFrame:
