@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("prep_queries", "text_queries", "graph_queries", "vector_queries", "compose_queries", "train_queries")
+MODULES = (
+    "prep_queries", "text_queries", "graph_queries", "vector_queries", "compose_queries", "train_queries",
+    "ml_queries", "source_queries",
+)
 
 
 def all_queries() -> dict:

@@ -375,7 +375,7 @@ SELECT round(avg((n - m) ** 3) / pow(avg((n - m) ** 2), 1.5), 6) AS skew, round(
 
 
 def mutual_proximity(spark, d):
-    return rounded(analyze.mutual_proximity(emb(spark, d), K)).select("qid", "id", "score", F.col("rank").cast("int").alias("rank"))
+    return rounded(analyze.mutual_proximity(neighbours.knn(emb(spark, d), 100), K)).select("qid", "id", "score", F.col("rank").cast("int").alias("rank"))
 
 
 QUERIES = {
