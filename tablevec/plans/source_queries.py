@@ -42,7 +42,8 @@ CSV_SQL = " UNION ALL ".join(
 
 def row_index(spark, d):
     """Rows numbered in reading order: every number once, checked by sums."""
-    numbered = relations.with_row_index(read(spark, d, "lineitem").select("l_orderkey"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey")
+    numbered = relations.with_row_index(lines)
     return numbered.agg(
         F.count(F.lit(1)).alias("rows"), F.min("row_idx").alias("first"), F.max("row_idx").alias("last"),
         F.sum("row_idx").alias("total"), F.count_distinct("row_idx").alias("distinct"),
@@ -111,16 +112,16 @@ SELECT array_to_string(path[1:5], ' ') AS path, count(*) AS n FROM w WHERE step
 
 
 def community_labels(spark, d):
-    """Labels of the embeddings table as one line per label, read back as pairs."""
+    """A line of two nodes per labelled document, read back as (node, line number) pairs."""
     path = _place(spark)
-    rows = read(spark, d, "embeddings")
-    # a line per label: the file format itself
-    lines = rows.groupBy("label").agg(F.array_join(F.sort_array(F.collect_list(F.col("vec_id").cast("string"))), "\t").alias("value"))
-    lines.orderBy("label").select("value").coalesce(1).write.text(path)
+    rows = read(spark, d, "labels")
+    nodes = [(10 + F.col("quality")).cast("string"), (20 + F.col("toxic")).cast("string")]
+    rows.orderBy("doc_id").select(F.concat_ws("\t", *nodes).alias("value")).write.text(path)
     return vectors.read_community_labels(spark, path)
 
 
-COMMUNITY_SQL = "SELECT vec_id AS node, dense_rank() OVER (ORDER BY label) - 1 AS label FROM embeddings"
+COMMUNITY_SQL = """WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS label, quality, toxic FROM labels)
+SELECT (10 + quality)::BIGINT AS node, label FROM l UNION ALL SELECT (20 + toxic)::BIGINT, label FROM l"""
 
 
 def strategy_files(spark, d):

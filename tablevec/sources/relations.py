@@ -39,19 +39,25 @@ def read_relations(spark: SparkSession, folder: str, schemas: dict | None = None
 
 
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Rows numbered from 0 in reading order.
+    """Rows numbered from 0 in file order: by file name, then by place in the file.
 
-    Each split numbers its own rows; the splits' sizes (one row per split) give the offsets.
+    ``df`` comes straight from files. Each file split numbers its own rows; the sizes of the
+    splits (one row per split) give the offsets. Nothing is sorted.
     """
-    local = settle(df.withColumn("__m", F.monotonically_increasing_id()))
-    split, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = local.groupBy(split.alias("__p")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
-    return (
-        local.withColumn("__p", split)
-        .join(offsets, "__p")
-        .select(*df.columns, (place + F.col("__o")).alias(name))
+    block = ["__file", "__start"]
+    local = settle(
+        df.select(
+            *df.columns,
+            F.col("_metadata.file_path").alias("__file"),
+            F.col("_metadata.file_block_start").alias("__start"),
+            F.monotonically_increasing_id().alias("__m"),
+        )
+    )
+    sizes = local.groupBy(*block).agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__first"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*block, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    return local.join(offsets, block).select(
+        *df.columns, (F.col("__m") - F.col("__first") + F.col("__o")).alias(name)
     )
 
 
