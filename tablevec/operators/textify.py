@@ -70,14 +70,13 @@ def _token_struct(col: str, pos: int, tpos: str, token: str) -> str:
     return f"named_struct('col', '{col}', 'pos', {pos}, 'tpos', {tpos}, 'token', {token})"
 
 
-def row_tokens(df: DataFrame, relation: str, row_id, strategies: dict | None = None) -> DataFrame:
-    """(relation, row_id, col, pos, tpos, token) of one relation in a single projection.
+def _row_items(df: DataFrame, strategies: dict | None) -> tuple[DataFrame, str]:
+    """(table, SQL of the row's token structs): the token work of one relation as one projection.
 
     The grain of a column is known when the plan is made, so whole-cell columns stay plain
     compiled string expressions and only word-grain columns pay for array work.
     """
     strategies = strategies or {}
-    rid = (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
     kind = kinds(df)
     types_ = dict(df.dtypes)
     whole, split = [], []
@@ -104,12 +103,34 @@ def row_tokens(df: DataFrame, relation: str, row_id, strategies: dict | None = N
     wide = df.select("*", *[F.coalesce(words, F.array().cast("array<string>")).alias(f"__w{pos}") for _, pos, words in split])
     lists = [f"array({', '.join(whole)})"] if whole else []
     lists += [f"transform(__w{pos}, (w, i) -> {_token_struct(c, pos, 'i', 'w')})" for c, pos, _ in split]
-    items = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
-    return wide.select(F.lit(relation).alias("relation"), rid.alias("row_id"), F.expr(f"inline({items})")).where(
+    return wide, lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
+
+
+def _id_of(row_id) -> Column:
+    return (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
+
+
+def row_tokens(df: DataFrame, relation: str, row_id, strategies: dict | None = None) -> DataFrame:
+    """(relation, row_id, col, pos, tpos, token): one row per token of one relation."""
+    wide, items = _row_items(df, strategies)
+    return wide.select(F.lit(relation).alias("relation"), _id_of(row_id).alias("row_id"), F.expr(f"inline({items})")).where(
         "token IS NOT NULL AND token <> ''"
     )
 
 
+def row_lists(df: DataFrame, relation: str, row_id, strategies: dict | None = None) -> DataFrame:
+    """(relation, row_id, items): the tokens of each row as one array, in column order.
+
+    A row's tokens come from that row, so nothing is shuffled to bring them together.
+    """
+    wide, items = _row_items(df, strategies)
+    ordered = (
+        f"sort_array(transform(filter({items}, x -> x.token IS NOT NULL AND x.token <> ''), "
+        "x -> named_struct('pos', x.pos, 'tpos', x.tpos, 'col', x.col, 'token', x.token)))"
+    )
+    return wide.select(F.lit(relation).alias("relation"), _id_of(row_id).alias("row_id"), F.expr(ordered).alias("items"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -144,18 +165,26 @@ def repository_tokens(tables: dict[str, DataFrame], row_ids: dict, strategies: d
     return _union(parts)
 
 
-def row_documents(tokens: DataFrame) -> DataFrame:
-    """(relation, row_id, tokens): tokens of a row in column order; a row bounds the group."""
-    items = F.sort_array(F.collect_list(F.struct("pos", "tpos", "token")))
-    return tokens.groupBy("relation", "row_id").agg(
-        F.transform(items, lambda s: s["token"]).alias("tokens")
-    )
+def repository_lists(tables: dict[str, DataFrame], row_ids: dict, strategies: dict | None = None) -> DataFrame:
+    """(relation, row_id, items) of all relations, quantized where asked."""
+    strategies = strategies or {}
+    parts = []
+    for name, df in tables.items():
+        plan = strategies.get(name, {})
+        binned = quantize(_keyed(df, row_ids[name]), plan)
+        parts.append(row_lists(binned, name, ROW_ID, plan))
+    return _union(parts)
+
 
+def row_documents(lists: DataFrame) -> DataFrame:
+    """(relation, row_id, tokens): tokens of a row in column order; rows without tokens drop out."""
+    return lists.where(F.size("items") > 0).select("relation", "row_id", F.col("items.token").alias("tokens"))
 
-def base_table_documents(tokens: DataFrame) -> DataFrame:
+
+def base_table_documents(lists: DataFrame) -> DataFrame:
     """Row tokens followed by the row's own node name."""
     node = F.concat(F.col("relation"), F.lit("_row:"), F.col("row_id"))
-    return row_documents(tokens).select("relation", "row_id", F.array_append("tokens", node).alias("tokens"))
+    return row_documents(lists).select("relation", "row_id", F.array_append("tokens", node).alias("tokens"))
 
 
 def column_sequence(tokens: DataFrame) -> DataFrame:
@@ -173,23 +202,22 @@ def _perms(n_perm: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm")
 
 
-def permuted_rows(tokens: DataFrame, n_perm: int = 20, seed: int = 0, with_column: bool = False) -> DataFrame:
+def permuted_rows(lists: DataFrame, n_perm: int = 20, seed: int = 0, with_column: bool = False) -> DataFrame:
     """(perm, relation, row_id, tokens, line): each row ``n_perm`` times, its cells in a drawn order.
 
-    A row is gathered once; its permutations are made in place, so the shuffle carries each
-    token once. ``line`` is the drawn place of the row inside a permutation; writers sort by it.
-    With ``with_column`` each token is followed by the name of its column.
+    Permutations are made inside the row, without a shuffle. ``line`` is the drawn place of the
+    row inside a permutation; writers sort by it. With ``with_column`` each token is followed by
+    the name of its column.
     """
-    word = F.concat_ws(" ", "token", "col") if with_column else F.col("token")
-    rows = tokens.groupBy("relation", "row_id").agg(
-        F.collect_list(F.struct("col", "pos", "tpos", word.alias("token"))).alias("items")
-    )
-    many = rows.select(_perms(n_perm), "relation", "row_id", "items")
+    many = lists.where(F.size("items") > 0).select(_perms(n_perm), "relation", "row_id", "items")
     placed = F.sort_array(
         F.transform(
             "items",
             lambda i: F.struct(
-                draw(seed, "perm", "relation", "row_id", i["col"]).alias("u"), i["pos"], i["tpos"], i["token"].alias("token")
+                draw(seed, "perm", "relation", "row_id", i["col"]).alias("u"),
+                i["pos"],
+                i["tpos"],
+                (F.concat_ws(" ", i["token"], i["col"]) if with_column else i["token"]).alias("token"),
             ),
         )
     )
@@ -212,9 +240,9 @@ def permuted_columns(tokens: DataFrame, n_perm: int = 20, seed: int = 0) -> Data
     )
 
 
-def permuted_pairs(tokens: DataFrame, n_perm: int = 20, seed: int = 0) -> DataFrame:
+def permuted_pairs(lists: DataFrame, n_perm: int = 20, seed: int = 0) -> DataFrame:
     """As ``permuted_rows``, each token followed by its column name."""
-    return permuted_rows(tokens, n_perm, seed, with_column=True)
+    return permuted_rows(lists, n_perm, seed, with_column=True)
 
 
 def row_strings(df: DataFrame, joiner: str = ",") -> DataFrame:

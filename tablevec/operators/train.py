@@ -21,6 +21,8 @@ PHRASE_MIN_COUNT = 5
 PHRASE_THRESHOLD = 100.0
 PHRASE_PASSES = (200.0, 100.0)
 
+MAX_BROADCAST_PHRASES = 200_000
+
 
 def sentences(df: DataFrame, key: str, column: str) -> DataFrame:
     """(doc, sent, words): the lines of each text as word arrays."""
@@ -133,19 +135,21 @@ def merge_phrases(sents: DataFrame, phrases: DataFrame) -> DataFrame:
     """Sentences with the phrases (a, b) joined by ``_``, left to right, without overlap.
 
     Of a run of bigrams that all qualify, every second one is joined, from the first on; that is
-    what a left-to-right pass does. A sentence bounds the windows.
+    what a left-to-right pass does. One sort by sentence serves all windows.
     """
-    words = settle(positions(sents))
-    line = Window.partitionBy("doc", "sent").orderBy("pos")
-    pairs = words.withColumn("next", F.lead("word").over(line))
-    flagged = ordering.join_hot(
-        settle(pairs), phrases.select(F.col("a").alias("word"), F.col("b").alias("next"), F.lit(1).alias("hit")).distinct(),
-        ["word", "next"], "left",
+    follow = F.arrays_zip(F.col("words").alias("word"), F.expr("slice(words, 2, size(words))").alias("next"))
+    pairs = sents.select("doc", "sent", F.posexplode(follow).alias("pos", "p")).select(
+        "doc", "sent", "pos", "p.word", "p.next"
     )
-    hit = F.coalesce("hit", F.lit(0))
-    runs = flagged.withColumn("hit", hit).withColumn("breaks", F.sum(1 - F.col("hit")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy("doc", "sent", "breaks", "hit").orderBy("pos")
-    joined = runs.withColumn("joins", (F.col("hit") == 1) & (F.row_number().over(run) % 2 == 1))
+    known = settle(phrases.select(F.col("a").alias("word"), F.col("b").alias("next"), F.lit(1).alias("hit")).distinct())
+    if known.count() <= MAX_BROADCAST_PHRASES:
+        flagged = pairs.join(F.broadcast(known), ["word", "next"], "left")
+    else:
+        flagged = ordering.join_hot(settle(pairs), known, ["word", "next"], "left")
+    line = Window.partitionBy("doc", "sent").orderBy("pos")
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last_miss = F.coalesce(F.max(F.when(F.col("hit").isNull(), F.col("pos"))).over(so_far), F.lit(-1))
+    joined = flagged.withColumn("joins", F.col("hit").isNotNull() & ((F.col("pos") - last_miss) % 2 == 1))
     kept = joined.withColumn("eaten", F.coalesce(F.lag("joins").over(line), F.lit(False))).where(~F.col("eaten"))
     token = F.when(F.col("joins"), F.concat_ws("_", "word", "next")).otherwise(F.col("word"))
     return kept.groupBy("doc", "sent").agg(

@@ -16,6 +16,7 @@ from tablevec.operators import graph
 from tablevec.session import settle
 
 STEPS_PER_PLAN = 5
+ROWS_PER_PART = 200_000
 
 
 def _onward(edges: DataFrame) -> DataFrame:
@@ -54,9 +55,12 @@ def weighted_arcs(edges: DataFrame) -> DataFrame:
     )
 
 
-def _held(arcs: DataFrame) -> DataFrame:
-    """Arcs kept by (src, pos), so that the steps do not move them again; rebuilt from files if lost."""
-    return settle(arcs).repartition("src", "pos").persist(StorageLevel.MEMORY_AND_DISK)
+def _held(arcs: DataFrame, *keys: str) -> DataFrame:
+    """Arcs kept by their join keys, so that steps only move walkers; rebuilt from files if lost."""
+    arcs = settle(arcs)
+    most = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, arcs.count() // ROWS_PER_PART))
+    return arcs.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def random_walks(
@@ -72,7 +76,7 @@ def random_walks(
 
     Each move takes a neighbour evenly, or by weight. A walk ends early at a node without arcs.
     """
-    arcs = _held(weighted_arcs(edges) if weighted else uniform_arcs(edges))
+    arcs = _held(weighted_arcs(edges) if weighted else uniform_arcs(edges), "src", "pos")
     named = arcs.withColumnsRenamed({c: "a_" + c for c in arcs.columns})
     nodes = graph.degrees(edges).select(F.col("src").alias("start"), "degree")
     if starts is not None:
@@ -141,6 +145,19 @@ def restart_walks(
     return walks.unionByName(extra)
 
 
+def _slot(weights: str, target: str):
+    """Index of the slice that holds ``target`` when the weights are laid end to end."""
+    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+    full = F.aggregate(
+        weights,
+        state,
+        lambda s, w: F.struct(
+            (s["sum"] + w).alias("sum"), F.when(s["sum"] + w <= F.col(target), s["at"] + 1).otherwise(s["at"]).alias("at")
+        ),
+    )
+    return F.least(full["at"], F.size(weights) - 1)
+
+
 def second_order_walks(
     edges: DataFrame,
     num_walks: int = 10,
@@ -169,21 +186,7 @@ def second_order_walks(
     lists = lists.join(popular, "id", "left").select(
         "id", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "nbrs"
     )
-    lists = settle(lists).repartition("id", "copy").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def pick(options, u):
-        """The option whose slice of the total weight holds ``u``."""
-        total = F.aggregate(options, F.lit(0.0), lambda s, o: s + o["w"])
-        state = F.struct(F.lit(0.0).alias("acc"), F.lit(None).cast("struct<id:bigint,w:double,copies:int>").alias("hit"))
-        found = F.aggregate(
-            options,
-            state,
-            lambda s, o: F.struct(
-                (s["acc"] + o["w"]).alias("acc"),
-                F.when(s["hit"].isNull() & (s["acc"] + o["w"] > u * total), o).otherwise(s["hit"]).alias("hit"),
-            ),
-        )
-        return F.coalesce(found["hit"], F.element_at(options, -1))
+    lists = _held(lists, "id", "copy")
 
     walkers = capped.select(F.col("src").alias("start")).distinct().select(
         "start",
@@ -196,20 +199,25 @@ def second_order_walks(
     )
     for step in range(1, length + 2):
         drawn = walkers.withColumn("copy", (draw("copy", "start", "walk", F.lit(step)) % F.col("copies")).cast("int"))
-        here = drawn.join(lists, ["id", "copy"], "left")
-        biased = F.transform(
-            "nbrs",
-            lambda o: F.struct(
-                o["id"].alias("id"),
-                F.when(F.col("prev").isNull(), o["w"])
+        here = drawn.join(lists, ["id", "copy"], "left").select(
+            "*",
+            F.transform("nbrs", lambda o: o["id"]).alias("ids"),
+            uniform(seed, "start", "walk", F.lit(step)).alias("u"),
+        )
+        # usually few, so looking an option up in it is cheap
+        shared = here.withColumn("shared", F.coalesce(F.array_intersect("ids", "prev_nbrs"), F.array().cast("array<bigint>")))
+        biased = shared.withColumn(
+            "weights",
+            F.transform(
+                "nbrs",
+                lambda o: F.when(F.col("prev").isNull(), o["w"])
                 .when(o["id"] == F.col("prev"), o["w"] / p)
-                .when(F.array_contains(F.col("prev_nbrs"), o["id"]), o["w"])
-                .otherwise(o["w"] / q)
-                .alias("w"),
-                o["copies"].alias("copies"),
+                .when(F.array_contains("shared", o["id"]), o["w"])
+                .otherwise(o["w"] / q),
             ),
         )
-        hop = here.withColumn("hop", pick(biased, uniform(seed, "start", "walk", F.lit(step))))
+        target = biased.withColumn("target", F.col("u") * F.aggregate("weights", F.lit(0.0), lambda s, w: s + w))
+        hop = target.withColumn("hop", F.get("nbrs", _slot("weights", "target")))
         walkers = hop.select(
             "start",
             "walk",
@@ -217,7 +225,7 @@ def second_order_walks(
             F.col("hop.id").alias("id"),
             F.coalesce(F.col("hop.copies"), F.lit(1)).alias("copies"),
             F.col("id").alias("prev"),
-            F.transform("nbrs", lambda o: o["id"]).alias("prev_nbrs"),
+            F.col("ids").alias("prev_nbrs"),
         )
         if step % STEPS_PER_PLAN == 0 or step == length + 1:
             walkers = settle(walkers)

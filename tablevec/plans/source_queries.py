@@ -143,7 +143,7 @@ def composed_files(spark, d):
 def corpus_files(spark, d):
     """Row documents written as text lines, counted by line."""
     names = ("region", "nation", "customer")
-    docs = textify.row_documents(textify.repository_tokens(repository(spark, d, names), row_ids(names)))
+    docs = textify.row_documents(textify.repository_lists(repository(spark, d, names), row_ids(names)))
     path = _place(spark)
     vectors.write_corpus(docs, path, ["relation", "row_id"])
     return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))

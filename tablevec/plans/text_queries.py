@@ -19,11 +19,15 @@ def _tokens(spark, d, names=DIMENSIONS, strategies=STRATEGIES):
     return textify.repository_tokens(repository(spark, d, names), row_ids(names), strategies)
 
 
+def _lists(spark, d, names=DIMENSIONS, strategies=STRATEGIES):
+    return textify.repository_lists(repository(spark, d, names), row_ids(names), strategies)
+
+
 TOK = tokens_sql(DIMENSIONS, token_cols=WORDY)
 
 
 def textify_rows(spark, d):
-    return textify.row_documents(_tokens(spark, d)).select(
+    return textify.row_documents(_lists(spark, d)).select(
         "relation", "row_id", F.array_join("tokens", " ").alias("tokens")
     )
 
@@ -32,7 +36,7 @@ ROWS_SQL = f"""SELECT relation, row_id, string_agg(token, ' ' ORDER BY pos, tpos
 
 
 def textify_row_nodes(spark, d):
-    return textify.base_table_documents(_tokens(spark, d, ("customer",))).select(
+    return textify.base_table_documents(_lists(spark, d, ("customer",))).select(
         "row_id", F.array_join("tokens", " ").alias("tokens")
     )
 
@@ -63,13 +67,13 @@ def _draw_sql(seed, *keys) -> str:
 
 
 def permuted_rows(spark, d):
-    return textify.permuted_rows(_tokens(spark, d), 20, seed=7).select(
+    return textify.permuted_rows(_lists(spark, d), 20, seed=7).select(
         F.col("perm").cast("bigint").alias("perm"), "relation", "row_id", F.array_join("tokens", " ").alias("tokens"), "line"
     )
 
 
 def permuted_pairs(spark, d):
-    return textify.permuted_pairs(_tokens(spark, d, ("region", "nation", "supplier")), 20, seed=7).select(
+    return textify.permuted_pairs(_lists(spark, d, ("region", "nation", "supplier")), 20, seed=7).select(
         F.col("perm").cast("bigint").alias("perm"), "relation", "row_id", F.array_join("tokens", " ").alias("tokens"), "line"
     )
 
