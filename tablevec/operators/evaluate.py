@@ -138,6 +138,15 @@ def qa_pairs(tokens: DataFrame, entity_col: str, target_col: str, share: float |
     return ordering.number_rows(q, [], ["qid"], "no").where(F.col("no") < limit).drop("no")
 
 
+def qa_pairs_all(tokens: DataFrame) -> DataFrame:
+    """Questions for every ordered pair of columns of every relation; a row has as many as its column pairs."""
+    e = tokens.select("relation", "row_id", F.col("col").alias("asked"), F.col("token").alias("entity"))
+    t = tokens.select("relation", "row_id", "col", F.col("token").alias("truth"))
+    return e.join(t, ["relation", "row_id"]).where(F.col("asked") != F.col("col")).select(
+        F.concat_ws("|", "relation", "row_id", "asked", "col").alias("qid"), "entity", "relation", "col", "truth"
+    )
+
+
 def qa_accuracy(questions: DataFrame, emb: DataFrame, col_vec: DataFrame, n: int = 20) -> DataFrame:
     """(place, hits, questions, asked): questions whose first right answer is at or before each place.
 

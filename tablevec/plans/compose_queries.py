@@ -58,6 +58,19 @@ def compose_columns(spark, d):
 COLS = _mean_sql("(SELECT relation, col, vec FROM tok JOIN tv USING (token))", "relation, col", "cols")
 
 
+def vectors_for(spark, d):
+    """Vectors of cells, columns and relations looked up by name."""
+    toks = _tokens(spark, d)
+    vecs = token_vectors(spark, d, toks)
+    cols = settle(compose.compose_columns(toks, vecs))
+    cells = rank.vectors_for(toks.where("col = 'p_name'").select("token").distinct(), vecs, ["token"])
+    named = cells.withColumnRenamed("token", "name").withColumn("kind", F.lit("cell"))
+    wanted = rank.vectors_for(toks.where("relation = 'part'").select("relation", "col").distinct(), cols, ["relation", "col"])
+    named = named.unionByName(wanted.select(F.col("col").alias("name"), "vec").withColumn("kind", F.lit("column")))
+    rels = compose.compose_relations(cols)
+    return _shown(named.unionByName(rels.select(F.col("relation").alias("name"), "vec").withColumn("kind", F.lit("relation"))), "kind", "name")
+
+
 def compose_relations(spark, d):
     toks = _tokens(spark, d)
     return _shown(compose.compose_relations(compose.compose_columns(toks, token_vectors(spark, d, toks))), "relation")
@@ -281,7 +294,7 @@ SELECT qid, round(min(score), 6) AS min, round(max(score), 6) AS max, round(avg(
 
 
 def qa_accuracy(spark, d):
-    """Which market segment does a customer have? Asked of every customer."""
+    """Which nation key does a customer have? Asked of every customer."""
     toks = _tokens(spark, d, ("customer",))
     vecs = token_vectors(spark, d, toks).withColumnRenamed("token", "id")
     cols = settle(compose.compose_columns(toks, vecs.withColumnRenamed("id", "token")))
@@ -300,6 +313,28 @@ h AS (SELECT rank, count(*) AS n FROM q JOIN an ON an.entity = q.entity AND an.i
 SELECT place::INTEGER AS place, (SELECT coalesce(sum(n), 0) FROM h WHERE rank <= place)::BIGINT AS hits, (SELECT count(*) FROM q) AS questions, (SELECT count(*) FROM q) AS asked FROM range(1, 21) AS r(place)"""
 
 
+def qa_accuracy_all(spark, d):
+    """Every column of the region, nation and supplier tables asked for every other one."""
+    toks = _tokens(spark, d, SMALL)
+    vecs = token_vectors(spark, d, toks)
+    cols = settle(compose.compose_columns(toks, vecs))
+    return evaluate.qa_accuracy(evaluate.qa_pairs_all(toks), vecs.withColumnRenamed("token", "id"), cols, 20)
+
+
+SMALL = ("region", "nation", "supplier")
+QA_ALL_SQL = f"""WITH {E_SQL}, tok AS MATERIALIZED ({tokens_sql(SMALL)}), {token_vectors_sql()}, {COLS},
+q AS MATERIALIZED (SELECT relation, a.token AS entity, b.col, b.token AS truth FROM tok a JOIN tok b USING (relation, row_id) WHERE a.col <> b.col),
+un AS MATERIALIZED (SELECT token, [x / sqrt(list_inner_product(vec, vec)) FOR x IN vec] AS vec FROM tv),
+names AS MATERIALIZED (SELECT DISTINCT entity, vec FROM q JOIN un ON token = entity),
+near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY s DESC, id) AS r FROM
+ (SELECT entity, u.token AS id, round(list_inner_product(n.vec, u.vec), 9) AS s FROM names n, un u WHERE u.token <> entity)) WHERE r <= 20),
+kind AS (SELECT DISTINCT entity, relation, col FROM q),
+sc AS (SELECT entity, relation, col, id, round(((s + 1) / 2 + (list_cosine_similarity(tv.vec, c.vec) + 1) / 2) / 2, 9) AS score FROM kind JOIN near USING (entity) JOIN tv ON token = id JOIN cols c USING (relation, col)),
+an AS (SELECT *, row_number() OVER (PARTITION BY entity, relation, col ORDER BY score DESC, id) AS rank FROM sc),
+h AS (SELECT rank, count(*) AS n FROM q JOIN an USING (entity, relation, col) WHERE an.id = q.truth GROUP BY rank)
+SELECT place::INTEGER AS place, (SELECT coalesce(sum(n), 0) FROM h WHERE rank <= place)::BIGINT AS hits, (SELECT count(*) FROM q) AS questions, (SELECT count(*) FROM q) AS asked FROM range(1, 21) AS r(place)"""
+
+
 def analogy_accuracy(spark, d):
     """Quads of consecutive entities, with sections by label; the last ones run out of the vocabulary."""
     rows = labelled(spark, d)
@@ -361,6 +396,12 @@ FIRST_SQL = """SELECT o_orderkey, o_orderstatus, l_linenumber, l_partkey, l_supp
 
 QUERIES = {
     "compose_columns": (compose_columns, f"WITH {BASE}, {COLS} {_shown_sql('cols', 'relation, col')}"),
+    "vectors_for": (
+        vectors_for,
+        f"""WITH {BASE}, {COLS}, {RELS} {_shown_sql("(SELECT token AS name, vec FROM tv WHERE token IN (SELECT token FROM tok WHERE col = 'p_name'))", "'cell' AS kind, name")}
+UNION ALL {_shown_sql("(SELECT * FROM cols WHERE relation = 'part')", "'column' AS kind, col AS name")}
+UNION ALL {_shown_sql("rels", "'relation' AS kind, relation AS name")}""",
+    ),
     "compose_relations": (compose_relations, f"WITH {BASE}, {COLS}, {RELS} {_shown_sql('rels', 'relation')}"),
     "compose_rows": (compose_rows, f"WITH {BASE}, {ROWS} {_shown_sql('rws', 'relation, row_id')}"),
     "compose_columns_unique": (compose_columns_unique, f"WITH {BASE}, {UNIQUE} {_shown_sql('cols', 'relation, col')}"),
@@ -381,6 +422,7 @@ QUERIES = {
     "query_hubness": (query_hubness, QUERY_HUB_SQL),
     "self_coherency": (self_coherency, SELF_SQL),
     "qa_accuracy": (qa_accuracy, QA_SQL),
+    "qa_accuracy_all": (qa_accuracy_all, QA_ALL_SQL),
     "analogy_accuracy": (analogy_accuracy, ANALOGY_SQL),
     "split_train_test": (split_train_test, SPLIT_SQL),
     "join_all_baseline": (join_all_baseline, JOIN_SQL),

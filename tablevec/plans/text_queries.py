@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablevec.functions import text
 from tablevec.functions.ordering import number_rows
 from tablevec.operators import textify
-from tablevec.plans.tables import COLUMNS, DIMENSIONS, EVERYTHING, norm_sql, read, repository, row_ids, tokens_sql
+from tablevec.plans.tables import COLUMNS, DIMENSIONS, EVERYTHING, cells_sql, norm_sql, read, repository, row_ids, tokens_sql
 
 WORDY = ("p_name",)
 STRATEGIES = {"part": {"p_name": ("augment", "token")}}
@@ -26,6 +26,16 @@ def _lists(spark, d, names=DIMENSIONS, strategies=STRATEGIES):
 TOK = tokens_sql(DIMENSIONS, token_cols=WORDY)
 
 
+def cells(spark, d):
+    """Valid cells of every table with their numeric text, by row and column."""
+    return textify.repository_cells(repository(spark, d, DIMENSIONS), row_ids(), STRATEGIES).select(
+        "relation", "row_id", "col", "pos", "value", "grain"
+    )
+
+
+CELLS_SQL = cells_sql(DIMENSIONS, token_cols=WORDY)
+
+
 def textify_rows(spark, d):
     return textify.row_documents(_lists(spark, d)).select(
         "relation", "row_id", F.array_join("tokens", " ").alias("tokens")
@@ -319,6 +329,7 @@ def strip_wiki_markup(spark, d):
 WIKI_SQL = f"SELECT page_id, md5({_rules_sql('html', text.WIKI_RULES)}) AS digest FROM pages"
 
 QUERIES = {
+    "cells": (cells, CELLS_SQL),
     "textify_rows": (textify_rows, ROWS_SQL),
     "textify_row_nodes": (textify_row_nodes, ROW_NODES_SQL),
     "textify_cols": (textify_cols, COLS_SQL),
