@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_PART = 16
-SMALL_ROWS = 100_000
+SMALL_ROWS = 1_000_000
 
 
 def split_points(df: DataFrame, column: str, parts: int = 32) -> list:
