@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablevec.functions import text
 from tablevec.operators import prep, textify
-from tablevec.plans.tables import COLUMNS, DIMENSIONS, EVERYTHING, cells_sql, norm_sql, read, repository, row_ids, valid_sql
+from tablevec.plans.tables import COLUMNS, EVERYTHING, cells_sql, norm_sql, read, repository, row_ids, valid_sql
 
 NUMERIC = {
     "customer": ["c_acctbal"],
