@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablevec.llm import chat_format, quality_votes, token_counts, url_filter
+from tablevec.llm import (
+    chat_format, decontaminate, language_id, packing, quality_votes, secret_scan, token_counts, url_filter,
+)
 
 URL_ENTRIES = [
     ("allow", "org", "/"),
@@ -98,9 +100,63 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(one, ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+
+    def of(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id", *[of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")], F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _shingle_sql(table: str, key: str) -> str:
+    return f"""
+  SELECT DISTINCT {key}, CASE WHEN len(w) >= 5 THEN array_to_string(w[u.i:u.i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '[ \t-\r]+'), lambda x: x <> '') AS w FROM {table}),
+    unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i)
+  WHERE len(w) > 0"""
+
+
+LEAK_SQL = f"""
+WITH d AS ({_shingle_sql("documents", "doc_id")}
+), b AS ({_shingle_sql("benchmark", "item_id")}
+), sizes AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+FROM d JOIN b USING (s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(n_shingles * 0.8)"""
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.learn_languages(docs.where(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op2_token_counts": (token_count, None),
     "op3_url_filters": (url_verdicts, URL_SQL),
+    "op4_secret_scans": (secrets, None),
     "op5_chat_formatting": (chats, CHAT_SQL),
+    "op6_benchmark_decontamination": (leaks, LEAK_SQL),
+    "op7_language_id": (languages, None),
     "op8_quality_rules": (quality, None),
+    "op9_best_fit_packing": (packed, None),
 }
