@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevec.llm import (
-    chat_format, decontaminate, language_id, packing, quality_votes, secret_scan, token_counts, url_filter,
+    chat_format, decontaminate, language_id, packing, quality_votes, secret_scan, suffix_dedup,
+    token_counts, url_filter,
 )
 
 URL_ENTRIES = [
@@ -150,6 +151,10 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op2_token_counts": (token_count, None),
     "op3_url_filters": (url_verdicts, URL_SQL),
@@ -159,4 +164,5 @@ QUERIES = {
     "op7_language_id": (languages, None),
     "op8_quality_rules": (quality, None),
     "op9_best_fit_packing": (packed, None),
+    "op10_suffix_array_dedup": (repeats, None),
 }
