@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevec.llm import (
-    chat_format, decontaminate, language_id, packing, quality_votes, secret_scan, suffix_dedup,
+    chat_format, decontaminate, language_id, ngram_join, packing, quality_votes, secret_scan, suffix_dedup,
     token_counts, url_filter,
 )
 
@@ -155,7 +155,12 @@ def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 QUERIES = {
+    "op1_ngram_jaccard_join": (similar, None),
     "op2_token_counts": (token_count, None),
     "op3_url_filters": (url_verdicts, URL_SQL),
     "op4_secret_scans": (secrets, None),

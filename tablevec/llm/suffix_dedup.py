@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablevec.llm.batches import slices
+from tablevec.llm.documents import known_ids
 from tablevec.session import settle
 
 SIZE = 100
@@ -36,7 +37,6 @@ SEGMENT = 1 << 20
 HELD_RUNS = 1_000_000
 HOT_BYTES = 4_000_000
 COUNT_BITS = 10
-NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -338,23 +338,6 @@ def compare_runs(open_runs: DataFrame) -> DataFrame:
     return open_runs.mapInArrow(work, SPANS)
 
 
-def _known_ids(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, id, tie, text): ``id`` orders documents, nulls first; ``tie`` tells rows apart that share an id
-    but not their text, 0 if there is one text."""
-    rows = df.select(
-        F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
-    shared = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    texts = rows.join(shared, "id", "left_semi").select("id", F.xxhash64("text").alias("__h")).distinct()
-    rank = Window.partitionBy("id").orderBy("__h")
-    ties = settle(texts.withColumn("tie", (F.row_number().over(rank) - 1).cast("long")).where("tie > 0"))
-    # usually empty, which Spark sees from the written table and then broadcasts it
-    return rows.withColumn("__h", F.xxhash64("text")).join(ties, ["id", "__h"], "left").select(
-        "key", "id", F.coalesce("tie", F.lit(0).cast("long")).alias("tie"), "text"
-    )
-
-
 def _splitters(docs: DataFrame, buckets: int, sample: int = 500) -> np.ndarray:
     """Bucket limits from the names of runs of at most ``sample`` documents; any limits give the same results."""
     names = make_runs(docs.limit(sample), np.zeros(0, dtype=np.uint64)).where("content >= 0").select("name").limit(200_000)
@@ -377,7 +360,7 @@ def remove_repeats(
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = _known_ids(df, text, key)
+    docs = known_ids(df, text, key)
     splitters = _splitters(docs, buckets)
     runs = make_runs(docs.select("id", "tie", "text"), splitters).repartitionById(buckets, F.col("bucket"))
     found = settle(settle_buckets(runs.sortWithinPartitions("name", "content", "id", "tie", "start")))
