@@ -481,3 +481,18 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, text: st
         F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links_found"),
     )
+
+
+def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their component.
+
+    Of repeated rows one stays. Rows with one id but different texts all stay if the id is the smallest; rows
+    with a null id go if they link to a row with one. Columns and other rows are untouched.
+    """
+    found = similar_documents(df, words, percent, text, key)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    kept = settle(kept)
+    same = df[key].eqNullSafe(F.col("__id"))
+    single = df.join(kept.where("__n = 1"), same, "left_semi")
+    repeated = df.join(kept.where("__n > 1"), same, "left_semi")  # usually none, which Spark sees from the written table
+    return single.unionByName(repeated.dropDuplicates([key, text]))

@@ -212,49 +212,51 @@ def learn_formats(scanned: DataFrame, per_kind: int = 400, ordinary: int = 4000)
     return [Automaton(sorted(v)) for _, v in sorted(strings.items())], Ordinary(r.value for r in words)
 
 
+class Formats:
+    """Decides on candidates: some automaton must give at least the likelihood of the hundredth least likely
+    credential it learned from, and ``margin`` per character more than ordinary words give."""
+
+    def __init__(self, automata: list[Automaton], ordinary: Ordinary, margin: float):
+        self.automata, self.ordinary, self.margin = automata, ordinary, margin
+
+    def likely(self, value: str) -> bool:
+        plain = self.ordinary.score(value) + self.margin
+        return any((s := a.score(value)) >= a.least and s >= plain for a in self.automata)
+
+
 def scan_secrets(df: DataFrame, text: str = "text", key: str = "doc_id", margin: float = 0.5) -> DataFrame:
     """(key, spans) of every row; spans: array of (start, end, kind), by start, then kind as in ``KINDS``.
 
-    Code points, end exclusive. A candidate is a ``format`` span if some automaton gives it at least the
-    likelihood of the hundredth least likely credential it learned from, and ``margin`` per character more
-    than ordinary words give. Nulls: a null text has no spans; a null key stays. Repeated rows are scanned
-    each. Without any labelled credential only base spans (so none) are found. Extra columns are not read.
+    Code points, end exclusive; ``format`` spans are candidates that ``Formats`` accepts. Nulls: a null text
+    has no spans; a null key stays. Repeated rows are scanned each. Without any labelled credential only base
+    spans (so none) are found. An empty table gives no rows. Extra columns are not read.
     """
     scanned = settle(scan_base(df, text, key))
-    automata, ordinary = learn_formats(scanned)
-    shared = df.sparkSession.sparkContext.broadcast((automata, ordinary))
+    shared = df.sparkSession.sparkContext.broadcast(Formats(*learn_formats(scanned), margin))
 
     @F.pandas_udf("array<boolean>")
     def likely(values: pd.Series) -> pd.Series:
-        automata, ordinary = shared.value
+        judge = shared.value.likely
+        return values.map(lambda vs: None if vs is None else [judge(v) for v in vs])
 
-        def holds(v: str) -> bool:
-            plain = ordinary.score(v)
-            return any((s := a.score(v)) >= a.least and s >= plain + margin for a in automata)
-
-        return values.map(lambda vs: [holds(v) for v in vs])
-
-    judged = scanned.withColumn("likely", F.when(F.size("found") > 0, likely("found.value")))
+    judged = scanned.withColumn("likely", likely("found.value"))
     more = F.transform(
         F.filter(F.arrays_zip("found", "likely"), lambda x: x["likely"]),
         lambda x: F.struct(x["found"]["start"].alias("start"), F.lit(3).alias("kind"), x["found"]["end"].alias("end")),
     )
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
     names = F.array(*[F.lit(k) for k in KINDS])
-    both = F.when(more.isNull(), base).otherwise(F.concat(base, more))
     return judged.select(
         F.col("key").alias(key),
         F.transform(
-            F.array_sort(both),
+            F.array_sort(F.concat(base, more)),
             lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["kind"]).alias("kind")),
         ).alias("spans"),
     )
 
 
-def mask_spans(text: str | None, spans: Iterable[tuple[int, int]], mask: str) -> str | None:
+def mask_spans(text: str, spans: Iterable[tuple[int, int]], mask: str) -> str:
     """The text with every span, overlapping ones joined, replaced by ``mask``."""
-    if text is None:
-        return None
     out, at = [], 0
     joined: list[list[int]] = []
     for start, end in sorted(spans):
@@ -266,3 +268,26 @@ def mask_spans(text: str | None, spans: Iterable[tuple[int, int]], mask: str) ->
         out += [text[at:start], mask]
         at = end
     return "".join([*out, text[at:]])
+
+
+def mask_secrets(df: DataFrame, text: str = "text", mask: str = "[secret]", margin: float = 0.5) -> DataFrame:
+    """All rows and columns of ``df``, every secret in ``text`` replaced; null texts stay null."""
+    learned = learn_formats(settle(scan_base(df.withColumn("__key", F.lit(0).cast("long")), text, "__key")))
+    shared = df.sparkSession.sparkContext.broadcast(Formats(*learned, margin))
+
+    def clean(t: str | None) -> str | None:
+        if not t:
+            return t
+        base = base_spans(t)
+        spans = [(s, e) for s, e, _, _ in base]
+        spans += [(s, e) for s, e, v in candidates(t, base) if shared.value.likely(v)]
+        return mask_spans(t, spans, mask) if spans else t
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            at = batch.schema.get_field_index(text)
+            cleaned = pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
+            columns = [cleaned if i == at else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return df.mapInArrow(work, df.schema)
