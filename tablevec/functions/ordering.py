@@ -2,51 +2,26 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_PART = 16
-SMALL_ROWS = 1_000_000
+from tablevec.functions.names import column, quoted
+from tablevec.session import settle
 
 
-def split_points(df: DataFrame, column: str, parts: int = 32) -> list:
-    """Up to ``parts - 1`` cut values of ``column``.
-
-    They come from a bounded hash sample and only steer how work is spread: any cut values
-    give the same results.
-    """
-    sample = (
-        df.where(F.col(column).isNotNull())
-        .select(F.col(column).alias("v"), F.xxhash64(*df.columns).alias("h"))
-        .orderBy("h")
-        .limit(parts * SAMPLE_PER_PART)
-        .select("v")
-        .collect()
-    )
-    values = sorted({r.v for r in sample})
-    if len(values) < 2:
-        return []
-    picks = {values[int(i * len(values) / parts)] for i in range(1, parts)}
-    return sorted(picks)
-
-
-def _literal(value) -> str:
-    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
-        raise TypeError(f"cut values are numbers or text, not {type(value).__name__}")
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"{value!r}D" if isinstance(value, float) else f"{value}L"
+def range_bucket(value: str, cuts: list[float]) -> Column:
+    """Number of ascending cut values <= a SQL number, by halving: a few compiled comparisons."""
 
-
-def range_bucket(column: str, cuts: list) -> Column:
-    """Number of ascending cut values <= the column, by halving: a few compiled comparisons."""
+    def literal(x: float) -> str:
+        return f"{x!r}D" if math.isfinite(x) else f"CAST('{x}' AS DOUBLE)"
 
     def halve(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return f"CASE WHEN {column} < {_literal(cuts[mid])} THEN {halve(lo, mid)} ELSE {halve(mid + 1, hi)} END"
+        return f"CASE WHEN {value} < {literal(float(cuts[mid]))} THEN {halve(lo, mid)} ELSE {halve(mid + 1, hi)} END"
 
     return F.expr(halve(0, len(cuts)))
 
@@ -58,48 +33,54 @@ def number_rows(
     position: str = "pos",
     sums: dict[str, str] | None = None,
     totals: dict[str, str] | None = None,
-    parts: int = 32,
-    cuts: list | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """0-based position in each group by ``order``, running sums before each row, group totals.
 
-    The group is cut into value ranges of the first order column; ranges are numbered locally
-    and shifted by the totals of the earlier ranges, so a group with a third of all rows is
-    still ``parts`` separate pieces of work. ``order`` must be unique within a group.
-    ``sums`` maps a new column to the column whose running total (before the row) it holds;
+    Spark's own range partitioning by ``order`` deals the rows out, written once with the number of
+    their range; ranges are numbered apart and shifted by the totals of the earlier ranges, so a group
+    with a third of all rows is still many separate pieces of work. There are as many ranges as shuffle
+    partitions (``parts`` if given), fewer if they would be small. ``order`` must be unique within a
+    group; any type that sorts will do, nulls first and NaN last as Spark sorts them. Null groups count
+    as a group. ``sums`` maps a new column to the column whose running total (before the row) it holds;
     ``totals`` maps a new column to the column summed over the group, or to ``*`` for its size.
     """
     sums, totals = sums or {}, totals or {}
-    if cuts is None:
-        cuts = split_points(df.select(*dict.fromkeys([*group, *order])), order[0], parts)
-    tagged = df.withColumn("__b", range_bucket(order[0], cuts))
+    keys = [column(c) for c in order]
+    ranged = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    tagged = settle(ranged.withColumn("__b", F.spark_partition_id()))
     summed = sorted({*sums.values(), *totals.values()} - {"*"})
-    ranges = tagged.groupBy(*group, "__b").agg(
-        F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias("__t_" + c) for c in summed]
+    same = [f"__g{i}" for i in range(len(group))]
+    ranges = tagged.groupBy(*[column(g).alias(s) for g, s in zip(group, same, strict=True)], F.col("__b").alias("__piece")).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(column(c)).alias("__t_" + c) for c in summed]
     )
-    whole = Window.partitionBy(*(group or [F.lit(0)]))
-    earlier = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # at most `parts` rows per group here
+    whole = Window.partitionBy(*(same or [F.lit(0)]))
+    earlier = whole.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one row per group and range here
     shifts = ranges.select(
-        *group,
-        "__b",
+        *same,
+        "__piece",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__s"),
-        *[F.coalesce(F.sum("__t_" + c).over(earlier), F.lit(0)).alias("__s_" + n) for n, c in sums.items()],
-        *[F.sum("__n" if c == "*" else "__t_" + c).over(whole).alias(n) for n, c in totals.items()],
+        *[F.coalesce(F.sum(column("__t_" + c)).over(earlier), F.lit(0)).alias("__s_" + n) for n, c in sums.items()],
+        *[F.sum("__n" if c == "*" else column("__t_" + c)).over(whole).alias(n) for n, c in totals.items()],
     )
-    piece = Window.partitionBy(*group, "__b").orderBy(*order)
+    piece = Window.partitionBy(*[column(g) for g in group], "__b").orderBy(*keys)
     before = piece.rowsBetween(Window.unboundedPreceding, -1)
+    columns = [column(c) for c in df.columns]
     local = tagged.select(
-        *df.columns,
+        *columns,
         "__b",
         (F.row_number().over(piece) - 1).alias("__r"),
-        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias("__l_" + n) for n, c in sums.items()],
+        *[F.coalesce(F.sum(column(c)).over(before), F.lit(0)).alias("__l_" + n) for n, c in sums.items()],
     )
-    return local.join(shifts, [*group, "__b"]).select(
-        *df.columns,
+    met = F.col("__b") == F.col("__piece")
+    for g, s in zip(group, same, strict=True):
+        met = met & F.col(quoted(g)).eqNullSafe(F.col(s))
+    return local.join(shifts, met).select(
+        *columns,
         (F.col("__r") + F.col("__s")).cast("bigint").alias(position),
-        *[(F.col("__l_" + n) + F.col("__s_" + n)).alias(n) for n in sums],
-        *totals,
+        *[(column("__l_" + n) + column("__s_" + n)).alias(n) for n in sums],
+        *[column(n) for n in totals],
     )
 
 
@@ -110,13 +91,14 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int, rank: st
 
 
 def hot_keys(df: DataFrame, on: list[str], share: int = 1000) -> DataFrame | None:
-    """Keys that hold more than 1/``share`` of the rows (so less than ``share`` of them), or None."""
-    total = df.count()
-    if total < SMALL_ROWS:
-        return None
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    rows = counts.where(F.col("__n") * share > total).select(*on).collect()
-    return df.sparkSession.createDataFrame(rows, counts.select(*on).schema) if rows else None
+    """Keys that hold more than 1/``share`` of the rows (so less than ``share`` of them), or None.
+
+    The keys are counted once, the counts written; the same at every size.
+    """
+    counts = settle(df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n")).scalar()
+    keys = counts.where(F.col("__n") * share > F.lit(total)).select(*on)
+    return keys if keys.head(1) else None
 
 
 def join_on_hot(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
@@ -137,16 +119,15 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     return join_on_hot(left, right, on, hot_keys(left, on, share), how)
 
 
-def percentiles(df: DataFrame, group: list[str], value: str, probs: list[float], parts: int = 32) -> DataFrame:
-    """Exact linearly interpolated percentiles per group: (group..., prob, edge).
+def percentiles(df: DataFrame, group: list[str], value: str, probs: list[float], parts: int | None = None) -> DataFrame:
+    """Exact linearly interpolated percentiles per group: (group..., prob, edge); nulls and NaN don't count.
 
     Equal values are counted first, then the counts get running totals by value range; only
     the rows that hold a wanted rank remain. No group is ever sorted or held in one task.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("__v"))
-    cuts = split_points(rows.withColumn("__u", F.rand(7)), "__v", parts)
+    rows = df.select(*group, column(value).cast("double").alias("__v")).where("__v IS NOT NULL AND NOT isnan(__v)")
     counts = rows.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    ranked = number_rows(counts, group, ["__v"], "__pos", {"__before": "__c"}, {"__size": "__c"}, parts, cuts)
+    ranked = number_rows(counts, group, ["__v"], "__pos", {"__before": "__c"}, {"__size": "__c"}, parts)
     end = F.col("__before") + F.col("__c")
 
     def holds(spot):

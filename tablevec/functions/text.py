@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tablevec.functions.names import column as named, literal, quoted
+
 # Data formats that results depend on.
 MISSING_MARK = "\\N"
 DATE_PREFIX = r"^[0-9]+/[0-9]+/[0-9]+"
@@ -54,7 +56,7 @@ WIKI_RULES = [
 
 
 def _c(x) -> Column:
-    return x if isinstance(x, Column) else F.col(x)
+    return x if isinstance(x, Column) else named(x)
 
 
 def _swap(c: Column, old: str, new: str) -> Column:
@@ -65,23 +67,20 @@ def strip(c) -> Column:
     return F.btrim(_c(c), F.lit(SPACE_CHARS))
 
 
-def _quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def valid_cell_expr(column: str) -> str:
     """SQL text of ``valid_cell`` for a named text column."""
-    value = f"btrim(`{column}`, {_quoted(SPACE_CHARS)})"
+    name = quoted(column)
+    value = f"btrim({name}, {literal(SPACE_CHARS)})"
     return (
-        f"(`{column}` IS NOT NULL AND {value} <> '' AND `{column}` <> {_quoted(MISSING_MARK)} "
-        f"AND NOT rlike({value}, {_quoted(DATE_PREFIX)}))"
+        f"({name} IS NOT NULL AND {value} <> '' AND {name} <> {literal(MISSING_MARK)} "
+        f"AND NOT rlike({value}, {literal(DATE_PREFIX)}))"
     )
 
 
 def whole_cell_expr(value: str) -> str:
     """SQL text of the whole-cell token of a SQL text expression."""
     spaced = f"replace(replace(lower({value}), ',', ' '), '  ', ' ')"
-    return f"replace(btrim({spaced}, {_quoted(SPACE_CHARS)}), ' ', '_')"
+    return f"replace(btrim({spaced}, {literal(SPACE_CHARS)}), ' ', '_')"
 
 
 def valid_cell(c) -> Column:
@@ -172,6 +171,18 @@ def normalize_corpus(c) -> Column:
     return text
 
 
+def wiki_page_text(c) -> Column:
+    """The lines of a dump's page from ``<text `` to ``</text>``; a redirect ends the text until the next ``<text ``."""
+    start = F.expr("named_struct('on', false, 'kept', CAST(array() AS array<string>))")
+
+    def step(state: Column, line: Column) -> Column:
+        inside = (state["on"] | F.contains(line, F.lit("<text "))) & ~F.contains(F.lower(line), F.lit("#redirect"))
+        kept = F.when(inside, F.array_append(state["kept"], line)).otherwise(state["kept"])
+        return F.struct((inside & ~F.contains(line, F.lit("</text>"))).alias("on"), kept.alias("kept"))
+
+    return F.array_join(F.aggregate(F.split(_c(c), "\n"), start, step, lambda s: s["kept"]), "\n")
+
+
 def strip_wiki_markup(c) -> Column:
     """Visible text of a wiki or markup page."""
     text = _c(c)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablevec.functions import ordering, vectors
+from tablevec.operators.prep import MIN_COLS, MIN_ROWS
 from tablevec.session import settle
 
 
@@ -49,7 +50,9 @@ def compose_rows(tokens: DataFrame, emb: DataFrame) -> DataFrame:
 
 
 def dimension(emb: DataFrame) -> int:
-    return len(emb.select("vec").first().vec)
+    """Length of the vectors; 0 without any."""
+    row = emb.select("vec").first()
+    return len(row.vec) if row else 0
 
 
 def _or_zero(emb: DataFrame):
@@ -57,9 +60,17 @@ def _or_zero(emb: DataFrame):
     return F.coalesce(F.col("vec"), zero)
 
 
+def of_large_relations(tokens: DataFrame) -> DataFrame:
+    """Tokens of relations with more than 15 rows and 2 columns that carry tokens."""
+    cells = tokens.groupBy("relation", "row_id", "col").agg(F.count(F.lit(1)).alias("n"))
+    sizes = cells.groupBy("relation").agg(F.count_distinct("row_id").alias("rows"), F.count_distinct("col").alias("cols"))
+    large = sizes.where((F.col("rows") > MIN_ROWS) & (F.col("cols") > MIN_COLS)).select("relation")
+    return tokens.join(F.broadcast(large), "relation", "left_semi")  # one row per relation
+
+
 def compose_repository(tokens: DataFrame, row_emb: DataFrame, col_emb: DataFrame) -> dict[str, DataFrame]:
-    """``rel_vec``, ``col_vec`` and ``row_vec`` with a ``flavour`` column (row, col)."""
-    placed = settle(tokens)
+    """``rel_vec``, ``col_vec`` and ``row_vec`` with a ``flavour`` column (row, col), of large relations."""
+    placed = settle(of_large_relations(tokens))
     cols = compose_columns(placed, row_emb).withColumn("flavour", F.lit("row")).unionByName(
         compose_columns(placed, col_emb, row_emb).withColumn("flavour", F.lit("col"))
     )

@@ -76,14 +76,7 @@ def name_edges(edges: DataFrame) -> DataFrame:
 def token_dictionary(named: DataFrame) -> DataFrame:
     """(name, id): distinct end points of an edge list numbered in name order."""
     names = named.select(F.explode(F.array("x", "y")).alias("name"))
-    cuts = ordering.split_points(names, "name")
-    return ordering.number_rows(names.distinct(), [], ["name"], "id", cuts=cuts)
-
-
-def encode_tokens(df: DataFrame, dictionary: DataFrame, column: str = "token") -> DataFrame:
-    """Adds ``id`` for the name in ``column``."""
-    d = dictionary.select(F.col("name").alias(column), "id")
-    return df.join(d, column, "left")
+    return ordering.number_rows(names.distinct(), [], ["name"], "id")
 
 
 def decode_ids(df: DataFrame, dictionary: DataFrame, column: str = "id") -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablevec.functions import ordering
+from tablevec.functions.names import column as named, literal, quoted
+from tablevec.session import settle
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -32,7 +34,7 @@ def kinds(df: DataFrame) -> dict[str, str]:
 def split_target(tables: dict[str, DataFrame], base: str, target: str) -> dict[str, DataFrame]:
     """Rows of ``base`` without a target go; the result has the full base as ``base_processed``
     and every table without the target column."""
-    full = tables[base].where(F.col(target).isNotNull())
+    full = tables[base].where(named(target).isNotNull())
     out = {name: (full if name == base else df).drop(target) for name, df in tables.items()}
     out["base_processed"] = full
     return out
@@ -48,15 +50,15 @@ def valid_relations(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(col, x): the non-null values of numeric columns, one row each."""
+    """(col, x): the values of numeric columns, one row each; nulls and NaN are missing."""
     kind = kinds(df)
     names = columns or [c for c in df.columns if kind[c] != "str"]
-    entries = [f"named_struct('col', '{c}', 'x', CAST(`{c}` AS DOUBLE))" for c in names]
-    return df.selectExpr(f"inline(array({', '.join(entries)}))").where("x IS NOT NULL")
+    entries = [f"named_struct('col', {literal(c)}, 'x', CAST({quoted(c)} AS DOUBLE))" for c in names]
+    return df.selectExpr(f"inline(array({', '.join(entries)}))").where("x IS NOT NULL AND NOT isnan(x)")
 
 
 def word_count(c) -> Column:
-    return F.char_length(c) - F.char_length(F.replace(F.col(c), F.lit(" "), F.lit(""))) + 1
+    return F.char_length(named(c)) - F.char_length(F.replace(named(c), F.lit(" "), F.lit(""))) + 1
 
 
 def _stats(df: DataFrame) -> DataFrame:
@@ -64,12 +66,12 @@ def _stats(df: DataFrame) -> DataFrame:
     kind = kinds(df)
     aggs, entries = [], []
     for i, c in enumerate(df.columns):
-        aggs.append(F.count(c).alias(f"n{i}"))
+        aggs.append(F.count(named(c)).alias(f"n{i}"))
         fields = [F.lit(c).alias("col"), F.lit(kind[c]).alias("kind"), F.col(f"n{i}").alias("non_null")]
         if kind[c] == "str":
             fields += [F.lit(None).cast("double").alias(f) for f in ("min", "max", "skew")]
         else:
-            x = F.col(c).cast("double")
+            x = F.nanvl(named(c).cast("double"), F.lit(None).cast("double"))
             aggs += [F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"), F.skewness(x).alias(f"s{i}")]
             n = F.col(f"n{i}")
             adjusted = F.when(n > 2, F.col(f"s{i}") * F.sqrt(n * (n - 1)) / (n - 2))
@@ -82,7 +84,7 @@ def _distinct_counts(df: DataFrame) -> DataFrame:
     """(col, distinct): repeated values collapse before the shuffle; long text travels as a digest."""
     entries = []
     for c in df.columns:
-        value = F.col(c).cast("string")
+        value = named(c).cast("string")
         entries.append(
             F.struct(F.lit(c).alias("col"), F.when(F.char_length(value) > 64, F.md5(value)).otherwise(value).alias("v"))
         )
@@ -118,7 +120,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def infer_strategies(profile: DataFrame) -> DataFrame:
-    """(col, int_strategy, grain) from a profile."""
+    """(col, int_strategy, grain) from a profile; with its ``relation`` if it has one."""
     by_skew = F.when(F.abs("skew") >= SKEW_LIMIT, "eqw_quantize").otherwise("eqh_quantize")
     is_id = F.contains(F.col("col"), F.lit("id"))
     wide = F.col("max") - F.col("min") >= RANGE_FACTOR * F.col("non_null")
@@ -130,7 +132,8 @@ def infer_strategies(profile: DataFrame) -> DataFrame:
     grain = F.when(
         (F.col("kind") == "str") & (F.col("median_words") >= LONG_TEXT_WORDS), "token"
     ).otherwise("cell")
-    return profile.select("col", strategy.alias("int_strategy"), grain.alias("grain"))
+    keys = [c for c in ("relation", "col") if c in profile.columns]
+    return profile.select(*keys, strategy.alias("int_strategy"), grain.alias("grain"))
 
 
 def strategy_map(strategies: DataFrame) -> dict[str, tuple[str, str]]:
@@ -163,12 +166,6 @@ def bin_of(x, edges) -> Column:
     return F.when(value.isNotNull(), F.size(F.filter(e, lambda b: b <= value)))
 
 
-def approximate_quantile_edges(values: DataFrame, bins: int = BINS, accuracy: int = 10000) -> DataFrame:
-    """(col, edges) from a one-pass quantile sketch; for when exact depth does not matter."""
-    probs = [i / bins for i in range(bins)]
-    return values.groupBy("col").agg(F.percentile_approx("x", probs, accuracy).alias("edges"))
-
-
 def quantize(df: DataFrame, strategies: dict[str, tuple[str, str]], bins: int = BINS) -> DataFrame:
     """Numeric columns that ask for it replaced by bin numbers; tables under 2n rows stay as they are.
 
@@ -189,9 +186,9 @@ def quantize(df: DataFrame, strategies: dict[str, tuple[str, str]], bins: int =
         edges |= {r.col: r.edges for r in offset_width_edges(long_values(df, wide), bins).collect()}
     return df.select(
         *[
-            F.when(F.col(c).isNotNull(), ordering.range_bucket(f"CAST(`{c}` AS DOUBLE)", edges[c])).alias(c)
+            F.when(named(c).isNotNull() & ~F.isnan(named(c).cast("double")), ordering.range_bucket(f"CAST({quoted(c)} AS DOUBLE)", edges[c])).alias(c)
             if edges.get(c)
-            else F.col(c)
+            else named(c)
             for c in df.columns
         ]
     )
@@ -199,22 +196,35 @@ def quantize(df: DataFrame, strategies: dict[str, tuple[str, str]], bins: int =
 
 def category_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
     """Sorted distinct values numbered from 0; null is -1."""
-    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = ordering.number_rows(distinct, [], [column], name)
-    return df.join(codes, column, "left").withColumn(name, F.coalesce(F.col(name), F.lit(-1)).cast("bigint"))
+    key = "__value"
+    distinct = df.select(named(column).alias(key)).where(F.col(key).isNotNull()).distinct()
+    codes = settle(ordering.number_rows(distinct, [], [key], name))
+    joined = ordering.join_hot(df.withColumn(key, named(column)), codes, [key], "left")
+    return joined.withColumn(name, F.coalesce(named(name), F.lit(-1)).cast("bigint")).drop(key)
 
 
 def one_hot(df: DataFrame, column: str, values: list | None = None, limit: int = 1000) -> DataFrame:
-    """A 0/1 column per value; the values are the distinct ones unless given."""
+    """A 0/1 column per value; the values are the distinct ones unless given.
+
+    A table can't have a column for each of very many values: above ``limit`` take ``one_hot_vectors``.
+    """
     if values is None:
-        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
+        values = [r[0] for r in df.select(named(column)).where(named(column).isNotNull()).distinct().limit(limit + 1).collect()]
         if len(values) > limit:
-            raise ValueError(f"{column} has over {limit} values; use category_codes")
+            raise ValueError(f"{column} has over {limit} values; use one_hot_vectors")
     flags = [
-        F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}")
+        F.coalesce((named(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}")
         for v in sorted(values)
     ]
-    return df.select(*[c for c in df.columns if c != column], *flags)
+    return df.select(*[named(c) for c in df.columns if c != column], *flags)
+
+
+def one_hot_vectors(df: DataFrame, column: str, name: str = "features") -> DataFrame:
+    """A sparse 0/1 vector (position of the one, its length) for any number of values; null has no one."""
+    coded = category_codes(df, column, "__code")
+    size = F.lit(df.where(named(column).isNotNull()).agg(F.count_distinct(named(column))).scalar())
+    at = F.when(F.col("__code") >= 0, F.array("__code")).otherwise(F.array().cast("array<bigint>"))
+    return coded.withColumn(name, F.struct(size.alias("size"), at.alias("ones"))).drop("__code")
 
 
 def fill_zero(df: DataFrame) -> DataFrame:
@@ -228,7 +238,7 @@ def inject_noise(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 def majority_share(df: DataFrame, column: str) -> DataFrame:
     """Share of the most frequent value: the floor any classifier has to beat."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(named(column)).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(
         F.max("n").alias("majority"), F.sum("n").alias("total"), (F.max("n") / F.sum("n")).alias("share")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tablevec.functions import ordering, text
 from tablevec.functions.draws import draw
+from tablevec.functions.names import column as named, literal, quoted
 from tablevec.operators.prep import kinds, quantize
 
 DEFAULT_STRATEGY = ("augment", "cell")
@@ -19,12 +20,12 @@ ROW_ID = "__rid"
 def cell_value(df: DataFrame, column: str, policy: str) -> Column | None:
     """Cell text under a numeric policy; None means that the column is left out."""
     if kinds(df)[column] == "str":
-        return F.col(column).cast("string")
+        return named(column).cast("string")
     if policy == "skip":
         return None
     if policy == "stringify":
-        return F.col(column).cast("string")
-    return text.number_token(column, F.col(column))
+        return named(column).cast("string")
+    return text.number_token(column, named(column))
 
 
 def row_cells(df: DataFrame, relation: str, row_id, strategies: dict | None = None) -> DataFrame:
@@ -33,7 +34,7 @@ def row_cells(df: DataFrame, relation: str, row_id, strategies: dict | None = No
     ``row_id`` is a column expression that identifies a row of the relation.
     """
     strategies = strategies or {}
-    rid = (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
+    rid = (row_id if isinstance(row_id, Column) else named(row_id)).cast("string")
     entries = []
     for pos, c in enumerate(df.columns):
         if c == ROW_ID:
@@ -43,7 +44,7 @@ def row_cells(df: DataFrame, relation: str, row_id, strategies: dict | None = No
         if value is None:
             continue
         # only text can be blank, a missing mark or a d/d/d date
-        valid = text.valid_cell(c) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c).isNotNull()
+        valid = text.valid_cell(c) if isinstance(df.schema[c].dataType, T.StringType) else named(c).isNotNull()
         entries.append(
             F.struct(
                 F.lit(c).alias("col"),
@@ -67,7 +68,7 @@ def cell_tokens(cells: DataFrame) -> DataFrame:
 
 
 def _token_struct(col: str, pos: int, tpos: str, token: str) -> str:
-    return f"named_struct('col', '{col}', 'pos', {pos}, 'tpos', {tpos}, 'token', {token})"
+    return f"named_struct('col', {literal(col)}, 'pos', {pos}, 'tpos', {tpos}, 'token', {token})"
 
 
 def _row_items(df: DataFrame, strategies: dict | None) -> tuple[DataFrame, str]:
@@ -84,20 +85,20 @@ def _row_items(df: DataFrame, strategies: dict | None) -> tuple[DataFrame, str]:
         if c == ROW_ID:
             continue
         policy, grain = strategies.get(c, DEFAULT_STRATEGY)
-        as_text = f"CAST(`{c}` AS STRING)"
+        as_text = f"CAST({quoted(c)} AS STRING)"
         if kind[c] != "str":
             if policy == "skip":
                 continue
             # the column name is a constant, so cleaning the joined text costs one lower()
-            token = as_text if policy == "stringify" else f"concat('{c}{text.NUMBER_MARK}', {as_text})"
+            token = as_text if policy == "stringify" else f"concat({literal(c + text.NUMBER_MARK)}, {as_text})"
             whole.append(_token_struct(c, pos, "0", text.whole_cell_expr(token) if "," in c or " " in c else f"lower({token})"))
         elif types_[c] != "string":
             whole.append(_token_struct(c, pos, "0", text.whole_cell_expr(as_text)))
         elif grain == "token":
-            found = text.encode_cell(F.when(F.expr(text.valid_cell_expr(c)), F.col(c)), "token")
+            found = text.encode_cell(F.when(F.expr(text.valid_cell_expr(c)), named(c)), "token")
             split.append((c, pos, found))
         else:
-            token = f"CASE WHEN {text.valid_cell_expr(c)} THEN {text.whole_cell_expr(f'`{c}`')} END"
+            token = f"CASE WHEN {text.valid_cell_expr(c)} THEN {text.whole_cell_expr(quoted(c))} END"
             whole.append(_token_struct(c, pos, "0", token))
     # word lists get columns of their own, so the rest of the projection stays compiled
     wide = df.select("*", *[F.coalesce(words, F.array().cast("array<string>")).alias(f"__w{pos}") for _, pos, words in split])
@@ -107,7 +108,7 @@ def _row_items(df: DataFrame, strategies: dict | None) -> tuple[DataFrame, str]:
 
 
 def _id_of(row_id) -> Column:
-    return (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
+    return (row_id if isinstance(row_id, Column) else named(row_id)).cast("string")
 
 
 def row_tokens(df: DataFrame, relation: str, row_id, strategies: dict | None = None) -> DataFrame:
@@ -140,7 +141,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _keyed(df: DataFrame, row_id) -> DataFrame:
     """The relation with its row id kept aside, so that binning a key column does not change ids."""
-    return df.withColumn(ROW_ID, (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string"))
+    return df.withColumn(ROW_ID, (row_id if isinstance(row_id, Column) else named(row_id)).cast("string"))
 
 
 def repository_cells(tables: dict[str, DataFrame], row_ids: dict, strategies: dict | None = None) -> DataFrame:
@@ -247,12 +248,12 @@ def permuted_pairs(lists: DataFrame, n_perm: int = 20, seed: int = 0) -> DataFra
 
 def row_strings(df: DataFrame, joiner: str = ",") -> DataFrame:
     """Rows as joined strings."""
-    return df.select(F.concat_ws(joiner, *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in df.columns]).alias("line"))
+    return df.select(F.concat_ws(joiner, *[F.coalesce(named(c).cast("string"), F.lit("nan")) for c in df.columns]).alias("line"))
 
 
 def row_strings_filter_digits(df: DataFrame, joiner: str = ",") -> DataFrame:
     """Joined strings of the lower-cased cells that have no digit and 3 or more characters."""
-    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in df.columns])
+    cells = F.array(*[F.coalesce(named(c).cast("string"), F.lit("nan")) for c in df.columns])
     kept = F.filter(cells, lambda v: (F.char_length(v) >= 3) & ~F.rlike(v, F.lit("[0-9]")))
     return df.select(F.array_join(F.transform(kept, F.lower), joiner).alias("line"))
 
@@ -265,7 +266,7 @@ def header_tokens(df: DataFrame) -> Column:
 
 def row_strings_with_header(df: DataFrame) -> DataFrame:
     """Joined rows followed by the header tokens."""
-    cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in df.columns])
+    cells = F.array(*[F.coalesce(named(c).cast("string"), F.lit("nan")) for c in df.columns])
     return df.select(F.array_join(F.concat(cells, header_tokens(df)), ",").alias("line"))
 
 
@@ -273,7 +274,7 @@ def row_pair_combinations(df: DataFrame, with_header: bool = True) -> DataFrame:
     """Every pair of columns of a row as one string."""
     entries = []
     for a, b in combinations(df.columns, 2):
-        va, vb = (F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in (a, b))
+        va, vb = (F.coalesce(named(c).cast("string"), F.lit("nan")) for c in (a, b))
         parts = [F.lit(a), va, F.lit(b), vb] if with_header else [va, vb]
         entries.append(F.concat_ws(" ", *parts))
     return df.select(F.explode(F.array(*entries)).alias("line"))
@@ -282,18 +283,18 @@ def row_pair_combinations(df: DataFrame, with_header: bool = True) -> DataFrame:
 def qa_triples(df: DataFrame) -> DataFrame:
     """(key, attribute, answer): the first column is the key; empty cells are left out."""
     key, *rest = df.columns
-    entries = [F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("answer")) for c in rest]
-    return df.select(F.col(key).cast("string").alias("key"), F.inline(F.array(*entries))).where(
+    entries = [F.struct(F.lit(c).alias("attribute"), named(c).cast("string").alias("answer")) for c in rest]
+    return df.select(named(key).cast("string").alias("key"), F.inline(F.array(*entries))).where(
         F.coalesce(F.col("answer"), F.lit("")) != ""
     )
 
 
 def _pair_candidates(df: DataFrame, row_no) -> DataFrame:
     key = df.columns[0]
-    entries = [F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in df.columns]
+    entries = [F.struct(F.lit(c).alias("col"), named(c).cast("string").alias("value")) for c in df.columns]
     return df.select(
-        (row_no if isinstance(row_no, Column) else F.col(row_no)).cast("bigint").alias("row_no"),
-        F.col(key).cast("string").alias("key"),
+        (row_no if isinstance(row_no, Column) else named(row_no)).cast("bigint").alias("row_no"),
+        named(key).cast("string").alias("key"),
         F.inline(F.array(*entries)),
     )
 
@@ -369,7 +370,7 @@ def string_columns(df: DataFrame) -> list[str]:
 
 def legacy_cell_tokens(df: DataFrame, row_id, with_header: bool = False) -> DataFrame:
     """(row_id, col, pos, tpos, token): older tokenizer on text cells, optionally the headers too."""
-    rid = (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
+    rid = (row_id if isinstance(row_id, Column) else named(row_id)).cast("string")
     entries = []
     for pos, c in enumerate(string_columns(df)):
         toks = text.tokenize(c, " ")
@@ -382,8 +383,8 @@ def legacy_cell_tokens(df: DataFrame, row_id, with_header: bool = False) -> Data
 
 def row_token_strings(df: DataFrame, row_id, with_header: bool = False) -> DataFrame:
     """(row_id, line): a row's older-style tokens, comma-joined."""
-    rid = (row_id if isinstance(row_id, Column) else F.col(row_id)).cast("string")
-    toks = [text.tokenize(F.coalesce(F.col(c), F.lit("")), " ") for c in string_columns(df)]
+    rid = (row_id if isinstance(row_id, Column) else named(row_id)).cast("string")
+    toks = [text.tokenize(F.coalesce(named(c), F.lit("")), " ") for c in string_columns(df)]
     if with_header:
         toks.append(header_tokens(df))
     return df.select(rid.alias("row_id"), F.array_join(F.flatten(F.array(*toks)), ",").alias("line"))
@@ -394,7 +395,7 @@ def term_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for df in tables.values():
         cells = F.flatten(
-            F.array(*[text.tokenize(F.coalesce(F.col(c).cast("string"), F.lit("nan")), ",") for c in df.columns])
+            F.array(*[text.tokenize(F.coalesce(named(c).cast("string"), F.lit("nan")), ",") for c in df.columns])
         )
         terms = df.select(F.explode(cells).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
         names = df.sparkSession.range(1).select(
@@ -409,7 +410,7 @@ def vocabulary(tables: dict[str, DataFrame], min_len: int = 0) -> DataFrame:
     """(term, idx): distinct normalized cells longer than ``min_len``, numbered in order."""
     out = None
     for df in tables.values():
-        cells = F.array(*[text.normalize_text(F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in df.columns])
+        cells = F.array(*[text.normalize_text(F.coalesce(named(c).cast("string"), F.lit("nan"))) for c in df.columns])
         terms = df.select(F.explode(cells).alias("term")).where(F.char_length("term") > min_len).distinct()
         out = terms if out is None else out.unionByName(terms)
     return ordering.number_rows(out.distinct(), [], ["term"], "idx")
@@ -422,7 +423,7 @@ def unique_text_cells(tables: dict[str, DataFrame], exact: bool = True) -> DataF
         cols = string_columns(df)
         if not cols:
             continue
-        cells = df.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("value"))
+        cells = df.select(F.explode(F.array(*[named(c) for c in cols])).alias("value"))
         out = cells if out is None else out.unionByName(cells)
     if not exact:
         return out.agg(F.approx_count_distinct("value").alias("unique_cells"))

@@ -21,7 +21,6 @@ PHRASE_MIN_COUNT = 5
 PHRASE_THRESHOLD = 100.0
 PHRASE_PASSES = (200.0, 100.0)
 
-MAX_BROADCAST_PHRASES = 200_000
 
 
 def sentences(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -134,27 +133,27 @@ def bigram_scores(sents: DataFrame, min_count: int = PHRASE_MIN_COUNT) -> DataFr
 def merge_phrases(sents: DataFrame, phrases: DataFrame) -> DataFrame:
     """Sentences with the phrases (a, b) joined by ``_``, left to right, without overlap.
 
-    Of a run of bigrams that all qualify, every second one is joined, from the first on; that is
-    what a left-to-right pass does. One sort by sentence serves all windows.
+    Only the positions of bigrams that are phrases go back to their sentence; the merging happens inside
+    its word array, and sentences without a phrase pass untouched.
     """
-    follow = F.arrays_zip(F.col("words").alias("word"), F.expr("slice(words, 2, size(words))").alias("next"))
-    pairs = sents.select("doc", "sent", F.posexplode(follow).alias("pos", "p")).select(
-        "doc", "sent", "pos", "p.word", "p.next"
+    follow = F.arrays_zip(F.col("words").alias("a"), F.expr("slice(words, 2, size(words))").alias("b"))
+    pairs = sents.select("doc", "sent", F.posexplode(follow).alias("pos", "p")).select("doc", "sent", "pos", "p.a", "p.b")
+    known = settle(phrases.select("a", "b").distinct())  # its size is known, so Spark picks the join
+    hits = pairs.join(known, ["a", "b"], "left_semi").groupBy("doc", "sent").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    # a phrase whose first word already belongs to the one before it is passed over
+    start = F.expr("named_struct('last', -2, 'all', CAST(array() AS array<int>))")
+    joins = F.aggregate(
+        "hits", start,
+        lambda s, p: F.when(p == s["last"] + 1, s).otherwise(F.struct(p.alias("last"), F.array_append(s["all"], p).alias("all"))),
+        lambda s: s["all"],
     )
-    known = settle(phrases.select(F.col("a").alias("word"), F.col("b").alias("next"), F.lit(1).alias("hit")).distinct())
-    if known.count() <= MAX_BROADCAST_PHRASES:
-        flagged = pairs.join(F.broadcast(known), ["word", "next"], "left")
-    else:
-        flagged = ordering.join_hot(settle(pairs), known, ["word", "next"], "left")
-    line = Window.partitionBy("doc", "sent").orderBy("pos")
-    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_miss = F.coalesce(F.max(F.when(F.col("hit").isNull(), F.col("pos"))).over(so_far), F.lit(-1))
-    joined = flagged.withColumn("joins", F.col("hit").isNotNull() & ((F.col("pos") - last_miss) % 2 == 1))
-    kept = joined.withColumn("eaten", F.coalesce(F.lag("joins").over(line), F.lit(False))).where(~F.col("eaten"))
-    token = F.when(F.col("joins"), F.concat_ws("_", "word", "next")).otherwise(F.col("word"))
-    return kept.groupBy("doc", "sent").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", token.alias("t")))), lambda s: s["t"]).alias("words")
+    marked = sents.join(hits, ["doc", "sent"], "left").withColumn("joins", joins)
+    indexed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    kept = F.filter(indexed, lambda x: ~F.array_contains("joins", x["i"] - 1))
+    merged = F.transform(
+        kept, lambda x: F.when(F.array_contains("joins", x["i"]), F.concat_ws("_", x["w"], F.get("words", x["i"] + 1))).otherwise(x["w"])
     )
+    return marked.select("doc", "sent", F.when(F.col("joins").isNull(), F.col("words")).otherwise(merged).alias("words"))
 
 
 def learn_phrases(sents: DataFrame, threshold: float = PHRASE_THRESHOLD, min_count: int = PHRASE_MIN_COUNT) -> DataFrame:

@@ -27,9 +27,7 @@ def _onward(edges: DataFrame) -> DataFrame:
 
 def uniform_arcs(edges: DataFrame) -> DataFrame:
     """(src, pos, dst, next_degree): arcs by number."""
-    return ordering.number_rows(
-        _onward(edges), ["src"], ["dst"], "pos", cuts=ordering.split_points(edges, "dst")
-    ).select("src", "pos", "dst", "next_degree")
+    return ordering.number_rows(_onward(edges), ["src"], ["dst"], "pos").select("src", "pos", "dst", "next_degree")
 
 
 def weighted_arcs(edges: DataFrame) -> DataFrame:
@@ -40,8 +38,7 @@ def weighted_arcs(edges: DataFrame) -> DataFrame:
     arc by an equi-join on its cell.
     """
     cum = ordering.number_rows(
-        _onward(edges), ["src"], ["dst"], "k", {"before": "weight"}, {"degree": "*", "strength": "weight"},
-        cuts=ordering.split_points(edges, "dst"),
+        _onward(edges), ["src"], ["dst"], "k", {"before": "weight"}, {"degree": "*", "strength": "weight"}
     )
     slices = settle(
         cum.select("src", "k", "dst", "next_degree", "degree", (F.col("before") / F.col("strength")).alias("lo"))

@@ -96,17 +96,33 @@ UNIQUE = _mean_sql("(SELECT relation, col, vec FROM (SELECT DISTINCT relation, c
 
 
 def compose_repository(spark, d):
-    """Both flavours of column and relation vectors; the column flavour has its own token vectors."""
+    """Both flavours of column, relation and row vectors; the column flavour has its own token vectors."""
     toks = _tokens(spark, d)
     made = compose.compose_repository(toks, token_vectors(spark, d, toks), token_vectors(spark, d, toks, "col"))
-    cols = _shown(made["col_vec"], "flavour", "relation", "col")
-    return cols.unionByName(_shown(made["rel_vec"].withColumn("col", F.lit("")), "flavour", "relation", "col"))
-
-
-REPO_SQL = f"""WITH {BASE}, {token_vectors_sql(seed='col', name='tc')}, {COLS}, {RELS},
-{_mean_sql("(SELECT relation, col, vec FROM tok JOIN tc USING (token))", "relation, col", "ccols")}, {_mean_sql("ccols", "relation", "crels")}
-{_shown_sql("cols", "'row' AS flavour, relation, col")} UNION ALL {_shown_sql("ccols", "'col' AS flavour, relation, col")}
-UNION ALL {_shown_sql("rels", "'row' AS flavour, relation, '' AS col")} UNION ALL {_shown_sql("crels", "'col' AS flavour, relation, '' AS col")}"""
+    keys = ("flavour", "relation", "col", "row_id")
+    out = None
+    for df in made.values():
+        part = _shown(df.withColumns({k: F.lit("") for k in keys if k not in df.columns}), *keys)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _large(name: str) -> str:
+    """Without region, which has 5 rows and 2 columns."""
+    return f"(SELECT * FROM {name} WHERE relation <> 'region')"
+
+
+LARGE_COLS = _large("cols")
+REPO_SQL = f"""WITH {BASE}, {token_vectors_sql(seed='col', name='tc')}, {COLS}, {RELS}, {ROWS},
+{_mean_sql("(SELECT relation, col, vec FROM tok JOIN tc USING (token))", "relation, col", "ccols")}, {_mean_sql("ccols", "relation", "crels")},
+{_mean_sql("(SELECT relation, row_id, vec FROM tok JOIN tc USING (token))", "relation, row_id", "crws")}
+""" + "\nUNION ALL ".join(
+    _shown_sql(_large(name), f"'{flavour}' AS flavour, relation, {keys}")
+    for flavour, name, keys in (
+        ("row", "cols", "col, '' AS row_id"), ("col", "ccols", "col, '' AS row_id"), ("row", "rels", "'' AS col, '' AS row_id"),
+        ("col", "crels", "'' AS col, '' AS row_id"), ("row", "rws", "'' AS col, row_id"), ("col", "crws", "'' AS col, row_id"),
+    )
+)
 
 
 def _hubness(spark, d, toks):
@@ -144,16 +160,15 @@ SELECT relation, col, count(*) AS missing FROM tok WHERE token NOT IN (SELECT to
 
 
 def row_features(spark, d):
-    """Orders with the vector of their customer row; some rows have none and get zeros."""
+    """Customers with the vector of their nation's row; one without would get zeros."""
     toks = _tokens(spark, d, ("customer", "region", "nation"))
     rows = compose.compose_rows(toks, token_vectors(spark, d, toks)).where("relation = 'nation'")
     base = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("row_id"))
-    few = settle(rows.where(F.col("vec").isNotNull() & (F.col("row_id") >= "2")))
-    return _shown(compose.row_features(base, few, ["row_id"]), "c_custkey")
+    return _shown(compose.row_features(base, settle(rows.where(F.col("vec").isNotNull())), ["row_id"]), "c_custkey")
 
 
 FEATURES_SQL = f"""WITH {E_SQL}, tok AS MATERIALIZED ({tokens_sql(("customer", "region", "nation"))}), {token_vectors_sql()}, {ROWS},
-f AS (SELECT c_custkey, coalesce(vec, [0.0::DOUBLE FOR i IN range(0, 64)]) AS vec FROM customer LEFT JOIN rws ON relation = 'nation' AND row_id = c_nationkey::VARCHAR AND row_id >= '2')
+f AS (SELECT c_custkey, coalesce(vec, [0.0::DOUBLE FOR i IN range(0, 64)]) AS vec FROM customer LEFT JOIN rws ON relation = 'nation' AND row_id = c_nationkey::VARCHAR)
 {_shown_sql("f", "c_custkey")}"""
 
 

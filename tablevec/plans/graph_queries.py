@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablevec.operators import graph, textify, walks
-from tablevec.plans.tables import DIMENSIONS, EVERYTHING, edges_sql, repository, row_ids
+from tablevec.plans.tables import DIMENSIONS, EVERYTHING, edges_sql, repository, row_ids, tokens_sql
 from tablevec.session import settle
 
 WALKS, LENGTH, SEED = 2, 8, 11
@@ -28,11 +28,8 @@ def token_row_incidence(spark, d):
 
 
 def token_stats(spark, d):
-    stats = settle(graph.token_stats(_tokens(spark, d, EVERYTHING)))
-    kept = graph.clean_tokens(stats).select("token", F.lit(True).alias("kept"))
-    return stats.join(kept, "token", "left").select(
-        "token", "num", "tables", F.coalesce("kept", F.lit(False)).cast("int").alias("kept")
-    )
+    stats = graph.token_stats(_tokens(spark, d, EVERYTHING))
+    return stats.select("token", "num", "tables", graph.links_well().cast("int").alias("kept"))
 
 
 STATS_SQL = f"""WITH {edges_sql(EVERYTHING)} SELECT token, num::BIGINT AS num, tables,
@@ -41,11 +38,13 @@ STATS_SQL = f"""WITH {edges_sql(EVERYTHING)} SELECT token, num::BIGINT AS num, t
 
 def token_stats_by_prefix(spark, d):
     """Table names cut at the first ``_``: the looser notion of a table."""
-    versioned = _tokens(spark, d).withColumn("relation", F.concat("relation", F.lit("_v1")))
+    party = F.when(F.col("relation").isin("customer", "supplier"), "party_").otherwise("thing_")
+    versioned = _tokens(spark, d).withColumn("relation", F.concat(party, "relation"))
     return graph.token_stats(versioned, prefix_compat=True)
 
 
-PREFIX_SQL = f"""WITH {edges_sql(DIMENSIONS)} SELECT token, num::BIGINT AS num, tables FROM stats"""
+PREFIX_SQL = f"""WITH tok AS ({tokens_sql(DIMENSIONS)}) SELECT token, count(*) AS num,
+count(DISTINCT relation IN ('customer', 'supplier')) AS tables FROM tok GROUP BY token"""
 
 
 def _named(spark, d):

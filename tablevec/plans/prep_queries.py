@@ -64,10 +64,7 @@ round(skew, 4) AS skew, round(median_words, 4) AS median_words FROM ({_profile_s
 
 
 def infer_strategies(spark, d):
-    p = _profile_all(spark, d)
-    return prep.infer_strategies(p).join(p.select("relation", "col"), "col").select(
-        "relation", "col", "int_strategy", "grain"
-    )
+    return prep.infer_strategies(_profile_all(spark, d)).select("relation", "col", "int_strategy", "grain")
 
 
 INFER_SQL = f"""SELECT relation, col,

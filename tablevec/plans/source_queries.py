@@ -156,13 +156,12 @@ FROM ({compose_queries.tokens_sql(("region", "nation", "customer"))}) GROUP BY A
 def vocab_files(spark, d):
     path = _place(spark)
     words = train.positions(train.sentences(read(spark, d, "conversations"), "conv_id", "text"))
-    simple = words.where(F.rlike("word", F.lit("^[A-Za-z.,]+$")))
-    vectors.save_vocab(train.vocab_counts(simple, 2), path)
+    vectors.save_vocab(train.vocab_counts(words, 2), path)
     return vectors.read_vocab(spark, path)
 
 
 VOCAB_SQL = """SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+')) AS word FROM conversations)
-WHERE regexp_matches(word, '^[A-Za-z.,]+$') GROUP BY word HAVING count(*) >= 2"""
+WHERE word <> '' GROUP BY word HAVING count(*) >= 2"""
 
 
 def streamed_tokens(spark, d):
@@ -197,7 +196,7 @@ QUERIES = {
     "walk_files": (walk_files, WALK_SQL),
     "community_labels": (community_labels, COMMUNITY_SQL),
     "strategy_files": (strategy_files, prep_queries.INFER_SQL),
-    "composed_files": (composed_files, f"WITH {compose_queries.BASE}, {compose_queries.COLS} {compose_queries._shown_sql('cols', 'relation, col')}"),
+    "composed_files": (composed_files, f"WITH {compose_queries.BASE}, {compose_queries.COLS} {compose_queries._shown_sql(compose_queries.LARGE_COLS, 'relation, col')}"),
     "corpus_files": (corpus_files, CORPUS_SQL),
     "vocab_files": (vocab_files, VOCAB_SQL),
     "streamed_tokens": (streamed_tokens, STREAM_SQL),

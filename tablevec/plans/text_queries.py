@@ -291,42 +291,80 @@ UNIQUE_SQL = "SELECT count(*) AS unique_cells FROM (" + " UNION ".join(
 ) + ")"
 
 
+def _article(x):
+    """Every text with a heading after its first line, each third one with closing sections."""
+    headed = F.regexp_replace(x, "^([^\n]*)\n", "$1\n == Life ==\n\n")
+    closing = F.concat(headed, F.lit('\n== References ==\nhidden "text".\n== External links\nmore'))
+    return F.when(F.col("doc_id") % 3 == 0, closing).otherwise(headed)
+
+
 def clean_article(spark, d):
     """Cleaned documents by digest; every document is read as an article with lines."""
-    return read(spark, d, "documents").select(
-        "doc_id", F.md5(text.clean_article("text")).alias("digest"), F.char_length(text.clean_article("text")).alias("n")
-    )
+    docs = read(spark, d, "documents").withColumn("text", _article(F.col("text")))
+    return docs.select("doc_id", F.md5(text.clean_article("text")).alias("digest"), F.char_length(text.clean_article("text")).alias("n"))
 
 
 _LINES = "[trim(l, E' \\t\\n\\r\\f\\v') FOR l IN string_split(text, E'\\n')]"
-ARTICLE_SQL = f"""WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents),
+ARTICLE_SQL = f"""WITH a AS (SELECT doc_id, CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, 1, strpos(text, chr(10))) || E' == Life ==\\n\\n' || substr(text, strpos(text, chr(10)) + 1) ELSE text END AS text FROM documents),
+b AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || E'\\n== References ==\\nhidden "text".\\n== External links\\nmore' ELSE text END AS text FROM a),
+l AS (SELECT doc_id, {_LINES} AS ls FROM b),
 m AS (SELECT doc_id, ls, list_position([starts_with(x, '== References') OR starts_with(x, '== External links') FOR x IN ls], true) AS cut FROM l),
 k AS (SELECT doc_id, CASE WHEN cut > 0 THEN ls[1:cut - 1] ELSE ls END AS ls FROM m),
 t AS (SELECT doc_id, translate(coalesce(array_to_string([x FOR x IN ls IF x <> '' AND NOT starts_with(x, '==')], ' '), ''), ',."', '') AS t FROM k)
 SELECT doc_id, md5(t) AS digest, length(t)::INTEGER AS n FROM t"""
 
 
-def normalize_corpus(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.md5(text.normalize_corpus("text")).alias("digest"))
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
-def _rules_sql(x: str, rules) -> str:
-    for pattern, new in rules:
-        options = "gi" if pattern.startswith("(?i)") else "g"
-        p = pattern.removeprefix("(?i)").replace("'", "''").replace("[^]", "[^\\]")
-        n = new.replace("'", "''").replace("$1", "\\1")
-        x = f"regexp_replace({x}, '{p}', '{n}', '{options}')"
+def _steps_sql(x: str, steps) -> str:
+    """SQL of replacements one after another; three parts: a pattern with its options."""
+    for old, new, *options in steps:
+        args = f"{x}, {_sql_text(old)}, {_sql_text(new)}"
+        x = f"regexp_replace({args}, '{options[0]}')" if options else f"replace({args})"
     return x
 
 
-CORPUS_SQL = f"SELECT doc_id, md5({_rules_sql('lower(text)', text.CORPUS_RULES)}) AS digest FROM documents"
+def normalize_corpus(spark, d):
+    """Documents with every mark that the clean-up knows."""
+    marked = F.concat(F.col("text"), F.lit(CORPUS_MARKS))
+    return read(spark, d, "documents").select("doc_id", F.md5(text.normalize_corpus(marked)).alias("digest"))
+
+
+CORPUS_MARKS = "It’s ''so'' “said” \"x\".a<br />b, c(d) e!f?g;h:i-j=k*l|m«n 2024 o′p"
+# what the clean-up must do, written apart from the code's own rules
+CORPUS_STEPS = [
+    ("’", "'"), ("′", "'"), ("''", " "), ("'", " ' "), ("“", '"'), ("”", '"'), ('"', ' " '), (".", " . "), ("<br />", " "),
+    (", ", " , "), ("(", " ( "), (")", " ) "), ("!", " ! "), ("?", " ? "), (";", " "), (":", " "), ("-", " - "), ("=", " "),
+    ("*", " "), ("|", " "), ("«", " "), *[(str(n), " ") for n in range(10)],
+]
+CORPUS_SQL = f"SELECT doc_id, md5({_steps_sql(f'lower(text || {_sql_text(CORPUS_MARKS)})', CORPUS_STEPS)}) AS digest FROM documents"
 
 
 def strip_wiki_markup(spark, d):
-    return read(spark, d, "pages").select("page_id", F.md5(text.strip_wiki_markup("html")).alias("digest"))
+    """Pages as dump pages: text lines between other lines, with mark-up, some of them redirects."""
+    body = F.concat(F.lit(WIKI_HEAD), F.replace("html", F.lit("\n"), F.lit(" ")), F.lit(WIKI_TAIL))
+    page = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("<text x>#REDIRECT [[Home]]\n"), F.replace(body, F.lit("<text "), F.lit("<none ")))).otherwise(body)
+    visible = text.strip_wiki_markup(text.wiki_page_text(page))
+    return read(spark, d, "pages").select("page_id", F.md5(visible).alias("digest"), F.char_length(visible).alias("n"))
 
 
-WIKI_SQL = f"SELECT page_id, md5({_rules_sql('html', text.WIKI_RULES)}) AS digest FROM pages"
+WIKI_HEAD = "<title>no</title>\nbefore\n<text xml:space='preserve'>start\n"
+WIKI_TAIL = (
+    "\nA [[link|shown]] and [[Plain]] &amp; [http://x.example/a b] [[Image:p.png|thumb|left|20px|A cap]] [[category:Kin|key]]"
+    " [[fr:Maison]] {{cite|x}} {tab} a&nbsp;b &lt;i&gt;r&lt;/i&gt;<ref name=a>gone</ref> [[x|RIGHT]]</text>\nafter"
+)
+WIKI_STEPS = [
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("<ref[^<]*</ref>", "", "g"), ("<[^>]*>", "", "g"), (r"\[http:[^] ]*", "[", "g"),
+    (r"\|thumb", "", "gi"), (r"\|left", "", "gi"), (r"\|right", "", "gi"), (r"\|[0-9]+px", "", "gi"),
+    (r"\[\[image:[^\[\]]*\|", "", "gi"), (r"\[\[category:([^|\]]*)[^\]]*\]\]", r"[[\1]]", "gi"), (r"\[\[[a-z\-]*:[^\]]*\]\]", "", "g"),
+    (r"\[\[[^\|\]]*\|", "[[", "g"), (r"\{\{[^}]*\}\}", "", "g"), (r"\{[^}]*\}", "", "g"), ("[", ""), ("]", ""), ("&[^;]*;", " ", "g"),
+]
+# between <text and </text>: the opening line, the page and the last line; nothing of a redirect
+WIKI_SQL = f"""WITH w AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE '<text xml:space=''preserve''>start' || chr(10)
+|| replace(html, chr(10), ' ') || chr(10) || {_sql_text(WIKI_TAIL.split(chr(10))[1])} END AS x FROM pages),
+t AS (SELECT page_id, {_steps_sql('x', WIKI_STEPS)} AS x FROM w) SELECT page_id, md5(x) AS digest, length(x)::INTEGER AS n FROM t"""
 
 QUERIES = {
     "cells": (cells, CELLS_SQL),

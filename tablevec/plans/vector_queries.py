@@ -364,18 +364,55 @@ UNION ALL SELECT id, 'antihub' FROM e WHERE id NOT IN (SELECT id FROM occ)"""
 
 
 def hubness_skew(spark, d):
+    """Skewness and Robin Hood index of the lists, before and after mutual proximity."""
     table = emb(spark, d)
-    return analyze.occurrence_skew(table, neighbours.knn(table, K), K).select(
-        F.round("skew", 6).alias("skew"), F.round("robin_hood", 6).alias("robin_hood")
+    lists = {"plain": neighbours.knn(table, K), "reduced": _reduced(table)}
+    out = None
+    for kind, near in lists.items():
+        s = analyze.occurrence_skew(table, near, K).select(
+            F.lit(kind).alias("kind"), F.round("skew", 6).alias("skew"), F.round("robin_hood", 6).alias("robin_hood")
+        )
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def _reduced(table):
+    return analyze.mutual_proximity(neighbours.knn(table, 100), analyze.distance_fits(table), K)
+
+
+def _above_sql(m: str, s: str) -> str:
+    """Chance that a normal variable lies above d, by the same approximation."""
+    z = f"((d - {m}) / greatest({s}, 1e-12))"
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1 / (1 + 0.3275911::DOUBLE * {x}))"
+    series = (
+        f"(((((1.061405429::DOUBLE * {t} - 1.453152027::DOUBLE) * {t} + 1.421413741::DOUBLE) * {t} - 0.284496736::DOUBLE) * {t} "
+        f"+ 0.254829592::DOUBLE) * {t})"
     )
+    half = f"(0.5::DOUBLE * {series} * exp(-{x} * {x}))"
+    return f"(CASE WHEN {z} > 0 THEN {half} ELSE 1 - {half} END)"
 
 
-SKEW_SQL = f"""WITH {SIMS}, {knn_sql()}, {HUB}, h AS (SELECT coalesce(n, 0)::DOUBLE AS n FROM e LEFT JOIN occ USING (id)), m AS (SELECT avg(n) AS m FROM h)
-SELECT round(avg((n - m) ** 3) / pow(avg((n - m) ** 2), 1.5), 6) AS skew, round(0.5 * sum(abs(n - {K})) / sum(n), 6) AS robin_hood FROM h, m"""
+def proximity_sql(k: int, candidates: str = "cand") -> str:
+    """CTEs ``fits``, ``mp``: candidate rows (qid, id, score) by mutual proximity."""
+    return f"""fits AS MATERIALIZED (SELECT qid AS id, 1 - avg(score) AS m, stddev_pop(score) AS s FROM sims WHERE qid <> id GROUP BY qid),
+ends AS (SELECT c.qid, c.id, 1 - c.score AS d, a.m AS m, a.s AS s, b.m AS om, b.s AS os FROM {candidates} c JOIN fits a ON a.id = c.qid JOIN fits b ON b.id = c.id),
+near AS MATERIALIZED (SELECT qid, id, {_above_sql("m", "s")} * {_above_sql("om", "os")} AS score FROM ends),
+mp AS MATERIALIZED (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id))::INTEGER AS rank FROM near) WHERE rank <= {k})"""
+
+
+SKEW_SQL = f"""WITH {SIMS}, {knn_sql()}, {knn_sql(100, "cand")}, {proximity_sql(K)},
+lists AS (SELECT 'plain' AS kind, id FROM knn UNION ALL SELECT 'reduced', id FROM mp), occ AS (SELECT kind, id, count(*) AS n FROM lists GROUP BY ALL),
+h AS (SELECT kinds.kind, coalesce(n, 0)::DOUBLE AS n FROM e CROSS JOIN (SELECT unnest(['plain', 'reduced']) AS kind) kinds LEFT JOIN occ ON occ.id = e.id AND occ.kind = kinds.kind),
+m AS (SELECT kind, avg(n) AS m FROM h GROUP BY kind)
+SELECT kind, round(avg((n - m) ** 3) / pow(avg((n - m) ** 2), 1.5), 6) AS skew, round(0.5 * sum(abs(n - {K})) / sum(n), 6) AS robin_hood FROM h JOIN m USING (kind) GROUP BY kind"""
 
 
 def mutual_proximity(spark, d):
-    return rounded(analyze.mutual_proximity(neighbours.knn(emb(spark, d), 100), K)).select("qid", "id", "score", F.col("rank").cast("int").alias("rank"))
+    return _reduced(emb(spark, d)).select("qid", "id", F.round("score", 4).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+PROXIMITY_SQL = f"WITH {SIMS}, {knn_sql(100, 'cand')}, {proximity_sql(K)} SELECT qid, id, round(score, 4) AS score, rank FROM mp"
 
 
 QUERIES = {
@@ -409,5 +446,5 @@ QUERIES = {
     "hubness_sample": (hubness_sample, SAMPLE_SQL),
     "hubs_and_antihubs": (hubs_and_antihubs, ANTIHUBS_SQL),
     "hubness_skew": (hubness_skew, SKEW_SQL),
-    "mutual_proximity": (mutual_proximity, None),
+    "mutual_proximity": (mutual_proximity, PROXIMITY_SQL),
 }

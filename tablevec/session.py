@@ -49,14 +49,3 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, few_rows: int = 1000) -> DataFrame:
-    """A table that comes as fewer splits than there are cores, dealt out over the cores.
-
-    Tables of many files are left as they are; so are very small ones.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores or len(df.select().head(few_rows)) < few_rows:
-        return df
-    return df.repartition(cores)

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tablevec.session import settle
 
-# Helper files that are no relations, and the encoding of relation files.
+# Helper files that are no relations, the encoding of relation files, the sample's items and prices.
 HELPER_FILES = (".DS_Store", "base_processed.csv")
 ENCODING = "ISO-8859-1"
-SAMPLE_ITEMS = [("apple", 5), ("pear", 2), ("egg", 10)]
-SAMPLE_MONEY = [1000, 200, 500]
+SAMPLE_ITEMS = [("macbook", 1000), ("book", 200), ("iphone", 500)]
 
 
 def list_relations(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -114,7 +113,7 @@ def generate_sample(spark: SparkSession, k: int = 1) -> dict[str, DataFrame]:
     """Three linked tables with three known kinds of rows: base and trans (1000k rows) and price."""
     ids = spark.range(1000 * k).select(F.col("id"), (F.col("id") % 3).cast("int").alias("kind"))
     name = F.concat(F.lit("type"), (F.col("kind") + 1).cast("string"), F.lit("_"), F.col("id").cast("string"))
-    money = F.element_at(F.array(*[F.lit(m) for m in SAMPLE_MONEY]), F.col("kind") + 1)
+    money = F.element_at(F.array(*[F.lit(p) for _, p in SAMPLE_ITEMS]), F.col("kind") + 1)
     item = F.element_at(F.array(*[F.lit(i) for i, _ in SAMPLE_ITEMS]), F.col("kind") + 1)
     return {
         "base": ids.select("id", name.alias("name"), money.alias("money")),

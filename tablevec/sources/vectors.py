@@ -33,8 +33,11 @@ def write_w2v_text(emb: DataFrame, path: str) -> None:
 
 
 def read_w2v_text(spark: SparkSession, path: str) -> DataFrame:
-    """(token, vec); lines of two numbers are headers."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), BLANKS).alias("p")).where(F.size("p") > 2)
+    """(token, vec) without the header line ``n d``, which may stand in any part file."""
+    lines = spark.read.text(path).select(F.split(F.trim("value"), BLANKS).alias("p")).where(F.size("p") > 1)
+    longest, rows = lines.agg(F.max(F.size("p")), F.count(F.lit(1))).first()
+    header = [str(rows - 1), str((longest or 2) - 1)]
+    lines = lines.where(~F.col("p").eqNullSafe(F.array(*[F.lit(x) for x in header])))
     return lines.select(F.col("p")[0].alias("token"), F.expr("slice(p, 2, size(p) - 1)").cast("array<double>").alias("vec"))
 
 
@@ -89,8 +92,8 @@ def write_corpus(documents: DataFrame, path: str, order: list[str] | None = None
 
 def save_vocab(counts: DataFrame, path: str) -> None:
     """``word n`` lines, most frequent first."""
-    counts.orderBy(F.desc("n"), "word").select("word", "n").write.option("sep", " ").csv(path)
+    counts.orderBy(F.desc("n"), "word").select("word", "n").write.options(sep=" ", quote='"', escape='"', emptyValue="").csv(path)
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", " ").schema("word string, n bigint").csv(path)
+    return spark.read.options(sep=" ", quote='"', escape='"').schema("word string, n bigint").csv(path)

@@ -23,14 +23,67 @@ def test_number_rows_with_a_hot_group(spark):
         assert {round(r["all"], 6) for r in mine} == {round(sum(r.w for r in mine), 6)}
 
 
-def test_cut_values_do_not_change_results(spark):
+def test_number_of_ranges_does_not_change_results(spark):
     df = spark.createDataFrame([(f"w{i * 37 % 101}'\\",) for i in range(101)], "t string").distinct()
     want = sorted(r.t for r in df.collect())
-    for cuts in ([], want[10:90:7], None):
-        got = ordering.number_rows(df, [], ["t"], "id", cuts=cuts).collect()
+    for parts in (1, 7, None):
+        got = ordering.number_rows(df, [], ["t"], "id", parts=parts).collect()
         assert [r.t for r in sorted(got, key=lambda r: r.id)] == want
 
 
+def test_null_groups_and_null_and_nan_places(spark):
+    rows = [(None if i % 4 == 0 else f"g{i % 3}", None if i == 17 else i, i) for i in range(41)]
+    df = spark.createDataFrame(rows, "`the.group` string, `it's` int, n int").withColumn("n", F.col("n").cast("decimal(10,2)"))
+    got = ordering.number_rows(df, ["the.group"], ["it's"], "pos", totals={"size": "*"}, parts=5).collect()
+    assert len(got) == 41
+    for group in {r[0] for r in rows}:
+        mine = sorted((r for r in got if r[0] == group), key=lambda r: r.pos)
+        values = [r[1] for r in mine]
+        assert values == sorted(values, key=lambda v: (v is not None, v or 0))
+        assert [r.pos for r in mine] == list(range(len(mine))) and {r["size"] for r in mine} == {len(mine)}
+    by_date = spark.range(30).select(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 7 % 30).cast("int")).alias("d"))
+    assert [r.d for r in sorted(ordering.number_rows(by_date, [], ["d"], parts=4).collect(), key=lambda r: r.pos)] == sorted(r.d for r in by_date.collect())
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,), (-1.5,), (0.0,)], "x double")
+    ordered = [r.x for r in sorted(ordering.number_rows(odd, [], ["x"], parts=3).collect(), key=lambda r: r.pos)]
+    assert ordered[:4] == [None, -1.5, 0.0, float("inf")] and np.isnan(ordered[4])
+
+
+def test_a_nan_is_a_missing_number(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(40)] + [(float("nan"),), (None,)], "x double")
+    plain = df.where("x IS NOT NULL AND NOT isnan(x)")
+    assert prep.quantile_edges(prep.long_values(df)).collect() == prep.quantile_edges(prep.long_values(plain)).collect()
+    bins = [r.x for r in prep.quantize(df, {"x": ("eqw_quantize", "cell")}).collect()]
+    assert bins.count(None) == 2 and sorted(b for b in bins if b is not None) == sorted(i // 4 + 1 for i in range(40))
+
+
+def test_names_with_dots_and_quotes(spark):
+    names = ["a.b", "it's", "back`tick", "plain"]
+    df = spark.createDataFrame([(i, float(i * i), f"text, {i}", "x") for i in range(30)], "c0 int, c1 double, c2 string, c3 string").toDF(*names)
+    profile = {r.col: r for r in prep.profile_columns(df).collect()}
+    assert set(profile) == set(names) and profile["a.b"]["distinct"] == 30 and profile["it's"]["max"] == 841.0
+    plan = prep.strategy_map(prep.infer_strategies(prep.profile_columns(df)))
+    tokens = textify.repository_tokens({"t": df}, {"t": F.col("`a.b`")}, {"t": plan}).collect()
+    assert {r.col for r in tokens} == set(names) and len(tokens) == 120
+    assert {r.token for r in tokens if r.col == "back`tick"} == {f"text_{i}" for i in range(30)}
+    assert prep.category_codes(df, "back`tick").count() == 30
+    assert prep.one_hot(df, "plain").columns == [*names[:3], "plain_x"]
+    assert textify.row_pair_combinations(df).count() == 180 and textify.term_counts({"t": df}).count() > 0
+
+
+def test_strategies_of_tables_that_share_a_name(spark):
+    one = prep.profile_columns(spark.range(30).selectExpr("id AS value", "id * 1.5D AS x")).withColumn("relation", F.lit("one"))
+    two = prep.profile_columns(spark.range(30).selectExpr("CAST(id AS string) AS value")).withColumn("relation", F.lit("two"))
+    got = [(r.relation, r.col) for r in prep.infer_strategies(one.unionByName(two)).collect()]
+    assert sorted(got) == [("one", "value"), ("one", "x"), ("two", "value")]
+
+
+def test_sparse_one_hot(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "k string")
+    assert sorted((r.k or "", r.features.ones, r.features["size"]) for r in prep.one_hot_vectors(df, "k").collect()) == [
+        ("", [], 2), ("a", [0], 2), ("b", [1], 2), ("b", [1], 2)
+    ]
+
+
 def test_percentiles_equal_numpy(spark):
     rng = np.random.default_rng(1)
     values = np.concatenate([rng.normal(size=301), np.full(200, 0.5)])
@@ -43,8 +96,7 @@ def test_percentiles_equal_numpy(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_join_hot_equals_plain_join(spark, monkeypatch, how):
-    monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
+def test_join_hot_equals_plain_join(spark, how):
     left = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i % 90}", i) for i in range(300)], "k string, i int")
     right = spark.createDataFrame([("hot", 1.0)] + [(f"k{i}", float(i)) for i in range(60)], "k string, v double")
     key = lambda r: (r.k, r.i, r.v is None, r.v or 0)
@@ -53,6 +105,15 @@ def test_join_hot_equals_plain_join(spark, monkeypatch, how):
     assert got == sorted(left.join(right, ["k"], how).select("k", "i", "v").collect(), key=key)
 
 
+def test_a_hot_key_is_split_at_any_size(spark):
+    left = spark.range(10_000).selectExpr("CASE WHEN id % 3 < 2 THEN -1 ELSE id END AS k", "id")
+    right = spark.range(-1, 10_000).selectExpr("id AS k", "id * 2 AS v")
+    joined = ordering.join_hot(left, right, ["k"])
+    assert "Union" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.k for r in ordering.hot_keys(left, ["k"]).collect()] == [-1]
+    assert joined.count() == 10_000
+
+
 def test_draw_is_an_md5(spark):
     got = spark.range(3).select(draw(7, "id", F.lit(2)).alias("d")).collect()
     assert [r.d for r in got] == [int(hashlib.md5(f"7|{i}|2".encode()).hexdigest()[:8], 16) for i in range(3)]

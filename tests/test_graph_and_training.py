@@ -30,8 +30,7 @@ def test_edges_prune_and_weigh(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("weighted", [False, True])
-def test_every_move_is_an_edge(spark, monkeypatch, weighted):
-    monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
+def test_every_move_is_an_edge(spark, weighted):
     edges = star_and_ring(spark).cache()
     known = {(r.src, r.dst) for r in edges.collect()}
     paths = walks.random_walks(edges, 3, 7, weighted, seed=2).collect()
@@ -137,9 +136,7 @@ def sents(spark, lines):
     return spark.createDataFrame([(1, i, line.split()) for i, line in enumerate(lines)], "doc bigint, sent int, words array<string>")
 
 
-@pytest.mark.parametrize("limit", [10, 0])
-def test_phrases_join_left_to_right(spark, monkeypatch, limit):
-    monkeypatch.setattr(train, "MAX_BROADCAST_PHRASES", limit)
+def test_phrases_join_left_to_right(spark):
     s = sents(spark, ["a b a b c", "x a b", "b a", "b b b b b", "x"])
     phrases = spark.createDataFrame([("a", "b"), ("b", "b"), ("b", "c")], "a string, b string")
     got = {r.sent: " ".join(r.words) for r in train.merge_phrases(s, phrases).collect()}

@@ -124,12 +124,14 @@ def test_mutual_proximity_against_brute_force(spark):
     m = np.random.default_rng(6).normal(size=(40, 5))
     near = neighbours.knn(table(spark, m), 12).cache()
     lists = brute(m, 12)
-    fit = {q: (np.mean([1 - s for _, s in v]), np.std([1 - s for _, s in v])) for q, v in lists.items()}
+    fit = {q: (np.mean([1 - s for _, s in v]), np.std([1 - s for _, s in v])) for q, v in brute(m, 39).items()}
+    fits = analyze.distance_fits(table(spark, m)).cache()
+    assert {r.id: (r.m, r.s) for r in fits.collect()} == {q: pytest.approx(f, abs=1e-8) for q, f in fit.items()}
 
     def above(d, f):
         return 1 - 0.5 * (1 + erf((d - f[0]) / f[1] / 2**0.5))
 
-    got = {(r.qid, r.id): r.score for r in analyze.mutual_proximity(near, 12).collect()}
+    got = {(r.qid, r.id): r.score for r in analyze.mutual_proximity(near, fits, 12).collect()}
     for q, v in lists.items():
         for i, s in v:
             assert got[q, i] == pytest.approx(above(1 - s, fit[q]) * above(1 - s, fit[i]), abs=1e-6)
