@@ -6,6 +6,8 @@ A step never holds a neighbour list: a walker draws the number of an arc and joi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +62,22 @@ def _held(arcs: DataFrame, *keys: str) -> DataFrame:
     return arcs.repartition(parts, *keys).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _put_by(walkers: DataFrame, pieces: list[DataFrame], at) -> DataFrame:
+    """Writes the moves made so far; the walkers that stand somewhere go on without them."""
+    walkers = settle(walkers)
+    pieces.append(walkers.select("start", "walk", F.lit(len(pieces)).alias("piece"), "path"))
+    return walkers.where(at.isNotNull()).withColumn("path", F.array().cast(walkers.schema["path"].dataType))
+
+
+def _whole_paths(pieces: list[DataFrame]) -> DataFrame:
+    """(start, walk, path): the pieces of each walk, brought together once."""
+    if len(pieces) == 1:
+        return pieces[0].drop("piece")
+    every = reduce(DataFrame.unionAll, pieces)
+    joined = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "path"))), lambda x: x["path"]))
+    return every.groupBy("start", "walk").agg(joined.alias("path"))
+
+
 def random_walks(
     edges: DataFrame,
     num_walks: int = 10,
@@ -85,6 +103,7 @@ def random_walks(
         F.col("start").alias("src"),
         "degree",
     )
+    pieces: list[DataFrame] = []
     for step in range(1, length + 1):
         drawn = walkers.withColumn("u", draw(seed, "start", "walk", F.lit(step)))
         if weighted:
@@ -103,9 +122,9 @@ def random_walks(
             F.col("a_next_degree").alias("degree"),
         )
         if step % STEPS_PER_PLAN == 0 or step == length:
-            walkers = settle(walkers)
+            walkers = _put_by(walkers, pieces, F.col("src"))
     arcs.unpersist()
-    return walkers.select("start", "walk", "path")
+    return _whole_paths(pieces)
 
 
 def visits(walks: DataFrame) -> DataFrame:
@@ -194,6 +213,7 @@ def second_order_walks(
         F.lit(None).cast("bigint").alias("prev"),
         F.lit(None).cast("array<bigint>").alias("prev_nbrs"),
     )
+    pieces: list[DataFrame] = []
     for step in range(1, length + 2):
         drawn = walkers.withColumn("copy", (draw("copy", "start", "walk", F.lit(step)) % F.col("copies")).cast("int"))
         here = drawn.join(lists, ["id", "copy"], "left").select(
@@ -225,9 +245,9 @@ def second_order_walks(
             F.col("ids").alias("prev_nbrs"),
         )
         if step % STEPS_PER_PLAN == 0 or step == length + 1:
-            walkers = settle(walkers)
+            walkers = _put_by(walkers, pieces, F.col("id"))
     lists.unpersist()
-    return walkers.select("start", "walk", "path")
+    return _whole_paths(pieces)
 
 
 def visit_counts(walks: DataFrame, dictionary: DataFrame) -> DataFrame:
