@@ -2,25 +2,28 @@
 
 A document is its set of hashed n-grams; two link if their Jaccard similarity is at least ``percent``.
 
-1. Equal ranges of the hash space are groups. Linked sets differ in at most d n-grams, where d follows
-   from the larger set's size class, so with more than d groups at least one group is equal in both:
-   documents that agree on a whole group meet in a block, and no linked pair is missed.
-2. The counts of 32 groups are a document's point. The overlap of two documents is at most the sum of the
-   coordinate minima, of two sets of points the same of their upper corners; pairs and branches of an
-   R-tree over a block's points below the overlap that a link needs are dropped.
-3. Surviving pairs are verified exactly on their sets. First each document with the first of its blocks;
-   what that links is one component, and only pairs across components need a look in the second round.
-   So a group of many copies costs one comparison a copy.
+1. Equal ranges of the hash space are groups. Linked sets differ in at most d n-grams, so with G groups
+   at least G - d are equal in both; G follows from the larger set's size class and exceeds d by a fifth.
+   Documents that agree on a whole group meet in a block, linked ones in many.
+2. Round one verifies each document with the lowest document of a block that it shares most blocks with.
+   So a group of many copies costs one comparison a copy, and what is linked is one component.
+3. Round two takes the pairs of documents in a block that are not in one component yet. The counts of 32
+   groups are a document's point; the overlap of two documents is at most the sum of the coordinate minima
+   of their points, of two boxes of points that of their upper corners. An R-tree over a block's points
+   drops what stays below the overlap that a link needs, and pairs must share as many blocks as a link
+   would. What is left is verified exactly on the whole sets, so every link is found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablevec.llm.batches import Cache, slices
@@ -32,6 +35,8 @@ CACHED_WORDS = 1_000_000
 CLASS_GROWTH = 1.41
 HUB_PAIRS = 2048
 HELD_ROWS = 200_000
+LARGEST = 1 << 40
+CLASS_BITS = 7
 LEAF = 16
 HASH_BYTES = 6
 
@@ -70,36 +75,49 @@ class Shingler:
             yield np.unique(total)
 
 
-def size_classes(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(class, groups, spare) of the classes in which a set of ``n`` meets those it may link to.
+@cache
+def class_table(percent: int) -> np.ndarray:
+    """Rows (upper, differ, margin, spare) of the size classes; a class holds sizes above the upper before.
 
-    A pair meets in the class of its larger set. ``groups`` exceeds the largest number of differing n-grams
-    by 1 and by ``spare``, for groups that are empty in both sets and say nothing.
+    ``differ`` is the largest number of n-grams in which linked sets can differ if the larger one is in
+    the class, ``margin`` the number of groups beyond that, ``spare`` that of groups for such as are empty in
+    both sets and say nothing.
     """
-    out, number, upper = [], 0, 1
-    largest = 100 * n // percent
-    while True:
-        if upper >= n:
-            differ = (100 - percent) * 2 * upper // (100 + percent)
-            if differ:
-                spare = 2 + differ // 50
-                out.append((number, differ + 1 + spare, spare))
-            if upper >= largest:
-                return out
-        number, upper = number + 1, max(upper + 1, int(upper * CLASS_GROWTH))
+    rows, upper = [], 1
+    while upper < LARGEST:
+        differ = (100 - percent) * 2 * upper // (100 + percent)
+        rows.append((upper, differ, 1 + differ // 5, 2 + differ // 50))
+        upper = max(upper + 1, int(upper * CLASS_GROWTH))
+    return np.array(rows, dtype=np.int64)
+
+
+def class_of(sizes: np.ndarray, percent: int) -> np.ndarray:
+    return np.searchsorted(class_table(percent)[:, 0], sizes)
+
+
+def needed_blocks(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """How many blocks of the larger one's class two linked sets of these sizes share at least."""
+    _, differ, margin, _ = class_table(percent)[class_of(np.maximum(a, b), percent)].T
+    return differ + margin - (100 - percent) * (a + b) // (100 + percent)
 
 
 def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """A key for each class and group of a sorted set."""
+    """A key for each group of a sorted set, in each class where it may be linked; the last bits are the class."""
     out = []
-    for number, groups, spare in size_classes(len(hashes), percent):
+    table = class_table(percent)
+    for number in range(int(class_of(len(hashes), percent)), int(class_of(100 * len(hashes) // percent, percent)) + 1):
+        _, differ, margin, spare = table[number].tolist()
+        if not differ:  # only equal sets link
+            continue
+        groups = differ + margin + spare
         group = ((hashes >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         label = group[first] + np.uint64(number << 40)
-        out.append(_mix(np.add.reduceat(_mix(hashes), first) + _mix(label)))
+        keys = [_mix(np.add.reduceat(_mix(hashes), first) + _mix(label))]
         if groups - len(first) > spare:  # so many empty groups that only these might agree
             empty = np.setdiff1d(np.arange(groups, dtype=np.uint64), group[first]) + np.uint64(number << 40)
-            out.append(_mix(_mix(empty) + np.uint64(1)))
+            keys.append(_mix(_mix(empty) + np.uint64(1)))
+        out.append((np.concatenate(keys) << np.uint64(CLASS_BITS)) | np.uint64(number))
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
@@ -153,52 +171,79 @@ def make_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("node", "text").mapInArrow(work, ROWS)
 
 
-MET = "kind int, key long, node long, first long, size long, point binary"
+MET = "kind int, key long, node long, first long, size long, n long, point binary"
 
 
 def meet(rows: DataFrame) -> DataFrame:
     """From rows sorted by (point is null, key, node), whole keys to a task.
 
     kind 0: a document, ``first`` the lowest node of the same content; kind 3: a document, ``first`` an equal one
-    of its task. kind 1: a pair of a block's lowest node
-    (``first``) and another. kind 2: members of blocks of three or more, one block for each set of members.
+    of its task. kind 1: a block's lowest node (``first``) and another met ``n`` times in class ``key``, ``size``
+    of these without a third. kind 2: members of blocks of three or more, one block for all ``n`` that have the
+    same members in some stretch of rows.
     """
 
-    def out(kind, key, node, first, size, point) -> pa.RecordBatch:
-        n = len(node)
+    def out(kind, key, node, first, size, n, point=None) -> pa.RecordBatch:
+        rows = len(node)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, dtype=np.int32)), *[pa.array(x, pa.int64()) for x in (key, node, first, size)],
-             pa.array(point if point is not None else [None] * n, pa.binary())],
+            [pa.array(np.full(rows, kind, dtype=np.int32)), *[pa.array(x, pa.int64()) for x in (key, node, first, size, n)],
+             pa.array(point if point is not None else [None] * rows, pa.binary())],
             [x.split(" ")[0] for x in MET.split(", ")],
         )
 
-    def blocks(key: np.ndarray, node: np.ndarray, seen: Cache) -> Iterator[pa.RecordBatch]:
+    def blocks(key: np.ndarray, node: np.ndarray, part: bool) -> Iterator[pa.RecordBatch]:
+        """``part``: the rows are a piece of one very large block."""
         fresh = np.ones(len(key), dtype=bool)
         fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node = key[fresh], node[fresh]
+        kind = key & ((1 << CLASS_BITS) - 1)
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         size = np.diff(np.append(start, len(key)))
-        first = np.repeat(node[start], size)
-        pair = np.unique(np.stack([first, node])[:, first != node], axis=1)
-        if pair.shape[1]:
-            zero = np.zeros(pair.shape[1], dtype=np.int64)
-            yield out(1, zero, pair[1], pair[0], zero, None)
-        if (size > 2).any():
-            members = np.add.reduceat(_mix(node.view(np.uint64)), start)
-            take = np.zeros(len(start), dtype=bool)
-            for b in np.flatnonzero(size > 2):
-                m = int(members[b])
-                if m not in seen:
-                    seen.make_room(1)
-                    seen[m] = take[b] = True
-            rows = np.repeat(take, size)
-            zero = np.zeros(rows.sum(), dtype=np.int64)
-            yield out(2, key[rows], node[rows], first[rows], zero, None)
+        first, alone = np.repeat(node[start], size), np.repeat((size == 2) & (not part), size)
+        other = first != node
+        if other.any():
+            order = np.lexsort((node[other], first[other], kind[other]))
+            k, f, v, two = (x[other][order] for x in (kind, first, node, alone))
+            at = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (f[1:] != f[:-1]) | (v[1:] != v[:-1]))))
+            yield out(1, k[at], v[at], f[at], np.add.reduceat(two.astype(np.int64), at), np.diff(np.append(at, len(k))))
+        if part:
+            ones = np.ones(len(key), dtype=np.int64)
+            yield out(2, key, node, first, ones, ones)
+        elif (size > 2).any():
+            members = np.add.reduceat(_mix(node.view(np.uint64)), start) + _mix(kind[start].astype(np.uint64))
+            large = np.flatnonzero(size > 2)
+            _, at, n = np.unique(members[large], return_index=True, return_counts=True)
+            times = np.zeros(len(start), dtype=np.int64)
+            times[large[at]] = n
+            times = np.repeat(times, size)
+            rows = times > 0
+            yield out(2, key[rows], node[rows], first[rows], times[rows], times[rows])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Cache(500_000)
         last = None  # content and lowest node of the last document row
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        large = None  # key and lowest node of a very large block that may go on
+
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, large
+            key, node = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
+            held = []
+            if large is not None:
+                end = int(np.searchsorted(key, large[0], side="right"))
+                if end:
+                    yield from blocks(np.append(key[:1], key[:end]), np.append(large[1], node[:end]), True)
+                key, node = key[end:], node[end:]
+                large = None if len(key) else large
+            cut = len(key) if final or not len(key) else int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from blocks(key[:cut], node[:cut], False)
+            key, node = key[cut:], node[cut:]
+            if len(key) >= HELD_ROWS:
+                yield from blocks(key, node, True)
+                large = key[0], node[0]
+            elif len(key):
+                held = [(key, node)]
+
         for batch in batches:
             key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
             point = batch.column("point")
@@ -207,7 +252,7 @@ def meet(rows: DataFrame) -> DataFrame:
             size = batch.column("size").to_numpy()
             if follows.any():
                 to = batch.column("same").filter(pa.array(follows)).to_numpy()
-                yield out(3, key[follows], node[follows], to, size[follows], point.filter(pa.array(follows)))
+                yield out(3, key[follows], node[follows], to, size[follows], size[follows], point.filter(pa.array(follows)))
             docs = every & ~follows
             if docs.any():
                 k, v = key[docs], node[docs]
@@ -217,20 +262,14 @@ def meet(rows: DataFrame) -> DataFrame:
                 if last is not None:
                     head[k == last[0]] = last[1]
                 last = k[-1], head[-1]
-                yield out(0, k, v, head, size[docs], point.filter(pa.array(docs)))
+                yield out(0, k, v, head, size[docs], size[docs], point.filter(pa.array(docs)))
             if every.all():
                 continue
             held.append((key[~every], node[~every]))
-            whole = np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])
-            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last block may go on
-            if cut:
-                yield from blocks(whole[0][:cut], whole[1][:cut], seen)
-            held = [(whole[0][cut:], whole[1][cut:])]
-            if len(held[0][0]) > HELD_ROWS:  # a very large block: its lowest node goes with every piece
-                yield from blocks(*held[0], seen)
-                held = [(held[0][0][:1], held[0][1][:1])]
+            if sum(len(k) for k, _ in held) >= HELD_ROWS:
+                yield from flush(False)
         if held:
-            yield from blocks(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]), seen)
+            yield from flush(True)
 
     return rows.mapInArrow(work, MET)
 
@@ -240,8 +279,9 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
     return (100 + percent) * overlap.astype(np.int64) >= percent * (a + b)
 
 
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose points allow a link."""
+def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n) of pairs (a, b, kind, n) that met ``n`` times in class ``kind``: those in the class of the larger
+    one, met as often as a link needs, whose points allow one."""
     sides = pairs
     for x in ("a", "b"):
         sides = sides.join(points.select(
@@ -252,11 +292,14 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            x, y = batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy()
             p, q = (_matrix(batch.column(f"point_{x}")) for x in "ab")
-            keep = enough(np.minimum(p, q).sum(axis=1), batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = class_of(np.maximum(x, y), percent) == batch.column("kind").to_numpy()
+            keep &= batch.column("n").to_numpy() >= needed_blocks(x, y, percent)
+            keep &= enough(np.minimum(p, q).sum(axis=1), x, y, percent)
+            yield batch.select(["a", "b", "n"]).filter(pa.array(keep))
 
-    return sides.mapInArrow(work, "a long, b long")
+    return sides.mapInArrow(work, "a long, b long, n long")
 
 
 def _matrix(points: pa.Array) -> np.ndarray:
@@ -310,21 +353,28 @@ def _children(pairs: np.ndarray, n: int) -> np.ndarray:
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in a block, from rows (key, node, component, size, point) sorted by key."""
+    """(a, b, kind, n): pairs of different components in a block, from rows (key, node, component, n, size, point)
+    with the rows of a key together."""
 
     def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
         component = np.array([r[2] for r in rows])
         if (component == component[0]).all():
             return None
-        node, size = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
-        points = np.frombuffer(b"".join(r[4] for r in rows), dtype="<u4").reshape(-1, POINT)
-        found = node[tree_pairs(points, size, component, percent)]
-        return pa.RecordBatch.from_arrays([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], ["a", "b"]) if len(found) else None
+        node, size = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
+        points = np.frombuffer(b"".join(r[5] for r in rows), dtype="<u4").reshape(-1, POINT)
+        found = tree_pairs(points, size, component, percent)
+        kind = rows[0][0] & ((1 << CLASS_BITS) - 1)
+        found = found[class_of(size[found].max(axis=1), percent) == kind] if len(found) else found
+        if not len(found):
+            return None
+        same = [np.full(len(found), x, dtype=np.int64) for x in (kind, rows[0][3])]
+        ends = node[found]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ends.min(axis=1), ends.max(axis=1), *same)], ["a", "b", "kind", "n"])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "component", "size", "point")], strict=True):
+            for r in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "component", "n", "size", "point")], strict=True):
                 if held and r[0] != held[0][0]:
                     if (found := pairs(held)) is not None:
                         yield found
@@ -333,11 +383,11 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         if held and (found := pairs(held)) is not None:
             yield found
 
-    return members.mapInArrow(work, "a long, b long")
+    return members.mapInArrow(work, "a long, b long, kind long, n long")
 
 
-def meetings(pairs: DataFrame, others: DataFrame) -> DataFrame:
-    """(node, at): for each node of the pairs the hubs (a, piece, side) where its set is wanted; none for ``others``.
+def meetings(pairs: DataFrame) -> DataFrame:
+    """(node, at): for each node of the pairs (a, b) the hubs (a, piece, side) where its set is wanted.
 
     A hub's partners are dealt out to pieces of about ``HUB_PAIRS``, each of which also gets the hub's own set.
     """
@@ -345,25 +395,37 @@ def meetings(pairs: DataFrame, others: DataFrame) -> DataFrame:
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "__pieces").alias("piece"))
     partner = dealt.select(F.col("b").alias("node"), F.struct("a", "piece", F.lit(1).alias("side")).alias("at"))
     hub = dealt.select("a", "piece").distinct().select(F.col("a").alias("node"), F.struct("a", "piece", F.lit(0).alias("side")).alias("at"))
-    none = others.select("node", F.expr("CAST(NULL AS struct<a:bigint,piece:bigint,side:int>)").alias("at"))
-    return settle(partner.unionAll(hub).unionAll(none).groupBy("node").agg(F.collect_list("at").alias("at")))
+    return settle(partner.unionAll(hub).groupBy("node").agg(F.collect_list("at").alias("at")))
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(node, data): compressed texts, for the shuffle that joins them."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches, 1024):
+            data = [pack((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(data, pa.binary())], ["node", "data"])
+
+    return docs.select("node", "text").mapInArrow(work, "node long, data binary")
 
 
 def make_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, at, hashes) of rows (node, at, text): each document's sorted set, 48 bits a hash."""
+    """(node, at, hashes) of rows (node, at, data): each document's sorted set, 48 bits a hash."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, 256):
+            texts = [unpack(x).decode() for x in batch.column("data").to_pylist()]
             packed = [
                 np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :].tobytes()
-                for h in shingler.sets(batch.column("text").to_pylist())
+                for h in shingler.sets(texts)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("at"), pa.array(packed, pa.binary())], ["node", "at", "hashes"]
             )
 
-    rows = docs.select("node", "at", "text")
+    rows = docs.select("node", "at", "data")
     return rows.mapInArrow(work, rows.select("node", "at", F.lit(b"").alias("hashes")).schema)
 
 
@@ -373,8 +435,9 @@ def _unpack(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8")
 
 
-def verify(sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, of rows (node, at, hashes)."""
+def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    sets = make_sets(packed_texts(docs).join(meetings(pairs), "node"), words)
     met = sets.select("node", F.explode("at").alias("at"), "hashes").select("at.*", "node", "hashes")
     met = met.repartition("a", "piece").sortWithinPartitions("a", "piece", "side", "node")
 
@@ -440,34 +503,42 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, text: st
     rows = make_rows(docs, words, percent).repartition("key")
     met = settle(meet(rows.sortWithinPartitions(F.col("point").isNull(), "key", "node")))
     documents = met.where("kind = 0").select("node", "first", "size", "point")
-    points = documents.where("node = first").select("node", "size", "point").distinct()
+    points = settle(documents.where("node = first").select("node", "size", "point").distinct())
     heads = documents.select("node", "first")
     names = heads.unionAll(  # a node and what stands for its content
         met.where("kind = 3").select("node", F.col("first").alias("to")).join(heads.withColumnRenamed("node", "to"), "to").select("node", "first")
     )
     names = settle(names.distinct())
 
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs between representatives, lower first."""
-        for x in ("a", "b"):
-            pairs = pairs.join(names.select(F.col("node").alias(x), F.col("first").alias(f"__{x}")), x).drop(x).withColumnRenamed(f"__{x}", x)
-        return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    stars = named(met.where("kind = 1").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    stars = settle(bounded(stars, points, percent))
-    members = met.where("kind = 2").select("key", "node").join(names, "node").select("key", F.col("first").alias("node")).distinct()
-    members = settle(members)
-    wanted = meetings(stars, members.select("node").distinct())
-    sets = settle(make_sets(docs.select("node", "text").join(wanted, "node"), words))
-    links = settle(verify(sets, percent).distinct())
+    met_pairs = met.where("kind = 1").groupBy("first", "node", "key").agg(F.sum("size").alias("alone"), F.sum("n").alias("n"))
+    met_pairs = met_pairs.select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("key").alias("kind"), "alone", "n")
+    for x in ("a", "b"):  # between representatives
+        met_pairs = met_pairs.join(names.select(F.col("node").alias(x), F.col("first").alias(f"__{x}")), x).drop(x)
+    met_pairs = settle(
+        met_pairs.where("__a <> __b").groupBy(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"), "kind")
+        .agg(F.sum("alone").alias("alone"), F.sum("n").alias("n"))
+    )
+    stars = possible(met_pairs.drop("alone"), points, percent)
+    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
+    chosen = settle(stars.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == 1).select("a", "b"))
+    links = settle(verify(chosen, docs, words, percent).distinct())
+
+    # pairs in blocks that are not yet one component
     roots = connect(links)
-    around = members.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
-    mixed = around.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
-    around = around.join(mixed, "key", "left_semi").join(points, "node")
-    more = across(around.repartition("key").sortWithinPartitions("key", "node"), percent).distinct()
-    more = settle(more.join(stars, ["a", "b"], "left_anti"))
-    second = sets.select("node", "hashes").join(meetings(more, members.limit(0)), "node")
-    links = settle(links.unionByName(verify(second, percent).distinct()))
+    component = names.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", "first", F.coalesce("root", "first").alias("component"))
+    members = met.where("kind = 2").select("key", "node", "n").join(component, "node")
+    members = settle(members.select("key", F.col("first").alias("node"), "component", "n"))
+    mixed = members.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
+    members = members.join(settle(mixed), "key", "left_semi").join(points, "node")
+    more = across(members.repartition("key").sortWithinPartitions("key", "node"), percent)
+    ends = component.where("node = first").select("node", "component")
+    alone = met_pairs.where("alone > 0").select("a", "b", "kind", F.col("alone").alias("n"))
+    for x in ("a", "b"):
+        alone = alone.join(ends.select(F.col("node").alias(x), F.col("component").alias(f"__{x}")), x)
+    more = more.unionByName(alone.where("__a <> __b").select("a", "b", "kind", "n"))
+    more = more.groupBy("a", "b", "kind").agg(F.sum("n").alias("n"))
+    more = settle(possible(more, points, percent).select("a", "b").join(chosen, ["a", "b"], "left_anti").distinct())
+    links = settle(links.unionByName(verify(more, docs, words, percent).distinct()))
     roots = connect(links)
     component = names.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("root", "first").alias("root"))
     degree = links.select(F.col("a").alias("first")).unionAll(links.select("b")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))

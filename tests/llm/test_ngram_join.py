@@ -73,9 +73,9 @@ def test_equals_brute_force(spark, words, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs, words, percent)
 
 
-def test_every_link_meets(monkeypatch):
-    """Whatever sets link, some block key is common to both."""
+def test_every_link_shares_the_needed_blocks():
     rng = np.random.default_rng(0)
+    seen = 0
     for percent in (80, 85):
         for n in (3, 7, 20, 61, 150, 700, 3000):
             for _ in range(40):
@@ -84,7 +84,27 @@ def test_every_link_meets(monkeypatch):
                 b = np.unique(np.concatenate((b, rng.integers(0, 1 << 63, rng.integers(0, len(a) // 5 + 1), dtype=np.uint64) * np.uint64(2))))
                 overlap = len(np.intersect1d(a, b))
                 if 100 * overlap >= percent * (len(a) + len(b) - overlap) and len(a) + len(b) != 2 * overlap:
-                    assert len(np.intersect1d(ngram_join.block_keys(a, percent), ngram_join.block_keys(b, percent)))
+                    x, y = np.array([len(a)]), np.array([len(b)])
+                    shared = np.intersect1d(ngram_join.block_keys(a, percent), ngram_join.block_keys(b, percent))
+                    kind = ngram_join.class_of(np.maximum(x, y), percent)[0]
+                    of_class = (shared & np.uint64((1 << ngram_join.CLASS_BITS) - 1)) == kind
+                    assert of_class.sum() >= ngram_join.needed_blocks(x, y, percent)[0] >= 1
+                    seen += 1
+    assert seen > 150
+
+
+def test_very_large_blocks_in_pieces(spark, monkeypatch):
+    """A block with more rows than a task holds: every member meets the lowest, and all stay under its key."""
+    monkeypatch.setattr(ngram_join, "HELD_ROWS", 3)
+    keys = [(1, 5), (1, 6), (1, 7), (1, 8), (1, 9), (1, 10), (2, 5), (2, 6), (3, 1)]
+    rows = spark.createDataFrame([(k << 7, v, 0, None, None) for k, v in keys], "key long, node long, size long, point binary, same long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = ngram_join.meet(rows.coalesce(1).sortWithinPartitions("key", "node")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.first, r.node, r.key >> 7 if r.kind == 2 else r.size) for r in got if r.kind == 1} == {(5, v, 0) for v in range(6, 11)} | {(5, 6, 1)}
+    assert {r.node for r in got if r.kind == 2 and r.key >> 7 == 1} == set(range(5, 11))
 
 
 def test_tree_keeps_every_pair_the_bound_allows():
