@@ -25,8 +25,8 @@ def measures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     n_words; word_chars (code points in words); n_symbols; n_lines and n_dup_lines (lines with a word,
     and those equal to an earlier one); n_repeat_words (words in a 5-word window found twice or more,
-    the first included; windows are told apart by 64-bit hashes); n_chars; n_upper; n_distinct (words);
-    n_stops (sentence ends). A null text counts as empty: all zero.
+    the first included; windows are told apart by 64-bit hashes); n_chars; n_upper; n_letters (digits too); n_distinct
+    (words); n_stops (sentence ends). A null text counts as empty: all zero.
     """
     t = F.col("__t")
     rows = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("__t"))
@@ -70,6 +70,7 @@ def measures(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         F.size(F.array_distinct("__w")).cast("long").alias("n_distinct"),
         (F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}", ""))).cast("long").alias("n_upper"),
         (F.length(t) - without(".!?")).cast("long").alias("n_stops"),
+        F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")).cast("long").alias("n_letters"),
     )
 
 
@@ -86,6 +87,7 @@ def votes() -> dict[str, Column]:
     words, chars = F.col("n_words"), F.col("word_chars")
     per_word = F.when(words > 0, chars / words)
     symbols = F.when(words > 0, F.col("n_symbols") / words)
+    letters = F.when(chars > 0, F.col("n_letters") / chars)
     upper = F.when(chars > 0, F.col("n_upper") / chars)
     repeated = F.when(words > 0, F.col("n_repeat_words") / words)
     doubled = F.when(F.col("n_lines") > 0, F.col("n_dup_lines") / F.col("n_lines"))
@@ -95,6 +97,7 @@ def votes() -> dict[str, Column]:
         "length": _vote(words >= 20, words < 10),
         "word_length": _vote(per_word.between(2.5, 12), (per_word < 1.5) | (per_word > 20)),
         "symbols": _vote(symbols < 0.02, symbols > 0.25),
+        "letters": _vote(letters > 0.92, letters < 0.88),
         "capitals": _vote(upper < 0.15, upper > 0.5),
         "repeats": _vote(repeated < 0.05, repeated > 0.25),
         "lines": _vote(doubled < 0.1, doubled > 0.4),
@@ -103,14 +106,17 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit_rules(counts: list[tuple[tuple[int | None, ...], int]], rounds: int = 50, start: float = 0.8, prior: float = 0.9) -> dict:
-    """EM over (votes, count) rows: share of good texts, and per rule the chance of a right vote on good and on bad texts.
+def fit_rules(
+    counts: list[tuple[tuple[int | None, ...], int]], rules: int, rounds: int = 50,
+    on_good: float = 0.99, on_bad: float = 0.15, prior: float = 0.8,
+) -> dict:
+    """EM over (votes, count) rows: share of good texts, and per rule the chance of a right vote on bad and on good texts.
 
-    Chances stay in [0.55, 0.99] and the share in [0.05, 0.99]: a rule never counts against itself, so
-    good and bad can't trade places, and no single vote is certain.
+    It starts from rules that seldom fire on good texts and each know one of several kinds of bad ones. A
+    rule never counts against itself (it fires on bad texts at least as often as on good ones), so good and
+    bad can't trade places, and no single vote is certain.
     """
-    rules = len(counts[0][0]) if counts else 0
-    right = [[start] * rules, [start] * rules]  # on bad, on good
+    right = [[on_bad] * rules, [on_good] * rules]
     good = prior
     for _ in range(rounds):
         share, total = 0.0, 0
@@ -128,9 +134,9 @@ def fit_rules(counts: list[tuple[tuple[int | None, ...], int]], rounds: int = 50
         if total:
             good = min(0.99, max(0.05, share / total))
         # one text's worth of the starting belief keeps rules that rarely vote defined
-        right = [
-            [min(0.99, max(0.55, (hit[s][r] + start) / (seen[s][r] + 1))) for r in range(rules)] for s in (0, 1)
-        ]
+        of_good = [min(0.999, max(0.5, (hit[1][r] + on_good) / (seen[1][r] + 1))) for r in range(rules)]
+        of_bad = [(hit[0][r] + on_bad) / (seen[0][r] + 1) for r in range(rules)]
+        right = [[min(0.99, max(1.01 - g, b)) for g, b in zip(of_good, of_bad, strict=True)], of_good]
     return {"good": good, "right": right}
 
 
@@ -172,7 +178,7 @@ def judge_quality(df: DataFrame, text: str = "text", key: str = "doc_id", least:
         .withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     )
     counted = judged.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
-    model = fit_rules(sorted(((tuple(r[:-1]), r["n"]) for r in counted), key=str))
+    model = fit_rules(sorted(((tuple(r[:-1]), r["n"]) for r in counted), key=str), len(names))
     return judged.withColumn("posterior", posterior_column(names, model)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("posterior") >= least)
     )

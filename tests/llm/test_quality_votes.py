@@ -40,10 +40,10 @@ def test_em_finds_the_better_rule():
         good = rng.random() < 0.7
         row = tuple(int(good if rng.random() < right else not good) if rng.random() < 0.9 else None for right in (0.95, 0.9, 0.6))
         counts[row] = counts.get(row, 0) + 1
-    model = q.fit_rules(sorted(counts.items(), key=str))
+    model = q.fit_rules(sorted(counts.items(), key=str), 3)
     on_good = model["right"][1]
-    assert abs(model["good"] - 0.7) < 0.05 and on_good[0] > 0.88 and on_good[2] < 0.75
-    assert q.fit_rules([])["good"] > 0.5
+    assert abs(model["good"] - 0.7) < 0.15 and on_good[0] > 0.88 and on_good[2] < 0.75
+    assert q.fit_rules([], 3)["good"] > 0.5
 
 
 def test_agrees_with_labels(spark):
@@ -53,7 +53,7 @@ def test_agrees_with_labels(spark):
     good = [r.kept for r in rows if r.quality == 1]
     bad = [r.kept for r in rows if r.quality == 0]
     assert sum(good) >= 0.97 * len(good)
-    assert sum(bad) <= 0.25 * len(bad)
+    assert sum(bad) <= 0.1 * len(bad)
 
 
 def test_empty_table_and_plan(spark):
