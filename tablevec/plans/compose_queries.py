@@ -108,8 +108,11 @@ def compose_repository(spark, d):
 
 
 def _large(name: str) -> str:
-    """Without region, which has 5 rows and 2 columns."""
-    return f"(SELECT * FROM {name} WHERE relation <> 'region')"
+    """Relations with more than 15 rows and 2 columns."""
+    return (
+        f"(SELECT * FROM {name} WHERE relation IN (SELECT relation FROM tok GROUP BY relation "
+        "HAVING count(DISTINCT row_id) > 15 AND count(DISTINCT col) > 2))"
+    )
 
 
 LARGE_COLS = _large("cols")
