@@ -19,7 +19,8 @@ from tablevec.llm.batches import Cache, slices
 
 UNKNOWN = "und"
 LONGEST = 4
-CACHED_WORDS = 500_000
+CACHED_NUMBERS = 4_000_000
+AT_ONCE = 50_000
 RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -72,6 +73,10 @@ def learn_languages(
     return {"langs": langs, "words": tables[0], "grams": tables[1:]}
 
 
+def _indexed(table: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
+    return {x: i for i, x in enumerate(table)}, np.array(list(table.values()), dtype=np.float32)
+
+
 def _top(counts: DataFrame, group: list[str], item: str, k: int) -> DataFrame:
     order = Window.partitionBy(*group).orderBy(F.desc("n"), item)
     return counts.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
@@ -90,38 +95,54 @@ def _log_frequencies(rows: list[tuple[str, str, int]], langs: list[str]) -> dict
 
 
 class Scorer:
+    """Scores texts; evidence for new words is worked out together and kept in a bounded cache."""
+
     def __init__(self, model: dict):
-        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
-        self.none = np.zeros(len(self.langs), dtype=np.float32)
-        self.rows = np.zeros((CACHED_WORDS, len(self.langs)), dtype=np.float32)
-        self.known = Cache(CACHED_WORDS)
-
-    def evidence(self, word: str) -> np.ndarray:
-        """Log frequencies of a word, or the mean over its longest known n-grams."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        marked = f"^{word}$"
+        self.langs = model["langs"]
+        self.tables = [_indexed(model["words"]), *(_indexed({g: v for g, v in t.items() if g not in "^$"}) for t in model["grams"])]
+        most = max(1000, CACHED_NUMBERS // max(1, len(self.langs)))
+        self.rows = np.zeros((most, len(self.langs)), dtype=np.float32)
+        self.known = Cache(most)
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of each word: its own, or the mean over its longest known n-grams, or none."""
+        out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
+        index, values = self.tables[0]
+        at = np.array([index.get(w, -1) for w in words], dtype=np.int64)
+        out[at >= 0] = values[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for size in range(LONGEST, 0, -1):
-            table = self.grams[size - 1]
-            hits = [table[g] for i in range(len(marked) - size + 1) if (g := marked[i : i + size]) in table and g not in "^$"]
-            if hits:
-                return np.mean(hits, axis=0)
-        return self.none
+            index, values = self.tables[size]
+            if not len(left) or not len(values):
+                continue
+            flat: list[int] = []
+            lengths = []
+            for i in left:
+                marked = f"^{words[i]}$"
+                lengths.append(max(0, len(marked) - size + 1))
+                flat += [index.get(marked[j : j + size], -1) for j in range(lengths[-1])]
+            grams, owner = np.array(flat, dtype=np.int64), np.repeat(np.arange(len(left)), lengths)
+            hit = grams >= 0
+            count = np.bincount(owner[hit], minlength=len(left))
+            for k in range(len(self.langs)):
+                total = np.bincount(owner[hit], weights=values[grams[hit], k], minlength=len(left))
+                out[left, k] = np.where(count > 0, total / np.maximum(count, 1), 0)
+            left = left[count == 0]
+        return out
 
     def learn(self, words: set[str]) -> None:
-        start = len(self.known)
-        for i, word in enumerate(words):
-            self.rows[start + i] = self.evidence(word)
-            self.known[word] = start + i
+        start, words = len(self.known), sorted(words)
+        self.rows[start : start + len(words)] = self.evidence(words)
+        self.known.update(zip(words, range(start, start + len(words)), strict=True))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = RUNS.findall(text.lower()) if text else []
         if not any(c.isalpha() for w in words for c in w) or not self.langs:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
-        for start in range(0, len(words), 50_000):  # bounds the new words of one step
-            part = words[start : start + 50_000]
+        step = min(AT_ONCE, self.known.most)
+        for start in range(0, len(words), step):  # bounds the new words of one step
+            part = words[start : start + step]
             new = set(part).difference(self.known)
             if len(self.known) + len(new) > self.known.most:
                 self.known.make_room(len(new))

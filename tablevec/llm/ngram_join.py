@@ -37,6 +37,7 @@ HUB_PAIRS = 2048
 HELD_ROWS = 200_000
 LARGEST = 1 << 40
 CLASS_BITS = 7
+CROWD = 32
 LEAF = 16
 HASH_BYTES = 6
 
@@ -86,7 +87,7 @@ def class_table(percent: int) -> np.ndarray:
     rows, upper = [], 1
     while upper < LARGEST:
         differ = (100 - percent) * 2 * upper // (100 + percent)
-        rows.append((upper, differ, 1 + differ // 5, 2 + differ // 50))
+        rows.append((upper, differ, 3 + differ // 5, 2 + differ // 50))
         upper = max(upper + 1, int(upper * CLASS_GROWTH))
     return np.array(rows, dtype=np.int64)
 
@@ -179,8 +180,8 @@ def meet(rows: DataFrame) -> DataFrame:
 
     kind 0: a document, ``first`` the lowest node of the same content; kind 3: a document, ``first`` an equal one
     of its task. kind 1: a block's lowest node (``first``) and another met ``n`` times in class ``key``, ``size``
-    of these without a third. kind 2: members of blocks of three or more, one block for all ``n`` that have the
-    same members in some stretch of rows.
+    of these without a third. kind 2: members of blocks of ``size``, three or more, one block for all ``n`` that
+    have the same members in some stretch of rows.
     """
 
     def out(kind, key, node, first, size, n, point=None) -> pa.RecordBatch:
@@ -208,7 +209,7 @@ def meet(rows: DataFrame) -> DataFrame:
             yield out(1, k[at], v[at], f[at], np.add.reduceat(two.astype(np.int64), at), np.diff(np.append(at, len(k))))
         if part:
             ones = np.ones(len(key), dtype=np.int64)
-            yield out(2, key, node, first, ones, ones)
+            yield out(2, key, node, first, HELD_ROWS * ones, ones)
         elif (size > 2).any():
             members = np.add.reduceat(_mix(node.view(np.uint64)), start) + _mix(kind[start].astype(np.uint64))
             large = np.flatnonzero(size > 2)
@@ -217,7 +218,7 @@ def meet(rows: DataFrame) -> DataFrame:
             times[large[at]] = n
             times = np.repeat(times, size)
             rows = times > 0
-            yield out(2, key[rows], node[rows], first[rows], times[rows], times[rows])
+            yield out(2, key[rows], node[rows], first[rows], np.repeat(size, size)[rows], times[rows])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # content and lowest node of the last document row
@@ -279,9 +280,22 @@ def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
     return (100 + percent) * overlap.astype(np.int64) >= percent * (a + b)
 
 
+def crowded(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` with ``over``: whether a document does without this block.
+
+    In each class it may leave out half of the margin of its largest blocks, if over ``CROWD`` documents are in
+    them: linked documents still meet in others, and a passage that many documents share brings no pairs.
+    """
+    allowed = F.array(*[F.lit(x) for x in (class_table(percent)[:, 2] // 2).tolist()])
+    largest = Window.partitionBy("node", "kind").orderBy(F.desc("size"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    kind = F.col("key").bitwiseAND((1 << CLASS_BITS) - 1)
+    out = members.withColumn("kind", kind).withColumn("__sum", F.sum("n").over(largest))
+    return out.withColumn("over", (F.col("size") > CROWD) & (F.col("__sum") <= F.get(allowed, F.col("kind").cast("int")))).drop("__sum")
+
+
 def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n) of pairs (a, b, kind, n) that met ``n`` times in class ``kind``: those in the class of the larger
-    one, met as often as a link needs, whose points allow one."""
+    """(a, b, n) of pairs (a, b, kind, n) that met ``n`` times in class ``kind``, blocks that they did without
+    included: those in the class of the larger one, met as often as a link needs, whose points allow one."""
     sides = pairs
     for x in ("a", "b"):
         sides = sides.join(points.select(
@@ -526,8 +540,11 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, text: st
     # pairs in blocks that are not yet one component
     roots = connect(links)
     component = names.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", "first", F.coalesce("root", "first").alias("component"))
-    members = met.where("kind = 2").select("key", "node", "n").join(component, "node")
-    members = settle(members.select("key", F.col("first").alias("node"), "component", "n"))
+    members = crowded(met.where("kind = 2").select("key", "node", "size", "n").join(component, "node"), percent)
+    members = settle(members.select("key", F.col("first").alias("node"), "component", "n", "kind", "over"))
+    missed = members.where("over").groupBy("node", "kind").agg(F.sum("n").alias("__n"))
+    missed = settle(missed)
+    members = members.where("NOT over").select("key", "node", "component", "n")
     mixed = members.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
     members = members.join(settle(mixed), "key", "left_semi").join(points, "node")
     more = across(members.repartition("key").sortWithinPartitions("key", "node"), percent)
@@ -537,6 +554,9 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, text: st
         alone = alone.join(ends.select(F.col("node").alias(x), F.col("component").alias(f"__{x}")), x)
     more = more.unionByName(alone.where("__a <> __b").select("a", "b", "kind", "n"))
     more = more.groupBy("a", "b", "kind").agg(F.sum("n").alias("n"))
+    for x in ("a", "b"):
+        more = more.join(missed.select(F.col("node").alias(x), "kind", F.col("__n").alias(f"__{x}")), [x, "kind"], "left")
+    more = more.select("a", "b", "kind", (F.col("n") + F.coalesce("__a", F.lit(0)) + F.coalesce("__b", F.lit(0))).alias("n"))
     more = settle(possible(more, points, percent).select("a", "b").join(chosen, ["a", "b"], "left_anti").distinct())
     links = settle(links.unionByName(verify(more, docs, words, percent).distinct()))
     roots = connect(links)

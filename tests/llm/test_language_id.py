@@ -19,11 +19,11 @@ def test_backs_off_to_shorter_grams(spark):
     model = lid.learn_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     scorer = lid.Scorer(model)
     assert model["langs"] == ["de", "en"]
-    assert np.array_equal(scorer.evidence("haus"), model["words"]["haus"])
-    assert np.allclose(scorer.evidence("hausx"), np.mean([model["grams"][3][g] for g in ("^hau", "haus")], axis=0))
-    assert np.array_equal(scorer.evidence("zzuz"), model["grams"][0]["u"])
-    assert np.array_equal(scorer.evidence("qqq"), scorer.none)
-    total = 2 * model["words"]["haus"].astype(float) + scorer.evidence("the")
+    found = scorer.evidence(["haus", "hausx", "zzuz", "qqq", "the"])
+    assert np.array_equal(found[0], model["words"]["haus"])
+    assert np.allclose(found[1], np.mean([model["grams"][3][g] for g in ("^hau", "haus")], axis=0))
+    assert np.array_equal(found[2], model["grams"][0]["u"]) and not found[3].any()
+    total = 2 * model["words"]["haus"].astype(float) + found[4]
     assert scorer.predict("Haus, HAUS 12 the!")[1] == np.float64(1 / np.exp(total - total.max()).sum())
 
 
