@@ -21,6 +21,10 @@ class Cache(dict):
         super().__init__()
         self.most = most
 
+    def missing(self, items: set) -> set:
+        """Those of ``items`` that are not held (a set's own difference would walk through the whole dict)."""
+        return {x for x in items if x not in self}
+
     def make_room(self, coming: int) -> None:
         if len(self) + coming > self.most:
             self.clear()

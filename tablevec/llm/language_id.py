@@ -143,7 +143,7 @@ class Scorer:
         step = min(AT_ONCE, self.known.most)
         for start in range(0, len(words), step):  # bounds the new words of one step
             part = words[start : start + step]
-            new = set(part).difference(self.known)
+            new = self.known.missing(set(part))
             if len(self.known) + len(new) > self.known.most:
                 self.known.make_room(len(new))
                 new = set(part)

@@ -87,7 +87,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if TOGETHER.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        new = set().union(*[words[1:] for words in cut if words]).difference(self.known)
+        new = self.known.missing(set().union(*[words[1:] for words in cut if words]))
         if len(self.known) + len(new) > self.known.most:
             self.known.make_room(len(new))
             new = set().union(*[words[1:] for words in cut if words])
