@@ -57,7 +57,7 @@ class Shingler:
 
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         split = [t.encode().lower().split() if t else [] for t in texts]
-        new = set().union(*split).difference(self.known)
+        new = self.known.missing(set().union(*split))
         if len(self.known) + len(new) > self.known.most:
             self.known.make_room(len(new))
             new = set().union(*split)
@@ -532,9 +532,14 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, text: st
         met_pairs.where("__a <> __b").groupBy(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"), "kind")
         .agg(F.sum("alone").alias("alone"), F.sum("n").alias("n"))
     )
-    stars = possible(met_pairs.drop("alone"), points, percent)
-    best = Window.partitionBy("b").orderBy(F.desc("n"), "a")
-    chosen = settle(stars.withColumn("__r", F.row_number().over(best)).where(F.col("__r") == 1).select("a", "b"))
+
+    def best(pairs: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.desc("n"), "a")
+        return pairs.withColumn("__r", F.row_number().over(order)).where(F.col("__r") == 1).drop("__r")
+
+    # one lowest document for each, so that a crowd of copies has no more pairs than members
+    stars = possible(best(met_pairs.drop("alone"), "b", "kind"), points, percent)
+    chosen = settle(best(stars, "b").select("a", "b"))
     links = settle(verify(chosen, docs, words, percent).distinct())
 
     # pairs in blocks that are not yet one component
