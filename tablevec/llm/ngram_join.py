@@ -370,32 +370,44 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     """(a, b, kind, n): pairs of different components in a block, from rows (key, node, component, n, size, point)
     with the rows of a key together."""
 
-    def pairs(rows: list[tuple]) -> pa.RecordBatch | None:
-        component = np.array([r[2] for r in rows])
-        if (component == component[0]).all():
-            return None
-        node, size = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
-        points = np.frombuffer(b"".join(r[5] for r in rows), dtype="<u4").reshape(-1, POINT)
-        found = tree_pairs(points, size, component, percent)
-        kind = rows[0][0] & ((1 << CLASS_BITS) - 1)
-        found = found[class_of(size[found].max(axis=1), percent) == kind] if len(found) else found
-        if not len(found):
-            return None
-        same = [np.full(len(found), x, dtype=np.int64) for x in (kind, rows[0][3])]
-        ends = node[found]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ends.min(axis=1), ends.max(axis=1), *same)], ["a", "b", "kind", "n"])
+    def pairs(key, node, component, n, size, points) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(start, len(key)))
+        mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
+        start, length = start[mixed], length[mixed]
+        found = []
+        for m in np.unique(length[length <= CROWD]).tolist():  # small blocks of one length together
+            i, j = np.triu_indices(m, 1)
+            for some in np.array_split(start[length == m], 1 + (length == m).sum() * len(i) // 200_000):
+                a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                keep = component[a] != component[b]
+                a, b = a[keep], b[keep]
+                keep = enough(np.minimum(points[a], points[b]).sum(axis=1), size[a], size[b], percent)
+                found.append(np.stack([a[keep], b[keep]], axis=1))
+        for at, m in zip(start[length > CROWD], length[length > CROWD], strict=True):
+            found.append(at + tree_pairs(points[at : at + m], size[at : at + m], component[at : at + m], percent))
+        for part in found:
+            kind = key[part[:, 0]] & ((1 << CLASS_BITS) - 1)
+            part, kind = (x[class_of(size[part].max(axis=1), percent) == kind] for x in (part, kind))
+            ends = node[part]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, pa.int64()) for x in (ends.min(axis=1), ends.max(axis=1), kind, n[part[:, 0]])], ["a", "b", "kind", "n"]
+            )
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held = None
         for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("key", "node", "component", "n", "size", "point")], strict=True):
-                if held and r[0] != held[0][0]:
-                    if (found := pairs(held)) is not None:
-                        yield found
-                    held = []
-                held.append(r)
-        if held and (found := pairs(held)) is not None:
-            yield found
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in ("key", "node", "component", "n", "size")]
+            columns.append(_matrix(batch.column("point")))
+            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last block may go on
+            if cut:
+                yield from pairs(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+        if held is not None:
+            yield from pairs(*held)
 
     return members.mapInArrow(work, "a long, b long, kind long, n long")
 
