@@ -8,8 +8,8 @@ name form a run. Equal windows have equal names, so only runs of the same name n
 
 1. Runs are range-partitioned by name with sampled splitters and sorted in their bucket. Runs of equal
    content are settled there: all but the first repeat. Equal names never straddle two buckets.
-2. Runs whose name occurs with other content fetch their bytes, and the windows of each name are sorted
-   and compared one by one. A name with very many bytes is compared window by window in Spark instead.
+2. Runs whose name occurs with other content, or that hold equal windows themselves, fetch their bytes, and
+   the windows of each name are sorted and compared one by one. A name with very many bytes is compared window by window in Spark instead.
 3. The union of the repeated windows is removed from each document.
 
 Contents are compared by 64-bit names together with 64-bit (in step 1: 48-bit) polynomial hashes.
@@ -37,6 +37,7 @@ SEGMENT = 1 << 20
 HELD_RUNS = 1_000_000
 HOT_BYTES = 4_000_000
 COUNT_BITS = 10
+REPEATS = 1 << 60  # in the content of a run: some of its windows are equal
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -90,8 +91,8 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(text number, start, count, name, content) of the runs of windows of all texts.
 
-    ``content`` holds the count and 48 bits of the hash of the bytes from the first window's start to the
-    last one's end. Long texts are worked on in overlapping segments.
+    ``content`` holds the count, 48 bits of the hash of the bytes from the first window's start to the last
+    one's end, and ``REPEATS`` if two windows of the run are equal. Long texts are worked on in overlapping segments.
     """
     whole = np.frombuffer(b"".join(texts), dtype=np.uint8)
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
@@ -120,6 +121,7 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             count = np.minimum(end - first, LONGEST_RUN)
         content = _hashes(sums, first, first + count + SIZE - 1)
         packed = (content >> np.uint64(16)) << np.uint64(COUNT_BITS) | count.astype(np.uint64)
+        packed[_repeating(sums, grams, name, first, count)] |= np.uint64(REPEATS)
         parts.append((own[first], at + first - begin[own[first]], count, name[first].view(np.int64), packed.view(np.int64)))
     if not parts:
         empty = np.zeros(0, dtype=np.int64)
@@ -127,6 +129,25 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _repeating(sums, grams, name, first, count) -> np.ndarray:
+    """Numbers of the runs of which two windows are equal.
+
+    The stretch from one window to an equal one has the distance as its period, so between the two some
+    window begins and some window ends with the gram that names the run, at different places.
+    """
+    n, width = len(name), SIZE - GRAM
+    begins, ends = np.flatnonzero(grams[:n] == name), np.flatnonzero(grams[width:] == name)
+    a, b = np.searchsorted(begins, first), np.searchsorted(ends, first + count) - 1
+    place = np.append(begins, n)[a]
+    maybe = np.flatnonzero((place < first + count) & (b >= 0) & (np.append(ends, -1)[b] >= first) & (place < np.append(ends, -1)[b] + width))
+    row = np.repeat(maybe, count[maybe])
+    at = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count[maybe]) - count[maybe], count[maybe])
+    window = _hashes(sums, at, at + SIZE)
+    order = np.lexsort((window, row))
+    same = (row[order][1:] == row[order][:-1]) & (window[order][1:] == window[order][:-1])
+    return np.unique(row[order][1:][same])
+
+
 def _settle_here(ident, tie, start, count, name, content) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows of one task: those to send on, and whether each of the others repeats one of them."""
     mixed = _mix(name.view(np.uint64) + _mix(content.view(np.uint64)))
@@ -219,7 +240,7 @@ FOUND_ROWS = "open boolean, name long, id long, tie long, start long, count long
 
 def settle_buckets(runs: DataFrame) -> DataFrame:
     """From sorted buckets: stretches that repeat (``count`` bytes), and open runs (``count`` windows), whose
-    name occurs with other content too."""
+    name occurs with other content too or whose own windows repeat."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.bool_(), *[pa.int64()] * 5]
@@ -246,7 +267,7 @@ def settle_buckets(runs: DataFrame) -> DataFrame:
                 later = ~new_content & (rows[2:] != mine[2:]).any(axis=0)
                 count = rows[1] & ((1 << COUNT_BITS) - 1)
                 out.append((np.zeros(later.sum(), dtype=bool), rows[0][later], rows[2][later], rows[3][later], rows[4][later], count[later] + SIZE - 1))
-                # heads of names with at least two contents
+                # heads of names with at least two contents, and those that repeat within
                 heads, fresh = rows[:, new_content], new_name[new_content]
                 if waiting is not None:
                     heads, fresh = np.concatenate((waiting, heads), axis=1), np.concatenate(([True], fresh))
@@ -257,6 +278,7 @@ def settle_buckets(runs: DataFrame) -> DataFrame:
                     several = np.zeros(heads.shape[1], dtype=bool)
                     several[1:] |= ~fresh[1:]
                     several[:-1] |= ~fresh[1:]
+                    several |= (heads[1] & REPEATS) != 0
                     if not carried and not fresh[0]:
                         several[0] = True  # its name's first head went out with an earlier batch
                     lone = not several[-1]

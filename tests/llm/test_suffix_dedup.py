@@ -71,6 +71,28 @@ def test_small_pieces_change_nothing(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_repeats_within_one_run(spark):
+    """Periodic stretches that share their name with no other text."""
+    rng = random.Random(8)
+    plain = "".join(rng.choices("abcdefgh ", k=400))
+    texts = [plain, "q" * 300, plain[:150] + "rst" * 60 + plain[150:]]
+    for period in (1, 2, 5, 23, 24, 40, 75, 76, 77, 90, 130):
+        unit = "".join(rng.choices("ijklmnop", k=period))
+        texts += [(unit * 700)[: period + 98 + extra] for extra in (1, 2, 30)] + [(unit * 700)[: 99 + suffix_dedup.LONGEST_RUN * 2]]
+    for text in texts[1:]:
+        alone = [(1, text)]
+        batch = suffix_dedup.runs_of([text.encode()])
+        windows = [text[i : i + 100] for i in range(len(text) - 99)]
+        flags = [bool(c & suffix_dedup.REPEATS) for c in batch[4].tolist()]
+        assert flags == [len(set(windows[s : s + c])) < c for s, c in zip(batch[1].tolist(), batch[2].tolist())], alone
+    assert rows(suffix_dedup.remove_repeats(spark.createDataFrame([(1, "q" * 300)], "doc_id long, text string")))[1][1] == 299
+    docs = list(enumerate(texts[:4] + texts[4::5]))
+    assert rows(suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == brute(docs)
+    assert rows(suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))) == brute(
+        list(enumerate(texts))
+    )
+
+
 def test_odd_tables(spark):
     text = "".join(random.Random(2).choices("abcdefg ", k=300))
     df = spark.createDataFrame(
