@@ -2,7 +2,7 @@
 
 Documents are tokenised and cut in one pass; only lengths and positions travel on. They are dealt
 out evenly into groups of bounded size, whatever their keys, and each group is packed on its own:
-best fit, longest first, then pieces move or are exchanged (one for one, two for one) between
+best fit, longest first, then pieces move or are exchanged (one for one, two for one) between all
 underfull bins as long as the sum of squared fills grows, which empties the lightest bins.
 """
 
@@ -163,36 +163,85 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], size: int, most_open: int = 400, rounds: int = 40) -> list[list[int]]:
-    """Local search over the ``most_open`` emptiest underfull bins; the others stay as they are.
+class OpenBins:
+    """Underfull bins, looked up by free space and by the lengths they hold."""
+
+    def __init__(self, size: int):
+        self.lengths = [0] * (size + 1)  # by free space; bit n: a bin holds a piece of length n, bit 0: there is a bin
+        self.bins: list[dict[int, dict[int, None]]] = [{} for _ in range(size + 1)]  # by free space, then length
+
+    def add(self, b: int, free: int, held: Iterable[int]) -> None:
+        for n in {0, *held}:
+            self.bins[free].setdefault(n, {})[b] = None
+            self.lengths[free] |= 1 << n
+
+    def remove(self, b: int, free: int, held: Iterable[int]) -> None:
+        for n in {0, *held}:
+            there = self.bins[free][n]
+            del there[b]
+            if not there:
+                del self.bins[free][n]
+                self.lengths[free] ^= 1 << n
+
+    def partner(self, held: Iterable[int], free: int) -> int | None:
+        """The bin with at most ``free`` places that gains most from one or two of the lengths ``held`` of a bin
+        that is not in here, for one length or none given back; None if no bin gains."""
+        one = sums = 0
+        for n in held:
+            sums |= one << n
+            one |= 1 << n
+        sums |= one
+        there = 0
+        for gain in range(free, 0, -1):
+            there |= self.lengths[gain]
+            fitting = there << gain & sums
+            if fitting:
+                back = fitting.bit_length() - 1 - gain
+                room = next(f for f in range(gain, free + 1) if self.lengths[f] >> back & 1)
+                return next(iter(self.bins[room][back]))
+        return None
+
+
+def improve(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+    """Local search over all underfull bins, until no step is left.
 
     A step takes pieces from a lighter bin ``a`` and gives some back from a heavier bin ``b``: one piece
     (a move), one for one, or two of ``a`` for one of ``b``. It is made if ``b`` gets fuller and still fits, so
-    the sum of squared fills grows with every step, and the search ends; ``rounds`` bounds its time.
+    the sum of squared fills grows with every step, and the search ends. Full bins can neither get fuller nor
+    give to a heavier one.
     """
-    full = [b for b in bins if sum(lengths[i] for i in b) >= size]
-    open_ = sorted((b for b in bins if sum(lengths[i] for i in b) < size), key=lambda b: sum(lengths[i] for i in b))
-    full += open_[most_open:]
-    work = [sorted(b, key=lambda i: lengths[i]) for b in open_[:most_open]]
-    fill = [sum(lengths[i] for i in b) for b in work]
-    for _ in range(rounds):
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    full = [b for b, n in zip(bins, fill, strict=True) if n >= size]
+    work = [list(b) for b, n in zip(bins, fill, strict=True) if n < size]
+    fill = [n for n in fill if n < size]
+    known = OpenBins(size)
+
+    def held(b: int) -> list[int]:
+        return [lengths[i] for i in work[b]]
+
+    def place(b: int) -> None:
+        if work[b] and fill[b] < size:
+            known.add(b, size - fill[b], held(b))
+
+    for b in range(len(work)):
+        place(b)
+    changed = True
+    while changed:
         changed = False
-        for a in sorted(range(len(work)), key=lambda x: fill[x]):
-            for b in sorted(range(len(work)), key=lambda x: -fill[x]):
-                if not work[a]:
-                    break
-                if a == b or fill[b] < fill[a] or fill[b] >= size:
-                    continue
-                step = _step(work[a], work[b], lengths, size - fill[b])
-                if step:
-                    give, take = step
-                    gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    work[a] = sorted([i for i in work[a] if i not in give] + take, key=lambda i: lengths[i])
-                    work[b] = sorted([i for i in work[b] if i not in take] + give, key=lambda i: lengths[i])
-                    fill[a], fill[b] = fill[a] - gain, fill[b] + gain
-                    changed = True
-        if not changed:
-            break
+        for a in sorted(range(len(work)), key=fill.__getitem__):
+            if not work[a] or fill[a] >= size:
+                continue
+            known.remove(a, size - fill[a], held(a))
+            while work[a] and (b := known.partner(held(a), size - fill[a])) is not None:
+                known.remove(b, size - fill[b], held(b))
+                give, take = _step(sorted(work[a], key=lambda i: lengths[i]), work[b], lengths, size - fill[b])
+                gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
+                work[a] = [i for i in work[a] if i not in give] + take
+                work[b] = [i for i in work[b] if i not in take] + give
+                fill[a], fill[b] = fill[a] - gain, fill[b] + gain
+                place(b)
+                changed = True
+            place(a)
     return full + [b for b in work if b]
 
 

@@ -84,6 +84,20 @@ def test_search_grows_squared_fill_and_empties_bins():
     assert packing._step([3, 2], [1], sizes, 1) == ([3, 2], [1])
 
 
+def test_search_leaves_no_step_in_any_bin():
+    """More underfull bins than any bound on them, and no step left between two of all."""
+    rng = random.Random(4)
+    lengths = [rng.randint(300, 900) for _ in range(4000)]
+    start = packing.best_fit(lengths, 2048)
+    assert sum(sum(lengths[i] for i in b) < 2048 for b in start) > 400
+    better = packing.improve(start, lengths, 2048)
+    assert sorted(i for b in better for i in b) == list(range(4000)) and len(better) < len(start)
+    fills = [sum(lengths[i] for i in b) for b in better]
+    assert max(fills) <= 2048 and sum(f * f for f in fills) > sum(sum(lengths[i] for i in b) ** 2 for b in start)
+    open_ = [(f, sorted(b, key=lambda i: lengths[i])) for f, b in zip(fills, better) if f < 2048]
+    assert not any(f <= g and a is not b and packing._step(a, b, lengths, 2048 - g) for f, a in open_ for g, b in open_)
+
+
 def test_groups_of_any_size_hold_all_pieces(spark):
     rows = [(i, 0, 0, 1 + i * 37 % 400, 0) for i in range(5000)]
     df = spark.createDataFrame(rows, "key long, piece int, start long, length long, ids_crc32 long")
