@@ -2,8 +2,9 @@
 
 The patterns find assignments, access keys and hexadecimal runs. What they find labels credentials;
 from a bounded sample of these, one probabilistic automaton per kind is inferred by merging
-statistically compatible states of the prefix tree. Every other long run of credential characters
-with a digit is a candidate, scored by each automaton against a model of ordinary long words.
+statistically compatible states of the prefix tree. Every long run of credential characters is a
+candidate, also one that a pattern matches in part, scored by each automaton against a model of
+ordinary long words, which is that of the runs that touch no match.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import slices
+from tablevec.llm.batches import Cache, slices
 from tablevec.session import settle
 
 # fixed values: the patterns, in the order in which kinds are listed
@@ -28,6 +29,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 HINTS = ("password", "passwd", "secret", "token", "api")
+CACHED_WORDS = 200_000
+LONGEST_KNOWN = 100
 LETTERS = 67  # credential characters and the end
 
 
@@ -43,19 +46,24 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Long runs of credential characters with a digit that touch no base span."""
-    out, i = [], 0
+def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str, bool]]:
+    """(start, end, value, whether it touches no base span) of long runs of credential characters.
+
+    Only a run that lies in a base span from end to end is left out: it is found already.
+    """
+    out, near, i = [], [], 0
     reach = sorted((s, e) for s, e, _, _ in base)
     for m in RUN.finditer(text):
         value = m[0].rstrip(".")
-        end = m.start() + len(value)
-        if len(value) < 12 or not any(c.isdigit() for c in value):
+        start, end = m.start(), m.start() + len(value)
+        if len(value) < 12:
             continue
-        while i < len(reach) and reach[i][1] <= m.start():
+        while i < len(reach) and reach[i][0] < end:
+            near.append(reach[i])
             i += 1
-        if not any(s < end and e > m.start() for s, e in reach[i : i + 3]):
-            out.append((m.start(), end, value))
+        near = [(s, e) for s, e in near if e > start]
+        if not any(s <= start and end <= e for s, e in near):
+            out.append((start, end, value, not near))
     return out
 
 
@@ -176,7 +184,7 @@ def scan_base(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     """(key, base, found): base spans with their credentials, and candidates, of every row."""
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))
-    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+    found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("apart", pa.bool_())]))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
@@ -184,7 +192,7 @@ def scan_base(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
             for t in batch.column("text").to_pylist():
                 spans = base_spans(t)
                 base.append([dict(zip(("start", "end", "kind", "value"), s, strict=True)) for s in spans])
-                found.append([dict(zip(("start", "end", "value"), s, strict=True)) for s in candidates(t, spans)])
+                found.append([dict(zip(("start", "end", "value", "apart"), s, strict=True)) for s in candidates(t, spans)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(base, base_type), pa.array(found, found_type)], ["key", "base", "found"]
             )
@@ -192,13 +200,13 @@ def scan_base(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(
         work, f"key {kind}, base array<struct<start:int,end:int,kind:int,value:string>>, "
-        "found array<struct<start:int,end:int,value:string>>"
+        "found array<struct<start:int,end:int,value:string,apart:boolean>>"
     )
 
 
 def learn_formats(scanned: DataFrame, per_kind: int = 400, ordinary: int = 4000) -> tuple[list[Automaton], Ordinary]:
     """Automata from at most ``per_kind`` different labelled credentials of each kind, lowest hashes first,
-    and the model of ordinary words from at most ``ordinary`` different candidates."""
+    and the model of ordinary words from at most ``ordinary`` different candidates that touch no base span."""
     labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
     by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
     labelled = labelled.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_kind)
@@ -206,7 +214,7 @@ def learn_formats(scanned: DataFrame, per_kind: int = 400, ordinary: int = 4000)
     for r in labelled.collect():
         strings.setdefault(r.kind, []).append(r.value[:400])
     words = (
-        scanned.select(F.explode("found.value").alias("value")).distinct()
+        scanned.select(F.explode("found").alias("f")).where("f.apart").select("f.value").distinct()
         .orderBy(F.xxhash64("value"), "value").limit(ordinary).collect()
     )
     return [Automaton(sorted(v)) for _, v in sorted(strings.items())], Ordinary(r.value for r in words)
@@ -218,8 +226,17 @@ class Formats:
 
     def __init__(self, automata: list[Automaton], ordinary: Ordinary, margin: float):
         self.automata, self.ordinary, self.margin = automata, ordinary, margin
+        self.known = Cache(CACHED_WORDS)
 
     def likely(self, value: str) -> bool:
+        if len(value) > LONGEST_KNOWN:
+            return self._likely(value)
+        if value not in self.known:
+            self.known.make_room(1)
+            self.known[value] = self._likely(value)
+        return self.known[value]
+
+    def _likely(self, value: str) -> bool:
         plain = self.ordinary.score(value) + self.margin
         return any((s := a.score(value)) >= a.least and s >= plain for a in self.automata)
 
@@ -280,7 +297,7 @@ def mask_secrets(df: DataFrame, text: str = "text", mask: str = "[secret]", marg
             return t
         base = base_spans(t)
         spans = [(s, e) for s, e, _, _ in base]
-        spans += [(s, e) for s, e, v in candidates(t, base) if shared.value.likely(v)]
+        spans += [(s, e) for s, e, v, _ in candidates(t, base) if shared.value.likely(v)]
         return mask_spans(t, spans, mask) if spans else t
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,5 +72,31 @@ def test_finds_a_format_without_its_context(spark):
     assert sec.scan_secrets(df.limit(0)).count() == 0 and sec.mask_secrets(df.limit(0)).columns == df.columns
 
 
+def test_scores_runs_without_digits_and_beside_matches(spark):
+    rng = random.Random(5)
+
+    def key():
+        return "zq" + "".join(rng.choices("BCDFGHJKLM0123456789", k=18))
+
+    def long_key():
+        return "zk_" + "".join(rng.choices("0123456789abcdef", k=16)) + "_" + "".join(rng.choices("GHJKLMNP", k=8))
+
+    words = ["".join(rng.choices("abdeghilmnoprstu", k=9)) for _ in range(100)]
+    for made, loose, want in (
+        (key, "zqBKCDLFGMHJKBLCMDGF", [("format", 6, 26)]),
+        (long_key, "zk_0f1e2d3c4b5a6978_GKHLJMNP", [("format", 6, 34), ("hex", 9, 25)]),
+    ):
+        rows = [(i, f"text token={made()} more") for i in range(150)] + [(300, f"loose {loose}. and internationalization")]
+        rows += [(400 + i, f"{w}ization and {w}{w}ingly see www{i}.example.com") for i, w in enumerate(words)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in sec.scan_secrets(df).collect()}
+        assert sorted(got[300]) == want and not any(got[400 + i] for i in range(100))
+        masked = {r.doc_id: r.text for r in sec.mask_secrets(df).collect()}
+        assert masked[300] == "loose [secret]. and internationalization"
+    text = "password=abcdefghijkl"
+    assert sec.candidates(text, sec.base_spans(text)) == []  # from end to end a base span
+    assert sec.candidates("x" + text, sec.base_spans("x" + text)) == [(0, 22, "x" + text, False)]
+
+
 def test_mask_joins_overlaps():
     assert sec.mask_spans("0123456789", [(1, 3), (2, 5), (7, 8)], "#") == "0#56#89"
