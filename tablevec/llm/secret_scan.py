@@ -164,16 +164,22 @@ class Automaton:
         return (total + math.log(((self.ended[at] if n else 0) + 0.5 / LETTERS) / (n + 0.5))) / (len(s) + 1)
 
 
+def pairs_of(words: Iterable[str]) -> Counter:
+    """How often each two characters follow each other, "^" before the first and "$" after the last."""
+    out: Counter = Counter()
+    for w in words:
+        out.update(zip("^" + w, w + "$", strict=True))
+    return out
+
+
 class Ordinary:
-    """Character-pair model of ordinary long words."""
+    """Character-pair model of ordinary long words, from the counts of their pairs."""
 
-    def __init__(self, words: Iterable[str]):
-        self.pairs: Counter = Counter()
+    def __init__(self, pairs: Counter):
+        self.pairs = pairs
         self.first: Counter = Counter()
-        for w in words:
-            for a, b in zip("^" + w, w + "$", strict=True):
-                self.pairs[a, b] += 1
-                self.first[a] += 1
+        for (a, _), n in pairs.items():
+            self.first[a] += n
 
     def score(self, s: str) -> float:
         steps = zip("^" + s, s + "$", strict=True)
@@ -204,20 +210,32 @@ def scan_base(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     )
 
 
-def learn_formats(scanned: DataFrame, per_kind: int = 400, ordinary: int = 4000) -> tuple[list[Automaton], Ordinary]:
+def count_pairs(words: DataFrame) -> Counter:
+    """``pairs_of`` the column ``value``; no more rows come to the driver than there are pairs of characters."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in slices(batches, 1024):
+            total.update(pairs_of(batch.column("value").to_pylist()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([a + b for a, b in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["pair", "n"]
+        )
+
+    counts = words.select("value").mapInArrow(work, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return Counter({(r.pair[0], r.pair[1]): r.n for r in counts.collect()})
+
+
+def learn_formats(scanned: DataFrame, per_kind: int = 400) -> tuple[list[Automaton], Ordinary]:
     """Automata from at most ``per_kind`` different labelled credentials of each kind, lowest hashes first,
-    and the model of ordinary words from at most ``ordinary`` different candidates that touch no base span."""
+    and the model of ordinary words from all different candidates that touch no base span."""
     labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
     by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
     labelled = labelled.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_kind)
     strings: dict[int, list[str]] = {}
     for r in labelled.collect():
         strings.setdefault(r.kind, []).append(r.value[:400])
-    words = (
-        scanned.select(F.explode("found").alias("f")).where("f.apart").select("f.value").distinct()
-        .orderBy(F.xxhash64("value"), "value").limit(ordinary).collect()
-    )
-    return [Automaton(sorted(v)) for _, v in sorted(strings.items())], Ordinary(r.value for r in words)
+    words = scanned.select(F.explode("found").alias("f")).where("f.apart").select("f.value").distinct()
+    return [Automaton(sorted(v)) for _, v in sorted(strings.items())], Ordinary(count_pairs(words))
 
 
 class Formats:

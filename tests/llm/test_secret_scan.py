@@ -98,5 +98,19 @@ def test_scores_runs_without_digits_and_beside_matches(spark):
     assert sec.candidates("x" + text, sec.base_spans("x" + text)) == [(0, 22, "x" + text, False)]
 
 
+def test_ordinary_words_are_counted_whole(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh-", k=11)) + str(i) for i in range(6000)]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 6000, 30)] + [None, "token=abcdefghijkl12", "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = sec.learn_formats(sec.scan_base(df))[1]
+    pairs = {}
+    for w in set(words):
+        for a, b in zip("^" + w, w + "$"):
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+    assert dict(model.pairs) == pairs
+    assert all(model.first[a] == sum(n for (x, _), n in pairs.items() if x == a) for a, _ in pairs)
+
+
 def test_mask_joins_overlaps():
     assert sec.mask_spans("0123456789", [(1, 3), (2, 5), (7, 8)], "#") == "0#56#89"
