@@ -11,7 +11,9 @@ A document is its set of hashed n-grams; two link if their Jaccard similarity is
    groups are a document's point; the overlap of two documents is at most the sum of the coordinate minima
    of their points, of two boxes of points that of their upper corners. An R-tree over a block's points
    drops what stays below the overlap that a link needs, and pairs must share as many blocks as a link
-   would. What is left is verified exactly on the whole sets, so every link is found.
+   would. What is left is verified exactly on the whole sets, so every component is whole.
+4. A link lies inside a component, so the links of each document are counted there: a component is dealt into
+   tiles of about ``TILE`` sets, and every two tiles meet in a task, where all their pairs are compared exactly.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ CLASS_BITS = 7
 CROWD = 32
 LEAF = 16
 HASH_BYTES = 6
+TILE = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -510,19 +513,73 @@ def connect(links: DataFrame) -> DataFrame:
         before = now
 
 
+def count_links(roots: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, n_links) of every node of the components ``roots`` (node, root), the roots themselves not listed:
+    with how many others of its component a node links."""
+    members = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    tiles = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    placed = members.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    placed = settle(placed.select("node", F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: F.struct(
+        "root", F.least("tile", x).alias("low"), F.greatest("tile", x).alias("high"), (F.col("tile") > x).alias("second"),
+    )).alias("at")))
+    sets = make_sets(packed_texts(docs).join(placed, "node"), words)
+    met = sets.select("node", F.explode("at").alias("at"), "hashes").select("at.*", "node", "hashes")
+    met = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "second", "node")
+
+    def count(place: tuple, second: list[bool], node: list[int], data: list[bytes]) -> pa.RecordBatch:
+        sets = [_unpack(x) for x in data]
+        size = np.array([len(x) for x in sets])
+        end = np.cumsum(size)
+        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        n = np.zeros(len(node), dtype=np.int64)
+        first = len(node) if place[1] == place[2] else len(node) - sum(second)
+        other = 0 if place[1] == place[2] else first  # where the partners begin
+        if other < len(node):
+            for i in range(first):
+                own = np.zeros(len(values), dtype=bool)
+                own[ids[end[i] - size[i] : end[i]]] = True
+                begin = end[other] - size[other]
+                overlap = np.add.reduceat(own[ids[begin:]].astype(np.int64), end[other:] - size[other:] - begin)
+                link = enough(overlap, size[i], size[other:], percent)
+                if other:
+                    n[other:] += link
+                else:
+                    link[i] = False
+                n[i] += np.count_nonzero(link)
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64())], ["node", "n"])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("root", "low", "high", "second", "node", "hashes")]
+            for root, low, high, second, node, data in zip(*columns, strict=True):
+                if place != (root, low, high):
+                    if held:
+                        yield count(place, *zip(*held, strict=True))
+                    place, held = (root, low, high), []
+                if not held or held[-1][1] != node:  # repeated rows of the table: one is enough
+                    held.append((second, node, data))
+        if held:
+            yield count(place, *zip(*held, strict=True))
+
+    return met.mapInArrow(work, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, component_id, n_links_found) of every row.
+def similar_documents(
+    df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", with_links: bool = True
+) -> DataFrame:
+    """(key, n_shingles, component_id, n_links_found) of every row; the last one only ``with_links``.
 
     ``component_id``: the smallest id reachable by links, its own included. Fewer than ``words`` words make one
     n-gram, the whole sequence; without words, or with a null text, the set is empty and links with nothing.
     Nulls: a row with a null id takes the smallest id of its component, null if there is none. Repeated rows
     and equal texts link (unless empty); rows with one id but different texts are judged apart. An empty table
-    gives no rows. Extra columns are not read. ``n_links_found``: links to other texts verified on the way, which
-    connect the component; links inside a component that is already connected are not all counted.
+    gives no rows. Extra columns are not read. ``n_links_found``: with how many
+    different sets of n-grams, besides its own, a row links; every pair of a component is compared for it.
     """
     docs = known_ids(df, text, key)
     docs = docs.select("key", F.when(F.col("tie") == 0, F.col("id")).otherwise(F.xxhash64("id", "text")).alias("node"), "text")
@@ -578,15 +635,18 @@ def similar_documents(df: DataFrame, words: int = 5, percent: int = 80, text: st
     links = settle(links.unionByName(verify(more, docs, words, percent).distinct()))
     roots = connect(links)
     component = names.join(roots.withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("root", "first").alias("root"))
-    degree = links.select(F.col("a").alias("first")).unionAll(links.select("b")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     keys = docs.select("key", "node")
     placed = keys.join(component, "node", "left")
     lowest = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("key").alias("component_id"))
     sizes = met.where("kind IN (0, 3)").select("node", "size").distinct()
-    degree = names.join(degree, "first").select("node", "n_links")
-    return placed.join(lowest, "root", "left").join(sizes, "node").join(degree, "node", "left").select(
-        F.col("key").alias(key), F.col("size").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"),
+    out = placed.join(lowest, "root", "left").join(sizes, "node").withColumn(
+        "component_id", F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id"))
+    )
+    if not with_links:
+        return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")
+    degree = count_links(settle(roots), docs, words, percent).withColumnRenamed("node", "first")
+    return out.join(names.join(degree, "first").select("node", "n_links"), "node", "left").select(
+        F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links_found"),
     )
 
@@ -597,7 +657,7 @@ def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
     Of repeated rows one stays. Rows with one id but different texts all stay if the id is the smallest; rows
     with a null id go if they link to a row with one. Columns and other rows are untouched.
     """
-    found = similar_documents(df, words, percent, text, key)
+    found = similar_documents(df, words, percent, text, key, with_links=False)
     kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
     kept = settle(kept)
     same = df[key].eqNullSafe(F.col("__id"))
