@@ -31,6 +31,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 HINTS = ("password", "passwd", "secret", "token", "api")
 CACHED_WORDS = 200_000
 LONGEST_KNOWN = 100
+LONGEST_LEARNED = 400
 LETTERS = 67  # credential characters and the end
 
 
@@ -226,14 +227,14 @@ def count_pairs(words: DataFrame) -> Counter:
 
 
 def learn_formats(scanned: DataFrame, per_kind: int = 400) -> tuple[list[Automaton], Ordinary]:
-    """Automata from at most ``per_kind`` different labelled credentials of each kind, lowest hashes first,
-    and the model of ordinary words from all different candidates that touch no base span."""
-    labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
+    """Automata from at most ``per_kind`` different labelled credentials of each kind, lowest hashes first
+    and none of over ``LONGEST_LEARNED`` characters, and the model of ordinary words from all different candidates that touch no base span."""
+    labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").where(F.length("value") <= LONGEST_LEARNED).distinct()
     by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
     labelled = labelled.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_kind)
     strings: dict[int, list[str]] = {}
     for r in labelled.collect():
-        strings.setdefault(r.kind, []).append(r.value[:400])
+        strings.setdefault(r.kind, []).append(r.value)
     words = scanned.select(F.explode("found").alias("f")).where("f.apart").select("f.value").distinct()
     return [Automaton(sorted(v)) for _, v in sorted(strings.items())], Ordinary(count_pairs(words))
 

@@ -112,5 +112,13 @@ def test_ordinary_words_are_counted_whole(spark):
     assert all(model.first[a] == sum(n for (x, _), n in pairs.items() if x == a) for a, _ in pairs)
 
 
+def test_longer_credentials_teach_nothing(spark):
+    rows = [(i, f"token={'k' * (20 + i % 3)}Z") for i in range(60)]
+    long = [(100 + i, f"token={'k' * (500 + i)}Z") for i in range(60)]
+    one, other = (sec.learn_formats(sec.scan_base(spark.createDataFrame(x, "doc_id long, text string")))[0] for x in (rows, rows + long))
+    assert len(one) == len(other) == 1
+    assert one[0].least == other[0].least and one[0].ended == other[0].ended and one[0].passed == other[0].passed
+
+
 def test_mask_joins_overlaps():
     assert sec.mask_spans("0123456789", [(1, 3), (2, 5), (7, 8)], "#") == "0#56#89"
