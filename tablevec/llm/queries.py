@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevec.llm import (
-    chat_format, decontaminate, language_id, ngram_join, packing, quality_votes, secret_scan, suffix_dedup,
+    chat_format, collocations, decontaminate, language_id, ngram_join, packing, quality_votes, secret_scan, suffix_dedup,
     token_counts, url_filter,
 )
 
@@ -159,6 +159,42 @@ def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(read(spark, sf_dir, "documents"))
+
+
+PHRASE_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM cut GROUP BY lang
+), f AS (
+  SELECT lang, m, array_to_string(w[u.i:u.i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM cut, range(1, 6) AS s(m), unnest(range(1, len(w) - m + 2)) AS u(i)
+  GROUP BY ALL
+), good AS (SELECT * FROM f WHERE m > 1 AND a >= 100
+), whole AS (
+  SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM good p WHERE NOT EXISTS (
+    SELECT 1 FROM good q WHERE q.lang = p.lang AND q.m > p.m AND 100 * q.a >= 100 * p.a
+      AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))
+), cuts AS (
+  SELECT c.*, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM whole c, range(1, 5) AS s(k) WHERE k < len(w)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, t.n,
+    1000 * CAST(c.a AS HUGEINT) * t.n // (CAST(l.a AS HUGEINT) * r.a) AS score, k
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = head JOIN f r ON r.lang = c.lang AND r.phrase = tail
+    JOIN total t ON t.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000"""
+
 QUERIES = {
     "op1_ngram_jaccard_join": (similar, None),
     "op2_token_counts": (token_count, None),
@@ -170,4 +206,5 @@ QUERIES = {
     "op8_quality_rules": (quality, None),
     "op9_best_fit_packing": (packed, None),
     "op10_suffix_array_dedup": (repeats, None),
+    "op11_phrase_collocations": (phrases, PHRASE_SQL),
 }
