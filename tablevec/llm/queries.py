@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablevec.llm import (
-    chat_format, collocations, decontaminate, language_id, ngram_join, packing, quality_votes, secret_scan, suffix_dedup,
-    token_counts, url_filter,
+    chat_format, collocations, compression_quality, decontaminate, language_id, ngram_join, packing, prefix_trie,
+    quality_votes, secret_scan, suffix_dedup, token_counts, url_filter,
 )
 
 URL_ENTRIES = [
@@ -195,6 +195,57 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, e
   CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM best QUALIFY rank <= 2000"""
 
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = compression_quality.learn_quality(docs, read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(compression_quality.fold(F.col("doc_id")) == compression_quality.HELD_OUT, F.lit(False))
+    scored = compression_quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= compression_quality.LEAST_SCORE).cast("int").alias("predicted")
+    )
+
+
+def tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations")).drop("enter", "leave")
+
+
+#: crc32 bit by bit, as DuckDB has none; a prefix is named by the digest of its turns' digests.
+TRIE_SQL = """
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT c, c - c % 5 AS base, n, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(0, 8 * len(s)), lambda i:
+      CASE WHEN i % 8 = 0 THEN CAST(ascii(substr(s, 1 + i // 8, 1)) AS BIGINT) ELSE 0 END)),
+      lambda acc, x: xor(xor(acc, x) >> 1, (xor(acc, x) & 1) * 3988292384)), 4294967295) AS BIGINT) % 9 AS h
+  FROM (SELECT c, count(*) AS n, CAST(c AS VARCHAR) AS s FROM own GROUP BY c)
+), convs AS (
+  SELECT i.c, i.base, i.h, least(i.h, coalesce(b.n, 0)) AS taken FROM ids i LEFT JOIN ids b ON b.c = i.base
+), turns AS (
+  SELECT v.c, o.p, o.role, o.text FROM convs v JOIN own o ON o.c = v.base AND o.p <= v.h
+  UNION ALL SELECT v.c, o.p - v.h + v.taken, o.role, o.text FROM convs v JOIN own o ON o.c = v.c AND o.p > v.h
+), prefixes AS (
+  SELECT c, p, octet_length(encode(text)) AS bytes,
+    md5(string_agg(md5(role) || md5(text), '' ORDER BY p) OVER (PARTITION BY c ORDER BY p)) AS key
+  FROM turns
+  UNION ALL SELECT c, 0, 0, 'root' FROM convs
+), nodes AS (
+  SELECT key, min(p) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved FROM prefixes GROUP BY key
+), up AS (
+  SELECT n.*, q.key AS parent FROM nodes n LEFT JOIN prefixes q ON q.c = n.conv_id AND q.p = n.depth - 1
+), kids AS (SELECT parent AS key, count(*) AS n FROM up WHERE parent IS NOT NULL GROUP BY parent
+), under AS (
+  SELECT q.key, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum(n.saved) AS saved
+  FROM nodes n JOIN prefixes q ON q.c = n.conv_id AND q.p <= n.depth LEFT JOIN kids k ON k.key = n.key
+  GROUP BY q.key
+), last_of AS (SELECT c, key FROM prefixes QUALIFY p = max(p) OVER (PARTITION BY c)
+), digests AS (SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS digest FROM last_of GROUP BY key)
+SELECT u.conv_id, u.depth, r.conv_id AS parent_conv_id, u.n_convs, coalesce(k.n, 0) AS n_children,
+  CAST(d.leaves AS BIGINT) AS n_leaves, CAST(d.saved AS BIGINT) AS saved_tokens, coalesce(e.digest, sha256('')) AS ends_sha256
+FROM up u JOIN under d ON d.key = u.key LEFT JOIN nodes r ON r.key = u.parent LEFT JOIN kids k ON k.key = u.key
+  LEFT JOIN digests e ON e.key = u.key"""
+
 QUERIES = {
     "op1_ngram_jaccard_join": (similar, None),
     "op2_token_counts": (token_count, None),
@@ -207,4 +258,6 @@ QUERIES = {
     "op9_best_fit_packing": (packed, None),
     "op10_suffix_array_dedup": (repeats, None),
     "op11_phrase_collocations": (phrases, PHRASE_SQL),
+    "op12_quality_classifier": (classified, None),
+    "op13_conversation_prefix_trie": (tries, TRIE_SQL),
 }
