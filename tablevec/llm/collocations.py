@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,10 @@ from tablevec.functions.ordering import number_rows
 from tablevec.llm.batches import slices
 from tablevec.session import settle
 
-SIDE = 256
-CHUNK_TOKENS = 1 << 18
+SIDE = 1024
+CHUNK_TOKENS = 1 << 20
 DENSE = SIDE * SIDE // 16
+OUT_BYTES = 8_000_000
 NO_LANG = "und"
 # fixed values: what ends a piece, and what separates words (a tab counts as a space)
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -95,11 +97,6 @@ def pair_codes(symbols: np.ndarray, n: int) -> np.ndarray:
     return np.where((a >= 0) & (b >= 0), a * n + b, -1)
 
 
-def _flat(column: pa.Array, i: int, kind: str) -> np.ndarray:
-    """The concatenated binary values of the list in row ``i``."""
-    return np.frombuffer(b"".join(column[i].as_py()), dtype=kind)
-
-
 def first_symbols(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
     """Chunks whose symbols are frequent words; the others are gone."""
     words = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
@@ -132,10 +129,20 @@ def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     )
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    return counts.astype(next(x for x in ("<u1", "<u2", "<u4", "<i8") if counts.max() <= np.iinfo(x).max)).tobytes()
+
+
+def unpack_cells(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    code = np.frombuffer(codes, dtype="<u4")
+    width = len(counts) // len(code)
+    return code, np.frombuffer(counts, dtype="<i8" if width == 8 else f"<u{width}").astype(np.int64)
+
+
 def count_tiles(chunks: DataFrame) -> DataFrame:
     """(chunk, lang, ti, tj, codes, counts): the cells of each tile that neighbours of a chunk fall into.
 
-    ``codes``: row * SIDE + column within the tile, ascending, 16 bits each; ``counts``: 64 bits each.
+    ``codes``: row * SIDE + column within the tile, ascending, 32 bits each; ``counts``: as wide as the largest needs.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +169,13 @@ def count_tiles(chunks: DataFrame) -> DataFrame:
                 tile, code, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 start = np.flatnonzero(np.diff(tile, prepend=-1))
                 edges = np.append(start, len(tile)).tolist()
-                code, n = code.astype("<u2").tobytes(), n.astype("<i8").tobytes()
+                code = code.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column("chunk")[i].as_py()] * len(start), pa.int64()),
                      pa.array([batch.column("lang")[i].as_py()] * len(start), pa.string()),
                      pa.array(stripes[tile[start] // len(stripes)], pa.int64()), pa.array(stripes[tile[start] % len(stripes)], pa.int64()),
-                     pa.array([code[2 * x : 2 * y] for x, y in zip(edges, edges[1:], strict=False)], pa.binary()),
-                     pa.array([n[8 * x : 8 * y] for x, y in zip(edges, edges[1:], strict=False)], pa.binary())],
+                     pa.array([code[4 * x : 4 * y] for x, y in pairwise(edges)], pa.binary()),
+                     pa.array([pack_counts(n[x:y]) for x, y in pairwise(edges)], pa.binary())],
                     ["chunk", *TILE, "codes", "counts"],
                 )
 
@@ -179,76 +186,79 @@ class TileSum:
     """The sum of one tile's rows: coordinates while they are few, then a dense array."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[bytes, bytes]] = []
         self.size = 0
         self.cells: np.ndarray | None = None
 
+    def _spread(self) -> None:
+        for codes, counts in self.parts:
+            code, n = unpack_cells(codes, counts)
+            self.cells[code] += n  # a row names a cell once
+        self.parts, self.size = [], 0
+
     def add(self, codes: bytes, counts: bytes) -> None:
-        self.parts.append((np.frombuffer(codes, dtype="<u2"), np.frombuffer(counts, dtype="<i8")))
-        self.size += len(codes) // 2
-        if self.size >= DENSE:
+        self.parts.append((codes, counts))
+        self.size += len(codes) // 4
+        if self.size >= DENSE and len(self.parts) > 1:
             if self.cells is None:
                 self.cells = np.zeros(SIDE * SIDE, dtype=np.int64)
-            for code, n in self.parts:  # a row names a cell once
-                self.cells[code] += n
-            self.parts, self.size = [], 0
+            self._spread()
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
+    def total(self) -> tuple[bytes, bytes]:
         """(codes, counts), codes ascending."""
         if self.cells is not None:
-            for code, n in self.parts:
-                self.cells[code] += n
-            there = np.flatnonzero(self.cells)
-            return there, self.cells[there]
-        code, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        there, at = np.unique(code, return_inverse=True)
-        total = np.zeros(len(there), dtype=np.int64)
-        np.add.at(total, at, n)
-        return there, total
+            self._spread()
+            code = np.flatnonzero(self.cells)
+            n = self.cells[code]
+        elif len(self.parts) == 1:
+            return self.parts[0]
+        else:
+            code, n = (np.concatenate(x) for x in zip(*[unpack_cells(*x) for x in self.parts], strict=True))
+            order = np.argsort(code, kind="stable")
+            code, n = code[order], n[order]
+            start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            code, n = code[start], np.add.reduceat(n, start)
+        return code.astype("<u4").tobytes(), pack_counts(n)
 
 
 def sum_tiles(tiles: DataFrame, keys: list[str]) -> DataFrame:
     """Tiles with the same ``keys`` added up, one row held at a time."""
     rows = tiles.select(*keys, "codes", "counts")
-    schema = rows.schema
     names = rows.columns
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, done = None, TileSum(), []
+        now, total, done, held, kinds = None, TileSum(), [], 0, None
 
         def out() -> pa.RecordBatch:
-            columns = zip(*done, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(x, schema_type) for x, schema_type in zip(columns, kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
-        kinds = None
-        for batch in batches:
+        for batch in slices(batches, 1024):
             kinds = [batch.schema.field(c).type for c in names]
             for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 if row[:-2] != now:
                     if now is not None:
-                        codes, counts = total.total()
-                        done.append((*now, codes.astype("<u2").tobytes(), counts.tobytes()))
-                        if len(done) >= 512:
+                        done.append((*now, *total.total()))
+                        held += len(done[-1][-2])
+                        if held > OUT_BYTES or len(done) >= 10_000:
                             yield out()
-                            done = []
+                            done, held = [], 0
                     now, total = row[:-2], TileSum()
                 total.add(*row[-2:])
         if now is not None:
-            codes, counts = total.total()
-            done.append((*now, codes.astype("<u2").tobytes(), counts.tobytes()))
+            done.append((*now, *total.total()))
             yield out()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, rows.schema)
 
 
 def frequent_cells(tiles: DataFrame, least: int) -> DataFrame:
     """(lang, a, b, n) of cells that hold ``least`` or more."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             for lang, ti, tj, codes, counts in zip(*[batch.column(c).to_pylist() for c in (*TILE, "codes", "counts")], strict=True):
-                n = np.frombuffer(counts, dtype="<i8")
-                code, n = np.frombuffer(codes, dtype="<u2")[n >= least].astype(np.int64), n[n >= least]
+                code, n = unpack_cells(codes, counts)
+                code, n = code[n >= least].astype(np.int64), n[n >= least]
                 if len(n):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(n), pa.string()), pa.array(ti * SIDE + code // SIDE), pa.array(tj * SIDE + code % SIDE), pa.array(n)],
@@ -272,26 +282,36 @@ def next_symbols(chunks: DataFrame, tiles: DataFrame, lots: DataFrame, frequent:
         "lang", F.floor(F.col("a") / SIDE).alias("ti"), F.floor(F.col("b") / SIDE).alias("tj"),
         F.struct((F.col("a") % SIDE * SIDE + F.col("b") % SIDE).alias("code"), "id").alias("cell"),
     ).groupBy(*TILE).agg(F.collect_list("cell").alias("cells"))  # at most a tile's cells
-    near = tiles.join(lots.join(cells, TILE).select(*TILE, "lot", "cells"), [*TILE, "lot"])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            found = [x.values for x in batch.column("cells")]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in TILE], pa.array([x.field("code").to_numpy().astype("<u4").tobytes() for x in found], pa.binary()),
+                 pa.array([x.field("id").to_numpy().astype("<i8").tobytes() for x in found], pa.binary())],
+                [*TILE, "cells", "new"],
+            )
+
+    cells = cells.mapInArrow(pack, "lang string, ti long, tj long, cells binary, new binary")
+    near = tiles.join(lots.join(cells, TILE), [*TILE, "lot"])
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
+        for batch in slices(batches, 64):
             chunk, a, b, ids = [], [], [], []
             for i in range(batch.num_rows):
-                cells = batch.column("cells")[i].values
-                code, number = (cells.field(x).to_numpy() for x in ("code", "id"))
-                here = np.isin(code, np.frombuffer(batch.column("codes")[i].as_buffer(), dtype="<u2"))
+                code, own = (np.frombuffer(batch.column(x)[i].as_buffer(), dtype="<u4") for x in ("cells", "codes"))
+                here = own[np.minimum(np.searchsorted(own, code), len(own) - 1)] == code
                 if here.any():
-                    code, ti, tj = code[here], batch.column("ti")[i].as_py(), batch.column("tj")[i].as_py()
+                    code, ti, tj = code[here].astype(np.int64), batch.column("ti")[i].as_py(), batch.column("tj")[i].as_py()
                     chunk.append(batch.column("chunk")[i].as_py())
                     a.append((ti * SIDE + code // SIDE).tobytes())
                     b.append((tj * SIDE + code % SIDE).tobytes())
-                    ids.append(number[here].tobytes())
+                    ids.append(np.frombuffer(batch.column("new")[i].as_buffer(), dtype="<i8")[here].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(chunk, pa.int64()), *[pa.array(x, pa.binary()) for x in (a, b, ids)]], ["chunk", "a", "b", "new"]
             )
 
-    hits = near.select("chunk", "ti", "tj", "codes", "cells").mapInArrow(pick, "chunk long, a binary, b binary, new binary")
+    hits = near.select("chunk", "ti", "tj", "codes", "cells", "new").mapInArrow(pick, "chunk long, a binary, b binary, new binary")
     hits = hits.groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "new")).alias("hits"))  # at most a chunk's pairs
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +344,7 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: s
     state = settle(first_symbols(chunks, known))
     while len(levels) < longest:
         tiles = settle(count_tiles(state).withColumn("lot", F.pmod(F.xxhash64("chunk"), per_lot)))
-        lots = settle(sum_tiles(tiles, [*TILE, "lot"]))
+        lots = sum_tiles(tiles, [*TILE, "lot"])
         found = by_frequency(frequent_cells(sum_tiles(lots, TILE), least), ["a", "b"])
         head = levels[-1].select("lang", F.col("id").alias("a"), F.col("phrase").alias("__head"))
         tail = levels[-1].select("lang", F.col("id").alias("b"), F.col("last").alias("__tail"))
@@ -333,7 +353,7 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: s
             "lang", "id", "a", "b", "n", F.concat_ws(" ", "__head", "__tail").alias("phrase"), F.col("__tail").alias("last")
         )))
         if len(levels) < longest:
-            state = settle(next_symbols(state, tiles, lots.select(*TILE, "lot"), found))
+            state = settle(next_symbols(state, tiles, tiles.select(*TILE, "lot").distinct(), found))
     return total, levels
 
 

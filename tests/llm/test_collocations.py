@@ -51,7 +51,7 @@ def made(seed, n=120):
     return [*rows, ("en", None), ("en", ""), ("de", " . \t,"), (None, None), *rows[:10]]
 
 
-@pytest.mark.parametrize(("seed", "chunk", "side"), [(1, 50, 256), (2, 100_000, 4), (3, 700, 16)])
+@pytest.mark.parametrize(("seed", "chunk", "side"), [(1, 50, 1024), (2, 100_000, 4), (3, 700, 16)])
 def test_equals_brute_force(spark, monkeypatch, seed, chunk, side):
     monkeypatch.setattr(col, "SIDE", side)
     monkeypatch.setattr(col, "DENSE", max(2, side * side // 16))
@@ -82,13 +82,13 @@ def test_scores_beyond_64_bits(spark):
 
 def test_tile_sums_dense_or_not():
     rng = np.random.default_rng(4)
-    for rows in (3, 400):
+    for rows, most in ((1, 9), (3, 9), (4000, 300), (5, 1 << 40)):
         total, want = col.TileSum(), np.zeros(col.SIDE**2, dtype=np.int64)
         for _ in range(rows):
             codes = np.unique(rng.integers(0, col.SIDE**2, 30))
-            n = rng.integers(1, 9, len(codes))
+            n = rng.integers(1, most, len(codes))
             want[codes] += n
-            total.add(codes.astype("<u2").tobytes(), n.astype("<i8").tobytes())
-        codes, n = total.total()
-        assert (total.cells is not None) == (rows == 400)
+            total.add(codes.astype("<u4").tobytes(), col.pack_counts(n))
+        codes, n = col.unpack_cells(*total.total())
+        assert (total.cells is not None) == (rows == 4000)
         assert np.array_equal(codes, np.flatnonzero(want)) and np.array_equal(n, want[want > 0])
