@@ -221,8 +221,9 @@ class TileSum:
         return code.astype("<u4").tobytes(), pack_counts(n)
 
 
-def sum_tiles(tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Tiles with the same ``keys`` added up, one row held at a time."""
+def sum_tiles(tiles: DataFrame, keys: list[str], least: int | None = None) -> DataFrame:
+    """Tiles with the same ``keys`` added up, one row held at a time; with ``least``, for keys ``TILE``, the cells
+    (lang, a, b, n) that hold so many or more."""
     rows = tiles.select(*keys, "codes", "counts")
     names = rows.columns
 
@@ -230,42 +231,44 @@ def sum_tiles(tiles: DataFrame, keys: list[str]) -> DataFrame:
         now, total, done, held, kinds = None, TileSum(), [], 0, None
 
         def out() -> pa.RecordBatch:
+            if least is not None:
+                lang, a, b, n = zip(*done, strict=True)
+                lang = np.repeat(np.array(lang, dtype=object), [len(x) for x in n])
+                return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), *[pa.array(np.concatenate(x)) for x in (a, b, n)]], ["lang", "a", "b", "n"])
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
+        def close() -> None:
+            nonlocal held
+            codes, counts = total.total()
+            if least is None:
+                done.append((*now, codes, counts))
+                held += len(codes) + len(counts)
+                return
+            code, n = unpack_cells(codes, counts)
+            code, n = code[n >= least].astype(np.int64), n[n >= least]
+            if len(n):
+                lang, ti, tj = now
+                done.append((lang, ti * SIDE + code // SIDE, tj * SIDE + code % SIDE, n))
+                held += 24 * len(n)
+
         for batch in slices(batches, 1024):
             kinds = [batch.schema.field(c).type for c in names]
             for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 if row[:-2] != now:
                     if now is not None:
-                        done.append((*now, *total.total()))
-                        held += len(done[-1][-2])
+                        close()
                         if held > OUT_BYTES or len(done) >= 10_000:
                             yield out()
                             done, held = [], 0
                     now, total = row[:-2], TileSum()
                 total.add(*row[-2:])
         if now is not None:
-            done.append((*now, *total.total()))
+            close()
+        if done:
             yield out()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, rows.schema)
-
-
-def frequent_cells(tiles: DataFrame, least: int) -> DataFrame:
-    """(lang, a, b, n) of cells that hold ``least`` or more."""
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            for lang, ti, tj, codes, counts in zip(*[batch.column(c).to_pylist() for c in (*TILE, "codes", "counts")], strict=True):
-                code, n = unpack_cells(codes, counts)
-                code, n = code[n >= least].astype(np.int64), n[n >= least]
-                if len(n):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n), pa.string()), pa.array(ti * SIDE + code // SIDE), pa.array(tj * SIDE + code % SIDE), pa.array(n)],
-                        ["lang", "a", "b", "n"],
-                    )
-
-    return tiles.select(*TILE, "codes", "counts").mapInArrow(work, "lang string, a long, b long, n long")
+    schema = rows.schema if least is None else "lang string, a long, b long, n long"
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, schema)
 
 
 def by_frequency(counts: DataFrame, order: list[str]) -> DataFrame:
@@ -345,7 +348,7 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: s
     while len(levels) < longest:
         tiles = settle(count_tiles(state).withColumn("lot", F.pmod(F.xxhash64("chunk"), per_lot)))
         lots = sum_tiles(tiles, [*TILE, "lot"])
-        found = by_frequency(frequent_cells(sum_tiles(lots, TILE), least), ["a", "b"])
+        found = by_frequency(sum_tiles(lots, TILE, least), ["a", "b"])
         head = levels[-1].select("lang", F.col("id").alias("a"), F.col("phrase").alias("__head"))
         tail = levels[-1].select("lang", F.col("id").alias("b"), F.col("last").alias("__tail"))
         named = found.join(head, ["lang", "a"]).join(tail, ["lang", "b"])
