@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 
@@ -28,3 +29,17 @@ class Cache(dict):
     def make_room(self, coming: int) -> None:
         if len(self) + coming > self.most:
             self.clear()
+
+
+_live: dict[Hashable, Any] = {}
+
+
+def kept(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this worker until something of another name is asked for.
+
+    Workers serve one operator after another; so the caches of the earlier ones are not held beside its own.
+    """
+    if name not in _live:
+        _live.clear()
+        _live[name] = make()
+    return _live[name]

@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablevec.llm.batches import kept
+
 FOLDS = 5
 HELD_OUT = 0
 CALIBRATION = 1
@@ -102,15 +104,9 @@ def calibrate(features: np.ndarray, labels: np.ndarray, ridge: float = 0.1) -> l
     return (w / scale).tolist()
 
 
-_packers: dict[tuple, Packer] = {}
-
-
 def packer(dictionaries: tuple[bytes, bytes]) -> Packer:
     """The one of this worker."""
-    if dictionaries not in _packers:
-        _packers.clear()
-        _packers[dictionaries] = Packer(dictionaries)
-    return _packers[dictionaries]
+    return kept(("packer", dictionaries), lambda: Packer(dictionaries))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000) -> dict:

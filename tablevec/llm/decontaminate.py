@@ -62,44 +62,53 @@ def item_sketches(items: DataFrame, least: float, size: int, partition_growth: f
     )
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """(doc_id, item_id, n_shingles, n_shared, containment) of every document that holds at least the share
-    ``least`` of an item's different ``size``-word shingles.
-
-    Words are lower-cased and end at ASCII blanks. Texts with fewer words count as one shingle, so a short
-    item is only found as a whole short text. Nulls: a null text holds nothing and a null item id stays;
-    rows without a document id are left out, as a pair needs one. Repeated rows give one pair. Empty
-    tables give no rows. Extra columns are not read.
-    """
-    items = settle(items.select("item_id", "text").distinct())
+def _judged(docs: DataFrame, items: DataFrame, least: float, size: int, broadcast_rows: int) -> DataFrame:
+    """(doc_id, part, item_id, n_shingles, n_shared): ``part`` tells the texts of one id apart, items likewise."""
+    items = items.select(F.col("`item_id`").alias("item_id"), F.col("`text`").alias("text")).distinct()
+    items = settle(items.select(F.struct("item_id", F.xxhash64("text").alias("part")).alias("item_id"), "text"))
     sketches = settle(item_sketches(items, least, size))
     hashes = sketches.select("hash").distinct()
     # the benchmark side is broadcast only while its size, counted here, allows it
-    small = sketches.count() <= BROADCAST_ROWS
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    rows = docs.withColumn("w", words(F.col("text"))).select("doc_id", F.explode(_shingles("w", size, _hash)).alias("hash"))
+    small = sketches.count() <= broadcast_rows
+    docs = docs.select(F.col("`doc_id`").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("part"), F.col("`text`").alias("text"))
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.withColumn("w", words(F.col("text"))).select("doc_id", "part", F.explode(_shingles("w", size, _hash)).alias("hash"))
     if small:
         rows = rows.join(F.broadcast(hashes), "hash", "left_semi")
     hits = rows.distinct()
-    found = settle(
-        hits.join(F.broadcast(sketches) if small else sketches, "hash").select("doc_id", "item_id").distinct()
-    )
-    # exact: shingles as text, of candidate documents only
-    wanted = found.select("doc_id").distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").withColumn("w", words(F.col("text")))
-    texts = texts.select("doc_id", F.explode(F.array_distinct(_shingles("w", size, _text))).alias("s"))
-    parts = items.withColumn("w", words(F.col("text"))).select(
-        "item_id", F.array_distinct(_shingles("w", size, _text)).alias("all")
-    )
-    parts = parts.select("item_id", F.size("all").alias("n_shingles"), F.explode("all").alias("s"))
-    shared = texts.join(F.broadcast(parts) if small else parts, "s").select("doc_id", "item_id", "n_shingles", "s").distinct()
-    counts = shared.groupBy("doc_id", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
-    return counts.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * least)).withColumns({
+    found = hits.join(F.broadcast(sketches) if small else sketches, "hash")
+    found = settle(found.select("doc_id", "part", "item_id", "n_shingles").distinct())
+    # exact: shingles as text, of candidate pairs only
+    texts = docs.join(found.select("doc_id", "part").distinct(), ["doc_id", "part"], "left_semi").dropDuplicates(["doc_id", "part"])
+    texts = texts.withColumn("w", words(F.col("text"))).select("doc_id", "part", F.explode(F.array_distinct(_shingles("w", size, _text))).alias("s"))
+    parts = items.withColumn("w", words(F.col("text"))).select("item_id", F.explode(F.array_distinct(_shingles("w", size, _text))).alias("s"))
+    wanted = found.join(parts, found["item_id"].eqNullSafe(parts["item_id"])).select("doc_id", "part", found["item_id"], "n_shingles", "s")
+    shared = wanted.join(texts, ["doc_id", "part", "s"])
+    counts = shared.groupBy("doc_id", "part", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared"))
+    return counts.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * least)).withColumn("item_id", F.col("item_id.item_id"))
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, size: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, item_id, n_shingles, n_shared, containment) of every document that holds at least the share
+    ``least`` of an item's different ``size``-word shingles.
+
+    Words are lower-cased and end at ASCII blanks. Texts with fewer words count as one shingle, so a short
+    item is only found as a whole short text. Nulls: a null text holds nothing and a null item id stays;
+    rows without a document id are left out, as a pair needs one. Repeated rows give one pair. Texts that share
+    an id, of documents or of items, are judged apart; of equal ids and numbers of shingles the best is given.
+    Empty tables give no rows. Extra columns are not read. Sketches of over ``broadcast_rows`` hashes are
+    joined by a shuffle instead of a broadcast.
+    """
+    judged = _judged(docs, items, least, size, broadcast_rows)
+    best = judged.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
+    return best.withColumns({
         "n_shingles": F.col("n_shingles").cast("long"), "containment": F.col("n_shared") / F.col("n_shingles")
     }).select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """``docs`` without the documents that ``find_leaks`` names; rows without an id stay."""
-    leaks = find_leaks(docs, items, least, size).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["__leak"], "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, least: float = 0.8, size: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows whose own text holds an item; rows without an id or a text stay."""
+    leaks = _judged(docs, items, least, size, broadcast_rows).select("doc_id", "part").distinct()
+    rows, bad = docs.alias("rows"), settle(leaks).alias("bad")  # names of the table's own can't clash
+    met = (F.col("rows.`doc_id`") == F.col("bad.doc_id")) & (F.xxhash64(F.col("rows.`text`")) == F.col("bad.part")) & F.col("rows.`text`").isNotNull()
+    return rows.join(bad, met, "left_anti")

@@ -8,19 +8,22 @@ score is the posterior probability of its best language with equal priors.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, slices
+from tablevec.llm.batches import Cache, kept
+from tablevec.session import settle
 
 UNKNOWN = "und"
 LONGEST = 4
-CACHED_NUMBERS = 4_000_000
+CACHED_NUMBERS = 800_000
 AT_ONCE = 50_000
+MOST_ITEMS = 5_000_000
+LOTS = 64
 RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -29,29 +32,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn_languages(
-    labelled: DataFrame, per_language: int = 1500, most_words: int = 30_000, most_grams: int = 15_000
-) -> dict:
+def learn_languages(labelled: DataFrame, per_language: int = 1500, longest: int = 200_000) -> dict:
     """The model from rows (doc_id, text, lang): {"langs", "words", "grams"}.
 
-    Fitted on a bounded sample: the ``per_language`` rows of each language whose hashed id is lowest
-    (equal texts count once), their ``most_words`` most frequent words and, for each length, ``most_grams``
-    most frequent n-grams of each language. Only these counts come to the driver. Rows without text,
-    language or id teach nothing.
+    Fitted on a bounded sample: of each language the ``per_language`` rows of up to ``longest`` characters whose
+    hashed id is lowest (equal texts count once). All their words and n-grams are kept; only these counts come to
+    the driver, and a sample with more than ``MOST_ITEMS`` of them is refused, as the model is broadcast. Rows
+    without text, language or id teach nothing.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        known.select("doc_id", "lang").withColumn("__r", F.row_number().over(by_hash))
-        .where(F.col("__r") <= per_language).select("doc_id", "lang").distinct()
-    )
+    known = labelled.where(
+        F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("doc_id").isNotNull()
+    ).select("doc_id", "lang", "text")
+    ids = known.select("doc_id", "lang")
+    for group in (["lang", F.pmod(F.hash("doc_id"), F.lit(LOTS))], ["lang"]):  # few rows of a language meet
+        by_hash = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("__r", F.row_number().over(by_hash)).where(F.col("__r") <= per_language).drop("__r")
     # at most per_language ids for each language
-    sample = known.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", "text").distinct()
+    sample = known.join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text").distinct()
     words = (
         sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     )
-    words = _top(words, ["lang"], "word", most_words).persist()
+    words = settle(words)
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     grams = words.select("lang", "n", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("size"))
     grams = grams.where(F.length("w") >= F.col("size")).select(
@@ -60,10 +62,10 @@ def learn_languages(
             F.sequence(F.lit(1), F.length("w") - F.col("size") + 1), lambda i: F.substr("w", i, F.col("size"))
         )).alias("gram"),
     )
-    grams = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    word_rows = words.collect()
-    gram_rows = _top(grams, ["lang", "size"], "gram", most_grams).collect()
-    words.unpersist()
+    grams = settle(grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
+    if words.count() + grams.count() > MOST_ITEMS:
+        raise ValueError("too many words to broadcast: learn from fewer rows a language")
+    word_rows, gram_rows = words.collect(), grams.collect()
     langs = sorted({r.lang for r in word_rows})
     tables = [_log_frequencies([(r.word, r.lang, r.n) for r in word_rows], langs)]
     tables += [
@@ -73,13 +75,10 @@ def learn_languages(
     return {"langs": langs, "words": tables[0], "grams": tables[1:]}
 
 
-def _indexed(table: dict[str, np.ndarray]) -> tuple[dict[str, int], np.ndarray]:
-    return {x: i for i, x in enumerate(table)}, np.array(list(table.values()), dtype=np.float32)
-
-
-def _top(counts: DataFrame, group: list[str], item: str, k: int) -> DataFrame:
-    order = Window.partitionBy(*group).orderBy(F.desc("n"), item)
-    return counts.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).drop("__r")
+def compact(model: dict) -> dict:
+    """The model as it is broadcast: {"langs", "tables"}, a table as its items and one array of their values."""
+    tables = [model["words"], *({g: v for g, v in t.items() if g not in "^$"} for t in model["grams"])]
+    return {"langs": model["langs"], "tables": [(list(t), np.array(list(t.values()), dtype=np.float32)) for t in tables]}
 
 
 def _log_frequencies(rows: list[tuple[str, str, int]], langs: list[str]) -> dict[str, np.ndarray]:
@@ -98,8 +97,10 @@ class Scorer:
     """Scores texts; evidence for new words is worked out together and kept in a bounded cache."""
 
     def __init__(self, model: dict):
-        self.langs = model["langs"]
-        self.tables = [_indexed(model["words"]), *(_indexed({g: v for g, v in t.items() if g not in "^$"}) for t in model["grams"])]
+        """``model`` as learned or ``compact``."""
+        small = model if "tables" in model else compact(model)
+        self.langs = small["langs"]
+        self.tables = [({x: i for i, x in enumerate(items)}, values) for items, values in small["tables"]]
         most = max(1000, CACHED_NUMBERS // max(1, len(self.langs)))
         self.rows = np.zeros((most, len(self.langs)), dtype=np.float32)
         self.known = Cache(most)
@@ -154,33 +155,24 @@ class Scorer:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def identify(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """All columns of ``df`` with ``lang_pred`` and ``score`` (0 to 1) added.
+def identify(df: DataFrame, model: dict, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``df`` with the language and its score (0 to 1) added, named ``into``.
 
     ``und`` with score 0 if the text is null, empty or has no letter, or nothing was learned; of equal
     scores the first language by name. Nulls in other columns, repeated rows and clashing names pass
-    through: ``lang_pred`` and ``score`` columns that exist are replaced. Texts are read whole.
+    through, an empty table stays empty: columns that have the names in ``into`` are replaced. Texts are read whole.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(shared.value)
-        scorer = _scorers[key]
-        for batch in slices(batches, 1024):
-            found = [scorer.predict(t) for t in batch.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in kept], pa.array([x for x, _ in found], pa.string()),
-                 pa.array([x for _, x in found], pa.float64())],
-                [*kept, "lang_pred", "score"],
-            )
-
-    out = df.select(*[F.col(f"`{c}`") for c in kept], F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(work, out.schema)
+    shared = df.sparkSession.sparkContext.broadcast(compact(model))
+    name = uuid4().hex
+
+    @F.pandas_udf("lang string, score double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        scorer = kept(("languages", name), lambda: Scorer(shared.value))
+        return pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
+
+    own = [F.col(f"`{c}`") for c in df.columns if c not in into]
+    judged = df.select(F.struct(*own).alias("row"), judge(F.col(f"`{text}`")).alias("found"))
+    return judged.select(
+        *[F.col("row").getField(c).alias(c) for c in df.columns if c not in into],
+        F.col("found.lang").alias(into[0]), F.col("found.score").alias(into[1]),
+    )

@@ -12,8 +12,10 @@ A document is its set of hashed n-grams; two link if their Jaccard similarity is
    of their points, of two boxes of points that of their upper corners. An R-tree over a block's points
    drops what stays below the overlap that a link needs, and pairs must share as many blocks as a link
    would. What is left is verified exactly on the whole sets, so every component is whole.
-4. A link lies inside a component, so the links of each document are counted there: a component is dealt into
-   tiles of about ``TILE`` sets, and every two tiles meet in a task, where all their pairs are compared exactly.
+   Pairs that the 32 groups let through must also pass the same bound over ``FINE`` groups before they leave.
+
+Components are complete; pairs inside one that are not needed to connect it are not looked at, so links are not
+counted.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, slices
+from tablevec.llm.batches import Cache, kept, slices
 from tablevec.llm.documents import known_ids
 from tablevec.session import settle
 
 POINT = 32
-CACHED_WORDS = 1_000_000
+FINE = 512
+CACHED_WORDS = 400_000
+CACHED_SETS = 200_000
 CLASS_GROWTH = 1.41
 HUB_PAIRS = 2048
 HELD_ROWS = 200_000
@@ -42,7 +46,6 @@ CLASS_BITS = 7
 CROWD = 32
 LEAF = 16
 HASH_BYTES = 6
-TILE = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,6 +82,11 @@ class Shingler:
             yield np.unique(total)
 
 
+def shingles_of(words: int) -> Shingler:
+    """The one of this worker."""
+    return kept(("shingles", words), lambda: Shingler(words))
+
+
 @cache
 def class_table(percent: int) -> np.ndarray:
     """Rows (upper, differ, margin, spare) of the size classes; a class holds sizes above the upper before.
@@ -129,14 +137,27 @@ def point_of(hashes: np.ndarray) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(59)).astype(np.int64), minlength=POINT).astype("<u4")
 
 
-ROWS = "key long, node long, size long, point binary, same long"
+def fine_of(hashes: np.ndarray) -> bytes:
+    """Counts of ``FINE`` groups, one byte each if that is enough, else four."""
+    counts = np.bincount((hashes >> np.uint64(55)).astype(np.int64), minlength=FINE)
+    return counts.astype("<u1" if counts.max() < 256 else "<u4").tobytes()
+
+
+def fine_rows(points: list[bytes]) -> np.ndarray:
+    wide = any(len(x) > FINE for x in points)
+    if not wide:
+        return np.frombuffer(b"".join(points), dtype="<u1").reshape(-1, FINE)
+    return np.stack([np.frombuffer(x, dtype="<u1" if len(x) == FINE else "<u4").astype("<u4") for x in points])
 
 
-def _batch(key, node, size, point, same) -> pa.RecordBatch:
+ROWS = "key long, node long, size long, point binary, fine binary, same long"
+
+
+def _batch(key, node, size, point, fine, same) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(key, pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(point, pa.binary()),
-         pa.array(same, pa.int64())],
-        ["key", "node", "size", "point", "same"],
+         pa.array(fine, pa.binary()), pa.array(same, pa.int64())],
+        ["key", "node", "size", "point", "fine", "same"],
     )
 
 
@@ -148,14 +169,15 @@ def make_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), Cache(500_000)
+        shingler, seen = shingles_of(words), Cache(CACHED_SETS)
         for batch in slices(batches, 256):
             nodes = batch.column("node").to_numpy()
             spread = _mix(nodes.view(np.uint64)).view(np.int64)
-            sizes, points, content, same, keys, of = [], [], [], [], [], []
+            sizes, points, fine, content, same, keys, of = [], [], [], [], [], [], []
             for i, hashes in enumerate(shingler.sets(batch.column("text").to_pylist())):
                 sizes.append(len(hashes))
                 points.append(point_of(hashes).tobytes())
+                fine.append(fine_of(hashes))
                 own = int((_mix(hashes).sum() + np.uint64(len(hashes))).view(np.int64))
                 met = seen.get(own) if len(hashes) else None
                 same.append(met)
@@ -165,17 +187,17 @@ def make_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     seen[own] = int(nodes[i])
                     keys.append(block_keys(hashes, percent).view(np.int64))
                     of.append(np.full(len(keys[-1]), nodes[i]))
-            yield _batch(content, nodes, sizes, points, same)
+            yield _batch(content, nodes, sizes, points, fine, same)
             if keys:
                 key, node = np.concatenate(keys), np.concatenate(of)
                 for start in range(0, len(key), 20_000):
                     n = len(key[start : start + 20_000])
-                    yield _batch(key[start : start + n], node[start : start + n], np.zeros(n, dtype=np.int64), [None] * n, [None] * n)
+                    yield _batch(key[start : start + n], node[start : start + n], np.zeros(n, dtype=np.int64), *[[None] * n] * 3)
 
     return docs.select("node", "text").mapInArrow(work, ROWS)
 
 
-MET = "kind int, key long, node long, first long, size long, n long, point binary"
+MET = "kind int, key long, node long, first long, size long, n long, point binary, fine binary"
 
 
 def meet(rows: DataFrame) -> DataFrame:
@@ -187,11 +209,11 @@ def meet(rows: DataFrame) -> DataFrame:
     have the same members in some stretch of rows.
     """
 
-    def out(kind, key, node, first, size, n, point=None) -> pa.RecordBatch:
+    def out(kind, key, node, first, size, n, *points) -> pa.RecordBatch:
         rows = len(node)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(rows, kind, dtype=np.int32)), *[pa.array(x, pa.int64()) for x in (key, node, first, size, n)],
-             pa.array(point if point is not None else [None] * rows, pa.binary())],
+             *(points or [pa.nulls(rows, pa.binary())] * 2)],
             [x.split(" ")[0] for x in MET.split(", ")],
         )
 
@@ -256,7 +278,7 @@ def meet(rows: DataFrame) -> DataFrame:
             size = batch.column("size").to_numpy()
             if follows.any():
                 to = batch.column("same").filter(pa.array(follows)).to_numpy()
-                yield out(3, key[follows], node[follows], to, size[follows], size[follows], point.filter(pa.array(follows)))
+                yield out(3, key[follows], node[follows], to, size[follows], size[follows], *[batch.column(c).filter(pa.array(follows)) for c in ("point", "fine")])
             docs = every & ~follows
             if docs.any():
                 k, v = key[docs], node[docs]
@@ -266,7 +288,7 @@ def meet(rows: DataFrame) -> DataFrame:
                 if last is not None:
                     head[k == last[0]] = last[1]
                 last = k[-1], head[-1]
-                yield out(0, k, v, head, size[docs], size[docs], point.filter(pa.array(docs)))
+                yield out(0, k, v, head, size[docs], size[docs], *[batch.column(c).filter(pa.array(docs)) for c in ("point", "fine")])
             if every.all():
                 continue
             held.append((key[~every], node[~every]))
@@ -370,10 +392,10 @@ def _children(pairs: np.ndarray, n: int) -> np.ndarray:
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b, kind, n): pairs of different components in a block, from rows (key, node, component, n, size, point)
+    """(a, b, kind, n): pairs of different components in a block, from rows (key, node, component, n, size, point, fine)
     with the rows of a key together."""
 
-    def pairs(key, node, component, n, size, points) -> Iterator[pa.RecordBatch]:
+    def pairs(key, node, component, n, size, points, fine) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         length = np.diff(np.append(start, len(key)))
         mixed = np.minimum.reduceat(component, start) != np.maximum.reduceat(component, start)
@@ -392,10 +414,16 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         for part in found:
             kind = key[part[:, 0]] & ((1 << CLASS_BITS) - 1)
             part, kind = (x[class_of(size[part].max(axis=1), percent) == kind] for x in (part, kind))
-            ends = node[part]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (ends.min(axis=1), ends.max(axis=1), kind, n[part[:, 0]])], ["a", "b", "kind", "n"]
-            )
+            for some in np.array_split(np.arange(len(part)), 1 + len(part) // 8192):
+                a, b = part[some].T
+                sharp = np.minimum(fine_rows(fine[a]), fine_rows(fine[b])).sum(axis=1, dtype=np.int64)
+                some = some[enough(sharp, size[a], size[b], percent)]
+                ends = node[part[some]]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, pa.int64()) for x in (ends.min(axis=1), ends.max(axis=1), kind[some], n[part[some, 0]])],
+                        ["a", "b", "kind", "n"],
+                    )
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -404,6 +432,9 @@ def across(members: DataFrame, percent: int) -> DataFrame:
                 continue
             columns = [batch.column(c).to_numpy() for c in ("key", "node", "component", "n", "size")]
             columns.append(_matrix(batch.column("point")))
+            fine = np.empty(batch.num_rows, dtype=object)
+            fine[:] = batch.column("fine").to_pylist()
+            columns.append(fine)
             held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last block may go on
             if cut:
@@ -443,7 +474,7 @@ def make_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, at, hashes) of rows (node, at, data): each document's sorted set, 48 bits a hash."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
+        shingler, unpack = shingles_of(words), zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, 256):
             texts = [unpack(x).decode() for x in batch.column("data").to_pylist()]
             packed = [
@@ -513,80 +544,27 @@ def connect(links: DataFrame) -> DataFrame:
         before = now
 
 
-def count_links(roots: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, n_links) of every node of the components ``roots`` (node, root), the roots themselves not listed:
-    with how many others of its component a node links."""
-    members = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-    tiles = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    placed = members.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
-    placed = settle(placed.select("node", F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda x: F.struct(
-        "root", F.least("tile", x).alias("low"), F.greatest("tile", x).alias("high"), (F.col("tile") > x).alias("second"),
-    )).alias("at")))
-    sets = make_sets(packed_texts(docs).join(placed, "node"), words)
-    met = sets.select("node", F.explode("at").alias("at"), "hashes").select("at.*", "node", "hashes")
-    met = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "second", "node")
-
-    def count(place: tuple, second: list[bool], node: list[int], data: list[bytes]) -> pa.RecordBatch:
-        sets = [_unpack(x) for x in data]
-        size = np.array([len(x) for x in sets])
-        end = np.cumsum(size)
-        values, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        n = np.zeros(len(node), dtype=np.int64)
-        first = len(node) if place[1] == place[2] else len(node) - sum(second)
-        other = 0 if place[1] == place[2] else first  # where the partners begin
-        if other < len(node):
-            for i in range(first):
-                own = np.zeros(len(values), dtype=bool)
-                own[ids[end[i] - size[i] : end[i]]] = True
-                begin = end[other] - size[other]
-                overlap = np.add.reduceat(own[ids[begin:]].astype(np.int64), end[other:] - size[other:] - begin)
-                link = enough(overlap, size[i], size[other:], percent)
-                if other:
-                    n[other:] += link
-                else:
-                    link[i] = False
-                n[i] += np.count_nonzero(link)
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64())], ["node", "n"])
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, held = None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "low", "high", "second", "node", "hashes")]
-            for root, low, high, second, node, data in zip(*columns, strict=True):
-                if place != (root, low, high):
-                    if held:
-                        yield count(place, *zip(*held, strict=True))
-                    place, held = (root, low, high), []
-                if not held or held[-1][1] != node:  # repeated rows of the table: one is enough
-                    held.append((second, node, data))
-        if held:
-            yield count(place, *zip(*held, strict=True))
-
-    return met.mapInArrow(work, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
-
-
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def similar_documents(
-    df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id", with_links: bool = True
+    df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """(key, n_shingles, component_id, n_links_found) of every row; the last one only ``with_links``.
+    """(key, n_shingles, component_id) of every row.
 
     ``component_id``: the smallest id reachable by links, its own included. Fewer than ``words`` words make one
     n-gram, the whole sequence; without words, or with a null text, the set is empty and links with nothing.
     Nulls: a row with a null id takes the smallest id of its component, null if there is none. Repeated rows
     and equal texts link (unless empty); rows with one id but different texts are judged apart. An empty table
-    gives no rows. Extra columns are not read. ``n_links_found``: with how many
-    different sets of n-grams, besides its own, a row links; every pair of a component is compared for it.
+    gives no rows. Extra columns are not read.
     """
     docs = known_ids(df, text, key)
     docs = docs.select("key", F.when(F.col("tie") == 0, F.col("id")).otherwise(F.xxhash64("id", "text")).alias("node"), "text")
     rows = make_rows(docs, words, percent).repartition("key")
     met = settle(meet(rows.sortWithinPartitions(F.col("point").isNull(), "key", "node")))
-    documents = met.where("kind = 0").select("node", "first", "size", "point")
-    points = settle(documents.where("node = first").select("node", "size", "point").distinct())
+    documents = met.where("kind = 0").select("node", "first", "size", "point", "fine")
+    points = settle(documents.where("node = first").select("node", "size", "point", "fine").distinct())
     heads = documents.select("node", "first")
     names = heads.unionAll(  # a node and what stands for its content
         met.where("kind = 3").select("node", F.col("first").alias("to")).join(heads.withColumnRenamed("node", "to"), "to").select("node", "first")
@@ -642,13 +620,7 @@ def similar_documents(
     out = placed.join(lowest, "root", "left").join(sizes, "node").withColumn(
         "component_id", F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("component_id"))
     )
-    if not with_links:
-        return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")
-    degree = count_links(settle(roots), docs, words, percent).withColumnRenamed("node", "first")
-    return out.join(names.join(degree, "first").select("node", "n_links"), "node", "left").select(
-        F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links_found"),
-    )
+    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), "component_id")
 
 
 def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -657,10 +629,11 @@ def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, text: str = "t
     Of repeated rows one stays. Rows with one id but different texts all stay if the id is the smallest; rows
     with a null id go if they link to a row with one. Columns and other rows are untouched.
     """
-    found = similar_documents(df, words, percent, text, key, with_links=False)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = settle(kept)
-    same = df[key].eqNullSafe(F.col("__id"))
-    single = df.join(kept.where("__n = 1"), same, "left_semi")
-    repeated = df.join(kept.where("__n > 1"), same, "left_semi")  # usually none, which Spark sees from the written table
+    found = similar_documents(df, words, percent, text, key)
+    lowest = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    lowest = settle(lowest.toDF("id", "n"))
+    rows, stay = df.alias("rows"), lowest.alias("stay")  # names of the table's own can't clash
+    same = F.col(f"rows.`{key}`").eqNullSafe(F.col("stay.id"))
+    single = rows.join(stay.where("stay.n = 1"), same, "left_semi")
+    repeated = rows.join(stay.where("stay.n > 1"), same, "left_semi")  # usually none, which Spark sees from the written table
     return single.unionByName(repeated.dropDuplicates([key, text]))

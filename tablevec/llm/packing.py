@@ -14,7 +14,6 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, slices
+from tablevec.llm.batches import Cache, kept, slices
 from tablevec.session import settle
 
 CACHED_WORDS = 1_000_000
@@ -104,9 +103,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(others)) for b in range(256)]
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The one of this worker."""
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def cut_pieces(df: DataFrame, tokenizer: str, size: int, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:

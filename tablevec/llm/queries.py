@@ -125,8 +125,8 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shingle_sql(table: str, key: str) -> str:
     return f"""
-  SELECT DISTINCT {key}, CASE WHEN len(w) >= 5 THEN array_to_string(w[u.i:u.i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
-  FROM (SELECT {key}, list_filter(string_split_regex(lower(text), '[ \t-\r]+'), lambda x: x <> '') AS w FROM {table}),
+  SELECT DISTINCT {key}, md5(text) AS part, CASE WHEN len(w) >= 5 THEN array_to_string(w[u.i:u.i + 4], ' ') ELSE array_to_string(w, ' ') END AS s
+  FROM (SELECT {key}, text, list_filter(string_split_regex(lower(text), '[ \t-\r]+'), lambda x: x <> '') AS w FROM {table}),
     unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i)
   WHERE len(w) > 0"""
 
@@ -134,10 +134,15 @@ def _shingle_sql(table: str, key: str) -> str:
 LEAK_SQL = f"""
 WITH d AS ({_shingle_sql("documents", "doc_id")}
 ), b AS ({_shingle_sql("benchmark", "item_id")}
-), sizes AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
-SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
-FROM d JOIN b USING (s) JOIN sizes USING (item_id)
-GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= ceil(n_shingles * 0.8)"""
+), sizes AS (SELECT item_id, part, count(*) AS n_shingles FROM b GROUP BY item_id, part
+), pairs AS (
+  SELECT doc_id, d.part, b.item_id, n_shingles, count(*) AS n
+  FROM d JOIN b ON d.s = b.s JOIN sizes ON sizes.item_id IS NOT DISTINCT FROM b.item_id AND sizes.part = b.part
+  WHERE doc_id IS NOT NULL
+  GROUP BY doc_id, d.part, b.item_id, b.part, n_shingles HAVING count(*) >= ceil(n_shingles * 0.8)
+)
+SELECT doc_id, item_id, n_shingles, max(n) AS n_shared, max(n) / n_shingles AS containment
+FROM pairs GROUP BY doc_id, item_id, n_shingles"""
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:

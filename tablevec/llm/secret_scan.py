@@ -31,8 +31,10 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 HINTS = ("password", "passwd", "secret", "token", "api")
 CACHED_WORDS = 200_000
 LONGEST_KNOWN = 100
-LONGEST_LEARNED = 400
 LETTERS = 67  # credential characters and the end
+ARRIVALS = 20
+LEAN = 10
+LOTS = 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -69,22 +71,42 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[i
 
 
 class Automaton:
-    """A probabilistic automaton inferred from strings: prefix tree, then red-blue state merging.
-
-    Two states are compatible if no ending or next-character frequency differs by more than the
-    Hoeffding bound at ``alpha``, for them and for all states that merging would fold together.
+    """A probabilistic automaton inferred from strings, by merging compatible states of their prefix tree.
+
+    Two states are compatible if no ending or next-character frequency differs by more than the Hoeffding bound
+    at ``alpha``, and two distributions don't explain what follows them better than one (likelihood ratio, three
+    deviations), for them and for all states that merging would fold together. States of one depth are merged
+    first, siblings before others, so that places are learned before anything repeats: each goes to the
+    compatible one whose next characters are most like its own. Then states of different depths are, which closes loops, but only where
+    ``ARRIVALS`` strings passed either: with fewer nothing could tell them apart, and length and place would be lost.
     """
 
     def __init__(self, strings: Iterable[str], alpha: float = 0.05):
+        strings = list(strings)
         self.alpha = alpha
+        self.spread = math.sqrt(0.5 * math.log(2 / alpha))
+        held = strings[::4] if len(strings) >= 40 else []
+        self._infer([s for i, s in enumerate(strings) if not held or i % 4])
+        tried = held or strings  # strings that were not learned from, if there are enough
+        self.least, self.least_typical = (
+            sorted(map(measure, tried))[len(tried) // 50] if tried else math.inf for measure in (self.score, self.typical)
+        )
+        if held:
+            self._infer(strings)
+
+    def _infer(self, strings: list[str]) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.passed: list[Counter] = [Counter()]
         self.ended, self.arrived = [0], [0]
         for s in strings:
             self._add(s)
-        self._merge_states()
-        scores = sorted(self.score(s) for s in strings)
-        self.least = scores[len(scores) // 100] if scores else math.inf
+        self.letters: Counter = Counter()
+        for x in self.passed:
+            self.letters.update(x)
+        self.total = max(1, self.letters.total())
+        self._close_loops(self._merge_layers())
+        self.surprise: dict[int, float] = {}
+        self.usual: dict[int, int] = {}
 
     def _add(self, s: str) -> None:
         at = 0
@@ -101,22 +123,33 @@ class Automaton:
             self.arrived[at] += 1
         self.ended[at] += 1
 
-    def _differ(self, n1: int, f1: int, n2: int, f2: int) -> bool:
-        bound = math.sqrt(0.5 * math.log(2 / self.alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-        return abs(f1 / n1 - f2 / n2) > bound
+    def _bound(self, n: int, m: int) -> float:
+        return self.spread * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+
+    def _alike(self, n: int, ended: int, passed: Counter, m: int, ended_too: int, passed_too: Counter) -> bool:
+        bound = self._bound(n, m)
+        if bound >= 1:
+            return True
+        both = [(ended, ended_too), *((passed[c], passed_too[c]) for c in passed.keys() | passed_too.keys())]
+        if any(abs(x / n - y / m) > bound for x, y in both):
+            return False
+        gain = sum(  # of two distributions over one, twice the log-likelihood
+            2 * k * math.log(k / size * (n + m) / (x + y)) for x, y in both for k, size in ((x, n), (y, m)) if k
+        )
+        free = max(1, sum(x + y > 0 for x, y in both) - 1)
+        return gain <= free + 3 * math.sqrt(2 * free)
 
     def _compatible(self, a: int, b: int) -> bool:
+        """For two roots of trees."""
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
-            n, m = self.arrived[a], self.arrived[b]
-            if not n or not m:
-                continue
-            if self._differ(n, self.ended[a], m, self.ended[b]):
+            if self._bound(self.arrived[a], self.arrived[b]) >= 1:
+                continue  # and further down even less is known
+            if not self._alike(
+                self.arrived[a], self.ended[a], self.passed[a], self.arrived[b], self.ended[b], self.passed[b]
+            ):
                 return False
-            for c in self.passed[a].keys() | self.passed[b].keys():
-                if self._differ(n, self.passed[a][c], m, self.passed[b][c]):
-                    return False
             todo += [(self.next[a][c], t) for c, t in self.next[b].items() if c in self.next[a]]
         return True
 
@@ -134,35 +167,139 @@ class Automaton:
                 else:
                     self.next[a][c] = t
 
-    def _merge_states(self) -> None:
-        red, seen = [0], {0}
-        blue = deque((0, c) for c in sorted(self.next[0]))
-        while blue:
-            source, c = blue.popleft()
-            state = self.next[source][c]
-            if state in seen:
+    def _shared(self, a: int, b: int) -> float:
+        """How much the next characters of two states overlap, 0 to 1."""
+        n, m = self.arrived[a], self.arrived[b]
+        both = sum(min(self.passed[a][c] / n, k / m) for c, k in self.passed[b].items())
+        return both + min(self.ended[a] / n, self.ended[b] / m)
+
+    def _merge_layers(self) -> list[int]:
+        """Merges within each depth, from the first on; the states that are left, by depth."""
+
+        def merge(states: Iterable[int]) -> dict[int, int]:
+            """State -> where it went; itself if it stays."""
+            went: dict[int, int] = {}
+            for state in sorted(states, key=lambda x: (-self.arrived[x], x)):
+                fitting = [r for r, to in went.items() if r == to and self._compatible(r, state)]
+                went[state] = state
+                if fitting:
+                    went[state] = max(fitting, key=lambda r: (self._shared(r, state), self.arrived[r], -r))
+                    self._fold(went[state], state)
+            return went
+
+        left, layer = [0], [0]
+        while layer:
+            for source in layer:
+                went = merge(set(self.next[source].values()))
+                self.next[source] = {c: went[x] for c, x in self.next[source].items()}
+            went = merge({x for source in layer for x in self.next[source].values()})
+            for source in layer:
+                self.next[source] = {c: went[x] for c, x in self.next[source].items()}
+            layer = sorted({*went.values()})
+            left += layer
+        return left
+
+    def _close_loops(self, order: list[int]) -> None:
+        kept: list[int] = []
+        gone: set[int] = set()
+        for state in order:
+            if state in gone:
                 continue
-            target = next((r for r in red if self._compatible(r, state)), None)
-            if target is None:
-                red.append(state)
-                seen.add(state)
-                blue.extend((state, x) for x in sorted(self.next[state]))
+            plan = None
+            if state and self.arrived[state] >= ARRIVALS:
+                for r in sorted(kept, key=lambda r: (-self.arrived[r], r)):
+                    if self.arrived[r] >= ARRIVALS and (plan := self._joined(r, state)) is not None:
+                        break
+            if plan is None:
+                kept.append(state)
             else:
-                self.next[source][c] = target
-                self._fold(target, state)
-                # folding may hang new branches on red states
-                blue.extend((r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in seen)
-        self.states = len(red)
+                gone |= self._apply(plan, order)
+                kept = [r for r in kept if r not in gone]
+        self.states = len([s for s in order if s not in gone])
 
-    def score(self, s: str) -> float:
-        """Mean log-likelihood of a character, the end included; unseen steps get half a count."""
-        total, at = 0.0, 0
+    def _joined(self, a: int, b: int) -> dict[int, tuple] | None:
+        """Every state that merging ``a`` and ``b`` changes -> (representative, arrived, ended, passed, next); None if
+        some states that would fold together differ."""
+        leader: dict[int, int] = {}
+        facts: dict[int, tuple] = {}
+
+        def find(x: int) -> int:
+            while leader.get(x, x) != x:
+                x = leader[x]
+            return x
+
+        def of(x: int) -> tuple:
+            return facts.get(x) or (self.arrived[x], self.ended[x], self.passed[x], self.next[x])
+
+        todo = [(a, b)]
+        while todo:
+            x, y = (find(z) for z in todo.pop())
+            if x == y:
+                continue
+            x, y = min(x, y), max(x, y)
+            (n, e, p, f), (m, g, q, h) = of(x), of(y)
+            if not self._alike(n, e, p, m, g, q):
+                return None
+            leader[y] = x
+            facts[x] = (n + m, e + g, p + q, {**h, **f})
+            todo += [(f[c], h[c]) for c in f.keys() & h.keys()]
+        return {x: (find(x), *of(find(x))) for x in {*leader, *facts}}
+
+    def _apply(self, plan: dict[int, tuple], order: list[int]) -> set[int]:
+        leader = {x: facts[0] for x, facts in plan.items()}
+        for x, (first, arrived, ended, passed, following) in plan.items():
+            if x == first:
+                self.arrived[x], self.ended[x], self.passed[x], self.next[x] = arrived, ended, passed, dict(following)
+        for x in order:
+            self.next[x] = {c: leader.get(t, t) for c, t in self.next[x].items()}
+        return {x for x, first in leader.items() if x != first}
+
+    def _step(self, at: int, c: str) -> float:
+        """Log-likelihood of a character; unseen ones lean on the letters of all states."""
+        n = self.arrived[at] if at >= 0 else 0
+        seen = self.passed[at][c] if n else 0
+        return math.log((seen + LEAN * self.letters[c] / self.total + 0.5 / LETTERS) / (n + LEAN + 0.5))
+
+    def _goes_on(self, at: int, c: str) -> int:
+        """The next state; after a character that is new there, the one that most strings reach."""
+        if c in self.next[at]:
+            return self.next[at][c]
+        if at not in self.usual:
+            reached: Counter = Counter()
+            for x, state in self.next[at].items():
+                reached[state] += self.passed[at][x]
+            self.usual[at] = max(reached, key=lambda x: (reached[x], -x), default=-1)
+        return self.usual[at]
+
+    def _steps(self, s: str) -> list[tuple[int, float]]:
+        """State and log-likelihood of each character and of the end; -1 once no state is left."""
+        out, at = [], 0
         for c in s:
-            n = self.arrived[at] if at >= 0 else 0
-            total += math.log(((self.passed[at][c] if n else 0) + 0.5 / LETTERS) / (n + 0.5))
-            at = self.next[at].get(c, -1) if at >= 0 else -1
+            out.append((at, self._step(at, c)))
+            at = self._goes_on(at, c) if at >= 0 else -1
         n = self.arrived[at] if at >= 0 else 0
-        return (total + math.log(((self.ended[at] if n else 0) + 0.5 / LETTERS) / (n + 0.5))) / (len(s) + 1)
+        return [*out, (at, math.log(((self.ended[at] if n else 0) + 0.5 / LETTERS) / (n + 0.5)))]
+
+    def _expected(self, at: int) -> float:
+        """The mean log-likelihood of what follows a state; 0 off the automaton, where nothing is expected."""
+        if at < 0:
+            return 0.0
+        if at not in self.surprise:
+            n = self.arrived[at]
+            parts = [k / n for k in (self.ended[at], *self.passed[at].values()) if k]
+            self.surprise[at] = sum(p * math.log(p) for p in parts)
+        return self.surprise[at]
+
+    def score(self, s: str) -> float:
+        """Mean log-likelihood of a character, the end included."""
+        return sum(x for _, x in self._steps(s)) / (len(s) + 1)
+
+    def typical(self, s: str) -> float:
+        """``score`` less what the states on the way lead to expect, so that formats of many and of few letters compare."""
+        return sum(x - self._expected(at) for at, x in self._steps(s)) / (len(s) + 1)
+
+    def accepts(self, s: str) -> bool:
+        return self.score(s) >= self.least and self.typical(s) >= self.least_typical
 
 
 def pairs_of(words: Iterable[str]) -> Counter:
@@ -183,8 +320,14 @@ class Ordinary:
             self.first[a] += n
 
     def score(self, s: str) -> float:
-        steps = zip("^" + s, s + "$", strict=True)
-        return sum(math.log((self.pairs[p] + 0.5) / (self.first[p[0]] + 0.5 * LETTERS)) for p in steps) / (len(s) + 1)
+        """Mean log-likelihood of a pair, without what the string itself added to the counts."""
+        steps = list(zip("^" + s, s + "$", strict=True))
+        own, own_first = Counter(steps), Counter(a for a, _ in steps)
+        total = 0.0
+        for (a, b), k in own.items():
+            n, of = max(0, self.pairs[a, b] - k), max(0, self.first[a] - own_first[a])
+            total += k * math.log((n + 0.5) / (of + 0.5 * LETTERS))
+        return total / (len(s) + 1)
 
 
 def scan_base(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -226,12 +369,13 @@ def count_pairs(words: DataFrame) -> Counter:
     return Counter({(r.pair[0], r.pair[1]): r.n for r in counts.collect()})
 
 
-def learn_formats(scanned: DataFrame, per_kind: int = 400) -> tuple[list[Automaton], Ordinary]:
+def learn_formats(scanned: DataFrame, per_kind: int = 400, longest: int = 100) -> tuple[list[Automaton], Ordinary]:
     """Automata from at most ``per_kind`` different labelled credentials of each kind, lowest hashes first
-    and none of over ``LONGEST_LEARNED`` characters, and the model of ordinary words from all different candidates that touch no base span."""
-    labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").where(F.length("value") <= LONGEST_LEARNED).distinct()
-    by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    labelled = labelled.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_kind)
+    and none of over ``longest`` characters, and the model of ordinary words from all different candidates that touch no base span."""
+    labelled = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").where(F.length("value") <= longest).distinct()
+    for group in (["kind", F.pmod(F.hash("value"), F.lit(LOTS))], ["kind"]):  # few rows of a kind meet
+        by_hash = Window.partitionBy(*group).orderBy(F.xxhash64("value"), "value")
+        labelled = labelled.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= per_kind).drop("r")
     strings: dict[int, list[str]] = {}
     for r in labelled.collect():
         strings.setdefault(r.kind, []).append(r.value)
@@ -240,8 +384,8 @@ def learn_formats(scanned: DataFrame, per_kind: int = 400) -> tuple[list[Automat
 
 
 class Formats:
-    """Decides on candidates: some automaton must give at least the likelihood of the hundredth least likely
-    credential it learned from, and ``margin`` per character more than ordinary words give."""
+    """Decides on candidates: some automaton must give at least the likelihood of the least likely fiftieth of
+    the credentials it was tried on, and ``margin`` per character more than ordinary words give."""
 
     def __init__(self, automata: list[Automaton], ordinary: Ordinary, margin: float):
         self.automata, self.ordinary, self.margin = automata, ordinary, margin
@@ -257,7 +401,7 @@ class Formats:
 
     def _likely(self, value: str) -> bool:
         plain = self.ordinary.score(value) + self.margin
-        return any((s := a.score(value)) >= a.least and s >= plain for a in self.automata)
+        return any(a.accepts(value) and a.score(value) >= plain for a in self.automata)
 
 
 def scan_secrets(df: DataFrame, text: str = "text", key: str = "doc_id", margin: float = 0.5) -> DataFrame:
@@ -308,7 +452,7 @@ def mask_spans(text: str, spans: Iterable[tuple[int, int]], mask: str) -> str:
 
 def mask_secrets(df: DataFrame, text: str = "text", mask: str = "[secret]", margin: float = 0.5) -> DataFrame:
     """All rows and columns of ``df``, every secret in ``text`` replaced; null texts stay null."""
-    learned = learn_formats(settle(scan_base(df.withColumn("__key", F.lit(0).cast("long")), text, "__key")))
+    learned = learn_formats(settle(scan_base(df.select(F.lit(0).cast("long").alias("key"), F.col(f"`{text}`").alias("text")), key="key")))
     shared = df.sparkSession.sparkContext.broadcast(Formats(*learned, margin))
 
     def clean(t: str | None) -> str | None:
@@ -319,11 +463,8 @@ def mask_secrets(df: DataFrame, text: str = "text", mask: str = "[secret]", marg
         spans += [(s, e) for s, e, v, _ in candidates(t, base) if shared.value.likely(v)]
         return mask_spans(t, spans, mask) if spans else t
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            at = batch.schema.get_field_index(text)
-            cleaned = pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            columns = [cleaned if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series) -> pd.Series:
+        return texts.map(clean)
 
-    return df.mapInArrow(work, df.schema)
+    return df.withColumn(text, cleaned(F.col(f"`{text}`")))

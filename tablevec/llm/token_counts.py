@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, slices
+from tablevec.llm.batches import Cache, kept, slices
 
 CACHED_CHUNKS = 1_000_000
 
@@ -156,9 +155,9 @@ def _apart(take: np.ndarray) -> np.ndarray:
     return take & ((at - start) % 2 == 0)
 
 
-@cache
 def merger(path: str) -> Merger:
-    return Merger(path)
+    """The one of this worker."""
+    return kept(("merger", path), lambda: Merger(path))
 
 
 def count_tokens(df: DataFrame, tokenizer: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -50,6 +50,26 @@ def test_equals_brute_force(spark):
     assert find_leaks(df.limit(0), bench).count() == find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_shared_ids_are_judged_apart(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    halves = item.split()
+    docs = [(1, " ".join(halves[:7]), 1.5), (1, " ".join(halves[5:]), 2.5), (2, "x " + item, 3.5), (2, "clean words here", 4.5), (2, None, 5.5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, `a.b` double")
+    bench = spark.createDataFrame([(7, item), (8, " ".join(halves[:6])), (8, " ".join(halves[4:])), (None, item)], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id or -1, r.n_shingles, r.n_shared) for r in find_leaks(df, bench).collect())
+    assert found == [(1, 8, 2, 2), (2, -1, 8, 8), (2, 7, 8, 8), (2, 8, 2, 2), (2, 8, 4, 4)]
+    kept = without_leaks(df, bench.where("item_id = 7")).collect()
+    assert sorted(r["a.b"] for r in kept) == [1.5, 2.5, 4.5, 5.5]
+
+
+def test_large_benchmarks_are_not_broadcast(spark):
+    docs, items = tables()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in find_leaks(df, bench, broadcast_rows=0).collect())
+    assert got == brute(docs, items)
+
+
 def test_sketch_is_long_enough(spark):
     """Any fifth of an item's shingles may be missing and its sketch still meets the rest."""
     _, items = tables()

@@ -73,19 +73,15 @@ def test_equals_brute_force(spark, words, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(docs, words, percent)
 
 
-@pytest.mark.parametrize("tile", [ngram_join.TILE, 4])
-def test_counts_every_link(spark, monkeypatch, tile):
-    monkeypatch.setattr(ngram_join, "TILE", tile)
-    docs = documents()
-    sets = {t: frozenset(shingles(t, 4)) for _, t in docs}
-    different = set(sets.values())
-    links = {
-        x: sum(100 * len(x & y) >= 85 * len(x | y) for y in different if x and y and x != y) for x in different
-    }
-    df = spark.createDataFrame(docs + docs[:3], "doc_id long, text string").repartition(4)
-    got = ngram_join.similar_documents(df, 4, 85).collect()
-    assert sorted((r.doc_id, r.n_links_found) for r in got) == sorted((i, links[sets[t]]) for i, t in docs + docs[:3])
-    assert max(links.values()) > 3
+def test_fine_counts_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for n in (5, 300, 300_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate((a[n // 7 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64) * np.uint64(2))))
+        rows = ngram_join.fine_rows([ngram_join.fine_of(a), ngram_join.fine_of(b)]).astype(np.int64)
+        both = len(np.intersect1d(a, b))
+        coarse = np.minimum(ngram_join.point_of(a), ngram_join.point_of(b)).sum()
+        assert both <= np.minimum(*rows).sum() <= coarse and rows.sum() == len(a) + len(b)
 
 
 def test_every_link_shares_the_needed_blocks():

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -102,3 +103,16 @@ def test_empty_and_null_documents(spark, fixture):
         for _, stage in corpus_pipeline.STAGES:
             docs = settle(stage(spark, docs, folder))
         assert docs.count() == len(rows)
+
+
+def test_own_columns_survive(spark, fixture):
+    folder, *_ = fixture
+    extra = [F.lit(7.5).alias("score"), F.lit("own").alias("lang_pred"), (F.col("doc_id") * 3).alias("a.b"), F.lit(1).alias("__id"), F.lit("t").alias("__text")]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("n_chars").select("*", *extra)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = settle(stage(spark, docs, folder))
+        assert kept.columns == docs.columns
+        docs = kept
+        rows = docs.collect()
+        assert len(rows) > 100 and all((r.score, r.lang_pred, r["a.b"], r["__id"], r["__text"]) == (7.5, "own", r.doc_id * 3, 1, "t") for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 100
