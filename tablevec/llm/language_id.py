@@ -8,10 +8,14 @@ score is the posterior probability of its best language with equal priors.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator, Mapping
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,42 +69,52 @@ def learn_languages(labelled: DataFrame, per_language: int = 1500, longest: int
     grams = settle(grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")))
     if words.count() + grams.count() > MOST_ITEMS:
         raise ValueError("too many words to broadcast: learn from fewer rows a language")
-    word_rows, gram_rows = words.collect(), grams.collect()
-    langs = sorted({r.lang for r in word_rows})
-    tables = [_log_frequencies([(r.word, r.lang, r.n) for r in word_rows], langs)]
-    tables += [
-        _log_frequencies([(r.gram, r.lang, r.n) for r in gram_rows if r.size == size], langs)
-        for size in range(1, LONGEST + 1)
-    ]
+    words, grams = words.toArrow(), grams.toArrow()
+    langs = sorted(pc.unique(words["lang"]).to_pylist())
+    tables = [log_frequencies(words["word"], words["lang"], words["n"], langs)]
+    for size in range(1, LONGEST + 1):
+        some = grams.filter(pc.equal(grams["size"], size))
+        tables.append(log_frequencies(some["gram"], some["lang"], some["n"], langs))
     return {"langs": langs, "words": tables[0], "grams": tables[1:]}
 
 
-def compact(model: dict) -> dict:
-    """The model as it is broadcast: {"langs", "tables"}, a table as its items and one array of their values."""
-    tables = [model["words"], *({g: v for g, v in t.items() if g not in "^$"} for t in model["grams"])]
-    return {"langs": model["langs"], "tables": [(list(t), np.array(list(t.values()), dtype=np.float32)) for t in tables]}
+class LogTable(Mapping):
+    """Item -> log frequency in each language: sorted items and one array, as small as it can be sent."""
 
+    def __init__(self, items: list[str], values: np.ndarray):
+        self.items_, self.values_ = items, values
 
-def _log_frequencies(rows: list[tuple[str, str, int]], langs: list[str]) -> dict[str, np.ndarray]:
-    """Item -> log frequency in each language, half a count added everywhere."""
-    at = {x: i for i, x in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
-    totals = np.zeros(len(langs))
-    for item, lang, n in rows:
-        counts.setdefault(item, np.zeros(len(langs)))[at[lang]] += n
-        totals[at[lang]] += n
-    norm = np.log(totals + 0.5 * len(counts)) if counts else totals
-    return {k: (np.log(v + 0.5) - norm).astype(np.float32) for k, v in counts.items()}
+    def __getitem__(self, item: str) -> np.ndarray:
+        at = bisect_left(self.items_, item)
+        if at == len(self.items_) or self.items_[at] != item:
+            raise KeyError(item)
+        return self.values_[at]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.items_)
+
+    def __len__(self) -> int:
+        return len(self.items_)
+
+
+def log_frequencies(items: pa.ChunkedArray, lang: pa.ChunkedArray, n: pa.ChunkedArray, langs: list[str]) -> LogTable:
+    """From counts of (item, language): half a count added everywhere."""
+    names = sorted(pc.unique(items).to_pylist())
+    rows = pc.index_in(items, value_set=pa.array(names, pa.string())).to_numpy()
+    columns = pc.index_in(lang, value_set=pa.array(langs, pa.string())).to_numpy()
+    counts = np.zeros((len(names), len(langs)))
+    np.add.at(counts, (rows, columns), n.to_numpy())
+    norm = np.log(counts.sum(axis=0) + 0.5 * len(names)) if names else np.zeros(len(langs))
+    return LogTable(names, (np.log(counts + 0.5) - norm).astype(np.float32))
 
 
 class Scorer:
     """Scores texts; evidence for new words is worked out together and kept in a bounded cache."""
 
     def __init__(self, model: dict):
-        """``model`` as learned or ``compact``."""
-        small = model if "tables" in model else compact(model)
-        self.langs = small["langs"]
-        self.tables = [({x: i for i, x in enumerate(items)}, values) for items, values in small["tables"]]
+        self.langs = model["langs"]
+        # a word's ends are no letters: alone they say nothing
+        self.tables = [({x: i for i, x in enumerate(t) if x not in "^$"}, t.values_) for t in (model["words"], *model["grams"])]
         most = max(1000, CACHED_NUMBERS // max(1, len(self.langs)))
         self.rows = np.zeros((most, len(self.langs)), dtype=np.float32)
         self.known = Cache(most)
@@ -162,7 +176,7 @@ def identify(df: DataFrame, model: dict, text: str = "text", into: tuple[str, st
     scores the first language by name. Nulls in other columns, repeated rows and clashing names pass
     through, an empty table stays empty: columns that have the names in ``into`` are replaced. Texts are read whole.
     """
-    shared = df.sparkSession.sparkContext.broadcast(compact(model))
+    shared = df.sparkSession.sparkContext.broadcast(model)
     name = uuid4().hex
 
     @F.pandas_udf("lang string, score double")
