@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+BATCH_BYTES = 8_000_000
+LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands Python no more than about ``BATCH_BYTES`` at once, whatever the length of a row.
+
+    A lower limit of the session stays.
+    """
+    conf = df.sparkSession.conf
+    now = conf.get(LIMIT).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(LIMIT, f"{BATCH_BYTES}b")
+    return df
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -41,5 +58,7 @@ def kept(name: Hashable, make: Callable[[], Any]) -> Any:
     """
     if name not in _live:
         _live.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _live[name] = make()
     return _live[name]

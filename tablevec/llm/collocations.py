@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablevec.functions.ordering import number_rows
-from tablevec.llm.batches import slices
+from tablevec.llm.batches import slices, small_batches
 from tablevec.session import settle
 
 SIDE = 1024
@@ -48,7 +48,7 @@ def read_chunks(df: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
 
     A chunk ends with the text that brings it to ``tokens`` words.
     """
-    rows = df.select(F.coalesce(F.col(f"`{lang}`"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text}`").alias("text"))
+    rows = small_batches(df).select(F.coalesce(F.col(f"`{lang}`"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text}`").alias("text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import kept
+from tablevec.llm.batches import kept, small_batches
 
 FOLDS = 5
 HELD_OUT = 0
@@ -117,6 +117,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, per_class: int = 2000, lon
     texts count once; rows without text teach nothing.
     """
     ids = sample_labels(labels, per_class)
+    small_batches(docs)
     texts = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     texts = texts.join(F.broadcast(ids), "doc_id")  # at most 4 * per_class ids
     teach = texts.where((~F.col("calibrate")) & (F.length("text") <= longest)).select("label", "text").distinct()
@@ -140,7 +141,7 @@ def score_quality(df: DataFrame, model: dict, text: str = "text", into: str = "s
     A null text counts as empty; an empty one has a score too. Texts are read whole, whatever their length. Equal
     texts score alike; an empty table stays empty; other columns and repeated rows pass through.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(df).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

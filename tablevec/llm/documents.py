@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablevec.functions.ordering import number_rows
 from tablevec.session import settle
 
 NO_ID = -(1 << 63)
@@ -19,8 +20,7 @@ def known_ids(df: DataFrame, text: str, key: str) -> DataFrame:
     )
     shared = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     texts = rows.join(shared, "id", "left_semi").select("id", F.xxhash64("text").alias("__h")).distinct()
-    rank = Window.partitionBy("id").orderBy("__h")
-    ties = settle(texts.withColumn("tie", (F.row_number().over(rank) - 1).cast("long")).where("tie > 0"))
+    ties = settle(number_rows(texts, ["id"], ["id", "__h"], "tie").where("tie > 0"))  # all null ids may be one group
     # usually empty, which Spark sees from the written table and then broadcasts it
     return rows.withColumn("__h", F.xxhash64("text")).join(ties, ["id", "__h"], "left").select(
         "key", "id", F.coalesce("tie", F.lit(0).cast("long")).alias("tie"), "text"

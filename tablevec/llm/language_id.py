@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, kept
+from tablevec.llm.batches import Cache, kept, small_batches
 from tablevec.session import settle
 
 UNKNOWN = "und"
@@ -176,7 +176,7 @@ def identify(df: DataFrame, model: dict, text: str = "text", into: tuple[str, st
     scores the first language by name. Nulls in other columns, repeated rows and clashing names pass
     through, an empty table stays empty: columns that have the names in ``into`` are replaced. Texts are read whole.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(df).sparkSession.sparkContext.broadcast(model)
     name = uuid4().hex
 
     @F.pandas_udf("lang string, score double")

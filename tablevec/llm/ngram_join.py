@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, kept, slices
+from tablevec.llm.batches import Cache, kept, slices, small_batches
 from tablevec.llm.documents import known_ids
 from tablevec.session import settle
 
@@ -559,7 +559,7 @@ def similar_documents(
     and equal texts link (unless empty); rows with one id but different texts are judged apart. An empty table
     gives no rows. Extra columns are not read.
     """
-    docs = known_ids(df, text, key)
+    docs = known_ids(small_batches(df), text, key)
     docs = docs.select("key", F.when(F.col("tie") == 0, F.col("id")).otherwise(F.xxhash64("id", "text")).alias("node"), "text")
     rows = make_rows(docs, words, percent).repartition("key")
     met = settle(meet(rows.sortWithinPartitions(F.col("point").isNull(), "key", "node")))

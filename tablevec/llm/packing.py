@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, kept, slices
+from tablevec.llm.batches import Cache, kept, slices, small_batches
 from tablevec.session import settle
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 GROUP_PIECES = 100_000
 ID_BYTES = 4
 # fixed value: how byte-level vocabularies of this family split text
@@ -113,7 +113,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, size: int, end_id: int = 0, text:
 
     Only longer rows are cut; then the first piece takes the remainder and all others are full.
     """
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, slices
+from tablevec.llm.batches import Cache, slices, small_batches
 from tablevec.session import settle
 
 # fixed values: the patterns, in the order in which kinds are listed
@@ -332,7 +332,7 @@ class Ordinary:
 
 def scan_base(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, base, found): base spans with their credentials, and candidates, of every row."""
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("value", pa.string())]))
     found_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("apart", pa.bool_())]))
 

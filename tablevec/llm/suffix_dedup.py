@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import slices
+from tablevec.functions.ordering import join_hot
+from tablevec.llm.batches import slices, small_batches
 from tablevec.llm.documents import known_ids
 from tablevec.session import settle
 
@@ -361,8 +362,13 @@ def compare_runs(open_runs: DataFrame) -> DataFrame:
 
 
 def _splitters(docs: DataFrame, buckets: int, sample: int = 500) -> np.ndarray:
-    """Bucket limits from the names of runs of at most ``sample`` documents; any limits give the same results."""
-    names = make_runs(docs.limit(sample), np.zeros(0, dtype=np.uint64)).where("content >= 0").select("name").limit(200_000)
+    """Bucket limits from the names of runs of ``sample`` documents that can hold one, those of lowest hash; any limits
+    give the same results."""
+    long = docs.where(F.octet_length("text") >= SIZE)
+    drawn = long.select("id", "tie", F.xxhash64("id", "tie").alias("h")).orderBy("h", "id", "tie").limit(sample).select("id", "tie")
+    some = long.join(F.broadcast(drawn), ["id", "tie"], "left_semi")  # at most ``sample`` rows are sent
+    names = make_runs(some, np.zeros(0, dtype=np.uint64)).where("content >= 0").select("name")
+    names = names.orderBy(F.xxhash64("name"), "name").limit(200_000)
     values = np.sort(np.array([r.name for r in names.collect()], dtype=np.int64).view(np.uint64))
     if not len(values):
         return np.zeros(0, dtype=np.uint64)
@@ -382,7 +388,7 @@ def remove_repeats(
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = known_ids(df, text, key)
+    docs = known_ids(small_batches(df), text, key)
     splitters = _splitters(docs, buckets)
     runs = make_runs(docs.select("id", "tie", "text"), splitters).repartitionById(buckets, F.col("bucket"))
     found = settle(settle_buckets(runs.sortWithinPartitions("name", "content", "id", "tie", "start")))
@@ -405,9 +411,11 @@ def remove_repeats(
     )
     usual = opened.join(heavy, "name", "left_anti").repartition("name").sortWithinPartitions("name", "id", "tie", "start")
     place = F.struct("id", "tie", "start")
-    hot = window_rows(opened.join(heavy, "name", "left_semi")).withColumn(
-        "first", F.min(place).over(Window.partitionBy("name", "window"))
-    ).where(place > F.col("first")).select("id", "tie", "start", F.lit(SIZE).cast("long").alias("count"))
+    windows = settle(window_rows(opened.join(heavy, "name", "left_semi")))
+    first = windows.groupBy("name", "window").agg(F.min(place).alias("first"))  # a window may be that of a million runs
+    hot = join_hot(windows, first, ["name", "window"]).where(place > F.col("first")).select(
+        "id", "tie", "start", F.lit(SIZE).cast("long").alias("count")
+    )
     spans = found.where("NOT open").select("id", "tie", "start", "count").unionByName(compare_runs(usual)).unionByName(hot)
     per_doc = spans.groupBy("id", "tie").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, kept, slices
+from tablevec.llm.batches import Cache, kept, slices, small_batches
 
 CACHED_CHUNKS = 1_000_000
 
@@ -167,7 +167,7 @@ def count_tokens(df: DataFrame, tokenizer: str, limit: int, text: str = "text",
     (no bytes, no tokens); a null key stays. Repeated rows are counted each. Texts of any length are
     read whole. Extra columns are not read.
     """
-    rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(df).select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = merger(tokenizer)
