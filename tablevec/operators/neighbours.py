@@ -1,14 +1,17 @@
-"""Exact nearest neighbours and other all-against-all vector work, in bounded tiles.
-
-Vectors are cut into tiles of at most a few thousand; a task meets one tile of queries and one
-tile of base vectors, multiplies them as matrices, and keeps only what the operator needs (the
-k best, a count, a histogram), so pairs are never written out. On larger data vectors are first
-put into cells around pivots, and tile pairs whose distance bounds rule them out are not made.
-Copies of a vector are worked on once: the results of one stand for all.
+"""Exact nearest neighbours and other all-against-all vector work, over a ball tree of tiles.
+
+Base vectors are put into cells around 4 * sqrt(n) pivots; cells that lie together make a tile of at most a few
+thousand vectors, a crowded cell several. A cell is a ball, so a query's distance to all pivots bounds its distance
+to every tile. Each query first visits its nearest tile (or as many as hold enough vectors), which gives a limit;
+then it visits only the tiles whose balls come closer than that. Queries travel to tiles in blocks, base vectors
+stay; a task multiplies one block with one tile and keeps only what the operator needs (the k best, a count,
+a histogram), so pairs are never written out. Copies of a vector are worked on once: the results of one stand for all.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,10 +21,14 @@ from tablevec.functions import ordering, vectors
 from tablevec.session import settle
 
 TILE = 4096
-MAX_CELLS = 256
+LEAST_TILE = 256
+PIVOTS = 4  # times the square root of the rows
 ROWS_AT_ONCE = 512
+GAPS_AT_ONCE = 4_000_000
 DIGITS = 9  # scores are compared at nine digits, so copies and mirrored pairs tie exactly
-KEYS = ["__qc", "__qs", "__bc", "__bs"]
+SLACK = 1e-6
+ROUNDED = 10.0**-DIGITS
+KEYS = ["__tile", "__sub", "__block"]
 
 
 def _matrix(column) -> np.ndarray:
@@ -29,120 +36,208 @@ def _matrix(column) -> np.ndarray:
 
 
 def _pivots(df: DataFrame, count: int) -> np.ndarray:
-    """A bounded hash sample of the vectors; any choice gives the same results."""
+    """A hash sample of the vectors; any choice gives the same results."""
     rows = df.select("vec").orderBy(F.xxhash64("vec")).limit(count).collect()
     return np.array([r.vec for r in rows], dtype=np.float64)
 
 
-def _place(df: DataFrame, pivots: np.ndarray | None) -> DataFrame:
-    """Adds the nearest pivot (``__cell``) and the distance to it (``__far``)."""
-    if pivots is None:
-        return df.withColumns({"__cell": F.lit(0), "__far": F.lit(0.0)})
+def _tree_order(points: np.ndarray) -> np.ndarray:
+    """The points in the order of the leaves of a tree that halves them along their widest dimension."""
+    out, todo = [], [np.arange(len(points))]
+    while todo:
+        part = todo.pop()
+        if len(part) <= 2:
+            out.extend(part.tolist())
+            continue
+        wide = np.ptp(points[part], axis=0).argmax()
+        part = part[np.argsort(points[part, wide], kind="stable")]
+        todo += [part[len(part) // 2 :], part[: len(part) // 2]]
+    return np.array(out, dtype=np.int64)
+
+
+@dataclass
+class Tiles:
+    """Cells in tree order with their radius, cut into tiles: the first cell of each, its rows and its number of parts."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    rows: np.ndarray
+    parts: np.ndarray
+
+    def distances(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each vector to each tile: the least that one of its rows can have, and that of its nearest pivot."""
+        gaps = _distances(m, self.pivots)
+        low = np.minimum.reduceat(gaps - _rounding(m, self.pivots) - self.radius, self.first, axis=1)
+        return low, np.minimum.reduceat(gaps, self.first, axis=1)
+
+    def home(self, near: np.ndarray, needed: int) -> np.ndarray:
+        """Which tiles each vector sees first: those of the nearest pivots that hold ``needed`` rows together."""
+        order = np.argsort(near, axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        out = np.zeros(near.shape, dtype=bool)
+        np.put_along_axis(out, order, before < needed, axis=1)
+        return out
+
+
+def make_tiles(base: DataFrame, tile: int) -> tuple[DataFrame, Tiles]:
+    """``base`` with its ``__tile`` and ``__sub``, and the tiles; there are 4 * sqrt(n) cells and n / tile tiles."""
+    n = base.count()
+    pivots = _pivots(base, int(np.ceil(PIVOTS * np.sqrt(n))))
+    pivots = pivots[_tree_order(pivots)] if len(pivots) else np.zeros((1, 1))
+    half = (pivots**2).sum(axis=1) / 2
 
     def assign(batches):
-        half = (pivots**2).sum(axis=1) / 2
         for pdf in batches:
             if len(pdf):
                 m = _matrix(pdf["vec"])
-                cell = (m @ pivots.T - half).argmax(axis=1)
-                far = np.linalg.norm(m - pivots[cell], axis=1)
-                yield pdf.assign(__cell=cell.astype("int32"), __far=far)
-
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return settle(df.mapInPandas(assign, f"{fields}, __cell int, __far double"))
-
-
-def _cells(df: DataFrame) -> dict[int, tuple[int, float]]:
-    """cell -> (rows, radius); at most MAX_CELLS entries."""
-    found = df.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max("__far").alias("r")).collect()
-    return {r["__cell"]: (r["n"], r["r"]) for r in found}
-
-
-def _routes(q_cells, b_cells, pivots, needed: int | None, reach: float | None):
-    """Pairs of cells that can matter: closer than ``reach``, or than where ``needed`` vectors are sure to be."""
-    q_ids, b_ids = sorted(q_cells), sorted(b_cells)
-    if pivots is None or (needed is None and reach is None):
-        return [(i, j) for i in q_ids for j in b_ids]
-    gap = np.linalg.norm(pivots[q_ids][:, None, :] - pivots[b_ids][None, :, :], axis=2)
-    rq = np.array([q_cells[i][1] for i in q_ids])[:, None]
-    rb = np.array([b_cells[j][1] for j in b_ids])[None, :]
-    low, high = gap - rq - rb, gap + rq + rb
-    if reach is not None:
-        limit = np.full((len(q_ids), 1), reach)
-    else:
-        sizes = np.array([b_cells[j][0] for j in b_ids])
-        limit = np.empty((len(q_ids), 1))
-        for r in range(len(q_ids)):
-            order = np.argsort(high[r])
-            enough = np.searchsorted(np.cumsum(sizes[order]), needed)
-            limit[r] = high[r][order[min(enough, len(order) - 1)]]
-    keep = low <= limit + 1e-6
-    return [(q_ids[r], b_ids[c]) for r, c in zip(*np.nonzero(keep))]
+                cell = np.concatenate([(x @ pivots.T - half).argmax(axis=1) for x in _some_rows(m, len(pivots))])
+                yield pdf.assign(__cell=cell.astype("int32"), __far=np.linalg.norm(m - pivots[cell], axis=1))
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in base.dtypes)
+    placed = settle(base.mapInPandas(assign, f"{fields}, __cell int, __far double"))
+    found = placed.groupBy("__cell").agg(F.count(F.lit(1)).alias("n"), F.max("__far").alias("r")).collect()
+    size, radius = np.zeros(len(pivots), dtype=np.int64), np.full(len(pivots), -np.inf)
+    for r in found:
+        size[r["__cell"]], radius[r["__cell"]] = r["n"], r["r"]
+    there = np.flatnonzero(size)  # a copy of a pivot has no rows
+    first, rows = [], []
+    for at, k in enumerate(size[there].tolist()):
+        if rows and rows[-1] + k <= tile:
+            rows[-1] += k
+        else:
+            first.append(at)
+            rows.append(k)
+    rows = np.array(rows, dtype=np.int64)
+    tiles = Tiles(pivots[there], radius[there], np.array(first, dtype=np.int64), rows, -(-rows // tile))
+    of = np.zeros(len(pivots), dtype=np.int64)
+    if len(there):
+        of[there] = np.searchsorted(first, np.arange(len(there)), side="right") - 1
+    table = base.sparkSession.createDataFrame(
+        [(int(c), int(of[c]), int(tiles.parts[of[c]])) for c in there], "__cell int, __tile int, __parts int"
+    )
+    placed = placed.join(F.broadcast(table), "__cell")  # a row a cell
+    placed = placed.withColumn("__sub", F.pmod(F.xxhash64("key"), F.col("__parts")).cast("int"))
+    return placed.drop("__cell", "__far", "__parts"), tiles
 
 
-def tile_join(
-    queries: DataFrame,
-    base: DataFrame,
-    kernel,
-    schema: str,
-    needed: int | None = None,
-    reach: float | None = None,
-    tile: int = TILE,
-) -> DataFrame:
-    """Runs ``kernel(query_frame, base_frame) -> frame`` on every tile pair that can matter.
+def _some_rows(m: np.ndarray, width: int) -> list[np.ndarray]:
+    return np.array_split(m, max(1, len(m) * width // GAPS_AT_ONCE))
 
-    Both sides are settled tables with a key column ``key`` and ``vec``. ``needed``/``reach``
-    allow pruning by distance; without them every tile pair is visited.
-    """
-    spark = queries.sparkSession
-    # columns of its own, also when a table meets itself
-    base = base.select(*[F.col(c).alias(c) for c in base.columns])
-    n_q, n_b = queries.count(), base.count()
-    cores = spark.sparkContext.defaultParallelism
-    # small inputs are still cut into enough tile pairs to use the cores
-    tile = min(tile, max(256, int(max(n_q, n_b) / cores**0.5) + 1))
-    prune = needed is not None or reach is not None
-    pivots = _pivots(base, min(MAX_CELLS, n_b // tile)) if prune and n_b >= 16 * tile else None
-    q, b = _place(queries, pivots), _place(base, pivots)
-    q_cells, b_cells = ({0: (n_q, 0.0)}, {0: (n_b, 0.0)}) if pivots is None else (_cells(q), _cells(b))
-    q_subs = {c: -(-n // tile) for c, (n, _) in q_cells.items()}
-    b_subs = {c: -(-n // tile) for c, (n, _) in b_cells.items()}
-    pairs = _routes(q_cells, b_cells, pivots, needed, reach)
-    # at most MAX_CELLS ** 2 rows
-    routes = spark.createDataFrame(
-        [(int(i), int(j), q_subs[i], b_subs[j]) for i, j in pairs], "__qc int, __bc int, __qn int, __bn int"
-    )
 
-    def sub(n):
-        # tiles of a cell are filled by hash, so a crowded cell becomes many tiles
-        return F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+def with_visits(queries: DataFrame, tiles: Tiles, choose) -> DataFrame:
+    """Settled ``queries`` with the tiles that ``choose(low, near, frame) -> mask`` wants, as ``visits``; without any they are gone."""
+
+    def work(batches):
+        for pdf in batches:
+            if not len(pdf) or not len(tiles.rows):
+                continue
+            at, visits = 0, []
+            for m in _some_rows(_matrix(pdf["vec"]), len(tiles.pivots)):
+                mask = choose(*tiles.distances(m), pdf.iloc[at : at + len(m)])
+                visits += [np.flatnonzero(row).astype("int32") for row in mask]
+                at += len(m)
+            keep = np.array([len(v) > 0 for v in visits])
+            yield pdf.assign(visits=visits)[keep]
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in queries.dtypes)
+    return settle(queries.mapInPandas(work, f"{fields}, visits array<int>"))
+
+
+def meet(queries: DataFrame, base: DataFrame, tiles: Tiles, kernel, schema: str, tile: int) -> DataFrame:
+    """``kernel(query_frame, base_frame) -> frame`` of every block of queries with every part of a tile they visit."""
+    wanted = queries.select(F.explode("visits").alias("__tile")).groupBy("__tile").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("__blocks"))
+    parts = queries.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(tiles.parts)], "__tile int, __parts int")
+    plan = settle(wanted.join(parts, "__tile"))  # a row a tile
 
     def others(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = (
-        q.withColumnRenamed("__cell", "__qc").join(F.broadcast(routes), "__qc")
-        .withColumn("__qs", sub("__qn")).withColumn("__bs", others("__bn")).drop("__qn", "__bn", "__far")
-    )
-    right = (
-        b.withColumnRenamed("__cell", "__bc").join(F.broadcast(routes), "__bc")
-        .withColumn("__bs", sub("__bn")).withColumn("__qs", others("__qn")).drop("__qn", "__bn", "__far")
-    )
+    left = queries.withColumn("__tile", F.explode("visits")).drop("visits").join(F.broadcast(plan), "__tile")
+    left = left.withColumn("__block", F.pmod(F.xxhash64("key"), F.col("__blocks")).cast("int")).withColumn("__sub", others("__parts"))
+    base = base.select(*[F.col(c).alias(c) for c in base.columns])  # columns of its own, also when a table meets itself
+    right = base.join(F.broadcast(plan), "__tile").withColumn("__block", others("__blocks"))
+    left, right = (x.drop("__parts", "__blocks") for x in (left, right))
     empty = pd.DataFrame({name.split()[0].strip("`"): [] for name in schema.split(", ")})
 
-    def meet(qf, bf):
+    def both(qf, bf):
         return kernel(qf, bf) if len(qf) and len(bf) else empty
 
-    return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(meet, schema)
+    return left.groupBy(*KEYS).cogroup(right.groupBy(*KEYS)).applyInPandas(both, schema)
 
 
-def _scores(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "euclidean":
-        gaps = np.sqrt(((q[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-        return np.round(1.0 - gaps, DIGITS)
+def _tile_size(queries: DataFrame, base: DataFrame, tile: int) -> int:
+    """At most ``tile``; small inputs are still cut into enough pieces to use the cores."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return min(tile, max(LEAST_TILE, int(max(queries.count(), base.count()) / cores**0.5) + 1))
+
+
+def tile_join(queries: DataFrame, base: DataFrame, kernel, schema: str, reach: float | None = None, tile: int = TILE) -> DataFrame:
+    """``kernel`` on every query with every tile, or every tile that comes closer than ``reach``.
+
+    Both sides are settled tables with a key column ``key`` and ``vec``.
+    """
+    tile = _tile_size(queries, base, tile)
+    base, tiles = make_tiles(base, tile)
+
+    def choose(low, near, frame):
+        return np.ones(low.shape, dtype=bool) if reach is None else low <= reach + SLACK
+
+    return meet(with_visits(queries, tiles, choose), base, tiles, kernel, schema, tile)
+
+
+def tile_search(
+    queries: DataFrame, base: DataFrame, kernel, schema: str, needed: int, limit, tile: int = TILE
+) -> DataFrame:
+    """``kernel`` (rows ``q``, ``score``, the best of a tile) on the tiles that can hold one of a query's ``needed`` best.
+
+    ``limit``: Column of the distance that a ``score`` stands for. The tiles a query sees first bound what its others need.
+    """
+    tile = _tile_size(queries, base, tile)
+    base, tiles = make_tiles(base, tile)
+    near = with_visits(queries, tiles, lambda low, near, frame: tiles.home(near, needed))
+    first = settle(meet(near, base, tiles, kernel, schema, tile))
+    worst = ordering.top_per_group(first.select("q", "score"), ["q"], [F.desc("score")], needed, "rank")
+    bounds = worst.groupBy(F.col("q").alias("key")).agg(limit(F.min("score")).alias("bound"))
+    bounded = queries.join(bounds, "key")
+
+    def choose(low, near, frame):
+        return (low <= frame["bound"].to_numpy()[:, None] + SLACK) & ~tiles.home(near, needed)
+
+    rest = with_visits(bounded, tiles, choose).drop("bound")
+    return first.unionByName(meet(rest, base, tiles, kernel, schema, tile))
+
+
+def _scores(q: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(q @ b.T, DIGITS)
 
 
+def _distances(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By norms and a product: as exact as the vectors are long, good to choose by."""
+    square = (q**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * (q @ b.T)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _rounding(q: np.ndarray, b: np.ndarray) -> float:
+    """How far ``_distances`` can be off: the root of a rounding error of squares."""
+    return 1e-7 * float(np.linalg.norm(q, axis=1).max() + np.linalg.norm(b, axis=1).max())
+
+
+def _candidates(q: np.ndarray, b: np.ndarray, top: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of all pairs that can be among the ``top`` of a row."""
+    if metric != "euclidean":
+        s = _scores(q, b)
+        edge = -np.partition(-s, top - 1, axis=1)[:, top - 1 : top]
+        row, col = np.nonzero(s >= edge)
+        return row, col, s[row, col]
+    rough = _distances(q, b)
+    row, col = np.nonzero(rough <= np.partition(rough, top - 1, axis=1)[:, top - 1 : top] + 2 * _rounding(q, b) + SLACK)
+    exact = np.concatenate([
+        np.sqrt(((q[row[x]] - b[col[x]]) ** 2).sum(axis=1)) for x in np.array_split(np.arange(len(row)), 1 + len(row) * q.shape[1] // GAPS_AT_ONCE)
+    ])
+    return row, col, np.round(1.0 - exact, DIGITS)
+
+
 def _best_kernel(k: int, metric: str, group: bool):
     """Per query (and base group) the k best of a tile, ties by key."""
 
@@ -150,16 +245,13 @@ def _best_kernel(k: int, metric: str, group: bool):
         bf = bf.sort_values("key", kind="stable")
         q, q_keys = _matrix(qf["vec"]), qf["key"].to_numpy()
         groups = [(g, part) for g, part in bf.groupby("grp", sort=False)] if group else [(None, bf)]
-        step = ROWS_AT_ONCE if metric != "euclidean" else 16
         out = []
         for g, part in groups:
             b, keys = _matrix(part["vec"]), part["key"].to_numpy()
             top = min(k, len(keys))
-            for at in range(0, len(q), step):
-                s = _scores(q[at : at + step], b, metric)
-                edge = -np.partition(-s, top - 1, axis=1)[:, top - 1 : top]
-                row, col = np.nonzero(s >= edge)
-                frame = pd.DataFrame({"row": row, "col": col, "score": s[row, col]})
+            for at in range(0, len(q), ROWS_AT_ONCE):
+                row, col, score = _candidates(q[at : at + ROWS_AT_ONCE], b, top, metric)
+                frame = pd.DataFrame({"row": row, "col": col, "score": score})
                 # columns are in key order, so a stable sort leaves ties by key
                 frame = frame.sort_values(["row", "score"], ascending=[True, False], kind="stable")
                 frame = frame[frame.groupby("row").cumcount() < k]
@@ -206,8 +298,13 @@ def nearest(
     reps, members = _one_per_vector(q, "qid")
     q_type, b_type = dict(reps.dtypes)["key"], dict(b.dtypes)["key"]
     schema = f"q {q_type}, key {b_type}, score double" + (f", grp {dict(b.dtypes)['grp']}" if group else "")
-    needed = wanted if metric != "dot" and not group else None
-    found = tile_join(reps, b, _best_kernel(wanted, metric, bool(group)), schema, needed=needed, tile=tile)
+    kernel = _best_kernel(wanted, metric, bool(group))
+    if metric == "dot" or group:  # no ball bounds a dot product, and a small group may lie anywhere
+        found = tile_join(reps, b, kernel, schema, tile=tile)
+    elif metric == "euclidean":
+        found = tile_search(reps, b, kernel, schema, wanted, lambda s: 1 - s, tile)
+    else:  # of vectors of length 1, or with a zero vector of 0
+        found = tile_search(reps, b, kernel, schema, wanted, lambda s: F.sqrt(F.greatest(2 - 2 * (s - ROUNDED), F.lit(0.0))), tile)
     by = ["q", "grp"] if group else ["q"]
     best = ordering.top_per_group(found, by, [F.desc("score"), "key"], wanted, "rank")
     # one short list per distinct query vector (and group)
@@ -251,12 +348,12 @@ def count_within(embeddings: DataFrame, cut: float, tile: int = TILE) -> DataFra
     def count(qf, bf):
         q, b, mult = _matrix(qf["vec"]), _matrix(bf["vec"]), bf["mult"].to_numpy()
         within = np.concatenate(
-            [(_scores(q[at : at + ROWS_AT_ONCE], b, "dot") > cut) @ mult for at in range(0, len(q), ROWS_AT_ONCE)]
+            [(_scores(q[at : at + ROWS_AT_ONCE], b) > cut) @ mult for at in range(0, len(q), ROWS_AT_ONCE)]
         )
         return pd.DataFrame({"q": qf["key"].to_numpy(), "within": within})
 
     key = dict(reps.dtypes)["key"]
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cut)))
+    reach = float(np.sqrt(max(0.0, 2 - 2 * (cut - ROUNDED))))
     parts = tile_join(reps, reps, count, f"q {key}, within bigint", reach=reach, tile=tile)
     totals = settle(parts.groupBy(F.col("q").alias("rep")).agg(F.sum("within").alias("within")))
     return ordering.join_hot(settle(members), totals, ["rep"], "left").select(
@@ -275,7 +372,7 @@ def cosine_histogram(embeddings: DataFrame, bins: int = 50, tile: int = TILE) ->
         q, b = _matrix(qf["vec"]), _matrix(bf["vec"])
         lows, highs = [], []
         for at in range(0, len(q), ROWS_AT_ONCE):
-            s = _scores(q[at : at + ROWS_AT_ONCE], b, "dot")
+            s = _scores(q[at : at + ROWS_AT_ONCE], b)
             lows.append(s.min())
             highs.append(s.max())
         return pd.DataFrame({"lo": [min(lows)], "hi": [max(highs)]})
@@ -289,7 +386,7 @@ def cosine_histogram(embeddings: DataFrame, bins: int = 50, tile: int = TILE) ->
         qm, bm = qf["mult"].to_numpy(), bf["mult"].to_numpy()
         counts = np.zeros(bins)
         for at in range(0, len(q), ROWS_AT_ONCE):
-            s = _scores(q[at : at + ROWS_AT_ONCE], b, "dot")
+            s = _scores(q[at : at + ROWS_AT_ONCE], b)
             spot = np.minimum(np.floor((s - lo) / width), bins - 1).astype(int)
             weight = np.outer(qm[at : at + ROWS_AT_ONCE], bm)
             counts += np.bincount(spot.ravel(), weights=weight.ravel(), minlength=bins)

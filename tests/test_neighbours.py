@@ -41,22 +41,74 @@ def check(got, want):
         assert [s for *_, s in mine] == pytest.approx([s for _, s in expected], abs=2e-9)
 
 
-def test_pruned_tiles_and_copies(spark, monkeypatch):
-    m = blobs()
+def visits(monkeypatch):
+    """Rows of base vectors that queries are compared with, summed over all meetings."""
     seen = []
-    plain = neighbours._routes
+    plain = neighbours.meet
+
+    def spy(queries, base, tiles, *args):
+        sizes = tiles.rows
+        seen.append(sum(int(sizes[r.visits].sum()) for r in queries.select("visits").collect()))
+        return plain(queries, base, tiles, *args)
 
-    def spy(*args):
-        pairs = plain(*args)
-        seen.append((len(pairs), len(args[0]) * len(args[1])))
-        return pairs
+    monkeypatch.setattr(neighbours, "meet", spy)
+    return seen
 
-    monkeypatch.setattr(neighbours, "_routes", spy)
-    # tiles far below the default, so that cells, routes and several tiles per cell come into play
-    monkeypatch.setattr(neighbours, "max", lambda *a: 16 if a[0] == 256 else max(*a), raising=False)
+
+def test_pruned_tiles_and_copies(spark, monkeypatch):
+    m = blobs()
+    seen = visits(monkeypatch)
+    # tiles far below the default, so that several tiles and crowded cells come into play
+    monkeypatch.setattr(neighbours, "LEAST_TILE", 16)
     got = neighbours.knn(table(spark, m), 5, tile=16).collect()
     check(got, brute(m, 5))
-    assert seen[0][0] < seen[0][1], "no tile pair was pruned"
+    distinct = len(np.unique(m, axis=0))
+    assert len(seen) == 2 and sum(seen) < distinct**2 / 3, "hardly any tile was pruned"
+
+
+def test_comparisons_grow_slower_than_the_square(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_TILE", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(100, 3)) * 9
+    total = []
+    for n in (500, 1000, 2000):
+        m = centres[rng.integers(0, n // 20, n)] + rng.normal(size=(n, 3)) * 0.02  # as many in a cluster at every size
+        seen = visits(monkeypatch)
+        rows = neighbours.knn(table(spark, m), 5, "euclidean", tile=16).collect()
+        assert len(rows) == 5 * n
+        total.append(sum(seen))
+        monkeypatch.undo()
+        monkeypatch.setattr(neighbours, "LEAST_TILE", 16)
+    assert total[1] < 3 * total[0] and total[2] < 3 * total[1] and total[2] < 2000**2 / 8
+
+
+@pytest.mark.parametrize("scale", [1, 1e5])
+def test_euclidean_against_brute_force(spark, monkeypatch, scale):
+    monkeypatch.setattr(neighbours, "LEAST_TILE", 16)
+    m = blobs(300, 60, 5, 9) * scale
+    m[7] = m[8] + 1e-7 * scale
+    gaps = np.round(1 - np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2)), 9)
+    want = {q: [(i, gaps[q, i]) for i in sorted((i for i in range(len(m)) if i != q), key=lambda i: (-gaps[q, i], i))[:6]] for q in range(len(m))}
+    check(neighbours.knn(table(spark, m), 6, "euclidean", tile=16).collect(), want)
+
+
+def test_zero_vectors_and_scores_that_tie_when_rounded(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_TILE", 4)
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(60, 3))
+    m[5] = m[17] = 0
+    m[20:40] = m[3] + rng.normal(size=(20, 3)) * 1e-6  # cosines that round to 1
+    df = table(spark, m)
+    unit = np.array([r.u for r in df.orderBy("id").select(vectors.unit("vec").alias("u")).collect()])
+    s = np.round(unit @ unit.T, 9)
+    want = {q: [(i, s[q, i]) for i in sorted((i for i in range(60) if i != q), key=lambda i: (-s[q, i], i))[:8]] for q in range(60)}
+    check(neighbours.knn(df, 8, tile=4).collect(), want)
+
+
+def test_no_vectors(spark):
+    df = table(spark, np.ones((3, 2)))
+    assert neighbours.nearest(df.withColumnRenamed("id", "qid"), df.limit(0), 2).count() == 0
+    assert neighbours.nearest(df.limit(0).withColumnRenamed("id", "qid"), df, 2).count() == 0
 
 
 def test_one_tile_and_groups(spark):
