@@ -13,6 +13,9 @@ BATCH_BYTES = 8_000_000
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once, so that a worker does not keep its peak
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``; from now on its session hands Python no more than about ``BATCH_BYTES`` at once, whatever the length of a row.
 

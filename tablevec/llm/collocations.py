@@ -26,7 +26,7 @@ from tablevec.llm.batches import slices, small_batches
 from tablevec.session import settle
 
 SIDE = 1024
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 DENSE = SIDE * SIDE // 16
 OUT_BYTES = 8_000_000
 NO_LANG = "und"
@@ -34,7 +34,7 @@ NO_LANG = "und"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 CUT = bytes.maketrans(BREAKS + b"\t", b"." * len(BREAKS) + b" ")
 
-CHUNKS = "chunk long, lang string, symbols binary, ids binary"
+CHUNKS = "chunk long, lang string, places binary, symbols binary, ids binary"
 TILE = ["lang", "ti", "tj"]
 
 
@@ -83,18 +83,20 @@ def read_chunks(df: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
     return rows.mapInArrow(work, "chunk long, lang string, symbols binary, words array<string>, counts array<long>")
 
 
-def relabel(symbols: np.ndarray, old: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, ids): each symbol ``old[i]`` becomes the place of ``ids[i]`` among the sorted ids, any other -1."""
+def relabel(places: np.ndarray, symbols: np.ndarray, old: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, symbols, ids): each symbol ``old[i]`` becomes the rank of ``ids[i]`` among the sorted ids, any other goes."""
     order = np.argsort(ids)
-    place = np.full(max(int(symbols.max(initial=-1)), int(old.max(initial=-1))) + 2, -1, dtype=np.int32)  # the last is for -1
-    place[old[order]] = np.arange(len(order), dtype=np.int32)
-    return place[symbols], ids[order]
+    rank = np.full(max(int(symbols.max(initial=-1)), int(old.max(initial=-1))) + 2, -1, dtype=np.int32)  # the last is for -1
+    rank[old[order]] = np.arange(len(order), dtype=np.int32)
+    symbols = rank[symbols]
+    there = symbols >= 0
+    return places[there], symbols[there], ids[order]
 
 
-def pair_codes(symbols: np.ndarray, n: int) -> np.ndarray:
-    """``first * n + second`` of every two neighbours, -1 where one of them is none."""
-    a, b = symbols[:-1].astype(np.int64), symbols[1:]
-    return np.where((a >= 0) & (b >= 0), a * n + b, -1)
+def neighbours(places: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the first, first, second) of every two symbols side by side."""
+    at = np.flatnonzero(places[1:] == places[:-1] + 1)
+    return places[at], symbols[at], symbols[at + 1]
 
 
 def first_symbols(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -108,25 +110,22 @@ def first_symbols(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 found = batch.column("hits")[i].values
                 old, ids = (found.field(x).to_numpy().astype(np.int64) for x in ("at", "id"))
-                symbols, ids = relabel(np.frombuffer(batch.column("symbols")[i].as_buffer(), dtype=np.int32), old, ids)
-                yield _chunk(batch, i, symbols, ids)
+                symbols = np.frombuffer(batch.column("symbols")[i].as_buffer(), dtype=np.int32)
+                yield _chunk(batch, i, *relabel(np.arange(len(symbols), dtype=np.int32), symbols, old, ids))
 
     return chunks.select("chunk", "lang", "symbols").join(hits, "chunk").mapInArrow(work, CHUNKS)
 
 
-def _chunk(batch: pa.RecordBatch, i: int, symbols: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+def _chunk(batch: pa.RecordBatch, i: int, *parts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [batch.column("chunk").slice(i, 1), batch.column("lang").slice(i, 1), pa.array([symbols.tobytes()], pa.binary()),
-         pa.array([ids.tobytes()], pa.binary())],
-        ["chunk", "lang", "symbols", "ids"],
+        [batch.column("chunk").slice(i, 1), batch.column("lang").slice(i, 1), *[pa.array([x.tobytes()], pa.binary()) for x in parts]],
+        ["chunk", "lang", "places", "symbols", "ids"],
     )
 
 
-def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    return (
-        np.frombuffer(batch.column("symbols")[i].as_buffer(), dtype=np.int32),
-        np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int64),
-    )
+def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    kinds = {"places": np.int32, "symbols": np.int32, "ids": np.int64}
+    return tuple(np.frombuffer(batch.column(c)[i].as_buffer(), dtype=x) for c, x in kinds.items())
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
@@ -148,12 +147,11 @@ def count_tiles(chunks: DataFrame) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                symbols, ids = _read(batch, i)
-                both = (symbols[:-1] >= 0) & (symbols[1:] >= 0)
-                a, b = ids[symbols[:-1][both]], ids[symbols[1:][both]]
+                places, symbols, ids = _read(batch, i)
+                _, a, b = neighbours(places, symbols)
                 stripes, stripe = np.unique(ids // SIDE, return_inverse=True)
-                tile = stripe[symbols[:-1][both]] * len(stripes) + stripe[symbols[1:][both]]
-                code = (a % SIDE) * SIDE + b % SIDE
+                tile = stripe[a] * len(stripes) + stripe[b]
+                code = (ids % SIDE)[a] * SIDE + (ids % SIDE)[b]
                 order = np.argsort(tile, kind="stable")
                 tile, code = tile[order], code[order]
                 start = np.flatnonzero(np.diff(tile, prepend=-1))
@@ -320,15 +318,17 @@ def next_symbols(chunks: DataFrame, tiles: DataFrame, lots: DataFrame, frequent:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                symbols, ids = _read(batch, i)
+                places, symbols, ids = _read(batch, i)
                 found = batch.column("hits")[i].values
                 a, b, new = (np.frombuffer(b"".join(found.field(x).to_pylist()), dtype=np.int64) for x in ("a", "b", "new"))
                 code = np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b)
                 order = np.argsort(code)
                 code, new = code[order], new[order]
-                pairs = pair_codes(symbols, len(ids))
+                places, a, b = neighbours(places, symbols)
+                pairs = a.astype(np.int64) * len(ids) + b
                 at = np.minimum(np.searchsorted(code, pairs), len(code) - 1)
-                yield _chunk(batch, i, *relabel(np.where(code[at] == pairs, at, -1), np.arange(len(new)), new))
+                at = np.where(code[at] == pairs, at, -1)
+                yield _chunk(batch, i, *relabel(places, at, np.arange(len(new)), new))
 
     return chunks.join(hits, "chunk").mapInArrow(work, CHUNKS)
 

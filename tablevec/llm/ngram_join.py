@@ -36,8 +36,8 @@ from tablevec.session import settle
 
 POINT = 32
 FINE = 512
-CACHED_WORDS = 400_000
-CACHED_SETS = 200_000
+CACHED_WORDS = 200_000
+CACHED_SETS = 100_000
 CLASS_GROWTH = 1.41
 HUB_PAIRS = 2048
 HELD_ROWS = 200_000
