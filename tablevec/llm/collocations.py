@@ -17,6 +17,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +44,18 @@ def split_words(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().translate(CUT).replace(b".", b" . ").split(), b"."]
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """The bytes of ``x``, first those of all numbers' lowest places and so on, compressed; small numbers take little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def expand(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
 def read_chunks(df: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
-    """(chunk, lang, symbols, words, counts): local word numbers (-1 between pieces), the words, how often each.
+    """(chunk, lang, symbols, words, counts): local word numbers (-1 between pieces), squeezed, the words, how often each.
 
     A chunk ends with the text that brings it to ``tokens`` words.
     """
@@ -61,7 +72,7 @@ def read_chunks(df: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
             counts = np.bincount(symbols[symbols >= 0], minlength=len(known) - 1)
             made += 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + made - 1]), pa.array([name]), pa.array([symbols.tobytes()], pa.binary()),
+                [pa.array([base + made - 1]), pa.array([name]), pa.array([squeeze(symbols)], pa.binary()),
                  pa.array([[w.decode() for w in list(known)[1:]]], pa.list_(pa.string())),
                  pa.array([counts.tolist()], pa.list_(pa.int64()))],
                 ["chunk", "lang", "symbols", "words", "counts"],
@@ -110,22 +121,24 @@ def first_symbols(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 found = batch.column("hits")[i].values
                 old, ids = (found.field(x).to_numpy().astype(np.int64) for x in ("at", "id"))
-                symbols = np.frombuffer(batch.column("symbols")[i].as_buffer(), dtype=np.int32)
+                symbols = expand(batch.column("symbols")[i].as_py(), np.int32)
                 yield _chunk(batch, i, *relabel(np.arange(len(symbols), dtype=np.int32), symbols, old, ids))
 
     return chunks.select("chunk", "lang", "symbols").join(hits, "chunk").mapInArrow(work, CHUNKS)
 
 
-def _chunk(batch: pa.RecordBatch, i: int, *parts: np.ndarray) -> pa.RecordBatch:
+def _chunk(batch: pa.RecordBatch, i: int, places: np.ndarray, symbols: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    gaps = np.diff(places, prepend=np.int32(0))
     return pa.RecordBatch.from_arrays(
-        [batch.column("chunk").slice(i, 1), batch.column("lang").slice(i, 1), *[pa.array([x.tobytes()], pa.binary()) for x in parts]],
+        [batch.column("chunk").slice(i, 1), batch.column("lang").slice(i, 1), *[pa.array([squeeze(x)], pa.binary()) for x in (gaps, symbols, ids)]],
         ["chunk", "lang", "places", "symbols", "ids"],
     )
 
 
 def _read(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds = {"places": np.int32, "symbols": np.int32, "ids": np.int64}
-    return tuple(np.frombuffer(batch.column(c)[i].as_buffer(), dtype=x) for c, x in kinds.items())
+    gaps, symbols, ids = (expand(batch.column(c)[i].as_py(), x) for c, x in kinds.items())
+    return np.cumsum(gaps, dtype=np.int32), symbols, ids
 
 
 def pack_counts(counts: np.ndarray) -> bytes:

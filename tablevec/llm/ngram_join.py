@@ -45,6 +45,7 @@ LARGEST = 1 << 40
 CLASS_BITS = 7
 CROWD = 32
 LEAF = 16
+PAIRS_AT_ONCE = 256  # of boxes; LEAF ** 2 times as many of their children are compared at once
 HASH_BYTES = 6
 
 
@@ -370,7 +371,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, components: np.ndarray, pe
     for depth in range(len(levels) - 1, -1, -1):
         corner, least, low, high = levels[depth]
         found = []
-        for part in np.array_split(pairs, max(1, len(pairs) // 4096)):
+        for part in np.array_split(pairs, 1 + len(pairs) // PAIRS_AT_ONCE):
             if depth < len(levels) - 1:
                 part = _children(part, len(least))
             a, b = part.T
