@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
@@ -13,7 +14,11 @@ BATCH_BYTES = 8_000_000
 LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once, so that a worker does not keep its peak
+# large buffers go back to the system at once, so that a worker does not keep its peak while others run
+pa.set_memory_pool(pa.system_memory_pool())
+_libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, else it grows with what was allocated
 
 
 def small_batches(df: DataFrame) -> DataFrame:
