@@ -161,17 +161,58 @@ def restart_walks(
     return walks.unionByName(extra)
 
 
-def _slot(weights: str, target: str):
-    """Index of the slice that holds ``target`` when the weights are laid end to end."""
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
-    full = F.aggregate(
-        weights,
-        state,
-        lambda s, w: F.struct(
-            (s["sum"] + w).alias("sum"), F.when(s["sum"] + w <= F.col(target), s["at"] + 1).otherwise(s["at"]).alias("at")
-        ),
+def _tried(walkers: DataFrame, named: DataFrame, pairs: DataFrame | None, length: int, p: float, q: float, seed: int) -> DataFrame:
+    """Every walker that still has hops to go draws one arc and takes it or tries again later.
+
+    All arcs are drawn under the larger of 1 and 1/q; what 1/p has beyond that is a slice of its own,
+    sized by the weight share of the way back, which the walker carries, and is taken without a second draw.
+    """
+    key = ("start", "walk", "hop", "attempt")
+    going = F.col("src").isNotNull() & (F.col("hop") <= length + 1)
+    common = max(1.0, 1.0 / q)
+    beyond = max(0.0, 1.0 / p - common)
+    drawn = walkers.withColumn("x", uniform(seed, *key) * (F.lit(common) + F.lit(beyond) * F.col("back")))
+    drawn = drawn.withColumn("u", F.col("x") / common)
+    # beyond the common part the cell to look in is that of the way back
+    returns = F.col("x") >= common
+    drawn = drawn.withColumn("pos", F.when(going, F.when(returns, F.col("back_pos")).otherwise(F.floor(F.col("u") * F.col("degree")))))
+    inside = F.when(returns, F.col("a_dst") == F.col("prev")).otherwise((F.col("a_lo") <= F.col("u")) & (F.col("u") < F.col("a_hi")))
+    found = drawn.join(named, (F.col("src") == F.col("a_src")) & (F.col("pos") == F.col("a_pos")) & inside, "left")
+    far = F.lit(1.0)
+    if pairs is not None:
+        # whether the drawn node is a neighbour of the one before
+        found = found.join(pairs, (F.col("prev") == F.col("p_src")) & (F.col("a_dst") == F.col("p_dst")), "left")
+        far = F.when(F.col("p_src").isNotNull(), 1.0).otherwise(1.0 / q)
+    bias = F.when(F.col("a_dst") == F.col("prev"), min(1.0 / p, common)).otherwise(far)
+    # a first hop has no bias, and an only arc needs no choice
+    free = F.col("prev").isNull() | (F.col("degree") == 1) | returns
+    taken = F.col("a_dst").isNotNull() & (free | (uniform("keep", F.lit(seed), *key) * common < bias))
+    stuck = going & F.col("a_dst").isNull()
+
+    def moved(to, stay):
+        return F.when(taken, to).otherwise(F.col(stay)).alias(stay)
+
+    return found.select(
+        "start",
+        "walk",
+        moved(F.array_append("path", F.col("a_dst")), "path"),
+        F.when(taken, F.col("a_dst")).when(~stuck, F.col("src")).alias("src"),
+        moved(F.col("src"), "prev"),
+        moved(F.col("a_next_degree"), "degree"),
+        moved(F.col("a_back"), "back"),
+        moved(F.col("a_back_pos"), "back_pos"),
+        (F.col("hop") + taken.cast("int")).alias("hop"),
+        F.when(going & ~taken, F.col("attempt") + 1).otherwise(1).alias("attempt"),
     )
-    return F.least(full["at"], F.size(weights) - 1)
+
+
+def _with_way_back(arcs: DataFrame) -> DataFrame:
+    """The arcs with weight share and first cell of the arc that leads back (``back``, ``back_pos``), 0 without one."""
+    arcs = settle(arcs)
+    ways = arcs.groupBy(F.col("dst").alias("src"), F.col("src").alias("dst")).agg(
+        F.max(F.col("hi") - F.col("lo")).alias("back"), F.min("pos").alias("back_pos")
+    )
+    return arcs.join(ways, ["src", "dst"], "left").fillna({"back": 0.0})
 
 
 def second_order_walks(
@@ -180,73 +221,45 @@ def second_order_walks(
     length: int = 80,
     p: float = 1.0,
     q: float = 1.0,
-    max_degree: int = graph.MAX_DEGREE,
+    max_degree: int | None = graph.MAX_DEGREE,
     seed: int = 0,
-    crowd: int = 100,
 ) -> DataFrame:
     """(start, walk, path): first hop by weight, then ``length`` hops biased by the previous node.
 
-    Going back weighs w/p, a neighbour of the previous node w, any other w/q. Neighbours are the
-    ``max_degree`` heaviest, which bounds the lists that walkers carry. A node that many arcs
-    lead to is stored in several copies and each walker reads one of them, so walkers that
-    gather on a hub still spread.
-    """
-    capped = settle(graph.cap_degree(edges, max_degree))
-    popular = capped.groupBy(F.col("dst").alias("id")).agg(
-        F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("copies")
-    )
-    arcs = ordering.join_hot(capped, popular.withColumnRenamed("id", "dst"), ["dst"])
-    lists = arcs.groupBy(F.col("src").alias("id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("dst").alias("id"), F.col("weight").alias("w"), "copies"))).alias("nbrs")
-    )
-    lists = lists.join(popular, "id", "left").select(
-        "id", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "nbrs"
-    )
-    lists = _held(lists, "id", "copy")
+    Going back weighs w/p, a neighbour of the previous node w, any other w/q. ``max_degree`` keeps the
+    heaviest neighbours of each node only; None keeps all.
 
-    walkers = capped.select(F.col("src").alias("start")).distinct().select(
-        "start",
+    Rejection sampling: an arc is drawn by weight as in first-order walks and taken with its bias
+    over the largest bias, after an equi-join that asks whether (previous, drawn) is an arc. No
+    neighbour list travels: a walker is a row of fixed width and the hops since it was last written.
+    Walkers that reject try again in the next round beside those that went on, and those that are
+    done leave, so a round moves only open walks. A hop takes max(1, 1/q) / (mean bias) draws on
+    average, whatever the degree; a small p costs nothing. Nodes without arcs end a walk.
+    """
+    kept = settle(edges if max_degree is None else graph.cap_degree(edges, max_degree)).select("src", "dst", "weight")
+    arcs = _held(_with_way_back(weighted_arcs(kept)), "src", "pos")
+    named = arcs.withColumnsRenamed({c: "a_" + c for c in arcs.columns})
+    pairs = None if q == 1.0 else _held(kept.select(F.col("src").alias("p_src"), F.col("dst").alias("p_dst")), "p_src", "p_dst")
+    walkers = graph.degrees(kept).select(
+        F.col("src").alias("start"),
         F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk"),
-        F.array("start").alias("path"),
-        F.col("start").alias("id"),
-        F.lit(1).alias("copies"),
-        F.lit(None).cast("bigint").alias("prev"),
-        F.lit(None).cast("array<bigint>").alias("prev_nbrs"),
+        F.array("src").alias("path"),
+        "src",
+        F.lit(None).cast(kept.schema["src"].dataType).alias("prev"),
+        "degree",
+        F.lit(0.0).alias("back"),
+        F.lit(None).cast("bigint").alias("back_pos"),
+        F.lit(1).alias("hop"),
+        F.lit(1).alias("attempt"),
     )
     pieces: list[DataFrame] = []
-    for step in range(1, length + 2):
-        drawn = walkers.withColumn("copy", (draw("copy", "start", "walk", F.lit(step)) % F.col("copies")).cast("int"))
-        here = drawn.join(lists, ["id", "copy"], "left").select(
-            "*",
-            F.transform("nbrs", lambda o: o["id"]).alias("ids"),
-            uniform(seed, "start", "walk", F.lit(step)).alias("u"),
-        )
-        # usually few, so looking an option up in it is cheap
-        shared = here.withColumn("shared", F.coalesce(F.array_intersect("ids", "prev_nbrs"), F.array().cast("array<bigint>")))
-        biased = shared.withColumn(
-            "weights",
-            F.transform(
-                "nbrs",
-                lambda o: F.when(F.col("prev").isNull(), o["w"])
-                .when(o["id"] == F.col("prev"), o["w"] / p)
-                .when(F.array_contains("shared", o["id"]), o["w"])
-                .otherwise(o["w"] / q),
-            ),
-        )
-        target = biased.withColumn("target", F.col("u") * F.aggregate("weights", F.lit(0.0), lambda s, w: s + w))
-        hop = target.withColumn("hop", F.get("nbrs", _slot("weights", "target")))
-        walkers = hop.select(
-            "start",
-            "walk",
-            F.when(F.col("hop").isNotNull(), F.array_append("path", F.col("hop.id"))).otherwise(F.col("path")).alias("path"),
-            F.col("hop.id").alias("id"),
-            F.coalesce(F.col("hop.copies"), F.lit(1)).alias("copies"),
-            F.col("id").alias("prev"),
-            F.col("ids").alias("prev_nbrs"),
-        )
-        if step % STEPS_PER_PLAN == 0 or step == length + 1:
-            walkers = _put_by(walkers, pieces, F.col("id"))
-    lists.unpersist()
+    while not pieces or not walkers.isEmpty():
+        for _ in range(STEPS_PER_PLAN):
+            walkers = _tried(walkers, named, pairs, length, p, q, seed)
+        walkers = _put_by(walkers, pieces, F.when(F.col("hop") <= length + 1, F.col("src")))
+    for held in (arcs, pairs):
+        if held is not None:
+            held.unpersist()
     return _whole_paths(pieces)
 
 

@@ -112,8 +112,8 @@ def walks_weighted(spark, d):
     return _path(walks.random_walks(edges, WALKS, LENGTH, weighted=True, seed=SEED))
 
 
-def _draw(step: str, seed=SEED) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', '{seed}', start, walk, {step})), 1, 8))::BIGINT"
+def _draw(step: str, seed=SEED, keys="start, walk, ") -> str:
+    return f"('0x' || substr(md5(concat_ws('|', '{seed}', {keys}{step})), 1, 8))::BIGINT"
 
 
 UNIFORM_WALKS = f"""w AS (SELECT DISTINCT src AS start, walk, 0 AS step, src AS node, [src] AS path FROM adj, range(0, {WALKS}) AS r(walk)
@@ -192,30 +192,24 @@ def walks_second_order(spark, d):
     return _path(walks.second_order_walks(edges, WALKS, HOPS, P, Q, seed=SEED))
 
 
-def _second_order_sql() -> str:
-    """One common table per hop: candidates with their weights, running totals, the drawn one."""
-    ctes = [
-        GRAPH,
-        "cap AS MATERIALIZED (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rk FROM und) WHERE rk <= 30)",
-        f"h0 AS (SELECT DISTINCT src AS start, walk, src AS node, NULL::BIGINT AS prev, [src] AS path FROM cap, range(0, {WALKS}) AS r(walk))",
-    ]
-    for i in range(1, HOPS + 2):
-        bias = "c.weight" if i == 1 else (
-            f"CASE WHEN c.dst = h.prev THEN c.weight / {P} WHEN b.src IS NOT NULL THEN c.weight ELSE c.weight / {Q} END"
-        )
-        side = "" if i == 1 else "LEFT JOIN cap b ON b.src = h.prev AND b.dst = c.dst"
-        ctes.append(
-            f"""c{i} AS (SELECT h.start, h.walk, h.node, h.path, c.dst, {bias} AS wt FROM h{i - 1} h JOIN cap c ON c.src = h.node {side})"""
-        )
-        ctes.append(
-            f"""r{i} AS (SELECT *, sum(wt) OVER o AS cum, sum(wt) OVER (PARTITION BY start, walk) AS total, {_draw(str(i))} / 4294967296.0 AS u
-FROM c{i} WINDOW o AS (PARTITION BY start, walk ORDER BY dst ROWS UNBOUNDED PRECEDING))"""
-        )
-        ctes.append(
-            f"""h{i} AS MATERIALIZED (SELECT start, walk, dst AS node, node AS prev, list_append(path, dst) AS path FROM
-(SELECT *, row_number() OVER (PARTITION BY start, walk ORDER BY dst) AS rn FROM r{i} WHERE cum > u * total) WHERE rn = 1)"""
-        )
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT start, walk, array_to_string(path, ' ') AS path FROM h{HOPS + 1}"
+COMMON = max(1.0, 1 / Q)
+SECOND_ORDER_SQL = f"""WITH RECURSIVE {GRAPH},
+cap AS MATERIALIZED (SELECT src, dst, weight, count(*) OVER (PARTITION BY src) AS degree, sum(weight) OVER (PARTITION BY src) AS strength FROM
+(SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rk FROM und) WHERE rk <= 30),
+cut AS (SELECT c.src, c.dst, c.degree, coalesce(r.weight / r.strength, 0) AS back,
+coalesce(sum(c.weight) OVER (PARTITION BY c.src ORDER BY c.dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / c.strength AS lo
+FROM cap c LEFT JOIN cap r ON r.src = c.dst AND r.dst = c.src),
+sl AS MATERIALIZED (SELECT *, coalesce(lead(lo) OVER (PARTITION BY src ORDER BY dst), 1.0) AS hi FROM cut),
+w AS (SELECT DISTINCT src AS start, walk, src AS node, NULL::BIGINT AS prev, 0.0::DOUBLE AS back, 1 AS hop, 1 AS attempt, [src] AS path FROM cap, range(0, {WALKS}) AS r(walk)
+UNION ALL SELECT start, walk, CASE WHEN ok THEN dst ELSE node END, CASE WHEN ok THEN node ELSE prev END, CASE WHEN ok THEN next_back ELSE back END,
+CASE WHEN ok THEN hop + 1 ELSE hop END, CASE WHEN ok THEN 1 ELSE attempt + 1 END, CASE WHEN ok THEN list_append(path, dst) ELSE path END FROM
+(SELECT w.*, sl.dst, sl.back AS next_back, w.prev IS NULL OR sl.degree = 1 OR x >= {COMMON} OR v * {COMMON} <
+CASE WHEN sl.dst = w.prev THEN {min(1 / P, COMMON)} WHEN b.src IS NOT NULL THEN 1.0 ELSE {1 / Q} END AS ok FROM
+(SELECT *, {_draw('hop, attempt')} / 4294967296.0 * ({COMMON} + {max(0.0, 1 / P - COMMON)} * back) AS x,
+{_draw(f"'{SEED}', start, walk, hop, attempt", 'keep', '')} / 4294967296.0 AS v FROM w WHERE hop <= {HOPS + 1}) w
+JOIN sl ON sl.src = w.node AND CASE WHEN x >= {COMMON} THEN sl.dst = w.prev ELSE sl.lo <= x / {COMMON} AND x / {COMMON} < sl.hi END
+LEFT JOIN cap b ON b.src = w.prev AND b.dst = sl.dst))
+SELECT start, walk, array_to_string(path, ' ') AS path FROM w WHERE hop = {HOPS + 2}"""
 
 
 QUERIES = {
@@ -246,5 +240,5 @@ QUERIES = {
     "walk_extremes": (walk_extremes, EXTREMES_SQL),
     "row_projection": (row_projection, PROJECTION_SQL),
     "restart_walks": (restart_walks, RESTART_SQL),
-    "walks_second_order": (walks_second_order, _second_order_sql()),
+    "walks_second_order": (walks_second_order, SECOND_ORDER_SQL),
 }

@@ -59,13 +59,43 @@ def test_dead_ends_and_visit_cap(spark):
 
 def test_second_order_extremes(spark):
     edges = star_and_ring(spark)
-    back = walks.second_order_walks(edges, 1, 5, p=1e-9, q=1.0, seed=4).collect()
+    back = walks.second_order_walks(edges, 1, 5, p=1e-9, q=1.0, max_degree=None, seed=4).collect()
     assert all(a == c for r in back for a, c in zip(r.path, r.path[2:]))
-    away = walks.second_order_walks(edges, 1, 5, p=1e9, q=1.0, seed=4, crowd=3).collect()
+    away = walks.second_order_walks(edges, 1, 5, p=1e9, q=1.0, seed=4).collect()
     assert all(a != c for r in away for a, c in zip(r.path, r.path[2:]))
     assert {len(r.path) for r in away} == {7}
 
 
+def test_second_order_shares_are_exact(spark):
+    """Hops after (previous, node) against the exact shares, on a graph with near, far and return arcs."""
+    pairs = [(0, 1, 1.0), (0, 2, 2.0), (1, 2, 3.0), (1, 3, 1.0), (1, 4, 4.0), (3, 4, 1.0)]
+    edges = graph.to_undirected(spark.createDataFrame(pairs, "src bigint, dst bigint, weight double"))
+    weight = {(r.src, r.dst): r.weight for r in edges.collect()}
+    p, q = 0.25, 2.0
+    hops = collections.defaultdict(collections.Counter)
+    paths = walks.second_order_walks(edges, 400, 20, p, q, max_degree=None, seed=3).collect()
+    assert len(paths) == 5 * 400 and {len(r.path) for r in paths} == {22}
+    for r in paths:
+        for a, b, c in zip(r.path, r.path[1:], r.path[2:]):
+            hops[a, b][c] += 1
+    for (a, b), seen in hops.items():
+        exact = {c: w / (p if c == a else 1.0 if (a, c) in weight else q) for (x, c), w in weight.items() if x == b}
+        total, n = sum(exact.values()), sum(seen.values())
+        for c, w in exact.items():
+            share = w / total
+            assert abs(seen[c] / n - share) < 5 * (share * (1 - share) / n) ** 0.5 + 1e-9
+
+
+def test_second_order_hubs_dead_ends_and_empty(spark):
+    hub = [(0, i, 1.0) for i in range(1, 301)]
+    edges = graph.to_undirected(spark.createDataFrame(hub, "src bigint, dst bigint, weight double"))
+    paths = walks.second_order_walks(edges, 1, 5, p=4.0, q=0.5, max_degree=None, seed=1).collect()
+    assert len(paths) == 301 and all((a == 0) != (b == 0) for r in paths for a, b in zip(r.path, r.path[1:]))
+    line = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "src bigint, dst bigint, weight double")
+    assert {r.start: r.path for r in walks.second_order_walks(line, 1, 3, 2.0, 2.0).collect()} == {0: [0, 1, 2], 1: [1, 2]}
+    assert walks.second_order_walks(line.limit(0), 2, 3, 2.0, 2.0).count() == 0
+
+
 def dense_setup(n=30, seed=0):
     rng = np.random.default_rng(seed)
     a = np.triu((rng.random((n, n)) < 0.3) * rng.random((n, n)), 1)
