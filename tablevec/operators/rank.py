@@ -7,12 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablevec.functions import ordering, text, vectors
+from tablevec.operators.classes import directional_classes
 from tablevec.operators.neighbours import nearest, neighbour_lists
 from tablevec.session import settle
 
@@ -232,20 +231,15 @@ def diverse_sample(emb: DataFrame, k: int = 5, distinct: bool = False) -> DataFr
     return emb.sparkSession.createDataFrame(list(enumerate(taken)), f"place int, id {dict(emb.dtypes)['id']}")
 
 
-def _clusters(rel_vec: DataFrame, k: int, seed: int) -> DataFrame:
-    points = settle(rel_vec.select("relation", array_to_vector("vec").alias("features")))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
-    return model.transform(points).select("relation", "cluster")
+def relations_clusters(rel_vec: DataFrame, k: int = 10, rounds: int = 10) -> DataFrame:
+    """(cluster, relation): classes of relation vectors by direction."""
+    classes = directional_classes(rel_vec.select(F.col("relation").alias("id"), "vec"), k, rounds)
+    return classes.select("cluster", F.col("id").alias("relation"))
 
 
-def relations_clusters(rel_vec: DataFrame, k: int = 10, seed: int = 0) -> DataFrame:
-    """(cluster, relation): k-means over relation vectors."""
-    return _clusters(rel_vec, k, seed).select("cluster", "relation")
-
-
-def relations_summary(rel_vec: DataFrame, k: int = 10, seed: int = 0) -> DataFrame:
-    """(cluster, first, last): two relations of each of k/2 clusters."""
-    return _clusters(rel_vec, max(2, k // 2), seed).groupBy("cluster").agg(
+def relations_summary(rel_vec: DataFrame, k: int = 10, rounds: int = 10) -> DataFrame:
+    """(cluster, first, last): two relations of each of k/2 classes."""
+    return relations_clusters(rel_vec, max(2, k // 2), rounds).groupBy("cluster").agg(
         F.min("relation").alias("first"), F.max("relation").alias("last")
     )
 

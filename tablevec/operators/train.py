@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import math
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablevec.functions import ordering, text
 from tablevec.functions.draws import DRAW_RANGE, draw, uniform
+from tablevec.operators.classes import directional_classes
+from tablevec.operators.factorize import truncated_svd
 from tablevec.session import settle
 
 # Training defaults that results depend on.
@@ -93,22 +95,17 @@ def negative_samples(pairs: DataFrame, noise: DataFrame, keys: list[str], n: int
 def context_pairs(sents: DataFrame, window: int = 5, seed: int = 0) -> DataFrame:
     """(doc, sent, pos, center, context): words within a drawn distance of 1..window.
 
-    Pairs are cut out of the sentence array in place; nothing is joined or shuffled.
+    Pairs are read out of the sentence array in place; nothing is joined or shuffled.
     """
-    reach = F.lit(window) - draw(seed, "doc", "sent", "pos") % window
-    # a center only needs its neighbourhood, so that is all it carries along
-    around = F.transform(
-        "words",
-        lambda w, i: F.struct(
-            w.alias("center"),
-            F.slice("words", F.greatest(i - window, F.lit(0)) + 1, F.least(i, F.lit(window))).alias("left"),
-            F.slice("words", i + 2, F.lit(window)).alias("right"),
-        ),
+    reach = (F.lit(window) - draw(seed, "doc", "sent", "pos") % window).cast("int")
+    last = F.size("words") - 1
+    # built-in generators in one codegen stage: the word array is read in place, not copied per center
+    centers = sents.where(F.size("words") > 0).select("doc", "sent", "words", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    near = F.sequence(-F.least("reach", "pos"), F.least(F.col("reach"), last - F.col("pos")))
+    placed = centers.withColumn("reach", reach).select("doc", "sent", "words", "pos", F.explode(near).alias("off"))
+    return placed.where(F.col("off") != 0).select(
+        "doc", "sent", "pos", F.get("words", F.col("pos")).alias("center"), F.get("words", F.col("pos") + F.col("off")).alias("context")
     )
-    rows = sents.select("doc", "sent", F.posexplode(around).alias("pos", "a")).withColumn("reach", reach.cast("int"))
-    left = F.slice("a.left", F.greatest(F.size("a.left") - F.col("reach"), F.lit(0)) + 1, F.col("reach"))
-    both = F.concat(left, F.slice("a.right", F.lit(1), F.col("reach")))
-    return rows.select("doc", "sent", "pos", F.col("a.center").alias("center"), F.explode(both).alias("context"))
 
 
 def bigram_scores(sents: DataFrame, min_count: int = PHRASE_MIN_COUNT) -> DataFrame:
@@ -183,11 +180,38 @@ def fit_skipgram(docs: DataFrame, dim: int = 100, window: int = 5, min_count: in
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
 
 
-def word_classes(emb: DataFrame, k: int, iterations: int = 10, seed: int = 0) -> DataFrame:
-    """(token, cluster): k-means on directions."""
-    points = settle(emb.select("token", array_to_vector("vec").alias("features")))
-    model = KMeans(k=k, maxIter=iterations, seed=seed, distanceMeasure="cosine", predictionCol="cluster").fit(points)
-    return model.transform(points).select("token", "cluster")
+def mutual_information(pairs: DataFrame, shift: float = 5.0, power: float = NOISE_POWER, min_count: int = 1) -> DataFrame:
+    """(row, col, v): shifted positive mutual information of (center, context) pairs, stored where it is positive.
+
+    v = ln(n(w, c) / n(w)) - ln(n(c)**power / sum of n**power) - ln(shift): what skip-gram with ``shift``
+    negatives drawn from n**power approximates. Pairs are summed before anything is joined, and a
+    word's counts are looked up apart for hot words. Centers or contexts with fewer than
+    ``min_count`` pairs are left out before the shares are formed; null words are dropped.
+    """
+    counted = pairs.where(F.col("center").isNotNull() & F.col("context").isNotNull())
+    counted = settle(counted.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n")))
+    rows = counted.groupBy("center").agg(F.sum("n").alias("n_center")).where(F.col("n_center") >= min_count)
+    cols = counted.groupBy("context").agg(F.sum("n").alias("n_context")).where(F.col("n_context") >= min_count)
+    noise = settle(cols.select("context", F.pow(F.col("n_context").cast("double"), F.lit(power)).alias("g")))
+    total = noise.agg(F.sum("g").alias("g")).scalar()
+    joined = ordering.join_hot(ordering.join_hot(counted, settle(rows), ["center"]), noise, ["context"])
+    v = F.ln(F.col("n") / F.col("n_center")) - F.ln(F.col("g") / total) - F.lit(math.log(shift))
+    return joined.select(F.col("center").alias("row"), F.col("context").alias("col"), v.alias("v")).where(F.col("v") > 0)
+
+
+def factorized_words(pairs: DataFrame, dim: int = 100, shift: float = 5.0, power: float = NOISE_POWER, min_count: int = 1, iterations: int = 3, seed: int = 0) -> DataFrame:
+    """(token, vec): word vectors as the factors of ``mutual_information``.
+
+    Vectors stay in tables of any length; the driver holds (dim + 10) x (dim + 10) numbers. Words
+    without a positive entry have no vector.
+    """
+    matrix = settle(mutual_information(pairs, shift, power, min_count))
+    return truncated_svd(matrix, dim, iterations, seed).select(F.col("id").alias("token"), "vec")
+
+
+def word_classes(emb: DataFrame, k: int, iterations: int = 10) -> DataFrame:
+    """(token, cluster): Lloyd's rounds on directions, started from classes dealt out in token order."""
+    return directional_classes(emb.select(F.col("token").alias("id"), "vec"), k, iterations).select(F.col("id").alias("token"), "cluster")
 
 
 def sweep(fit, **grid):

@@ -108,3 +108,17 @@ inc AS (SELECT token, relation, row_id, count(*) AS n FROM tok GROUP BY ALL),
 stats AS (SELECT token, sum(n) AS num, count(DISTINCT relation) AS tables FROM inc GROUP BY token),
 keep AS (SELECT token, num FROM stats WHERE num <> 1 AND num < {max_num} AND tables < {max_tables}),
 edges AS (SELECT token, relation, row_id, 1.0::DOUBLE / num AS weight FROM inc JOIN keep USING (token))"""
+
+
+def classes_sql(points: str, k: int, rounds: int = 10, width: int = 64) -> str:
+    """Common tables ``a0`` to ``a{rounds}`` (id, vec, cluster) over a table (id, vec): classes by direction."""
+    ctes = [f"a0 AS MATERIALIZED (SELECT id, vec, (row_number() OVER (ORDER BY id) - 1) % {k} AS cluster FROM {points})"]
+    for i in range(1, rounds + 1):
+        ctes.append(
+            f"""s{i} AS (SELECT cluster, list(m ORDER BY j) AS vec FROM
+(SELECT cluster, u.j, sum(vec[u.j]) AS m FROM a{i - 1}, range(1, {width + 1}) AS u(j) GROUP BY ALL) GROUP BY cluster),
+u{i} AS MATERIALIZED (SELECT cluster, vec, sqrt(list_inner_product(vec, vec)) AS len FROM s{i}),
+a{i} AS MATERIALIZED (SELECT id, vec, cluster FROM (SELECT p.id, p.vec, u{i}.cluster,
+row_number() OVER (PARTITION BY p.id ORDER BY round(list_inner_product(p.vec, u{i}.vec) / len, 9) DESC, u{i}.cluster) AS r FROM {points} p, u{i}) WHERE r = 1)"""
+        )
+    return ",\n".join(ctes)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablevec.functions import vectors
 from tablevec.operators import factorize, train, walks
 from tablevec.plans.graph_queries import GRAPH, _graph
-from tablevec.plans.tables import read
+from tablevec.plans.tables import classes_sql, read
 from tablevec.session import settle
 
 WORD_SQL = """s AS MATERIALIZED (SELECT doc, sent, words FROM (SELECT doc, sent, [w FOR w IN regexp_split_to_array(line, '[ \\t\\n\\r\\f\\v]+') IF w <> ''] AS words FROM
@@ -176,7 +176,24 @@ def skipgram(spark, d):
 
 def word_classes(spark, d):
     table = read(spark, d, "embeddings").select(F.col("vec_id").alias("token"), vectors.doubles("embedding").alias("vec"))
-    return train.word_classes(table, 10).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return train.word_classes(table, 10)
+
+
+CLASSES_SQL = f"""WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings), {classes_sql("e", 10)}
+SELECT id AS token, cluster::INTEGER AS cluster FROM a10"""
+
+
+def word_information(spark, d):
+    """Shifted positive mutual information of neighbouring words, every positive entry."""
+    pairs = train.context_pairs(_sents(spark, d), 2, seed=9)
+    return train.mutual_information(pairs, 5.0).select("row", "col", F.round("v", 6).alias("v"))
+
+
+INFORMATION_SQL = f"""WITH {WORD_SQL}, r AS (SELECT *, 2 - {_draw(9, "doc, sent, pos")} % 2 AS reach FROM w), o AS (SELECT unnest([-2, -1, 1, 2]) AS k),
+p AS MATERIALIZED (SELECT r.word AS center, w.word AS context, count(*) AS n FROM r JOIN o ON abs(k) <= reach JOIN w ON w.doc = r.doc AND w.sent = r.sent AND w.pos = r.pos + k GROUP BY ALL),
+x AS (SELECT center, sum(n) AS nx FROM p GROUP BY center), y AS (SELECT context, pow(sum(n), 0.75) AS g FROM p GROUP BY context),
+v AS (SELECT center, context, ln(n / nx) - ln(g / (SELECT sum(g) FROM y)) - ln(5.0::DOUBLE) AS v FROM p JOIN x USING (center) JOIN y USING (context))
+SELECT center AS row, context AS col, round(v, 6) AS v FROM v WHERE v > 0"""
 
 
 QUERIES = {
@@ -195,5 +212,6 @@ QUERIES = {
     "graph_vectors_unweighted": (graph_vectors_unweighted, None),
     "embedding_sweep": (embedding_sweep, None),
     "skipgram": (skipgram, None),
-    "word_classes": (word_classes, None),
+    "word_classes": (word_classes, CLASSES_SQL),
+    "word_information": (word_information, INFORMATION_SQL),
 }

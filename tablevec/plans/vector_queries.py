@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tablevec.functions import vectors
 from tablevec.operators import analyze, neighbours, rank
-from tablevec.plans.tables import read
+from tablevec.plans.tables import classes_sql, read
 from tablevec.session import settle
 
 K = 10
@@ -255,6 +255,13 @@ def relations_summary(spark, d):
     return rank.relations_summary(relation_vectors(spark, d), 6)
 
 
+E_MEANS = f"""e AS (SELECT vec_id AS id, 't' || label AS relation, embedding::DOUBLE[] AS vec FROM embeddings), {MEANS},
+pt AS (SELECT relation AS id, vec FROM means)"""
+REL_CLASSES_SQL = f"WITH {E_MEANS}, {classes_sql('pt', 4)} SELECT cluster::INTEGER AS cluster, id AS relation FROM a10"
+REL_SUMMARY_SQL = f"""WITH {E_MEANS}, {classes_sql('pt', 3)}
+SELECT cluster::INTEGER AS cluster, min(id) AS first, max(id) AS last FROM a10 GROUP BY cluster"""
+
+
 def _as_columns(spark, d):
     """Relation vectors as columns: one column ``label`` per relation."""
     return relation_vectors(spark, d).select("relation", F.concat("relation", F.lit("_col")).alias("col"), "vec")
@@ -433,8 +440,8 @@ QUERIES = {
     "analogy": (analogy, ANALOGY_SQL),
     "phrase_neighbours": (phrase_neighbours, PHRASE_SQL),
     "diverse_sample": (diverse_sample, _diverse_sql()),
-    "relations_clusters": (relations_clusters, None),
-    "relations_summary": (relations_summary, None),
+    "relations_clusters": (relations_clusters, REL_CLASSES_SQL),
+    "relations_summary": (relations_summary, REL_SUMMARY_SQL),
     "concept_qa": (concept_qa, f"WITH {QA} SELECT qid, id, round(score, 6) AS score, rank FROM answers"),
     "concept_qa_denoised": (concept_qa_denoised, QA_DENOISED_SQL),
     "concept_expansion": (concept_expansion, EXPANSION_SQL),
