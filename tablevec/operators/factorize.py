@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from tablevec.functions import ordering, vectors
 from tablevec.functions.draws import DRAW_RANGE, draw
-from tablevec.operators.analyze import gram
 from tablevec.session import settle
 
 OVERSAMPLE = 10
+TREE_PARTS = 64
+RANK_LIMIT = 1e-12
 
 
 def factor_matrix(edges: DataFrame, power: float = 0.75) -> DataFrame:
@@ -75,26 +76,52 @@ def right_multiply(block: DataFrame, m: np.ndarray) -> DataFrame:
     return block.select("id", "vec").mapInPandas(apply, f"id {dict(block.dtypes)['id']}, vec array<double>")
 
 
-def _eigen(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues (largest first, not negative) and vectors with a fixed sign."""
-    values, vecs = np.linalg.eigh((g + g.T) / 2)
-    order = np.argsort(values)[::-1]
-    values, vecs = np.maximum(values[order], 0), vecs[:, order]
+def _triangles(rows: DataFrame) -> DataFrame:
+    """(vec): per task the rows of R of a QR decomposition, folded in batch by batch, so d x d numbers are held."""
+
+    def fold(batches):
+        r = None
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack(pdf["vec"].to_numpy())
+                r = np.linalg.qr(m if r is None else np.concatenate([r, m]), mode="r")
+        if r is not None and r.size:
+            yield pd.DataFrame({"vec": list(r)})
+
+    return rows.select("vec").mapInPandas(fold, "vec array<double>")
+
+
+def tall_svd(block: DataFrame, parts: int = TREE_PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values (largest first) and right singular vectors, as columns with a fixed sign, of a tall block.
+
+    A tree of QR decompositions: each task folds its rows to a triangle, at most ``parts`` tasks fold those
+    triangles, and what is left of them (d x d each) comes to the driver. No Gram matrix is formed,
+    so small singular values keep all digits. An empty block gives none.
+    """
+    first = _triangles(block).withColumn("part", F.spark_partition_id() % parts)
+    rows = _triangles(first.repartition("part")).toArrow()["vec"].to_pylist()
+    if not rows:
+        return np.zeros(0), np.zeros((0, 0))
+    _, values, vt = np.linalg.svd(np.linalg.qr(np.array(rows), mode="r"), full_matrices=False)
+    vecs = vt.T
     sign = np.sign(vecs[np.abs(vecs).argmax(axis=0), np.arange(vecs.shape[1])])
     return values, vecs * np.where(sign == 0, 1, sign)
 
 
-def _whiten(g: np.ndarray) -> np.ndarray:
-    values, vecs = _eigen(g)
-    safe = values > values[0] * 1e-14
-    return vecs[:, safe] / np.sqrt(values[safe])
+def _whiten(values: np.ndarray, vecs: np.ndarray) -> np.ndarray:
+    safe = values > (values[0] if len(values) else 0) * RANK_LIMIT
+    return vecs[:, safe] / values[safe]
 
 
 def orthonormal(block: DataFrame) -> DataFrame:
-    """The block with orthonormal columns, from its Gram matrix (twice, for accuracy)."""
-    once = right_multiply(block, _whiten(gram(block)[1]))
-    once = settle(once)
-    return settle(right_multiply(once, _whiten(gram(once)[1])))
+    """The block with orthonormal columns spanning its own, by tree QR.
+
+    The second pass takes off what rounding left of the columns' lengths; directions weaker than
+    1e-12 of the strongest are dropped.
+    """
+    for _ in range(2):
+        block = settle(right_multiply(block, _whiten(*tall_svd(block))))
+    return block
 
 
 def random_block(ids: DataFrame, width: int, seed: int = 0) -> DataFrame:
@@ -124,17 +151,17 @@ def truncated_svd(matrix: DataFrame, dim: int, iterations: int = 3, seed: int =
         back = settle(ft.times(orthonormal(block)))
         block = settle(f.times(orthonormal(back)))
     q = orthonormal(block)
-    values, v = _eigen(gram(settle(ft.times(q)))[1])
-    # q.v holds the left singular vectors, the roots of `values` the singular values
-    return _unit_rows(right_multiply(q, v[:, :dim] * values[:dim] ** 0.25))
+    values, v = tall_svd(settle(ft.times(q)))
+    # q.v holds the left singular vectors
+    return _unit_rows(right_multiply(q, v[:, :dim] * values[:dim] ** 0.5))
 
 
 def dense_svd_rotate(block: DataFrame, dim: int) -> DataFrame:
     """(id, vec): U times the root of the singular values of a tall block, rows of length 1."""
     block = settle(block)
-    values, v = _eigen(gram(block)[1])
-    keep = values[:dim] > values[0] * 1e-14
-    return _unit_rows(right_multiply(block, v[:, :dim][:, keep] / values[:dim][keep] ** 0.25))
+    values, v = tall_svd(block)
+    keep = values[:dim] > (values[0] if len(values) else 0) * RANK_LIMIT
+    return _unit_rows(right_multiply(block, v[:, :dim][:, keep] / values[:dim][keep] ** 0.5))
 
 
 def bessel_first_kind(order: int, theta: float, terms: int = 30) -> float:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablevec.functions import vectors
-from tablevec.operators import factorize, train, walks
-from tablevec.plans.graph_queries import GRAPH, _graph
+from tablevec.operators import factorize, sweep, train, walks
+from tablevec.plans.graph_queries import GRAPH, SEED, UNIFORM_WALKS, WALKS, _graph
 from tablevec.plans.tables import classes_sql, read
 from tablevec.session import settle
 
@@ -166,6 +166,38 @@ def embedding_sweep(spark, d):
     return out
 
 
+LENGTHS, WINDOWS, DIMS = [4, 8], [2, 3], [4, 8]
+
+
+def walk_sweep(spark, d):
+    """Walk length x window x dimension: matrix entries, their sum, and the nodes that got vectors of that dimension."""
+    edges, _ = _graph(spark, d)
+    out = None
+    for params, matrix, block in sweep.walk_sweep(edges, LENGTHS, WINDOWS, DIMS, WALKS, shift=1.0, iterations=1, seed=SEED):
+        size = matrix.agg(F.count(F.lit(1)).alias("entries"), F.round(F.sum("v"), 3).alias("information"))
+        full = (F.size("vec") == params["dim"]) & (F.abs(vectors.norm("vec") - 1) < 1e-6)
+        nodes = block.agg(F.count(F.when(full, 1)).alias("nodes"))
+        row = size.crossJoin(nodes).select(*[F.lit(v).alias(k) for k, v in params.items()], "*")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _grid(name: str, values: list[int]) -> str:
+    return f"(SELECT unnest({values})::INTEGER AS {name})"
+
+
+WALK_SWEEP_SQL = f"""WITH RECURSIVE {GRAPH}, {UNIFORM_WALKS},
+g AS (SELECT * FROM {_grid('length', LENGTHS)}, {_grid('"window"', WINDOWS)}),
+r AS (SELECT g.*, start, walk, step, node, "window" - {_draw(SEED, "start, walk, step")} % "window" AS reach FROM w, g WHERE step <= length),
+p AS MATERIALIZED (SELECT r.length, r."window", r.node AS a, o.node AS b, count(*) AS n FROM r JOIN w o ON o.start = r.start AND o.walk = r.walk
+AND o.step <> r.step AND abs(o.step - r.step) <= reach AND o.step <= r.length GROUP BY ALL),
+x AS (SELECT length, "window", a, sum(n) AS nx FROM p GROUP BY ALL), y AS (SELECT length, "window", b, pow(sum(n), 0.75) AS c FROM p GROUP BY ALL),
+t AS (SELECT length, "window", sum(c) AS t FROM y GROUP BY ALL),
+v AS (SELECT length, "window", a, ln(n / nx) - ln(c / t) AS v FROM p JOIN x USING (length, "window", a) JOIN y USING (length, "window", b) JOIN t USING (length, "window"))
+SELECT length, "window", dim, count(*) AS entries, round(sum(v), 3) AS information, count(DISTINCT a) AS nodes
+FROM v, {_grid('dim', DIMS)} WHERE v > 0 GROUP BY ALL"""
+
+
 def skipgram(spark, d):
     """Token and row vectors from walks on the token-row graph."""
     edges, dictionary = _graph(spark, d)
@@ -211,6 +243,7 @@ QUERIES = {
     "graph_vectors_spectral": (graph_vectors_spectral, None),
     "graph_vectors_unweighted": (graph_vectors_unweighted, None),
     "embedding_sweep": (embedding_sweep, None),
+    "walk_sweep": (walk_sweep, WALK_SWEEP_SQL),
     "skipgram": (skipgram, None),
     "word_classes": (word_classes, CLASSES_SQL),
     "word_information": (word_information, INFORMATION_SQL),

@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from tablevec.operators import classes, rank, train
+from tablevec.operators import classes, factorize, graph, rank, sweep, train, walks
 
 
 def lloyd(m, k, rounds):
@@ -91,3 +91,47 @@ def test_factorized_words_answer_planted_analogies(spark):
         rest = [w for w in names if w not in (f"land{a}", f"city{a}", f"city{b}")]
         right += max(rest, key=lambda w: vec[w] @ target) == f"land{b}"
     assert right / len(asked) >= 0.9
+
+
+def block_of(spark, m):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], "id bigint, vec array<double>").repartition(9)
+
+
+def test_tall_svd_keeps_small_singular_values(spark):
+    rng = np.random.default_rng(1)
+    u, v = np.linalg.qr(rng.normal(size=(400, 8)))[0], np.linalg.qr(rng.normal(size=(8, 8)))[0]
+    m = u * np.logspace(0, -7, 8) @ v.T  # condition 1e7
+    block = block_of(spark, m)
+    values, right = factorize.tall_svd(block, 3)
+    want = np.linalg.svd(m, compute_uv=False)
+    assert np.abs(values / want - 1).max() < 1e-8
+    assert np.abs(right.T @ right - np.eye(8)).max() < 1e-12
+    q = np.array([r.vec for r in factorize.orthonormal(block).orderBy("id").collect()])
+    assert np.abs(q.T @ q - np.eye(8)).max() < 1e-10
+    assert np.abs(q @ (q.T @ m) - m).max() < 1e-10
+
+
+def test_tall_svd_of_odd_blocks(spark):
+    values, _ = factorize.tall_svd(block_of(spark, [[3.0, 4.0]]))  # fewer rows than columns
+    assert values == pytest.approx([5.0])
+    low = block_of(spark, [[1.0, 2.0], [2.0, 4.0], [3.0, 6.0]])
+    assert {len(r.vec) for r in factorize.orthonormal(low).collect()} == {1}
+    assert len(factorize.tall_svd(low.limit(0))[0]) == 0 and factorize.orthonormal(low.limit(0)).count() == 0
+    zero = block_of(spark, np.zeros((4, 2)))
+    assert {len(r.vec) for r in factorize.orthonormal(zero).collect()} == {0}
+
+
+def test_sweep_equals_single_runs(spark):
+    pairs = [(i, j, 1.0) for block in (0, 8) for i in range(block, block + 8) for j in range(i + 1, block + 8)] + [(0, 8, 1.0)]
+    edges = graph.to_undirected(spark.createDataFrame(pairs, "src bigint, dst bigint, weight double"))
+    seen = []
+    for params, matrix, block in sweep.walk_sweep(edges, [6, 3], [2], [2, 3], 4, shift=1.0, seed=2):
+        seen.append(tuple(params.values()))
+        alone = walks.random_walks(edges, 4, params["length"], seed=2)
+        docs = alone.selectExpr("start AS doc", "walk AS sent", "path AS words")
+        want = {(r.row, r.col): r.v for r in train.mutual_information(train.context_pairs(docs, 2, 2), 1.0).collect()}
+        assert {(r.row, r.col): r.v for r in matrix.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+        lengths = [(len(r.vec), float(np.linalg.norm(r.vec))) for r in block.collect()]
+        assert {n for n, _ in lengths} == {params["dim"]} and all(abs(x - 1) < 1e-9 for _, x in lengths)
+    assert seen == [(3, 2, 2), (3, 2, 3), (6, 2, 2), (6, 2, 3)]
+    assert all(m.count() == 0 and b.count() == 0 for _, m, b in sweep.walk_sweep(edges.limit(0), [3], [2], [2], 1))
