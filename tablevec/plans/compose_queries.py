@@ -207,12 +207,12 @@ SELECT qid, relation, col, round(score, 6) AS score, rank FROM (SELECT *, (row_n
 
 
 def _matches(spark, d):
-    """The neighbours of every entity against the entities of the same label."""
+    """The neighbours of every entity against the entities of the same label; the rows; the neighbours."""
     rows = labelled(spark, d)
     near = settle(neighbours.knn(rows.select("id", "vec"), 10))
     named = near.join(rows.select(F.col("id").alias("qid"), F.col("relation").alias("qrel")), "qid")
     hits = named.join(rows.select("id", "relation"), "id").where("qrel = relation").select("qid", "id")
-    return settle(evaluate.match_matrix(near, hits)), rows
+    return settle(evaluate.match_matrix(near, hits)), rows, near
 
 
 M = f"""{SIMS}, {knn_sql()}, m AS MATERIALIZED (SELECT k.qid, k.id, k.rank, (a.label = b.label)::INTEGER AS hit FROM knn k JOIN e a ON a.id = k.qid JOIN e b ON b.id = k.id)"""
@@ -269,8 +269,8 @@ STATS_SQL = f"WITH {M}, {SCORES} SELECT metric, stat, round(value::DOUBLE, 6) AS
 
 
 def hubness_by_hit(spark, d):
-    matches, rows = _matches(spark, d)
-    hub = analyze.hubness(rows.select("id", "vec"))
+    matches, rows, near = _matches(spark, d)
+    hub = analyze.hubness(rows.select("id", "vec"), 10, near)
     return evaluate.hubness_by_hit(matches, hub).select("hit", "entries", F.round("mean_hubness", 6).alias("mean_hubness"))
 
 
@@ -279,8 +279,8 @@ SELECT hit, count(*) AS entries, round(avg(coalesce(h, 0)), 6) AS mean_hubness F
 
 
 def query_hubness(spark, d):
-    matches, rows = _matches(spark, d)
-    return evaluate.query_hubness(matches, analyze.hubness(rows.select("id", "vec"))).select(
+    matches, rows, near = _matches(spark, d)
+    return evaluate.query_hubness(matches, analyze.hubness(rows.select("id", "vec"), 10, near)).select(
         "qid", F.round("hubness", 6).alias("hubness"), "hits"
     )
 

@@ -193,3 +193,39 @@ def test_unit_of_zero_vector(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<double>")
     zero, other = [r.u for r in df.select(vectors.unit("v").alias("u")).collect()]
     assert zero == [0.0, 0.0] and other == pytest.approx([0.6, 0.8])
+
+
+def test_queries_travel_once_to_a_lot_and_copies_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAST_TILE", 16)
+    m = blobs(900, 300)
+    met = []
+    plain = neighbours._with_lots
+
+    def spy(queries, tiles):
+        out = plain(queries, tiles).cache()
+        visits = queries.select(F.sum(F.size("visits"))).first()[0] or 0
+        met.append((out.select(F.sum(F.size("__lots"))).first()[0] or 0, visits, int(tiles.rows.sum())))
+        return out
+
+    monkeypatch.setattr(neighbours, "_with_lots", spy)
+    got = neighbours.nearest_of(table(spark, m).withColumnRenamed("id", "qid"), table(spark, m), [3, 12], "dot", False, tile=16)
+    s = np.round(m @ m.T, 9)
+    for k in (3, 12):
+        check(got[k].collect(), {q: [(i, s[q, i]) for i in sorted(range(len(m)), key=lambda i: (-s[q, i], i))[:k]] for q in range(len(m))})
+    (sent, visits, rows), distinct = met[0], len(np.unique(m, axis=0))
+    assert rows == distinct and sent < visits / 3
+
+
+def test_hubness_queries_search_once(spark, monkeypatch):
+    from tablevec.plans import compose_queries, vector_queries
+
+    m = np.random.default_rng(7).normal(size=(60, 4))
+    rows = table(spark, m).withColumn("relation", F.concat(F.lit("t"), F.col("id") % 3))
+    for plans in (compose_queries, vector_queries):
+        monkeypatch.setattr(plans, "emb", lambda *_: rows.select("id", "vec"))
+        monkeypatch.setattr(plans, "labelled", lambda *_: rows)
+    searches, plain = [], neighbours.tile_search
+    monkeypatch.setattr(neighbours, "tile_search", lambda *a, **k: searches.append(1) or plain(*a, **k))
+    for query in (vector_queries.hubness_thresholds, vector_queries.hubness_skew, compose_queries.hubness_by_hit, compose_queries.query_hubness):
+        searches.clear()
+        assert query(spark, None).count() and len(searches) == 1, query.__name__
