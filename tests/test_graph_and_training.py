@@ -191,6 +191,21 @@ def test_skipgram_separates_communities(spark):
     assert {r.token for r in emb} == {"a1", "a2", "a3", "b1", "b2", "b3"} and all(len(r.vec) == 8 for r in emb)
 
 
+def test_skipgram_keeps_no_model_on_the_driver(spark):
+    assert not hasattr(train, "Word2Vec")
+    docs = [(["a1", "a2", "a3", "a1"] * 5,), (["b1", "b2", "b3", "b1"] * 5,)] * 40 + [(["rare"],), ([],)]
+    table = spark.createDataFrame(docs, "tokens array<string>")
+    args = dict(min_count=2, iterations=8, partitions=3)
+    runs = [{r.token: np.array(r.vec) for r in train.fit_skipgram(table, 8, 3, **args).collect()} for _ in range(2)]
+    emb = runs[0]
+    assert set(emb) == {"a1", "a2", "a3", "b1", "b2", "b3"} and all(len(v) == 8 for v in emb.values())
+    assert all(np.allclose(runs[0][t], runs[1][t], atol=1e-9) for t in emb)
+    unit = {t: v / np.linalg.norm(v) for t, v in emb.items()}
+    inside = np.mean([unit[x + i] @ unit[x + j] for x in "ab" for i in "123" for j in "123" if i != j])
+    across = np.mean([unit["a" + i] @ unit["b" + j] for i in "123" for j in "123"])
+    assert inside > across + 0.5
+
+
 def test_f1_scores(spark):
     truth = spark.createDataFrame([(1, "x", 1), (1, "y", 1), (2, "x", 1)], "id int, label string, true int")
     pred = spark.createDataFrame([(1, "x", 1), (1, "z", 1), (2, "x", 1)], "id int, label string, pred int")
