@@ -36,7 +36,7 @@ def walk_sweep(
             F.col("start").alias("doc"), F.col("walk").alias("sent"), F.slice("path", 1, length + 1).alias("words")
         )
         for window in sorted(windows):
-            matrix = settle(train.mutual_information(train.context_pairs(docs, window, seed), shift))
+            matrix = settle(train.mutual_information(train.context_pairs(docs, window, seed, counted=True), shift))
             widest = settle(factorize.truncated_svd(matrix, max(dims), iterations, seed))
             for dim in sorted(dims):
                 leading = widest.withColumn("vec", F.slice("vec", 1, dim))

@@ -6,6 +6,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tablevec.operators import classes, factorize, graph, rank, sweep, train, walks
 
 
@@ -135,3 +137,36 @@ def test_sweep_equals_single_runs(spark):
         assert {n for n, _ in lengths} == {params["dim"]} and all(abs(x - 1) < 1e-9 for _, x in lengths)
     assert seen == [(3, 2, 2), (3, 2, 3), (6, 2, 2), (6, 2, 3)]
     assert all(m.count() == 0 and b.count() == 0 for _, m, b in sweep.walk_sweep(edges.limit(0), [3], [2], [2], 1))
+
+
+def test_counted_context_pairs_are_the_counts_of_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i // 2, 0, [None if w == 9 else f"w{w}" for w in rng.integers(0, 10, n)]) for i, n in enumerate(rng.integers(0, 90, 60))]
+    df = spark.createDataFrame([*rows, rows[5], (None, None, ["a", "b"]), (1, 7, None)], "doc bigint, sent int, words array<string>")
+    want = {(r.center, r.context): r["count"] for r in train.context_pairs(df, 4, 7).groupBy("center", "context").count().collect()}
+    for most in (50, 10_000_000):
+        monkeypatch.setattr(train, "LOT_PAIRS", most)
+        got = train.context_pairs(df, 4, 7, counted=True).collect()
+        assert len(got) == len(want) and {(r.center, r.context): r.n for r in got} == want
+    plain, counted = (train.mutual_information(train.context_pairs(df, 4, 7, counted=c), 1.0).collect() for c in (False, True))
+    assert {(r.row, r.col): pytest.approx(r.v) for r in plain} == {(r.row, r.col): r.v for r in counted}
+
+
+def test_phrases_of_lines_with_the_same_key_do_not_mix(spark, monkeypatch):
+    monkeypatch.setattr(train, "LOT_WORDS", 6)
+    lines = [(0, 0, "a b x"), (0, 0, "x y a b"), (None, 1, "a b b c"), (2, 0, "a a b"), (2, 0, "a a b"), (3, 0, ""), (4, 0, None)]
+    df = spark.createDataFrame([(d, s, None if t is None else t.split()) for d, s, t in lines], "doc bigint, sent int, words array<string>")
+    phrases = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "b")], "a string, b string")
+    got = [None if r.words is None else " ".join(r.words) for r in train.merge_phrases(df, phrases).collect()]
+    assert sorted(got, key=str) == sorted(["a_b x", "x y a_b", "a_b b_c", "a a_b", "a a_b", "", None], key=str)
+    assert train.merge_phrases(df, phrases.limit(0)).count() == len(lines)
+
+
+def test_texts_of_one_piece_are_dealt_out(spark):
+    df = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("a b\nc").alias("text")).coalesce(1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = train.sentences(df, "doc_id", "text").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(got) > 1 and sum(r["count"] for r in got) == 128
