@@ -181,3 +181,18 @@ def test_pair_samples_and_counts(spark):
 def test_mean_vector_weights(spark):
     df = spark.createDataFrame([([1.0, 2.0], 3.0), ([5.0, 6.0], 1.0)], "v array<double>, w double")
     assert df.agg(vectors.mean_vector("v", "w").alias("m")).first().m == pytest.approx([2.0, 3.0])
+
+
+def test_ends_of_permuted_columns_are_hashed_not_sorted(spark, capsys):
+    rows = [("t", "c", None if i % 9 == 0 else f"r{i // 2}", i % 3, f"w{i % 7}") for i in range(90)] * 2 + [("t", "d", "r", 0, "one")]
+    p = textify.permuted_columns(spark.createDataFrame(rows, "relation string, col string, row_id string, tpos int, token string"), 4, seed=7)
+    want = {}
+    for r in p.collect():
+        want.setdefault((r.perm, r.relation, r.col), []).append((r.place, r.row_id or "", r.tpos, r.token))
+    ends = textify.permuted_ends(p)
+    got = {(r.perm, r.relation, r.col): (r.n, r.first_token, r.last_token) for r in ends.collect()}
+    assert got == {k: (len(v), min(v)[3], max(v)[3]) for k, v in want.items()}
+    ends.explain()
+    plan = capsys.readouterr().out
+    # whole rows are compared only after the few at an end were picked
+    assert "Filter" in plan and plan.index("SortAggregate") < plan.index("BroadcastHashJoin")
