@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablevec.functions import ordering, vectors
+from tablevec.functions.vectors import dimension
 from tablevec.operators.prep import MIN_COLS, MIN_ROWS
 from tablevec.session import settle
 
@@ -20,7 +21,7 @@ def compose_columns(tokens: DataFrame, emb: DataFrame, must_have: DataFrame | No
     if must_have is not None:
         counts = counts.join(must_have.select("token"), "token", "left_semi")
     return counts.join(emb.select("token", "vec"), "token").groupBy("relation", "col").agg(
-        vectors.mean_vector("vec", "n").alias("vec")
+        vectors.mean_vector("vec", "n", dimension(emb)).alias("vec")
     )
 
 
@@ -28,7 +29,7 @@ def compose_columns_unique(tokens: DataFrame, emb: DataFrame) -> DataFrame:
     """As ``compose_columns`` over the different tokens of a column."""
     distinct = tokens.select("relation", "col", "token").distinct()
     return distinct.join(emb.select("token", "vec"), "token").groupBy("relation", "col").agg(
-        vectors.mean_vector("vec").alias("vec")
+        vectors.mean_vector("vec", width=dimension(emb)).alias("vec")
     )
 
 
@@ -44,15 +45,7 @@ def compose_rows(tokens: DataFrame, emb: DataFrame) -> DataFrame:
     """
     placed = settle(tokens.select("relation", "row_id", "token"))
     joined = ordering.join_hot(placed, emb.select("token", "vec"), ["token"], "left")
-    return joined.groupBy("relation", "row_id").agg(
-        F.count("vec").alias("__n"), vectors.mean_vector(_or_zero(emb), F.col("vec").isNotNull().cast("double")).alias("vec")
-    ).select("relation", "row_id", F.when(F.col("__n") > 0, F.col("vec")).alias("vec"))
-
-
-def dimension(emb: DataFrame) -> int:
-    """Length of the vectors; 0 without any."""
-    row = emb.select("vec").first()
-    return len(row.vec) if row else 0
+    return joined.groupBy("relation", "row_id").agg(vectors.mean_vector("vec", width=dimension(emb)).alias("vec"))
 
 
 def _or_zero(emb: DataFrame):

@@ -281,7 +281,7 @@ def phrase_neighbours(words: DataFrame, emb: DataFrame, k: int = 40) -> DataFram
     """
     terms = settle(words.select("qid", "id").distinct())
     joined = words.join(emb.select("id", vectors.doubles("vec").alias("vec")), "id")
-    sums = joined.groupBy("qid").agg(vectors.sum_vector("vec").alias("vec"))
+    sums = joined.groupBy("qid").agg(vectors.sum_vector("vec", vectors.dimension(emb)).alias("vec"))
     longest = terms.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
     return _without(nearest(sums, emb, k + longest, exclude_self=False), terms, k)
 

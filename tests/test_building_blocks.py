@@ -183,6 +183,28 @@ def test_mean_vector_weights(spark):
     assert df.agg(vectors.mean_vector("v", "w").alias("m")).first().m == pytest.approx([2.0, 3.0])
 
 
+def test_vector_aggregates_of_known_length_are_plain_numbers(spark, capsys):
+    rows = [(i % 40, [float(i), -float(i), 0.5], float(i % 3)) for i in range(200)] + [(0, None, 2.0), (99, None, 1.0), (7, [1.0, 1.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "g int, v array<double>, w double")
+    made = df.groupBy("g").agg(
+        vectors.sum_vector("v", 3).alias("s"), vectors.mean_vector("v", width=3).alias("m"), vectors.mean_vector("v", "w", 3).alias("wm")
+    )
+    for r in made.collect():
+        mine = [(np.array(v), w) for g, v, w in rows if g == r.g and v is not None]
+        if not mine:
+            assert r.g == 99 and r.s is None and r.m is None and r.wm is None
+            continue
+        assert r.s == pytest.approx(sum(v for v, _ in mine)) and r.m == pytest.approx(sum(v for v, _ in mine) / len(mine))
+        heavy = [(v, w) for v, w in mine if w]
+        assert r.wm == pytest.approx(sum(v * w for v, w in heavy) / sum(w for _, w in heavy))
+    made.explain()
+    plan = capsys.readouterr().out
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
+    for other in ([1.0], [1.0] * 4):
+        with pytest.raises(Exception, match="vectors of 3 numbers"):
+            df.unionByName(spark.createDataFrame([(1, other, 1.0)], df.schema)).groupBy("g").agg(vectors.sum_vector("v", 3)).collect()
+
+
 def test_ends_of_permuted_columns_are_hashed_not_sorted(spark, capsys):
     rows = [("t", "c", None if i % 9 == 0 else f"r{i // 2}", i % 3, f"w{i % 7}") for i in range(90)] * 2 + [("t", "d", "r", 0, "one")]
     p = textify.permuted_columns(spark.createDataFrame(rows, "relation string, col string, row_id string, tpos int, token string"), 4, seed=7)
