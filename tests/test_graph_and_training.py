@@ -29,6 +29,33 @@ def test_edges_prune_and_weigh(spark, monkeypatch):
     }
 
 
+def test_edges_are_placed_by_hash_before_text(spark, capsys):
+    rows = [(f"l_key_<#>_{i % 30}", "t", None if i % 7 == 0 else str(i % 50)) for i in range(200)]
+    tokens = spark.createDataFrame(rows, "token string, relation string, row_id string")
+    edges = graph.weighted_edges(tokens)
+    num = collections.Counter(t for t, _, _ in rows)
+    assert {tuple(r) for r in edges.collect()} == {(*r, 1.0 / num[r[0]]) for r in rows} and edges.count() == len(set(rows))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        graph.weighted_edges(tokens).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin [__h" in capsys.readouterr().out
+
+
+def test_products_and_blocks_are_summed_without_objects(spark, capsys):
+    cells = [(i % 9, j, float(i + j)) for i in range(9) for j in range(6)]
+    matrix = spark.createDataFrame(cells, "row bigint, col bigint, v double").cache()
+    block = spark.createDataFrame([(j, [float(j), 1.0]) for j in range(6)], "id bigint, vec array<double>").cache()
+    product = factorize.SparseProduct(matrix).times(block)
+    dense = np.array([[i + j for j in range(6)] for i in range(9)]) @ np.array([[j, 1.0] for j in range(6)])
+    assert {r.id: r.vec for r in product.collect()} == {i: pytest.approx(dense[i]) for i in range(9)}
+    product.explain()
+    factorize._sum_blocks([(block, 1.0), (product, -2.0)]).explain()
+    assert "ObjectHashAggregate" not in capsys.readouterr().out
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_every_move_is_an_edge(spark, weighted):
     edges = star_and_ring(spark).cache()
