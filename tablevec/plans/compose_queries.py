@@ -22,10 +22,10 @@ def token_vectors(spark, d, tokens, seed="row"):
     """(token, vec): each token takes the embedding that an md5 of its text points at."""
     base = emb(spark, d)
     n = base.count()
-    vocabulary = tokens.select("token").distinct()
-    return settle(
-        vocabulary.withColumn("id", draw(seed, "token") % n).join(base, "id").select("token", "vec")
-    )
+    # texts are few bytes and would be read by one task, which then writes all their vectors
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = tokens.select("token").distinct().withColumn("id", draw(seed, "token") % n)
+    return settle(drawn.repartition(parts, "id").join(base, "id").select("token", "vec"))
 
 
 def _shown(df, *keys):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablevec.functions import ordering, text, vectors
 from tablevec.functions.draws import draw
 from tablevec.operators import prep, textify
+from tablevec.plans import compose_queries
 
 
 def test_number_rows_with_a_hot_group(spark):
@@ -218,3 +219,10 @@ def test_ends_of_permuted_columns_are_hashed_not_sorted(spark, capsys):
     plan = capsys.readouterr().out
     # whole rows are compared only after the few at an end were picked
     assert "Filter" in plan and plan.index("SortAggregate") < plan.index("BroadcastHashJoin")
+
+
+def test_token_vectors_are_written_by_many_tasks(spark, sf_dir):
+    tokens = spark.range(120000).select(F.concat(F.lit("a_long_column_name_<#>_"), F.col("id") % 60000).alias("token"))
+    made = compose_queries.token_vectors(spark, sf_dir, tokens)
+    assert made.count() == 60000 and made.select("token").distinct().count() == 60000
+    assert len(made.inputFiles()) > 4
