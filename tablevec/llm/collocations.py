@@ -23,13 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablevec.functions.ordering import number_rows
-from tablevec.llm.batches import slices, small_batches
-from tablevec.session import settle
+from tablevec.llm.batches import lean, slices, small_batches
+from tablevec.session import discard, settle
 
 SIDE = 1024
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 21  # of a language in a task; the larger, the fewer chunks repeat a word or a cell
 DENSE = SIDE * SIDE // 16
 OUT_BYTES = 8_000_000
+MERGED = 4
+SHORT = 64
+WIDTHS = {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}
+SQUEEZED = 16
 NO_LANG = "und"
 # fixed values: what ends a piece, and what separates words (a tab counts as a space)
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -54,16 +58,41 @@ def expand(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers from 0 up, as wide as the largest needs, squeezed unless they are few; the first byte says how."""
+    width = next(w for w, kind in WIDTHS.items() if x.max(initial=0) <= np.iinfo(kind).max)
+    x = x.astype(WIDTHS[width])
+    return bytes([width]) + x.tobytes() if len(x) < SHORT else bytes([SQUEEZED + width]) + squeeze(x)
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    kind = WIDTHS[data[0] % SQUEEZED]
+    return (expand(data[1:], kind) if data[0] >= SQUEEZED else np.frombuffer(data, dtype=kind, offset=1)).astype(np.int64)
+
+
+def pack_codes(code: np.ndarray) -> bytes:
+    """Ascending codes of a tile, as gaps."""
+    return pack_numbers(np.diff(code, prepend=0))
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(data))
+
+
 def read_chunks(df: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
     """(chunk, lang, symbols, words, counts): local word numbers (-1 between pieces), squeezed, the words, how often each.
 
     A chunk ends with the text that brings it to ``tokens`` words.
     """
     rows = small_batches(df).select(F.coalesce(F.col(f"`{lang}`"), F.lit(NO_LANG)).alias("lang"), F.col(f"`{text}`").alias("text"))
+    # a task makes a chunk of each of its languages at least, so small tasks repeat more words and cells
+    parts, cores = rows.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    rows = rows.coalesce(max(1, min(parts, max(2 * cores, parts // MERGED))))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = TaskContext.get().partitionId() << 32, 0
         held: dict[str, tuple[dict[bytes, int], list[np.ndarray]]] = {}
+        length: dict[str, int] = {}
 
         def close(name: str) -> pa.RecordBatch:
             nonlocal made
@@ -86,12 +115,14 @@ def read_chunks(df: DataFrame, text: str, lang: str, tokens: int) -> DataFrame:
                     if w not in known:
                         known[w] = len(known) - 1
                 parts.append(np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words)))
-                if sum(map(len, parts)) >= tokens:
+                length[name] = length.get(name, 0) + len(words)
+                if length[name] >= tokens:
+                    del length[name]
                     yield close(name)
         for name in sorted(held):
             yield close(name)
 
-    return rows.mapInArrow(work, "chunk long, lang string, symbols binary, words array<string>, counts array<long>")
+    return rows.mapInArrow(lean(work), "chunk long, lang string, symbols binary, words array<string>, counts array<long>")
 
 
 def relabel(places: np.ndarray, symbols: np.ndarray, old: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +155,7 @@ def first_symbols(chunks: DataFrame, frequent: DataFrame) -> DataFrame:
                 symbols = expand(batch.column("symbols")[i].as_py(), np.int32)
                 yield _chunk(batch, i, *relabel(np.arange(len(symbols), dtype=np.int32), symbols, old, ids))
 
-    return chunks.select("chunk", "lang", "symbols").join(hits, "chunk").mapInArrow(work, CHUNKS)
+    return chunks.select("chunk", "lang", "symbols").join(hits, "chunk").mapInArrow(lean(work), CHUNKS)
 
 
 def _chunk(batch: pa.RecordBatch, i: int, places: np.ndarray, symbols: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
@@ -154,7 +185,7 @@ def unpack_cells(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
 def count_tiles(chunks: DataFrame) -> DataFrame:
     """(chunk, lang, ti, tj, codes, counts): the cells of each tile that neighbours of a chunk fall into.
 
-    ``codes``: row * SIDE + column within the tile, ascending, 32 bits each; ``counts``: as wide as the largest needs.
+    ``codes``: row * SIDE + column within the tile, ascending; both packed.
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +194,14 @@ def count_tiles(chunks: DataFrame) -> DataFrame:
                 places, symbols, ids = _read(batch, i)
                 _, a, b = neighbours(places, symbols)
                 stripes, stripe = np.unique(ids // SIDE, return_inverse=True)
-                tile = stripe[a] * len(stripes) + stripe[b]
-                code = (ids % SIDE)[a] * SIDE + (ids % SIDE)[b]
+                stripe = stripe.astype(np.int32 if len(stripes) < 1 << 15 else np.int64)
+                tile = stripe[a] * stripe.dtype.type(len(stripes)) + stripe[b]
+                within = (ids % SIDE).astype(np.int32)
+                code = within[a] * np.int32(SIDE) + within[b]
+                del places, symbols, a, b
                 order = np.argsort(tile, kind="stable")
                 tile, code = tile[order], code[order]
+                del order
                 start = np.flatnonzero(np.diff(tile, prepend=-1))
                 size = np.diff(np.append(start, len(tile)))
                 found = []  # (tile, code, count), a tile's codes together
@@ -175,22 +210,21 @@ def count_tiles(chunks: DataFrame) -> DataFrame:
                     there = np.flatnonzero(cells)
                     found.append((np.full(len(there), tile[at]), there, cells[there]))
                 few = np.repeat(size < DENSE, size)
-                cell, n = np.unique(tile[few] * (SIDE * SIDE) + code[few], return_counts=True)
+                cell, n = np.unique(tile[few].astype(np.int64) * (SIDE * SIDE) + code[few], return_counts=True)
                 found.append((cell // (SIDE * SIDE), cell % (SIDE * SIDE), n))
                 tile, code, n = (np.concatenate(x) for x in zip(*found, strict=True))
                 start = np.flatnonzero(np.diff(tile, prepend=-1))
                 edges = np.append(start, len(tile)).tolist()
-                code = code.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column("chunk")[i].as_py()] * len(start), pa.int64()),
                      pa.array([batch.column("lang")[i].as_py()] * len(start), pa.string()),
                      pa.array(stripes[tile[start] // len(stripes)], pa.int64()), pa.array(stripes[tile[start] % len(stripes)], pa.int64()),
-                     pa.array([code[4 * x : 4 * y] for x, y in pairwise(edges)], pa.binary()),
-                     pa.array([pack_counts(n[x:y]) for x, y in pairwise(edges)], pa.binary())],
+                     pa.array([pack_codes(code[x:y]) for x, y in pairwise(edges)], pa.binary()),
+                     pa.array([pack_numbers(n[x:y]) for x, y in pairwise(edges)], pa.binary())],
                     ["chunk", *TILE, "codes", "counts"],
                 )
 
-    return chunks.mapInArrow(work, "chunk long, lang string, ti long, tj long, codes binary, counts binary")
+    return chunks.mapInArrow(lean(work), "chunk long, lang string, ti long, tj long, codes binary, counts binary")
 
 
 class TileSum:
@@ -250,13 +284,13 @@ def sum_tiles(tiles: DataFrame, keys: list[str], least: int | None = None) -> Da
 
         def close() -> None:
             nonlocal held
-            codes, counts = total.total()
+            code, n = unpack_cells(*total.total())
+            code = code.astype(np.int64)
             if least is None:
-                done.append((*now, codes, counts))
-                held += len(codes) + len(counts)
+                done.append((*now, pack_codes(code), pack_numbers(n)))
+                held += len(done[-1][-2]) + len(done[-1][-1])
                 return
-            code, n = unpack_cells(codes, counts)
-            code, n = code[n >= least].astype(np.int64), n[n >= least]
+            code, n = code[n >= least], n[n >= least]
             if len(n):
                 lang, ti, tj = now
                 done.append((lang, ti * SIDE + code // SIDE, tj * SIDE + code % SIDE, n))
@@ -272,14 +306,14 @@ def sum_tiles(tiles: DataFrame, keys: list[str], least: int | None = None) -> Da
                             yield out()
                             done, held = [], 0
                     now, total = row[:-2], TileSum()
-                total.add(*row[-2:])
+                total.add(unpack_codes(row[-2]).astype("<u4").tobytes(), pack_counts(unpack_numbers(row[-1])))
         if now is not None:
             close()
         if done:
             yield out()
 
     schema = rows.schema if least is None else "lang string, a long, b long, n long"
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(work), schema)
 
 
 def by_frequency(counts: DataFrame, order: list[str]) -> DataFrame:
@@ -299,10 +333,11 @@ def next_symbols(chunks: DataFrame, tiles: DataFrame, lots: DataFrame, frequent:
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            found = [x.values for x in batch.column("cells")]
+            found = [[x.values.field(c).to_numpy() for c in ("code", "id")] for x in batch.column("cells")]
+            found = [(code[order], ids[order]) for code, ids in found for order in [np.argsort(code)]]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in TILE], pa.array([x.field("code").to_numpy().astype("<u4").tobytes() for x in found], pa.binary()),
-                 pa.array([x.field("id").to_numpy().astype("<i8").tobytes() for x in found], pa.binary())],
+                [*[batch.column(c) for c in TILE], pa.array([pack_codes(code) for code, _ in found], pa.binary()),
+                 pa.array([pack_numbers(ids) for _, ids in found], pa.binary())],
                 [*TILE, "cells", "new"],
             )
 
@@ -311,29 +346,34 @@ def next_symbols(chunks: DataFrame, tiles: DataFrame, lots: DataFrame, frequent:
 
     def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
-            chunk, a, b, ids = [], [], [], []
+            rows, codes, ids = [], [], []
             for i in range(batch.num_rows):
-                code, own = (np.frombuffer(batch.column(x)[i].as_buffer(), dtype="<u4") for x in ("cells", "codes"))
+                code, own = (unpack_codes(batch.column(x)[i].as_py()) for x in ("cells", "codes"))
                 here = own[np.minimum(np.searchsorted(own, code), len(own) - 1)] == code
                 if here.any():
-                    code, ti, tj = code[here].astype(np.int64), batch.column("ti")[i].as_py(), batch.column("tj")[i].as_py()
-                    chunk.append(batch.column("chunk")[i].as_py())
-                    a.append((ti * SIDE + code // SIDE).tobytes())
-                    b.append((tj * SIDE + code % SIDE).tobytes())
-                    ids.append(np.frombuffer(batch.column("new")[i].as_buffer(), dtype="<i8")[here].tobytes())
+                    rows.append(i)
+                    codes.append(pack_codes(code[here]))
+                    ids.append(pack_numbers(unpack_numbers(batch.column("new")[i].as_py())[here]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chunk, pa.int64()), *[pa.array(x, pa.binary()) for x in (a, b, ids)]], ["chunk", "a", "b", "new"]
+                [*[batch.column(c).take(pa.array(rows, pa.int64())) for c in ("chunk", "ti", "tj")], *[pa.array(x, pa.binary()) for x in (codes, ids)]],
+                ["chunk", "ti", "tj", "codes", "new"],
             )
 
-    hits = near.select("chunk", "ti", "tj", "codes", "cells", "new").mapInArrow(pick, "chunk long, a binary, b binary, new binary")
-    hits = hits.groupBy("chunk").agg(F.collect_list(F.struct("a", "b", "new")).alias("hits"))  # at most a chunk's pairs
+    hits = near.select("chunk", "ti", "tj", "codes", "cells", "new").mapInArrow(lean(pick), "chunk long, ti long, tj long, codes binary, new binary")
+    hits = hits.groupBy("chunk").agg(F.collect_list(F.struct("ti", "tj", "codes", "new")).alias("hits"))  # at most a chunk's pairs
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 places, symbols, ids = _read(batch, i)
                 found = batch.column("hits")[i].values
-                a, b, new = (np.frombuffer(b"".join(found.field(x).to_pylist()), dtype=np.int64) for x in ("a", "b", "new"))
+                a, b, new = [], [], []
+                for ti, tj, codes, own in zip(*[found.field(x).to_pylist() for x in ("ti", "tj", "codes", "new")], strict=True):
+                    cell = unpack_codes(codes)
+                    a.append(ti * SIDE + cell // SIDE)
+                    b.append(tj * SIDE + cell % SIDE)
+                    new.append(unpack_numbers(own))
+                a, b, new = (np.concatenate(x) for x in (a, b, new))
                 code = np.searchsorted(ids, a) * len(ids) + np.searchsorted(ids, b)
                 order = np.argsort(code)
                 code, new = code[order], new[order]
@@ -343,7 +383,7 @@ def next_symbols(chunks: DataFrame, tiles: DataFrame, lots: DataFrame, frequent:
                 at = np.where(code[at] == pairs, at, -1)
                 yield _chunk(batch, i, *relabel(places, at, np.arange(len(new)), new))
 
-    return chunks.join(hits, "chunk").mapInArrow(work, CHUNKS)
+    return chunks.join(hits, "chunk").mapInArrow(lean(work), CHUNKS)
 
 
 def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: str, tokens: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -358,6 +398,7 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: s
     levels = [known.select("lang", "id", none.alias("a"), none.alias("b"), "n", F.col("word").alias("phrase"), F.col("word").alias("last"))]
     per_lot = F.lit(max(1, round(chunks.count() ** 0.5)))
     state = settle(first_symbols(chunks, known))
+    discard(chunks)
     while len(levels) < longest:
         tiles = settle(count_tiles(state).withColumn("lot", F.pmod(F.xxhash64("chunk"), per_lot)))
         lots = sum_tiles(tiles, [*TILE, "lot"])
@@ -368,8 +409,9 @@ def frequent_phrases(df: DataFrame, least: int, longest: int, text: str, lang: s
         levels.append(settle(named.select(
             "lang", "id", "a", "b", "n", F.concat_ws(" ", "__head", "__tail").alias("phrase"), F.col("__tail").alias("last")
         )))
-        if len(levels) < longest:
-            state = settle(next_symbols(state, tiles, tiles.select(*TILE, "lot").distinct(), found))
+        after = settle(next_symbols(state, tiles, tiles.select(*TILE, "lot").distinct(), found)) if len(levels) < longest else None
+        discard(state, tiles, found)  # each is as large as the texts' own numbers
+        state = after
     return total, levels
 
 

@@ -1,10 +1,13 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pytest
 
+from tablevec import session
 from tablevec.llm import collocations as col
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -92,3 +95,38 @@ def test_tile_sums_dense_or_not():
         codes, n = col.unpack_cells(*total.total())
         assert (total.cells is not None) == (rows == 4000)
         assert np.array_equal(codes, np.flatnonzero(want)) and np.array_equal(n, want[want > 0])
+
+
+@pytest.mark.parametrize("numbers", [[0], [3] * 70, [255, 256, 0] * 40, [1 << 40, 5], list(range(0, 9_000_000, 100_001))])
+def test_packed_numbers_come_back(numbers):
+    x = np.array(numbers, dtype=np.int64)
+    assert col.unpack_numbers(col.pack_numbers(x)).tolist() == numbers
+    assert col.unpack_codes(col.pack_codes(np.unique(x))).tolist() == sorted(set(numbers))
+
+
+def test_cells_travel_in_little_room(spark):
+    """A cell of a spread tile takes about two bytes, not five."""
+    rng = np.random.default_rng(1)
+    symbols = rng.integers(0, 1000, 40_000).astype(np.int32)
+    row = (1, "en", col.squeeze(np.ones(len(symbols), dtype=np.int32)), col.squeeze(symbols), col.squeeze(np.arange(1000)))
+    rows = col.count_tiles(spark.createDataFrame([row], col.CHUNKS)).collect()
+    cells = len(set(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)))
+    assert sum(len(col.unpack_numbers(bytes(r.counts))) for r in rows) == cells
+    assert sum(int(col.unpack_numbers(bytes(r.counts)).sum()) for r in rows) == len(symbols) - 1
+    assert sum(len(r.codes) + len(r.counts) for r in rows) < 3 * cells
+
+
+def test_tables_of_numbers_are_gone_at_the_end(spark, monkeypatch):
+    written = []
+
+    def settle(df):
+        written.append(out := session.settle(df))
+        return out
+
+    monkeypatch.setattr(col, "settle", settle)
+    got = col.mine_phrases(spark.createDataFrame([("en", "a b c d")] * 6, "lang string, text string"), least=2).collect()
+    assert [r.phrase for r in got] == ["a b c d"]
+    large = [df for df in written if {"symbols", "codes"} & set(df.columns)]
+    assert len(large) == 9  # chunks, four states, four times tiles
+    there = [f for df in large for f in df.inputFiles() if Path(unquote(urlparse(f).path)).exists()]
+    assert not there
