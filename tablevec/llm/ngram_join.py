@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablevec.llm.batches import Cache, kept, slices, small_batches
+from tablevec.llm.batches import Cache, lean, slices, small_batches
 from tablevec.llm.documents import known_ids
 from tablevec.session import settle
 
@@ -83,11 +83,6 @@ class Shingler:
             yield np.unique(total)
 
 
-def shingles_of(words: int) -> Shingler:
-    """The one of this worker."""
-    return kept(("shingles", words), lambda: Shingler(words))
-
-
 @cache
 def class_table(percent: int) -> np.ndarray:
     """Rows (upper, differ, margin, spare) of the size classes; a class holds sizes above the upper before.
@@ -170,7 +165,7 @@ def make_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = shingles_of(words), Cache(CACHED_SETS)
+        shingler, seen = Shingler(words), Cache(CACHED_SETS)
         for batch in slices(batches, 256):
             nodes = batch.column("node").to_numpy()
             spread = _mix(nodes.view(np.uint64)).view(np.int64)
@@ -195,7 +190,7 @@ def make_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     n = len(key[start : start + 20_000])
                     yield _batch(key[start : start + n], node[start : start + n], np.zeros(n, dtype=np.int64), *[[None] * n] * 3)
 
-    return docs.select("node", "text").mapInArrow(work, ROWS)
+    return docs.select("node", "text").mapInArrow(lean(work), ROWS)
 
 
 MET = "kind int, key long, node long, first long, size long, n long, point binary, fine binary"
@@ -298,7 +293,7 @@ def meet(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush(True)
 
-    return rows.mapInArrow(work, MET)
+    return rows.mapInArrow(lean(work), MET)
 
 
 def enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -339,7 +334,7 @@ def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
             keep &= enough(np.minimum(p, q).sum(axis=1), x, y, percent)
             yield batch.select(["a", "b", "n"]).filter(pa.array(keep))
 
-    return sides.mapInArrow(work, "a long, b long, n long")
+    return sides.mapInArrow(lean(work), "a long, b long, n long")
 
 
 def _matrix(points: pa.Array) -> np.ndarray:
@@ -444,7 +439,7 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield from pairs(*held)
 
-    return members.mapInArrow(work, "a long, b long, kind long, n long")
+    return members.mapInArrow(lean(work), "a long, b long, kind long, n long")
 
 
 def meetings(pairs: DataFrame) -> DataFrame:
@@ -468,14 +463,14 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             data = [pack((t or "").encode()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(data, pa.binary())], ["node", "data"])
 
-    return docs.select("node", "text").mapInArrow(work, "node long, data binary")
+    return docs.select("node", "text").mapInArrow(lean(work), "node long, data binary")
 
 
 def make_sets(docs: DataFrame, words: int) -> DataFrame:
     """(node, at, hashes) of rows (node, at, data): each document's sorted set, 48 bits a hash."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, unpack = shingles_of(words), zstandard.ZstdDecompressor().decompress
+        shingler, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, 256):
             texts = [unpack(x).decode() for x in batch.column("data").to_pylist()]
             packed = [
@@ -487,7 +482,7 @@ def make_sets(docs: DataFrame, words: int) -> DataFrame:
             )
 
     rows = docs.select("node", "at", "data")
-    return rows.mapInArrow(work, rows.select("node", "at", F.lit(b"").alias("hashes")).schema)
+    return rows.mapInArrow(lean(work), rows.select("node", "at", F.lit(b"").alias("hashes")).schema)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -520,7 +515,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                     b_out.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(work, "a long, b long")
+    return met.mapInArrow(lean(work), "a long, b long")
 
 
 def connect(links: DataFrame) -> DataFrame:

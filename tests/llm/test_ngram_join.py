@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tablevec.llm import batches as batches_module
 from tablevec.llm import ngram_join
 
 
@@ -139,3 +141,17 @@ def test_odd_tables(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df, 4, 85).collect()), key=str)
     assert got == sorted([(5, 27, 5), (5, 27, 5), (5, 1, 5), (None, 27, 5), (None, 0, None), (9, 27, 5)], key=str)
     assert ngram_join.similar_documents(df.limit(0)).count() == 0
+
+
+def test_workers_keep_nothing_of_the_join(spark):
+    """Workers idle on beside the next steps, so what they still hold counts as theirs."""
+
+    def held(batches):
+        for batch in batches:
+            names = [str(list(batches_module._live))] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["names"])
+
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 7}") for i in range(64)], "doc_id long, text string")
+    ngram_join.similar_documents(docs.repartition(8)).collect()
+    names = spark.range(64).repartition(8).mapInArrow(held, "names string").collect()
+    assert not [r for r in names if "shingles" in r.names]
