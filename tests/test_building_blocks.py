@@ -10,6 +10,7 @@ from tablevec.functions import ordering, text, vectors
 from tablevec.functions.draws import draw
 from tablevec.operators import prep, textify
 from tablevec.plans import compose_queries
+from tablevec.session import settle
 
 
 def test_number_rows_with_a_hot_group(spark):
@@ -179,6 +180,17 @@ def test_pair_samples_and_counts(spark):
         assert counts[key, value] == sum(k != key and v != value for _, k, v in rows)
 
 
+def test_pair_samples_never_broadcast_cells(spark, capsys):
+    rows = [(i, f"k{'abc'[i % 3]}", f"v{'wxyz'[i % 4]}") for i in range(25)]
+    df = settle(spark.createDataFrame(rows, "no int, key string, val string").select("key", "val", "no"))
+    for buffer in (1, 4):
+        pairs = textify.pair_samples(df, "no", buffer)
+        assert pairs.where("label = 1").count() > 0
+        pairs.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_mean_vector_weights(spark):
     df = spark.createDataFrame([([1.0, 2.0], 3.0), ([5.0, 6.0], 1.0)], "v array<double>, w double")
     assert df.agg(vectors.mean_vector("v", "w").alias("m")).first().m == pytest.approx([2.0, 3.0])
