@@ -300,3 +300,13 @@ def test_summary_stats(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 4, 8)], "v double")
     got = {r.stat: r.value for r in evaluate.summary_stats(df, "v").collect()}
     assert got["geomean"] == pytest.approx(2 ** 1.5) and got["p50"] == 3.0 and got["max"] == 8.0
+
+
+def test_phrase_passes_keep_only_their_last_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tablevec.session.shared_dir", lambda _: str(tmp_path))
+    lines = [(f"d{i}", 0, ["new", "york", "city", f"w{i % 7}"]) for i in range(40)]
+    sents = spark.createDataFrame(lines, "doc string, sent int, words array<string>")
+    made = train.phrase_corpus(sents, (0.5, 0.5), 5)
+    assert {w for r in made.collect() for w in r.words if "_" in w}
+    assert made.count() == 40
+    assert len(list((tmp_path / "settled").iterdir())) == 1
